@@ -45,7 +45,7 @@ def file_name(path: Column | str | None = None) -> Column:
 def directory(path: Column | str | None = None) -> Column:
     """Everything before the last ``/``; empty for a root file."""
     p = _path(path)
-    return F.when(p.contains("/"), F.regexp_extract(p, r"(?s)^(.*)/", 1)).otherwise(F.lit(""))
+    return F.left(p, F.greatest(F.length(p) - F.length(file_name(p)) - 1, F.lit(0)))
 
 
 def suffix(path: Column | str | None = None) -> Column:
@@ -72,12 +72,11 @@ def in_excluded_dir(
     name anywhere in the directory part.
     """
     dirs = list(dirs)
-    d = directory(path)
     if match == "segment":
-        wrapped = F.concat(F.lit("/"), d, F.lit("/"))
-        return contains_one(wrapped, [f"/{x}/" for x in dirs])
+        # a directory name is a segment with a slash on both sides
+        return contains_one(F.concat(F.lit("/"), _path(path)), [f"/{x}/" for x in dirs])
     if match == "substring":
-        return contains_one(d, dirs)
+        return contains_one(directory(path), dirs)
     raise ValueError(f"match must be 'segment' or 'substring', not {match!r}")
 
 

@@ -35,24 +35,31 @@ def first_of(rules: Iterable[tuple[Column, int]]) -> Column:
 # -- content features -------------------------------------------------------
 
 def content_features(content: Column | None = None) -> dict[str, Column]:
-    """Everything the analyzers and scores need to know about the content.
+    """Everything the analyzers and scores need to know about the content of `path`.
 
-    The features depend on no path or language rule, so a scan can take them first and
-    drop the content before anything is shuffled.
+    The features depend on no rule of a language or repo, so a scan can take them first and
+    drop the content before anything is shuffled.  Each test runs only on the kind of file
+    that uses its answer; on other files it is false or 0 without looking at the content.
     """
     c = F.coalesce(F.col("content") if content is None else content, F.lit(""))
+    p = F.lower(F.col("path"))
+    java, gradle = p.endswith(".java"), p.endswith(".gradle")
+
+    def number(kind: Column, regex: str) -> Column:
+        return F.when(kind, F.regexp_count(c, F.lit(regex))).otherwise(F.lit(0))
+
     return {
         "has_boot": c.contains(fv.BOOT_ANNOTATION),
-        "has_java_entry": fc.has_java_entry(c),
-        "has_gradle_entry": fc.has_gradle_entry(c),
-        "has_main": c.rlike(fv.MAIN_SIGNATURE),
-        "n_stereotypes": fc.stereotype_annotations(c),
-        "n_mappings": fc.mapping_annotations(c),
-        "has_boot_plugin": c.contains(fv.GRADLE_BOOT_PLUGIN),
-        "has_application_word": c.rlike(fv.GRADLE_APPLICATION_WORD),
-        "n_tasks": F.regexp_count(c, F.lit(fv.GRADLE_TASK)),
-        "has_lombok": c.contains("lombok"),
-        "has_main_class": c.contains("mainClass"),
+        "has_java_entry": java & fc.has_java_entry(c),
+        "has_gradle_entry": p.contains("gradle") & fc.has_gradle_entry(c),
+        "has_main": java & c.rlike(fv.MAIN_SIGNATURE),
+        "n_stereotypes": number(java, fv.STEREOTYPES),
+        "n_mappings": number(java, fv.MAPPINGS),
+        "has_boot_plugin": gradle & c.contains(fv.GRADLE_BOOT_PLUGIN),
+        "has_application_word": gradle & c.rlike(fv.GRADLE_APPLICATION_WORD),
+        "n_tasks": number(gradle, fv.GRADLE_TASK),
+        "has_lombok": gradle & c.contains("lombok"),
+        "has_main_class": gradle & c.contains("mainClass"),
         "is_non_blank": fc.non_blank(c),
     }
 
@@ -65,7 +72,7 @@ def score_base() -> Column:
     )
 
 
-def _score_code(features: dict[str, Column]) -> Column:
+def _code_points(features: dict[str, Column]) -> Column:
     p = F.lower(F.col("path"))
     example = ends_with_one(p, fv.EXAMPLE_MARKERS)
     application = p.contains("application")
@@ -78,8 +85,7 @@ def _score_code(features: dict[str, Column]) -> Column:
     build = build + points(features["has_application_word"], fv.GRADLE_APPLICATION_WEIGHT)
     build = build + features["n_tasks"] * fv.GRADLE_TASK_WEIGHT
     return (
-        score_base()
-        + points(features["has_boot"], fv.BOOT_WEIGHT)
+        points(features["has_boot"], fv.BOOT_WEIGHT)
         + first_of((contains_one(p, words), weight) for words, weight in fv.PATH_CHAIN)
         + points(application & example, fv.APPLICATION_EXAMPLE_WEIGHT)
         + points(p.contains("gradle"), fv.GRADLE_WEIGHT)
@@ -97,15 +103,16 @@ def _features(from_content: bool) -> dict[str, Column]:
     return made if from_content else {name: F.col(name) for name in made}
 
 
-def score_java(from_content: bool = False) -> Column:
-    """Score of a file in a Java repo.
+def understanding_points(from_content: bool = False) -> Column:
+    """Part of the score that depends on path and content only."""
+    return _code_points(_features(from_content))
 
-    Reads the columns of `content_features`, or the content itself with
-    ``from_content=True``.
-    """
+
+def java_points(from_content: bool = False) -> Column:
+    """Like `understanding_points`, with the shell script and container file parts."""
     p = F.lower(F.col("path"))
     return (
-        _score_code(_features(from_content))
+        understanding_points(from_content)
         + points(p.endswith(".sh"), fv.SHELL_WEIGHT)
         + first_of(
             [
@@ -116,9 +123,18 @@ def score_java(from_content: bool = False) -> Column:
     )
 
 
+def score_java(from_content: bool = False) -> Column:
+    """Score of a file in a Java repo.
+
+    Reads the columns of `content_features`, or the content itself with
+    ``from_content=True``.
+    """
+    return score_base() + java_points(from_content)
+
+
 def score_understanding(from_content: bool = False) -> Column:
     """Like `score_java`, without the shell script and container file parts."""
-    return _score_code(_features(from_content))
+    return score_base() + understanding_points(from_content)
 
 
 # -- R4 .. R7 ---------------------------------------------------------------

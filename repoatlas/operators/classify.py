@@ -58,30 +58,37 @@ def choose(rows: DataFrame, analyzers: DataFrame) -> DataFrame:
 # -- features of one file ---------------------------------------------------
 
 def scan_features(files: DataFrame, max_size: int = fv.MAX_FILE_BYTES) -> DataFrame:
-    """One narrow row per file: path facts and content features, without the content."""
+    """One narrow row per file: all that does not depend on an analyzer, without the content."""
     readable = F.col("size") <= max_size
     content = F.when(readable, F.col("content"))
     return files.select(
         "repo", "path", "size",
-        readable.alias("is_readable"),
         fp.suffix().alias("suffix"),
         (
             readable & ~fp.in_excluded_dir() & ~fp.is_ci_file() & ~fp.is_sonar()
         ).alias("is_walked"),
+        fp.is_shell().alias("is_shell"),
+        fp.is_root_shell().alias("is_root_shell"),
+        fp.is_readme().alias("is_readme"),
+        fp.is_example_config().alias("is_example_path"),
+        fp.is_example_config(on="name").alias("is_example_config"),
+        (fp.is_config() | fp.is_special_config()).alias("is_config_path"),
         *[column.alias(name) for name, column in fs.content_features(content).items()],
-    )
+    ).withColumn("java_points", fs.java_points())
 
 
 def _rules(analyzer: str, readme_md: bool):
     """The analyzer's view of a file, as one struct."""
     is_key = fp.is_key_file(analyzer)
+    wanted = is_key | F.col("is_shell") | F.col("is_example_path")
+    wanted = wanted | fp.ends_with_one(F.col("path"), fv.EXTENSIONS[analyzer])
+    if readme_md:
+        wanted = wanted | F.col("is_readme")
     return F.struct(
         F.lit(analyzer).alias("analyzer"),
         fp.language_of_suffix(analyzer, F.col("suffix")).alias("language"),
         is_key.alias("is_key_file"),
-        (F.col("is_walked") & (is_key | fp.is_analyzable(analyzer, readme_md=readme_md))).alias(
-            "is_gathered"
-        ),
+        (F.col("is_walked") & wanted).alias("is_gathered"),
     )
 
 
@@ -104,28 +111,19 @@ def survey_files(
     entry = F.when(lang == "Java", F.col("has_java_entry")).otherwise(
         gradle & F.col("has_gradle_entry")
     )
-    example = fp.is_example_config()
+    is_key, is_gathered = F.col("is_key_file"), F.col("is_gathered")
+    forced = ~is_key & (F.col("is_shell") | F.col("is_example_path"))
     rows = rows.select(
         "*",
-        (F.col("is_gathered") & java & ~F.col("is_key_file") & entry).alias("is_entry_point"),
-        (
-            F.col("is_gathered")
-            & (
-                fp.is_config()
-                | (~F.col("is_key_file") & (fp.is_shell() | example))
-                | fp.is_special_config()
-            )
-        ).alias("is_config"),
-        fp.is_shell().alias("is_shell"),
-        fp.is_root_shell().alias("is_root_shell"),
-        fp.is_readme().alias("is_readme"),
-        fp.is_example_config(on="name").alias("is_example_config"),
+        (is_gathered & java & ~is_key & entry).alias("is_entry_point"),
+        (is_gathered & (F.col("is_config_path") | forced)).alias("is_config"),
         ((lang == "Java") & F.col("has_boot")).alias("has_framework"),
-        fp.discovery_order(F.col("is_key_file")).alias("ord"),
+        fp.discovery_order(is_key).alias("ord"),
     )
-    return rows.withColumn(
-        "importance_score",
-        F.when(java, fs.score_java()).otherwise(fs.score_base()).cast("int"),
+    points = F.when(java, F.col("java_points")).otherwise(F.lit(0))
+    score = (fs.score_base() + points).cast("int")
+    return rows.withColumn("importance_score", score).drop(
+        "suffix", "is_walked", "is_config_path", "is_example_path", "java_points"
     )
 
 

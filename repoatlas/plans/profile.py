@@ -35,13 +35,14 @@ def survey_corpus(
 ) -> Corpus:
     """Scan the contents once and keep what the later passes need.
 
-    ``save`` writes the narrow survey to the shared scratch folder; without it every pass
-    scans the contents again.
+    ``save`` writes the narrow survey and the analyzer of each repo to the shared scratch
+    folder; without it every pass scans the contents again.
     """
     survey = survey_files(files, language, readme_md)
-    if save:
-        survey = save_table(survey)
-    return Corpus(files, survey, select_analyzer(survey.select("repo", "path"), language))
+    if not save:
+        return Corpus(files, survey, select_analyzer(files, language))
+    survey = save_table(survey)
+    return Corpus(files, survey, save_table(select_analyzer(survey, language)))
 
 
 # -- C1 ---------------------------------------------------------------------
@@ -254,7 +255,7 @@ def _api_pieces(profile: DataFrame, api_patterns: DataFrame) -> DataFrame:
     lines = agg.api_lines(api_patterns)
     types = lines.groupBy("repo", "type").agg(F.min("ord").alias("first"))
     shown = profile.filter(F.col("analyzer") == "java").select("repo", "n_root_shell_scripts")
-    gap = F.when(F.col("n_root_shell_scripts") > 0, F.lit("\n    \n\n\n### API Endpoints:"))
+    gap = F.when(F.col("n_root_shell_scripts") > 0, F.lit("\n\n    \n\n### API Endpoints:"))
     title = (
         types.select("repo").distinct().join(shown, "repo")
         .select("repo", F.lit("06").alias("ord"),
@@ -277,5 +278,5 @@ def profile_report(
     api_patterns: DataFrame | None = None, max_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """``repo, part, text``: the report of each repo, in one part unless it is huge."""
-    pieces = report_pieces(corpus, profile, dependencies, api_patterns)
+    pieces = save_table(report_pieces(corpus, profile, dependencies, api_patterns))
     return gather_text(pieces, ["repo"], max_bytes=max_bytes)
