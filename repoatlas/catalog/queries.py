@@ -455,7 +455,7 @@ def a13_mapping_annotations(spark, sf_dir):
 @query
 def a14_command_groups(spark, sf_dir):
     survey, analyzers = _chosen_survey(spark, sf_dir)
-    groups = agg.command_groups(survey, extract.find_commands(survey))
+    groups = agg.command_groups(agg.command_facts(survey), extract.find_commands(survey))
     return choose(groups, analyzers).select("repo", "kind", "command")
 
 
@@ -733,7 +733,8 @@ def c3_purpose_context(spark, sf_dir):
 
 @query
 def c4_usage_context(spark, sf_dir):
-    return contexts.usage_context(_corpus(spark, sf_dir)).select(
+    corpus = _corpus(spark, sf_dir)
+    return contexts.usage_context(corpus, agg.command_facts(corpus.survey)).select(
         "repo", "step", "field", "path", _digest()
     )
 
@@ -794,19 +795,20 @@ def c9_readme_quality_rules(spark, sf_dir):
 def _step3_prompts(spark, sf_dir) -> DataFrame:
     run = job.start_run(views.files(spark, sf_dir))
     slots = job.draft_slots(run, views.corpus_outputs(spark, sf_dir))
-    return job.write_prompt_batch(slots, prompts.default_steps(spark))
+    return job.prompt_batch(slots, prompts.default_steps(spark))
 
 
 @query
 def c10_build_prompts(spark, sf_dir):
     run = job.start_run(views.files(spark, sf_dir))
     outputs = views.corpus_outputs(spark, sf_dir)
+    contents = job.picked_contents(run)
     slots = (
-        job.first_slots(run)
+        job.first_slots(run, contents)
         .unionByName(job.draft_slots(run, outputs))
-        .unionByName(job.final_slots(run, outputs, views.verdicts(spark, sf_dir)))
+        .unionByName(job.final_slots(run, contents, outputs, views.verdicts(spark, sf_dir)))
     )
-    return job.write_prompt_batch(slots, prompts.default_steps(spark)).select(
+    return job.prompt_batch(slots, prompts.default_steps(spark)).select(
         "repo", "step", "prompt"
     )
 

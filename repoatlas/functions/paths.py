@@ -99,6 +99,19 @@ def is_key_file(analyzer: str, path: Column | str | None = None) -> Column:
     return _path(path).isin(fv.COMMON_KEY_FILES + fv.KEY_FILES[analyzer])
 
 
+def is_candidate(path: Column | str | None = None) -> Column:
+    """Key or analyzable for at least one analyzer: no other file is ever gathered."""
+    p = _path(path)
+    names = {name for names in fv.KEY_FILES.values() for name in names}
+    extensions = {ext for table in fv.EXTENSIONS.values() for ext in table}
+    return (
+        p.isin(sorted(names | set(fv.COMMON_KEY_FILES)))
+        | is_example_config(p)
+        | ends_with_one(p, sorted(extensions))
+        | is_readme(p)
+    ) & ~in_excluded_dir(p)
+
+
 # -- P4 .. P10 --------------------------------------------------------------
 
 def is_sonar(path: Column | str | None = None) -> Column:

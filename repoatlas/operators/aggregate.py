@@ -127,7 +127,7 @@ def readme_contents(files: DataFrame, survey: DataFrame) -> DataFrame:
 
     READMEs are picked by name before the join, so only their content moves.
     """
-    readmes = survey.filter(F.col("is_gathered") & F.col("is_readme")).select(*REPO, "path", "ord")
+    readmes = survey.filter("is_gathered AND is_readme").select(*REPO, "path", "ord")
     texts = files.filter(fp.is_readme()).select("repo", "path", "content")
     return readmes.join(texts, ["repo", "path"]).select(*REPO, "path", "content", "ord")
 
@@ -216,26 +216,27 @@ def group_api(api_patterns: DataFrame, max_bytes: int = GROUP_BYTES) -> DataFram
 
 # -- A14 --------------------------------------------------------------------
 
-def _command_facts(survey: DataFrame) -> DataFrame:
+def command_aggregates() -> list[Column]:
     g = F.col("is_gathered")
     kind = F.when(g & (F.col("analyzer") == "java"), fp.script_command()["kind"])
-    return survey.groupBy(*REPO).agg(
+    run = F.min(F.when(kind == "run", F.col("ord")))
+    stop = F.min(F.when(kind == "stop", F.col("ord")))
+    main = g & (F.col("path") == "build.gradle") & F.col("has_main_class")
+    return [
         F.bool_or(kind.isNotNull()).alias("has_scripts"),
-        F.bool_or(g & (F.col("path") == "build.gradle") & F.col("has_main_class")).alias(
-            "has_main_class"
-        ),
-        F.min(F.when(kind == "run", F.col("ord"))).alias("run"),
-        F.min(F.when(kind == "stop", F.col("ord"))).alias("stop"),
-    )
+        F.coalesce(stop < run, F.lit(False)).alias("stop_first"),
+        F.bool_or(main).alias("has_main_class"),
+    ]
 
 
-def script_commands(survey: DataFrame, commands: DataFrame) -> DataFrame:
+def command_facts(survey: DataFrame) -> DataFrame:
+    """``repo, analyzer, has_scripts, stop_first, has_main_class``; the profile has them too."""
+    return survey.groupBy(*REPO).agg(*command_aggregates())
+
+
+def script_commands(facts: DataFrame, commands: DataFrame) -> DataFrame:
     """Script commands with an order key: kinds by their first script, then scripts."""
-    stop_first = (
-        _command_facts(survey)
-        .filter(F.col("stop") < F.col("run"))
-        .select(*REPO, F.lit(True).alias("stop_first"))
-    )
+    stop_first = facts.filter("stop_first").select(*REPO, "stop_first")
     leads = (F.col("kind") == "stop") == F.coalesce("stop_first", F.lit(False))
     return commands.join(stop_first, REPO, "left").select(
         *REPO, "kind", "command",
@@ -243,7 +244,7 @@ def script_commands(survey: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
 
-def standard_commands(survey: DataFrame) -> DataFrame:
+def standard_commands(facts: DataFrame) -> DataFrame:
     """Commands of repos without scripts: a Gradle build, and a run if there is a main class."""
 
     def standard(kind: str, command: str, order: str) -> Column:
@@ -256,13 +257,12 @@ def standard_commands(survey: DataFrame) -> DataFrame:
         F.when(F.col("has_main_class"), standard("run", "./gradlew run", "1")),
     )
     return (
-        _command_facts(survey)
-        .filter(~F.col("has_scripts"))
+        facts.filter(~F.col("has_scripts"))
         .select(*REPO, F.explode(F.array_compact(both)).alias("s"))
         .select(*REPO, "s.*")
     )
 
 
-def command_groups(survey: DataFrame, commands: DataFrame) -> DataFrame:
+def command_groups(facts: DataFrame, commands: DataFrame) -> DataFrame:
     """``repo, analyzer, kind, command, ord``: script commands, or the standard ones."""
-    return script_commands(survey, commands).unionByName(standard_commands(survey))
+    return script_commands(facts, commands).unionByName(standard_commands(facts))

@@ -28,7 +28,7 @@ def large_groups(
 def with_part(
     rows: DataFrame, keys: list[str], order: str, size: Column, max_bytes: int = GROUP_BYTES
 ) -> DataFrame:
-    """Add `part`: empty for rows of ordinary groups, the row's own order key in large ones.
+    """Add `part`: empty in ordinary groups, a dot and the row's order key in large ones.
 
     Grouping by ``keys + part`` then makes one value of an ordinary group, while a large
     group stays spread over as many values as it has rows.
@@ -36,7 +36,10 @@ def with_part(
     large = large_groups(rows, keys, size, max_bytes).withColumn("_large", F.lit(True))
     return (
         rows.join(F.broadcast(large), keys, "left")
-        .withColumn("part", F.when(F.col("_large"), F.col(order)).otherwise(F.lit("")))
+        .withColumn(
+            "part",
+            F.when(F.col("_large"), F.concat(F.lit("."), order)).otherwise(F.lit("")),
+        )
         .drop("_large")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas import fixed_values as fv
@@ -24,8 +24,8 @@ def merge_passes(keys: DataFrame, walked: DataFrame) -> DataFrame:
 def content_lookup(paths: DataFrame, files: DataFrame) -> DataFrame:
     """Paths with their content; missing and blank files drop out.
 
-    The join key is the single file, so no repo makes a hot partition; where the paths are
-    few, a broadcast or a run-time filter keeps the other contents out of the shuffle.
+    The join key is the single file, so no repo makes a hot partition; few paths are
+    broadcast by AQE, and the contents then stay where they are.
     """
     texts = files.select("repo", "path", "content").filter(fc.non_blank())
     return paths.join(texts, ["repo", "path"])
@@ -43,27 +43,22 @@ def key_paths(gathered: DataFrame, n: int) -> DataFrame:
 
 # -- J6 ---------------------------------------------------------------------
 
-def original_readme(readmes: DataFrame) -> DataFrame:
-    """``repo, analyzer, path, original_readme``: the best scored README in the strict sense."""
-    best = Window.partitionBy(*REPO).orderBy(F.desc("importance_score"), F.asc("ord"))
-    return (
-        readmes.filter(fp.is_original_readme())
-        .withColumn("_rank", F.row_number().over(best))
-        .filter(F.col("_rank") == 1)
-        .select(*REPO, "path", F.col("content").alias("original_readme"))
-    )
+def original_readme(gathered: DataFrame) -> DataFrame:
+    """``repo, analyzer, path, ord``: the best scored README in the strict sense."""
+    return top_n(gathered.filter(fp.is_original_readme()), 1).select(*REPO, "path", "ord")
 
 
 def readme_pair(repos: DataFrame, originals: DataFrame, step_outputs: DataFrame) -> DataFrame:
     """``repo, original_readme, generated_readme``, with a default text for no original.
 
-    The generated README is the output of step 3, without a fence around it.
+    ``originals`` has the content of the original README of a repo; the generated one is
+    the output of step 3, without a fence around it.
     """
     generated = step_outputs.filter(F.col("step") == 3).select(
         "repo", fc.strip_fence(F.col("output")).alias("generated_readme")
     )
-    found = originals.select("repo", "original_readme").filter(
-        fc.non_blank(F.col("original_readme"))
+    found = originals.filter(fc.non_blank()).select(
+        "repo", F.col("content").alias("original_readme")
     )
     return (
         repos.select("repo")

@@ -1,8 +1,9 @@
 """What each step of the documentation run is told about a repo.
 
-A context is a set of rows ``repo, step, field, ord, path, content``, because some fields
-hold as many files as a repo has entry points or controllers.  The files are picked from
-the narrow survey; only the picked ones are joined with their content.
+A context is a set of rows ``repo, step, field, path, ord, content``, because some fields
+hold as many files as a repo has entry points or controllers.  Files are picked from the
+narrow survey first; the picks of several steps are looked up together, so each wanted
+content is read and moved once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from repoatlas import fixed_values as fv
 from repoatlas.functions import content as fc
+from repoatlas.functions import paths as fp
 from repoatlas.functions import text as ft
 from repoatlas.operators import aggregate as agg
 from repoatlas.operators import extract
@@ -21,25 +23,78 @@ from repoatlas.operators.rank import first_n
 from repoatlas.plans.profile import Corpus
 from repoatlas.plans.quality import readme_quality
 
-CONTEXT = ["repo", "step", "field", "ord", "path", "content"]
-
 
 def _rows(rows: DataFrame, step: int, field: str, path="path", content=None) -> DataFrame:
     text = F.lit(None).cast("string") if content is None else F.col(content)
     return rows.select(
-        "repo", F.lit(step).alias("step"), F.lit(field).alias("field"), "ord",
-        F.col(path).alias("path"), text.alias("content"),
+        "repo", F.lit(step).alias("step"), F.lit(field).alias("field"),
+        F.col(path).alias("path"), "ord", text.alias("content"),
+    )
+
+
+# -- picked files -----------------------------------------------------------
+
+def _picks(corpus: Corpus, files: DataFrame, step: int, field: str) -> DataFrame:
+    return corpus.chosen(files).select(
+        "repo", F.lit(step).alias("step"), F.lit(field).alias("field"), "path", "ord"
+    )
+
+
+def _filled(corpus: Corpus) -> DataFrame:
+    """Gathered files that have some content."""
+    return corpus.survey.filter("is_gathered AND is_non_blank")
+
+
+def purpose_picks(corpus: Corpus) -> DataFrame:
+    """Step 1: entry points, key files and the best 35 files."""
+    paths = key_paths(corpus.survey.filter("is_gathered"), fv.TOP_FILES_STEP_1)
+    return _picks(corpus, paths, 1, "key_files_content")
+
+
+def usage_picks(corpus: Corpus) -> DataFrame:
+    """Step 2: what runs, builds and serves the repo, and its configuration."""
+    p = F.col("path")
+    shown = F.col("is_entry_point") | p.isin("build.gradle", "docker-compose.yml")
+    shown = shown | F.lower(p).contains("controller")
+    priority = (
+        F.when(p == "build.gradle", F.lit("0"))
+        .when(F.col("is_entry_point"), F.lit("1"))
+        .otherwise(F.lit("2"))
     )
+    by_priority = _filled(corpus).filter(shown).withColumn("ord", F.concat(priority, "ord"))
+    configs = corpus.survey.filter(agg.is_config_listed()).select(
+        *REPO, "path", "is_gathered", agg.config_order().alias("ord")
+    )
+    first_configs = first_n(configs, fv.CONFIGS_IN_STEP_2, REPO).filter("is_gathered")
+    examples = _filled(corpus).filter("is_example_config").withColumn("ord", p)
+    return (
+        _picks(corpus, by_priority, 2, "key_files_content")
+        .unionByName(_picks(corpus, first_configs, 2, "config_files"))
+        .unionByName(_picks(corpus, examples, 2, "example_configs"))
+    )
+
+
+def draft_picks(corpus: Corpus) -> DataFrame:
+    """Step 3: entry points, key files and the best 10 files."""
+    paths = key_paths(corpus.survey.filter("is_gathered"), fv.TOP_FILES_STEP_3)
+    return _picks(corpus, paths, 3, "key_files_content")
 
 
-def _files(corpus: Corpus, picked: DataFrame, step: int, field: str) -> DataFrame:
-    """Context rows of picked files with their content."""
-    wanted = corpus.chosen(picked).select("repo", "path", "ord")
-    return _rows(content_lookup(wanted, corpus.files), step, field, content="content")
+def original_picks(corpus: Corpus) -> DataFrame:
+    """Step 4: the README a repo has already."""
+    best = original_readme(corpus.survey.filter("is_gathered"))
+    return _picks(corpus, best, 4, "original_readme")
 
 
-def _gathered(corpus: Corpus) -> DataFrame:
-    return corpus.survey.filter("is_gathered")
+def look_up(corpus: Corpus, picks: DataFrame) -> DataFrame:
+    """Context rows of the picks, with their contents.
+
+    Contents of files no analyzer gathers are left out by their path, before the join.
+    """
+    wanted = corpus.files.filter(fp.is_candidate() & (F.col("size") <= fv.MAX_FILE_BYTES))
+    return content_lookup(picks, wanted).select(
+        "repo", "step", "field", "path", "ord", "content"
+    )
 
 
 # -- C7 ---------------------------------------------------------------------
@@ -65,68 +120,57 @@ def base_context(profile: DataFrame) -> DataFrame:
 
 def purpose_context(corpus: Corpus, report: DataFrame | None = None) -> DataFrame:
     """Step 1: the report, and the key paths with their contents."""
-    files = _files(
-        corpus, key_paths(_gathered(corpus), fv.TOP_FILES_STEP_1), 1, "key_files_content"
-    )
+    files = look_up(corpus, purpose_picks(corpus))
     if report is None:
         return files
-    analysis = report.select("repo", F.col("part").alias("ord"), F.col("part").alias("path"), "text")
+    analysis = report.select("repo", F.lit("").alias("path"), F.col("part").alias("ord"), "text")
     return files.unionByName(_rows(analysis, 1, "formatted_analysis", content="text"))
 
 
 # -- C4 ---------------------------------------------------------------------
 
-def usage_context(corpus: Corpus) -> DataFrame:
-    """Step 2: everything about running and configuring a repo."""
-    survey, gathered = corpus.survey, _gathered(corpus)
-    p = F.col("path")
-    shown = gathered.filter(
-        F.col("is_entry_point")
-        | p.isin("build.gradle", "docker-compose.yml")
-        | F.lower(p).contains("controller")
-    )
-    priority = (
-        F.when(p == "build.gradle", F.lit("0"))
-        .when(F.col("is_entry_point"), F.lit("1"))
-        .otherwise(F.lit("2"))
-    )
-    by_priority = shown.withColumn("ord", F.concat(priority, "ord"))
-    configs = (
-        survey.filter(agg.is_config_listed())
-        .select(*REPO, "path", "is_gathered", agg.config_order().alias("ord"))
-    )
-    first_configs = first_n(configs, fv.CONFIGS_IN_STEP_2, REPO).filter("is_gathered")
-    examples = gathered.filter("is_example_config").withColumn("ord", p)
-    commands = corpus.chosen(agg.command_groups(survey, extract.find_commands(survey)))
-    scripts = corpus.chosen(gathered.filter("is_shell"))
-    roots = corpus.chosen(gathered.filter("is_root_shell"))
+def usage_lists(corpus: Corpus, facts: DataFrame) -> DataFrame:
+    """Step 2 without contents: commands and scripts.
+
+    ``facts`` is the profile, or `aggregate.command_facts`.
+    """
+    gathered = corpus.survey.filter("is_gathered")
+    commands = agg.command_groups(facts, extract.find_commands(corpus.survey))
     return (
-        _files(corpus, by_priority, 2, "key_files_content")
-        .unionByName(_files(corpus, first_configs, 2, "config_files"))
-        .unionByName(_files(corpus, examples, 2, "example_configs"))
-        .unionByName(_rows(commands, 2, "run_commands", "kind", "command"))
-        .unionByName(_rows(scripts, 2, "shell_scripts"))
-        .unionByName(_rows(roots, 2, "root_shell_scripts"))
+        _rows(corpus.chosen(commands), 2, "run_commands", "kind", "command")
+        .unionByName(_rows(corpus.chosen(gathered.filter("is_shell")), 2, "shell_scripts"))
+        .unionByName(
+            _rows(corpus.chosen(gathered.filter("is_root_shell")), 2, "root_shell_scripts")
+        )
     )
 
 
+def usage_context(corpus: Corpus, facts: DataFrame) -> DataFrame:
+    """Step 2: everything about running and configuring a repo."""
+    return look_up(corpus, usage_picks(corpus)).unionByName(usage_lists(corpus, facts))
+
+
 # -- C5 ---------------------------------------------------------------------
 
-def draft_context(
-    corpus: Corpus, step_outputs: DataFrame, dependencies: DataFrame
-) -> DataFrame:
-    """Step 3: outputs of steps 1 and 2, dependencies, entry points, key contents."""
+def earlier_outputs(step_outputs: DataFrame) -> DataFrame:
+    """Outputs of steps 1 and 2 as context rows of step 3."""
     field = F.when(F.col("step") == 1, F.lit("project_purpose")).otherwise(
         F.lit("usage_instructions")
     )
-    earlier = (
+    return (
         step_outputs.filter(F.col("step").isin(1, 2))
         .select(
-            "repo", F.lit(3).alias("step"), field.alias("field"), F.lit("").alias("ord"),
-            F.lit("").alias("path"), fc.strip(F.col("output")).alias("content"),
+            "repo", F.lit(3).alias("step"), field.alias("field"), F.lit("").alias("path"),
+            F.lit("").alias("ord"), fc.strip(F.col("output")).alias("content"),
         )
         .filter(F.col("content") != "")
     )
+
+
+def draft_context(
+    corpus: Corpus, step_outputs: DataFrame, dependencies: DataFrame
+) -> DataFrame:
+    """Step 3: outputs of steps 1 and 2, dependencies, entry points, key contents."""
     java = corpus.analyzers.filter(F.col("analyzer") == "java").select("repo")
     first = first_n(dependencies.select("repo", "text", "ord"), fv.DEPENDENCIES_SHOWN, ["repo"])
     listed = (
@@ -137,11 +181,11 @@ def draft_context(
     entries = corpus.chosen(corpus.survey.filter("is_entry_point")).withColumn(
         "line", ft.bullet(F.col("path"))
     )
-    keys = key_paths(_gathered(corpus), fv.TOP_FILES_STEP_3)
     return (
-        earlier.unionByName(_rows(listed, 3, "dependencies", content="text"))
+        earlier_outputs(step_outputs)
+        .unionByName(_rows(listed, 3, "dependencies", content="text"))
         .unionByName(_rows(entries, 3, "entry_points_formatted", content="line"))
-        .unionByName(_files(corpus, keys, 3, "key_files_content"))
+        .unionByName(look_up(corpus, draft_picks(corpus)))
     )
 
 
@@ -149,18 +193,15 @@ def draft_context(
 
 def optimize_context(pair: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Step 4: both READMEs of a repo, the evaluation and the recommendation."""
-    quality = readme_quality(pair, verdicts)
-    return pair.join(quality, "repo").select(
+    return readme_quality(pair, verdicts, keep_texts=True).select(
         "repo", "original_readme", "generated_readme",
         F.col("reason").alias("readme_evaluation"),
         F.col("recommendation").alias("readme_recommendation"),
-        F.col("is_low_quality"),
+        "is_low_quality",
     )
 
 
 def corpus_readme_pair(corpus: Corpus, step_outputs: DataFrame) -> DataFrame:
     """README pair of every repo of the corpus."""
-    scores = corpus.survey.select(*REPO, "path", "importance_score")
-    texts = agg.readme_contents(corpus.files, corpus.survey)
-    readmes = corpus.chosen(texts.join(scores, [*REPO, "path"]))
-    return readme_pair(corpus.analyzers, original_readme(readmes), step_outputs)
+    originals = look_up(corpus, original_picks(corpus))
+    return readme_pair(corpus.analyzers, originals, step_outputs)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from repoatlas.operators import extract
+from repoatlas.operators.joins import readme_pair
 from repoatlas.plans import contexts, prompts
 from repoatlas.plans.profile import Corpus, profile_repos, report_pieces, survey_corpus
 from repoatlas.sources.scratch import save_table
@@ -14,50 +16,67 @@ from repoatlas.sources.scratch import save_table
 
 @dataclass(frozen=True)
 class Run:
-    """Tables of a run. Survey, analyzers, profile and dependencies are written once."""
+    """Tables of a run, all but the file contents written once.
+
+    The contents of the corpus are read for three of them: the survey, the dependencies
+    and the contents of the picked files.
+    """
 
     corpus: Corpus
     profile: DataFrame
     dependencies: DataFrame
 
-    @property
-    def base(self) -> DataFrame:
-        return contexts.base_context(self.profile)
-
     def report_pieces(self, api_patterns: DataFrame | None = None) -> DataFrame:
         return report_pieces(self.corpus, self.profile, self.dependencies, api_patterns)
 
 
 def start_run(files: DataFrame, language: str = "auto") -> Run:
-    """Scan the contents for the survey and the dependencies, and write the profile."""
+    """Survey the corpus, extract the dependencies and write the profile."""
     corpus = survey_corpus(files, language)
     dependencies = extract.find_dependencies(extract.readable_files(files))
     return Run(corpus, save_table(profile_repos(corpus)), save_table(dependencies))
 
 
-def first_slots(run: Run) -> DataFrame:
+def picked_contents(run: Run) -> DataFrame:
+    """Contents all steps need, from one look-up."""
+    picks = (
+        contexts.purpose_picks(run.corpus)
+        .unionByName(contexts.usage_picks(run.corpus))
+        .unionByName(contexts.original_picks(run.corpus))
+    )
+    return save_table(contexts.look_up(run.corpus, picks))
+
+
+def first_slots(run: Run, contents: DataFrame) -> DataFrame:
     """Slot items of the steps that need nothing but the repo: 1 and 2."""
+    base = contexts.base_context(run.profile)
     entries = run.corpus.chosen(run.corpus.survey.filter("is_entry_point"))
     one = prompts.purpose_slots(
-        run.base, run.profile, entries.select("repo", "path", "ord"),
-        run.report_pieces(), contexts.purpose_context(run.corpus),
+        base, run.profile, entries.select("repo", "path", "ord"),
+        run.report_pieces(), contents.filter("step = 1"),
     )
-    return one.unionByName(prompts.usage_slots(run.base, contexts.usage_context(run.corpus)))
+    lists = contexts.usage_lists(run.corpus, run.profile)
+    two = prompts.usage_slots(base, lists.unionByName(contents.filter("step = 2")))
+    return one.unionByName(two)
 
 
 def draft_slots(run: Run, step_outputs: DataFrame) -> DataFrame:
     """Slot items of step 3, from the outputs of steps 1 and 2."""
-    context = contexts.draft_context(run.corpus, step_outputs, run.dependencies)
-    return prompts.draft_slots(run.base, context)
+    base = contexts.base_context(run.profile)
+    return prompts.draft_slots(base, contexts.earlier_outputs(step_outputs))
 
 
-def final_slots(run: Run, step_outputs: DataFrame, verdicts: DataFrame) -> DataFrame:
+def final_slots(
+    run: Run, contents: DataFrame, step_outputs: DataFrame, verdicts: DataFrame
+) -> DataFrame:
     """Slot items of step 4, from the output of step 3 and the verdict on the old README."""
-    pair = contexts.corpus_readme_pair(run.corpus, step_outputs)
-    return prompts.optimize_slots(run.base, contexts.optimize_context(pair, verdicts))
+    originals = contents.filter(F.col("field") == "original_readme")
+    pair = readme_pair(run.corpus.analyzers, originals, step_outputs)
+    base = contexts.base_context(run.profile)
+    return prompts.optimize_slots(base, contexts.optimize_context(pair, verdicts))
 
 
-def write_prompt_batch(slots: DataFrame, steps: DataFrame) -> DataFrame:
+def prompt_batch(slots: DataFrame, steps: DataFrame) -> DataFrame:
     """Prompts of a batch of slot items.
 
     The items are written first: they are read twice, to find prompts that are too large

@@ -61,6 +61,7 @@ def profile_repos(corpus: Corpus) -> DataFrame:
     facts = corpus.survey.groupBy(*REPO).agg(
         *agg.count_aggregates(),
         *agg.build_aggregates(),
+        *agg.command_aggregates(),
         F.transform(keys, lambda x: x.path).alias("key_project_files"),
         F.transform(
             extract.tools_in_order(extract.tool_aggregates()), lambda t: t.tool
@@ -129,7 +130,7 @@ def report_pieces(
     put into one value here.
     """
     java = F.col("analyzer") == "java"
-    has_commands = java & (F.col("n_run") + F.col("n_stop") > 0)
+    has_commands = java & F.col("has_scripts")
     has_roots, has_entries = F.col("n_root_shell_scripts") > 0, F.col("n_entry_points") > 0
     system = F.concat(
         F.initcap("type"), F.when(F.col("has_wrapper"), F.lit(" with wrapper")).otherwise("")
@@ -236,7 +237,7 @@ def report_pieces(
     )
     command_line = F.concat(F.lit("\n- "), "kind", F.lit(": `"), "command", F.lit("`"))
     commands = items(
-        agg.script_commands(corpus.survey, extract.find_commands(corpus.survey)),
+        agg.script_commands(profile, extract.find_commands(corpus.survey)),
         item("03", command_line, java),
         item("13", command_line, java),
     )

@@ -14,8 +14,10 @@ from repoatlas.functions import content as fc
 
 # -- C8 ---------------------------------------------------------------------
 
-def readme_quality(pair: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``repo, is_low_quality, recommendation, reason``.
+def readme_quality(
+    pair: DataFrame, verdicts: DataFrame, keep_texts: bool = False
+) -> DataFrame:
+    """``repo, is_low_quality, recommendation, reason``; both texts too with ``keep_texts``.
 
     A missing or tiny README is low quality without asking; otherwise the verdict text
     (``verdicts(repo, output)``) decides, and a missing verdict keeps the original.
@@ -36,6 +38,7 @@ def readme_quality(pair: DataFrame, verdicts: DataFrame) -> DataFrame:
             "recommendation"
         ),
         reason.alias("reason"),
+        *(["original_readme", "generated_readme"] if keep_texts else []),
     )
 
 
