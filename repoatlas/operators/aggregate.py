@@ -146,14 +146,18 @@ def content_maps(contents: DataFrame, max_bytes: int = GROUP_BYTES) -> DataFrame
 
 # -- A9 ---------------------------------------------------------------------
 
+def is_wrapper() -> Column:
+    """The build wrapper, which only has to exist."""
+    return (F.col("path") == "gradlew") | F.col("path").startswith("gradlew/")
+
+
 def build_aggregates() -> list[Column]:
     g = F.col("is_gathered") & (F.col("analyzer") == "java")
     p, kind = F.col("path"), fp.script_command()["kind"]
     gradle = g & p.endswith(".gradle")
-    wrapper = (p == "gradlew") | p.startswith("gradlew/")
     return [
         F.when(F.bool_or(gradle), F.lit("gradle")).otherwise(F.lit("unknown")).alias("type"),
-        F.bool_or((F.col("analyzer") == "java") & wrapper).alias("has_wrapper"),
+        F.bool_or((F.col("analyzer") == "java") & is_wrapper()).alias("has_wrapper"),
         F.count_if(gradle).alias("n_gradle_files"),
         F.count_if(g & F.col("is_root_shell")).alias("n_root_scripts"),
         F.count_if(g & (kind == "run")).alias("n_run"),

@@ -36,13 +36,16 @@ def survey_corpus(
     """Scan the contents once and keep what the later passes need.
 
     ``save`` writes the narrow survey and the analyzer of each repo to the shared scratch
-    folder; without it every pass scans the contents again.
+    folder; without it every pass scans the contents again.  The analyzers need a scan of
+    `repo` and `path` only.
     """
-    survey = survey_files(files, language, readme_md)
-    if not save:
-        return Corpus(files, survey, select_analyzer(files, language))
-    survey = save_table(survey)
-    return Corpus(files, survey, save_table(select_analyzer(survey, language)))
+    survey = survey_files(files, language, readme_md).filter(
+        F.col("is_gathered") | F.col("is_example_config") | agg.is_wrapper()
+    )
+    analyzers = select_analyzer(files, language)
+    if save:
+        survey, analyzers = save_table(survey), save_table(analyzers)
+    return Corpus(files, survey, analyzers)
 
 
 # -- C1 ---------------------------------------------------------------------
@@ -87,18 +90,18 @@ def profile_repos(corpus: Corpus) -> DataFrame:
             ),
         ).alias("top_files")
     )
-    empty = F.array()
-    return (
-        corpus.chosen(facts)
+    rows = (
+        corpus.analyzers.join(facts, REPO, "left")
         .join(languages, REPO, "left")
         .join(agg.primary_language(stats), REPO, "left")
         .join(top, REPO, "left")
-        .withColumn(
-            "primary_language", F.coalesce("primary_language", F.lit(fv.UNKNOWN_LANGUAGE))
-        )
-        .withColumn("language_stats", F.coalesce("language_stats", empty))
-        .withColumn("top_files", F.coalesce("top_files", empty))
     )
+    # a repo without any file of interest has a row too
+    missing = {"primary_language": fv.UNKNOWN_LANGUAGE, "type": "unknown"}
+    missing |= {name: 0 for name, kind in rows.dtypes if kind == "bigint"}
+    missing |= {name: False for name, kind in rows.dtypes if kind == "boolean"}
+    arrays = [name for name, kind in rows.dtypes if kind.startswith("array")]
+    return rows.fillna(missing).withColumns({a: F.coalesce(a, F.array()) for a in arrays})
 
 
 # -- C2 ---------------------------------------------------------------------
