@@ -215,7 +215,7 @@ def test_prompts(spark, slots):
     four = made["shop", 4]
     # the file is 14 characters long, under the limit for a verdict
     assert "Recommendation: OVERWRITE" in four and "README is empty or minimal" in four
-    assert "```markdown\n# Shop\n            ```" in four
+    assert "```markdown\n            # Shop\n            ```" in four
     assert "No original README found." in made["bare", 4]
 
 
