@@ -794,7 +794,8 @@ def c9_readme_quality_rules(spark, sf_dir):
 
 def _step3_prompts(spark, sf_dir) -> DataFrame:
     run = job.start_run(views.files(spark, sf_dir))
-    slots = job.draft_slots(run, views.corpus_outputs(spark, sf_dir))
+    slots = prompts.profile_slots(run.profile).filter("step = 3")
+    slots = slots.unionByName(job.draft_slots(run, views.corpus_outputs(spark, sf_dir)))
     return job.prompt_batch(slots, prompts.default_steps(spark))
 
 

@@ -134,15 +134,21 @@ def usage_lists(corpus: Corpus, facts: DataFrame) -> DataFrame:
 
     ``facts`` is the profile, or `aggregate.command_facts`.
     """
-    gathered = corpus.survey.filter("is_gathered")
     commands = agg.command_groups(facts, extract.find_commands(corpus.survey))
-    return (
-        _rows(corpus.chosen(commands), 2, "run_commands", "kind", "command")
-        .unionByName(_rows(corpus.chosen(gathered.filter("is_shell")), 2, "shell_scripts"))
-        .unionByName(
-            _rows(corpus.chosen(gathered.filter("is_root_shell")), 2, "root_shell_scripts")
+    fields = F.array_compact(
+        F.array(
+            F.lit("shell_scripts"), F.when(F.col("is_root_shell"), F.lit("root_shell_scripts"))
+        )
+    )
+    scripts = (
+        corpus.chosen(corpus.survey.filter("is_gathered AND is_shell"))
+        .select("repo", F.explode(fields).alias("field"), "path", "ord")
+        .select(
+            "repo", F.lit(2).alias("step"), "field", "path", "ord",
+            F.lit(None).cast("string").alias("content"),
         )
     )
+    return _rows(corpus.chosen(commands), 2, "run_commands", "kind", "command").unionByName(scripts)
 
 
 def usage_context(corpus: Corpus, facts: DataFrame) -> DataFrame:

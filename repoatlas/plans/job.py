@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas.operators import extract
+from repoatlas.operators.aggregate import command_groups
 from repoatlas.operators.joins import readme_pair
 from repoatlas.plans import contexts, prompts
 from repoatlas.plans.profile import Corpus, profile_repos, report_pieces, survey_corpus
@@ -48,22 +49,23 @@ def picked_contents(run: Run) -> DataFrame:
 
 
 def first_slots(run: Run, contents: DataFrame) -> DataFrame:
-    """Slot items of the steps that need nothing but the repo: 1 and 2."""
-    base = contexts.base_context(run.profile)
-    entries = run.corpus.chosen(run.corpus.survey.filter("is_entry_point"))
-    one = prompts.purpose_slots(
-        base, run.profile, entries.select("repo", "path", "ord"),
-        run.report_pieces(), contents.filter("step = 1"),
+    """Slot items of the steps that need nothing but the repo: 1 and 2.
+
+    The items of the profile are those of all steps.
+    """
+    commands = command_groups(run.profile, extract.find_commands(run.corpus.survey))
+    return (
+        prompts.profile_slots(run.profile)
+        .unionByName(prompts.list_slots(run.corpus))
+        .unionByName(prompts.piece_slots(run.report_pieces()))
+        .unionByName(prompts.command_slots(run.corpus.chosen(commands)))
+        .unionByName(prompts.content_slots(contents))
     )
-    lists = contexts.usage_lists(run.corpus, run.profile)
-    two = prompts.usage_slots(base, lists.unionByName(contents.filter("step = 2")))
-    return one.unionByName(two)
 
 
 def draft_slots(run: Run, step_outputs: DataFrame) -> DataFrame:
     """Slot items of step 3, from the outputs of steps 1 and 2."""
-    base = contexts.base_context(run.profile)
-    return prompts.draft_slots(base, contexts.earlier_outputs(step_outputs))
+    return prompts.draft_slots(run.profile, contexts.earlier_outputs(step_outputs))
 
 
 def final_slots(
@@ -72,8 +74,7 @@ def final_slots(
     """Slot items of step 4, from the output of step 3 and the verdict on the old README."""
     originals = contents.filter(F.col("field") == "original_readme")
     pair = readme_pair(run.corpus.analyzers, originals, step_outputs)
-    base = contexts.base_context(run.profile)
-    return prompts.optimize_slots(base, contexts.optimize_context(pair, verdicts))
+    return prompts.optimize_slots(contexts.optimize_context(pair, verdicts))
 
 
 def prompt_batch(slots: DataFrame, steps: DataFrame) -> DataFrame:

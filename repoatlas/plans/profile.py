@@ -228,15 +228,18 @@ def report_pieces(
             .select("repo", "p.ord", "p.text")
         )
 
-    def item(order: str, text: Column, when: Column | None = None) -> Column:
+    def item(order: str, text: Column, when: Column) -> Column:
         made = F.struct(F.concat(F.lit(order), "ord").alias("ord"), text.alias("text"))
-        return made if when is None else F.when(when, made)
-
-    entry_line = ft.bullet(F.col("path"))
-    entries = items(
-        corpus.survey.filter("is_entry_point"),
-        item("01", F.concat(entry_line, F.lit("\n")), java),
-        item("11", F.concat(F.lit("\n"), entry_line)),
+        return F.when(when, made)
+
+    entry, line = F.col("is_entry_point"), ft.bullet(F.col("path"))
+    root = F.col("is_gathered") & F.col("is_root_shell")
+    listed_files = items(
+        corpus.survey.filter(entry | root),
+        item("01", F.concat(line, F.lit("\n")), java & entry),
+        item("11", F.concat(F.lit("\n"), line), entry),
+        item("05", F.concat(F.lit("\n"), line), java & root),
+        item("15", F.concat(F.lit("\n"), line), ~java & root),
     )
     command_line = F.concat(F.lit("\n- "), "kind", F.lit(": `"), "command", F.lit("`"))
     commands = items(
@@ -244,13 +247,7 @@ def report_pieces(
         item("03", command_line, java),
         item("13", command_line, java),
     )
-    root_line = F.concat(F.lit("\n- "), "path")
-    roots = items(
-        corpus.survey.filter("is_gathered AND is_root_shell"),
-        item("05", root_line, java),
-        item("15", root_line, ~java),
-    )
-    out = pieces.unionByName(entries).unionByName(commands).unionByName(roots)
+    out = pieces.unionByName(listed_files).unionByName(commands)
     return out if api_patterns is None else out.unionByName(_api_pieces(profile, api_patterns))
 
 

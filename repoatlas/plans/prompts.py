@@ -13,8 +13,7 @@ from repoatlas.functions import content as fc
 from repoatlas.functions import text as ft
 from repoatlas.operators.aggregate import last_completed_step
 from repoatlas.operators.gather import GROUP_BYTES, with_part
-
-SLOT = ["repo", "step", "slot", "ord", "text"]
+from repoatlas.plans.profile import Corpus
 
 
 # -- M7 ---------------------------------------------------------------------
@@ -27,122 +26,133 @@ def default_steps(spark: SparkSession) -> DataFrame:
 
 # -- C10 --------------------------------------------------------------------
 
-def _slot(step: int, slot: str, order: Column | str, text: Column) -> list[Column]:
-    order = F.lit(order) if isinstance(order, str) else order
-    return [
-        "repo", F.lit(step).alias("step"), F.lit(slot).alias("slot"),
-        order.alias("ord"), text.alias("text"),
-    ]
+def _item(step: int, slot: str, text: Column, order: Column | None = None) -> Column:
+    """One slot item as a struct."""
+    return F.struct(
+        F.lit(step).alias("step"), F.lit(slot).alias("slot"),
+        (F.lit("") if order is None else order).alias("ord"), text.alias("text"),
+    )
 
 
-def _scalar_slots(rows: DataFrame, step: int, values: dict[str, Column]) -> DataFrame:
-    made = F.array(*[F.struct(F.lit(k).alias("slot"), v.alias("text")) for k, v in values.items()])
-    return rows.select("repo", F.explode(made).alias("s")).select(
-        "repo", F.lit(step).alias("step"), "s.slot", F.lit("").alias("ord"), "s.text"
+def _slots(rows: DataFrame, items: list[Column]) -> DataFrame:
+    """Slot rows of the items of each row; null items drop out."""
+    return rows.select("repo", F.explode(F.array_compact(F.array(*items))).alias("s")).select(
+        "repo", "s.*"
     )
 
 
-def _shared_values(step: int) -> dict[str, Column]:
-    system = F.coalesce("build_system", F.lit("unknown"))
-    return {
-        "name": F.col("name"),
-        "language": F.col("language"),
-        "is_spring_boot": ft.flag_sentence(F.col("is_spring_boot"), fv.SPRING_BOOT_SENTENCE),
+def _shared_items(step: int) -> list[Column]:
+    """Items every template may ask for."""
+    system = F.coalesce("type", F.lit("unknown"))
+    values = {
+        "name": F.col("repo"),
+        "language": F.col("primary_language"),
+        "is_spring_boot": ft.flag_sentence(F.col("has_spring_boot"), fv.SPRING_BOOT_SENTENCE),
         "build_system": system if step == 4 else F.concat(F.lit("Build System: "), system),
     }
+    return [_item(step, slot, text) for slot, text in values.items()]
+
 
+def profile_slots(profile: DataFrame) -> DataFrame:
+    """Slot items of all steps that come from the profile alone.
 
-def purpose_slots(base: DataFrame, profile: DataFrame, entries: DataFrame,
-                  report_pieces: DataFrame, context: DataFrame) -> DataFrame:
-    """Slot items of step 1. ``entries`` are the entry point rows of `repo_lists`."""
+    Among them are the titles of lists, for repos that have list items.
+    """
     keys = F.col("key_project_files")
-    key_text = F.when(
-        F.size(keys) > 0, F.concat(F.lit("## Key Components\n"), ft.bullet_lines(keys, ""))
-    ).otherwise(F.lit(""))
-    files = context.filter(F.col("field") == "key_files_content")
-    return (
-        _scalar_slots(base, 1, _shared_values(1))
-        .unionByName(profile.select(_slot(1, "key_components", "", key_text)))
-        .unionByName(_list_slot(base, "n_entry_points", entries, 1, "entry_points", "## Entry Points"))
-        .unionByName(
-            report_pieces.select(_slot(1, "formatted_analysis", F.col("ord"), F.col("text")))
-        )
-        .unionByName(
-            files.select(
-                _slot(1, "key_files_content", F.col("ord"),
-                      ft.fenced_block(F.col("path"), F.col("content")))
-            )
-        )
+    components = F.concat(F.lit("## Key Components\n"), ft.bullet_lines(keys, ""))
+
+    def title(step: int, slot: str, text: str, count: str) -> Column:
+        return F.when(F.col(count) > 0, _item(step, slot, F.lit(text)))
+
+    return _slots(
+        profile,
+        [
+            *[item for step in fv.STEP_NAMES for item in _shared_items(step)],
+            F.when(F.size(keys) > 0, _item(1, "key_components", components)),
+            title(1, "entry_points", "## Entry Points", "n_entry_points"),
+            _item(2, "run_commands", F.lit("### Build Commands\n")),
+            title(2, "shell_scripts", "## Shell Scripts", "n_shell_scripts"),
+            title(2, "root_shell_scripts", "## Root Shell Scripts", "n_root_shell_scripts"),
+        ],
     )
 
 
-def _list_slot(base: DataFrame, count: str, rows: DataFrame, step: int, slot: str, title: str):
-    """A title for repos with list items, then one line per item."""
-    head = base.filter(F.col(count) > 0).select(_slot(step, slot, "", F.lit(title)))
-    lines = rows.select(
-        _slot(step, slot, F.concat(F.lit("1"), "ord"), F.concat(F.lit("\n- "), "path"))
+def list_slots(corpus: Corpus) -> DataFrame:
+    """Slot items of the path lists of steps 1 and 2: one line per file, from one pass."""
+    entry = F.col("is_entry_point")
+    shell = F.col("is_gathered") & F.col("is_shell")
+    line, order = F.concat(F.lit("\n- "), "path"), F.concat(F.lit("1"), "ord")
+    return _slots(
+        corpus.chosen(corpus.survey.filter(entry | shell)),
+        [
+            F.when(entry, _item(1, "entry_points", line, order)),
+            F.when(shell, _item(2, "shell_scripts", line, order)),
+            F.when(
+                shell & F.col("is_root_shell"), _item(2, "root_shell_scripts", line, order)
+            ),
+        ],
     )
-    return head.unionByName(lines)
 
 
-def usage_slots(base: DataFrame, context: DataFrame) -> DataFrame:
-    """Slot items of step 2."""
-    def of(field: str) -> DataFrame:
-        return context.filter(F.col("field") == field)
+def piece_slots(report_pieces: DataFrame) -> DataFrame:
+    """The report as slot items of step 1."""
+    return _slots(
+        report_pieces, [_item(1, "formatted_analysis", F.col("text"), F.col("ord"))]
+    )
 
-    command = F.concat(F.lit("- "), "path", F.lit(": `"), "content", F.lit("`\n"))
-    return (
-        _scalar_slots(base, 2, _shared_values(2))
-        .unionByName(base.select(_slot(2, "run_commands", "", F.lit("### Build Commands\n"))))
-        .unionByName(
-            of("run_commands").select(
-                _slot(2, "run_commands", F.concat(F.lit("1"), "ord"), command)
-            )
-        )
-        .unionByName(
-            of("config_files").select(
-                _slot(2, "config_files", F.col("ord"),
-                      ft.fenced_block(F.col("path"), F.col("content")))
-            )
-        )
-        .unionByName(
-            _list_slot(base, "n_shell_scripts", of("shell_scripts"), 2, "shell_scripts",
-                       "## Shell Scripts")
-        )
-        .unionByName(
-            _list_slot(base, "n_root_shell_scripts", of("root_shell_scripts"), 2,
-                       "root_shell_scripts", "## Root Shell Scripts")
-        )
+
+def command_slots(commands: DataFrame) -> DataFrame:
+    """Slot items of the commands of step 2."""
+    line = F.concat(F.lit("- "), "kind", F.lit(": `"), "command", F.lit("`\n"))
+    return _slots(commands, [_item(2, "run_commands", line, F.concat(F.lit("1"), "ord"))])
+
+
+def content_slots(contents: DataFrame) -> DataFrame:
+    """File contents as slot items: key files of step 1, configuration of step 2."""
+    key = (F.col("step") == 1) & (F.col("field") == "key_files_content")
+    config = (F.col("step") == 2) & (F.col("field") == "config_files")
+    block = ft.fenced_block(F.col("path"), F.col("content"))
+    return contents.filter(key | config).select(
+        "repo", "step", F.col("field").alias("slot"), "ord", block.alias("text")
     )
 
 
-def draft_slots(base: DataFrame, context: DataFrame) -> DataFrame:
-    """Slot items of step 3; a missing earlier output gets a default text."""
-    def earlier(field: str, default: str) -> DataFrame:
-        found = context.filter(F.col("field") == field).select("repo", "content")
-        return base.join(found, "repo", "left").select(
-            _slot(3, field, "", F.coalesce("content", F.lit(default)))
+def draft_slots(profile: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Outputs of steps 1 and 2 as slot items of step 3, or a default text."""
+    defaults = {"project_purpose": fv.NO_PURPOSE, "usage_instructions": fv.NO_USAGE}
+    wanted = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(slot).alias("field"), F.lit(text).alias("default"))
+                for slot, text in defaults.items()
+            ]
         )
-
+    )
     return (
-        _scalar_slots(base, 3, _shared_values(3))
-        .unionByName(earlier("project_purpose", fv.NO_PURPOSE))
-        .unionByName(earlier("usage_instructions", fv.NO_USAGE))
+        profile.select("repo", wanted.alias("w"))
+        .select("repo", "w.*")
+        .join(earlier.select("repo", "field", "content"), ["repo", "field"], "left")
+        .select(
+            "repo", F.lit(3).alias("step"), F.col("field").alias("slot"), F.lit("").alias("ord"),
+            F.coalesce("content", "default").alias("text"),
+        )
     )
 
 
-def optimize_slots(base: DataFrame, context: DataFrame) -> DataFrame:
-    """Slot items of step 4."""
-    values = {
-        **_shared_values(4),
-        "readme_recommendation": F.col("readme_recommendation"),
-        "readme_evaluation": fc.truncate(
-            F.col("readme_evaluation"), fv.EVALUATION_CHARS, fv.EVALUATION_KEPT, "..."
-        ),
-        "original_readme": F.col("original_readme"),
-        "generated_readme": F.col("generated_readme"),
-    }
-    return _scalar_slots(base.join(context, "repo"), 4, values)
+def optimize_slots(context: DataFrame) -> DataFrame:
+    """Slot items of step 4 that do not come from the profile."""
+    evaluation = fc.truncate(
+        F.col("readme_evaluation"), fv.EVALUATION_CHARS, fv.EVALUATION_KEPT, "..."
+    )
+    return _slots(
+        context,
+        [
+            _item(4, "readme_recommendation", F.col("readme_recommendation")),
+            _item(4, "readme_evaluation", evaluation),
+            _item(4, "original_readme", F.col("original_readme")),
+            _item(4, "generated_readme", F.col("generated_readme")),
+        ],
+    )
 
 
 def _fill(template: Column, value: Callable[[str], Column]) -> Column:
@@ -161,7 +171,8 @@ def _fill(template: Column, value: Callable[[str], Column]) -> Column:
 def build_prompts(
     slots: DataFrame, steps: DataFrame, max_bytes: int = GROUP_BYTES
 ) -> DataFrame:
-    """``repo, step, part, prompt`` from slot items and the step templates.
+    """``repo, step, part, prompt`` from slot items ``repo, step, slot, ord, text`` and the
+    step templates.
 
     The items of a prompt are put together once, and the template of its step is filled.
     A prompt over ``max_bytes`` is not put into one value: it comes as its pieces, in order
