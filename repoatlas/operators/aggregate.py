@@ -220,7 +220,14 @@ def group_api(api_patterns: DataFrame, max_bytes: int = GROUP_BYTES) -> DataFram
 
 # -- A14 --------------------------------------------------------------------
 
+def is_command_sign() -> Column:
+    """Scripts that are commands, and the build file that may name a main class."""
+    script = fp.script_command().isNotNull() & (F.col("analyzer") == "java")
+    return F.col("is_gathered") & (script | (F.col("path") == "build.gradle"))
+
+
 def command_aggregates() -> list[Column]:
+    """To be taken over the files with `is_command_sign`, or any more of the same repos."""
     g = F.col("is_gathered")
     kind = F.when(g & (F.col("analyzer") == "java"), fp.script_command()["kind"])
     run = F.min(F.when(kind == "run", F.col("ord")))

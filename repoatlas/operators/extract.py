@@ -146,31 +146,38 @@ def find_commands(survey: DataFrame) -> DataFrame:
 
 # -- A8 ---------------------------------------------------------------------
 
-def tool_aggregates() -> dict[str, Column]:
-    """Per tool, an aggregate with the place in the repo where it is first seen."""
+def _tool_signs() -> dict[str, list[tuple[Column, str]]]:
+    """Per tool, the signs on one file, with a digit for the order they are looked for."""
     p = F.col("path")
     gradle = p.endswith(".gradle")
-    # the digit is the order of the tests on one file
-    tests = {
-        "docker": [(fp.contains_one(p, fv.TOOL_NAMES["docker"]), "0")],
-        "spring-boot": [
-            (fp.contains_one(p, fv.TOOL_NAMES["spring-boot"]), "1"),
-            ((p.endswith(".java") & F.col("has_boot")) | (gradle & F.col("has_boot_plugin")), "3"),
-        ],
-        "lombok": [
-            (fp.contains_one(p, fv.TOOL_NAMES["lombok"]), "2"),
-            (gradle & F.col("has_lombok"), "4"),
-        ],
+    boot = (p.endswith(".java") & F.col("has_boot")) | (gradle & F.col("has_boot_plugin"))
+    named = {tool: fp.contains_one(p, names) for tool, names in fv.TOOL_NAMES.items()}
+    return {
+        "docker": [(named["docker"], "0")],
+        "spring-boot": [(named["spring-boot"], "1"), (boot, "3")],
+        "lombok": [(named["lombok"], "2"), (gradle & F.col("has_lombok"), "4")],
     }
-    counted = F.col("is_gathered") & (F.col("analyzer") == "java")
 
-    def first_seen(rules) -> Column:
+
+def has_tool_sign() -> Column:
+    """Files that show a tool, in repos whose tools are looked for."""
+    signs = [condition for signs in _tool_signs().values() for condition, _ in signs]
+    return F.col("is_gathered") & (F.col("analyzer") == "java") & fp.any_of(signs)
+
+
+def tool_aggregates() -> dict[str, Column]:
+    """Per tool, an aggregate with the place in the repo where it is first seen.
+
+    To be taken over the files with `has_tool_sign`, or any more of the same repos.
+    """
+
+    def first_seen(signs) -> Column:
         out = F
-        for condition, digit in rules:
+        for condition, digit in signs:
             out = out.when(condition, F.concat("ord", F.lit("\x01" + digit)))
-        return F.min(F.when(counted, out))
+        return F.min(F.when(has_tool_sign(), out))
 
-    return {tool: first_seen(rules) for tool, rules in tests.items()}
+    return {tool: first_seen(signs) for tool, signs in _tool_signs().items()}
 
 
 def tools_in_order(first_seen: dict[str, Column]) -> Column:
@@ -195,7 +202,11 @@ def custom_tools(survey: DataFrame) -> DataFrame:
 
     One row per repo and tool, from one aggregate; `first_ord` orders a repo's tools.
     """
-    seen = survey.groupBy(*REPO).agg(tools_in_order(tool_aggregates()).alias("tools"))
+    seen = (
+        survey.filter(has_tool_sign())
+        .groupBy(*REPO)
+        .agg(tools_in_order(tool_aggregates()).alias("tools"))
+    )
     return seen.select(*REPO, F.explode("tools").alias("t")).select(
         *REPO, "t.tool", "t.first_ord"
     )

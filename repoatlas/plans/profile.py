@@ -58,17 +58,21 @@ def profile_repos(corpus: Corpus) -> DataFrame:
     `aggregate.repo_lists`.
     """
     gathered = F.col("is_gathered")
-    keys = F.array_sort(
-        F.collect_list(F.when(gathered & F.col("is_key_file"), F.struct("ord", "path")))
-    )
-    facts = corpus.survey.groupBy(*REPO).agg(
-        *agg.count_aggregates(),
-        *agg.build_aggregates(),
-        *agg.command_aggregates(),
-        F.transform(keys, lambda x: x.path).alias("key_project_files"),
-        F.transform(
-            extract.tools_in_order(extract.tool_aggregates()), lambda t: t.tool
-        ).alias("custom_tools"),
+    facts = corpus.survey.groupBy(*REPO).agg(*agg.count_aggregates(), *agg.build_aggregates())
+    # names and first places are strings, which hash aggregates cannot keep: only the few
+    # files that show something take part
+    is_key = gathered & F.col("is_key_file")
+    keys = F.array_sort(F.collect_list(F.when(is_key, F.struct("ord", "path"))))
+    signs = (
+        corpus.survey.filter(is_key | extract.has_tool_sign() | agg.is_command_sign())
+        .groupBy(*REPO)
+        .agg(
+            *agg.command_aggregates(),
+            F.transform(keys, lambda x: x.path).alias("key_project_files"),
+            F.transform(
+                extract.tools_in_order(extract.tool_aggregates()), lambda t: t.tool
+            ).alias("custom_tools"),
+        )
     )
     stats = agg.language_stats(corpus.survey)
     counts = F.array_sort(
@@ -92,6 +96,7 @@ def profile_repos(corpus: Corpus) -> DataFrame:
     )
     rows = (
         corpus.analyzers.join(facts, REPO, "left")
+        .join(signs, REPO, "left")
         .join(languages, REPO, "left")
         .join(agg.primary_language(stats), REPO, "left")
         .join(top, REPO, "left")
