@@ -298,7 +298,7 @@ def _tables() -> dict[str, str]:
         "api": (
             "SELECT 'src' || CAST(page_id % 20 AS VARCHAR) || '_' || CAST(page_id // 20 % 4 AS VARCHAR) AS repo, page_id, "
             "CASE WHEN page_id % 4 = 3 THEN 'Other' WHEN page_id % 3 = 0 THEN 'Page' ELSE 'Api' END AS type, "
-            "CASE page_id % 4 WHEN 0 THEN '- GET ' || url WHEN 1 THEN '- ' || url ELSE '- Repository: ' || url END AS line FROM pages"
+            "CASE page_id % 4 WHEN 0 THEN '- GET ' || url WHEN 1 THEN '- ' || url ELSE '- Repository: ' || url END AS line, url FROM pages"
         ),
         "gradle_blocks": (
             "SELECT repo, path, unnest(bs) AS body, generate_subscripts(bs, 1) AS block FROM ("
@@ -411,6 +411,7 @@ def _tables() -> dict[str, str]:
             "SELECT repo, type, min(page_id) AS first, string_agg('\n' || line, '' ORDER BY page_id) AS rows FROM api GROUP BY repo, type) a "
             "WHERE a.repo = p.repo) AS apis FROM profiles p"
         ),
+        "few": _few(),
         "reports": _reports(),
         "readmes": (
             f"SELECT repo, content FROM ranked WHERE {ORIGINAL} "
@@ -480,9 +481,46 @@ def _reports() -> str:
             "coalesce('\n\n## Dependencies\n' || depends, '') ELSE coalesce('\n\n## Root Shell Scripts\n' || roots, '') END"
         )
 
+    quick = (
+        f"{head} || CASE analyzer WHEN 'java' THEN {java('apis')} WHEN 'python' THEN {q(fv.PYTHON_ANALYSIS)} "
+        f"ELSE {q(fv.JAVASCRIPT_ANALYSIS)} END || '\n\n## File Breakdown' || "
+        "CASE WHEN languages_shown <> '' THEN '\n' || languages_shown ELSE '' END || "
+        "CASE WHEN analyzer = 'java' THEN '\n\n## Quick Start' || coalesce('\n### Entry Points\n' || few_entries, '') || "
+        "coalesce('\n\n### Build Commands\n' || few_cmds, '') || coalesce('\n\n## Dependencies\n' || few_deps, '') || "
+        "coalesce('\n\n## API Endpoints\n' || few_apis, '') "
+        "ELSE coalesce('\n\n## Entry Points\n' || entries, '') || coalesce('\n\n## Root Shell Scripts\n' || roots, '') END"
+    )
+    return (
+        f"SELECT repo, {text('apis')} AS with_api, {text('CAST(NULL AS VARCHAR)')} AS text, {quick} AS quick "
+        "FROM profiles JOIN lines USING (repo) LEFT JOIN few USING (repo)"
+    )
+
+
+def _few() -> str:
+    """Short lists of the quick start form."""
+
+    def capped(source: str, n: int, what: str) -> str:
+        return (
+            f"(SELECT string_agg('- ' || line, '\n' ORDER BY rn) FILTER (WHERE rn <= {n}) || "
+            f"CASE WHEN count(*) > {n} THEN '\n- ... and ' || (count(*) - {n}) || ' more {what}' ELSE '' END FROM ({source}) s WHERE s.repo = p.repo)"
+        )
+
+    entries = "SELECT repo, path AS line, row_number() OVER (PARTITION BY repo ORDER BY ord) AS rn FROM survey WHERE is_entry"
+    apis = (
+        "SELECT repo, CASE page_id % 4 WHEN 0 THEN 'GET ' || url WHEN 1 THEN 'Controller: ' || url ELSE 'Repository: ' || url END AS line, "
+        "row_number() OVER (PARTITION BY repo ORDER BY page_id) AS rn FROM api"
+    )
+    commands = (
+        "(SELECT string_agg(shown, '\n' ORDER BY first) FROM (SELECT repo, kind, min(pos) AS first, "
+        f"string_agg('- ' || kind || ': `' || command || '`', '\n' ORDER BY pos) FILTER (WHERE k <= {fv.QUICK_START_COMMANDS}) || "
+        f"CASE WHEN count(*) > {fv.QUICK_START_COMMANDS} THEN '\n  ... and ' || (count(*) - {fv.QUICK_START_COMMANDS}) || ' more ' || kind || ' commands' ELSE '' END AS shown "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY repo, kind ORDER BY pos) AS k FROM commands WHERE repo IN (SELECT repo FROM scripts)) "
+        "GROUP BY repo, kind) c WHERE c.repo = p.repo)"
+    )
     return (
-        f"SELECT repo, {text('apis')} AS with_api, {text('CAST(NULL AS VARCHAR)')} AS text "
-        "FROM profiles JOIN lines USING (repo)"
+        f"SELECT p.repo, {capped(entries, fv.QUICK_START_ENTRY_POINTS, 'entry points')} AS few_entries, {commands} AS few_cmds, "
+        f"{capped('SELECT repo, text AS line, rn FROM deps', fv.QUICK_START_DEPENDENCIES, 'dependencies')} AS few_deps, "
+        f"{capped(apis, fv.QUICK_START_API, 'endpoints/controllers')} AS few_apis FROM profiles p"
     )
 
 
@@ -848,6 +886,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT * EXCLUDE (other_keys, config_keys, example_keys, tools_shown, languages_shown) FROM profiles"
         ),
         "c2_profile_report": sql("SELECT repo, with_api AS text FROM reports"),
+        "c2_quick_start_report": sql("SELECT repo, quick AS text FROM reports"),
         "c3_purpose_context": sql(
             f"{purpose} UNION ALL SELECT repo, 1, 'formatted_analysis', '', md5(text) FROM reports"
         ),

@@ -722,6 +722,16 @@ def c2_profile_report(spark, sf_dir):
     return report.select("repo", "text")
 
 
+@query
+def c2_quick_start_report(spark, sf_dir):
+    run = job.start_run(views.files(spark, sf_dir))
+    report = profile.profile_report(
+        run.corpus, run.profile, run.dependencies, views.api_patterns(spark, sf_dir),
+        form="quick_start",
+    )
+    return report.select("repo", "text")
+
+
 @query
 def c3_purpose_context(spark, sf_dir):
     run = job.start_run(views.files(spark, sf_dir))

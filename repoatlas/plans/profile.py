@@ -128,15 +128,88 @@ def _section(title: str, present: Column) -> Column:
     return F.when(present, F.lit("\n\n" + title)).otherwise(F.lit(""))
 
 
+def _quick_start(
+    corpus: Corpus, profile: DataFrame, dependencies: DataFrame, api_patterns: DataFrame | None
+) -> DataFrame:
+    """``repo, quick``: the short lists of the quick start form, all of bounded length."""
+
+    def section(number: int, rows: DataFrame, n: int, fmt: str, by: list[str], line: Column):
+        return cap_rows(rows, n, fmt, by).select(
+            "repo", F.lit(number).alias("section"),
+            (F.col("lead") if "lead" in by else F.lit("")).alias("lead"), "position",
+            line.alias("line"),
+        )
+
+    entries = corpus.chosen(corpus.survey.filter("is_entry_point")).select(
+        "repo", F.col("path").alias("line"), "ord"
+    )
+    scripts = corpus.chosen(
+        agg.script_commands(profile, extract.find_commands(corpus.survey))
+    ).select(
+        "repo", "kind", F.substring("ord", 1, 1).alias("lead"), "ord",
+        F.concat("kind", F.lit(": `"), "command", F.lit("`")).alias("line"),
+    )
+    shown = F.col("position") <= fv.QUICK_START_COMMANDS
+    bullet = ft.bullet(F.col("line"))
+    lines = (
+        section(1, entries, fv.QUICK_START_ENTRY_POINTS, "... and %d more entry points",
+                ["repo"], bullet)
+        .unionByName(
+            section(
+                2, scripts, fv.QUICK_START_COMMANDS, "  ... and %d more ",
+                ["repo", "kind", "lead"],
+                F.when(shown, bullet).otherwise(F.concat("line", "kind", F.lit(" commands"))),
+            )
+        )
+        .unionByName(
+            section(3, dependencies.select("repo", F.col("text").alias("line"), "ord"),
+                    fv.QUICK_START_DEPENDENCIES, "... and %d more dependencies", ["repo"], bullet)
+        )
+    )
+    if api_patterns is not None:
+        endpoint = F.concat("method", F.lit(" "), "endpoint")
+        named = F.concat(F.lit("Controller: "), "name")
+        repository = F.concat(F.lit("Repository: "), "repository")
+        patterns = api_patterns.select(
+            "repo", F.coalesce(endpoint, named, repository).alias("line"), "ord"
+        )
+        lines = lines.unionByName(
+            section(4, patterns, fv.QUICK_START_API, "... and %d more endpoints/controllers",
+                    ["repo"], bullet)
+        )
+    items = F.col("items")
+
+    def block(number: int, title: str) -> Column:
+        own = F.transform(F.filter(items, lambda x: x.section == number), lambda x: x.line)
+        return F.when(F.size(own) > 0, F.concat(F.lit(title), F.array_join(own, "\n"))).otherwise(
+            F.lit("")
+        )
+
+    text = F.concat(
+        block(1, "\n### Entry Points\n"), block(2, "\n\n### Build Commands\n"),
+        block(3, "\n\n## Dependencies\n"), block(4, "\n\n## API Endpoints\n"),
+    )
+    order = F.struct("section", "lead", "position", "line")
+    return (
+        lines.groupBy("repo")
+        .agg(F.array_sort(F.collect_list(order)).alias("items"))
+        .select("repo", text.alias("quick"))
+    )
+
+
 def report_pieces(
     corpus: Corpus, profile: DataFrame, dependencies: DataFrame,
-    api_patterns: DataFrame | None = None,
+    api_patterns: DataFrame | None = None, form: str = "full",
 ) -> DataFrame:
     """``repo, ord, text``: the report as pieces, which joined in order are the report.
 
     Fixed parts come from the profile row of the repo, list items from rows: no list is
-    put into one value here.
+    put into one value here.  ``form='quick_start'`` ends the report of a Java repo with
+    short lists under a quick start heading instead of the full ones.
     """
+    if form not in ("full", "quick_start"):
+        raise ValueError(f"form must be 'full' or 'quick_start', not {form!r}")
+    quick = form == "quick_start"
     java = F.col("analyzer") == "java"
     has_commands = java & F.col("has_scripts")
     has_roots, has_entries = F.col("n_root_shell_scripts") > 0, F.col("n_entry_points") > 0
@@ -195,10 +268,11 @@ def report_pieces(
     breakdown = F.concat(
         F.lit("\n\n## File Breakdown"),
         F.when(F.size("language_stats") > 0, F.lit("\n")).otherwise(F.lit("")), languages,
-        _section("## Entry Points", has_entries),
+        _section("## Entry Points", has_entries & ~java if quick else has_entries),
     )
     listed = F.coalesce("dependencies", F.lit(""))
-    end = F.concat(
+    end = F.concat(F.lit("\n\n## Quick Start"), F.coalesce("quick", F.lit("")))
+    end = F.when(java, end).otherwise(F.lit("")) if quick else F.concat(
         _section("## Dependencies\n", java & (listed != "")),
         F.when(java, listed).otherwise(F.lit("")),
     )
@@ -213,14 +287,17 @@ def report_pieces(
             piece("02", middle, java),
             piece("04", late, java),
             piece("10", breakdown),
-            piece("12", _section("## Build Commands", has_commands), java),
+            piece("12", _section("## Build Commands", has_commands), java & F.lit(not quick)),
             piece("14", _section("## Root Shell Scripts", has_roots), ~java),
             piece("20", end),
         )
     )
-    dependency_text = _dependency_block(dependencies)
+    lists = (
+        _quick_start(corpus, profile, dependencies, api_patterns)
+        if quick else _dependency_block(dependencies)
+    )
     pieces = (
-        profile.join(dependency_text, "repo", "left")
+        profile.join(lists, "repo", "left")
         .select("repo", F.explode(fixed).alias("p"))
         .select("repo", "p.ord", "p.text")
     )
@@ -242,7 +319,7 @@ def report_pieces(
     listed_files = items(
         corpus.survey.filter(entry | root),
         item("01", F.concat(line, F.lit("\n")), java & entry),
-        item("11", F.concat(F.lit("\n"), line), entry),
+        item("11", F.concat(F.lit("\n"), line), entry & ~java if quick else entry),
         item("05", F.concat(F.lit("\n"), line), java & root),
         item("15", F.concat(F.lit("\n"), line), ~java & root),
     )
@@ -250,7 +327,7 @@ def report_pieces(
     commands = items(
         agg.script_commands(profile, extract.find_commands(corpus.survey)),
         item("03", command_line, java),
-        item("13", command_line, java),
+        item("13", command_line, java & F.lit(not quick)),
     )
     out = pieces.unionByName(listed_files).unionByName(commands)
     return out if api_patterns is None else out.unionByName(_api_pieces(profile, api_patterns))
@@ -281,8 +358,8 @@ def _api_pieces(profile: DataFrame, api_patterns: DataFrame) -> DataFrame:
 
 def profile_report(
     corpus: Corpus, profile: DataFrame, dependencies: DataFrame,
-    api_patterns: DataFrame | None = None, max_bytes: int = GROUP_BYTES,
+    api_patterns: DataFrame | None = None, form: str = "full", max_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """``repo, part, text``: the report of each repo, in one part unless it is huge."""
-    pieces = save_table(report_pieces(corpus, profile, dependencies, api_patterns))
+    pieces = save_table(report_pieces(corpus, profile, dependencies, api_patterns, form))
     return gather_text(pieces, ["repo"], max_bytes=max_bytes)
