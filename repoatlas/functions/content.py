@@ -112,10 +112,15 @@ def extract_reasoning(text: Column) -> Column:
 
     A text without comments is left exactly as it is.
     """
-    found = F.regexp_extract_all(text, F.lit(fv.HTML_COMMENT), F.lit(1))
-    without = strip(fold_newlines(F.regexp_replace(text, fv.HTML_COMMENT, "")))
+    # no comment ends after the last closing mark: what follows is not searched again from
+    # every opening mark in it
+    back = F.instr(F.reverse(text), ">--")
+    cut = F.when(back > 0, F.length(text) - back + 1).otherwise(F.lit(0))
+    head, tail = F.left(text, cut), F.substr(text, cut + 1)
+    found = F.regexp_extract_all(head, F.lit(fv.HTML_COMMENT), F.lit(1))
+    without = F.concat(F.regexp_replace(head, fv.HTML_COMMENT, ""), tail)
     return F.struct(
-        F.when(F.size(found) > 0, without).otherwise(text).alias("text"),
+        F.when(F.size(found) > 0, strip(fold_newlines(without))).otherwise(text).alias("text"),
         strip(F.array_join(found, "\n\n")).alias("reasoning"),
     )
 

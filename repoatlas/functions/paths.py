@@ -50,7 +50,11 @@ def directory(path: Column | str | None = None) -> Column:
 
 def suffix(path: Column | str | None = None) -> Column:
     """Lower-case last suffix with its dot; empty for ``.env``, ``foo.`` or no dot."""
-    return F.regexp_extract(F.lower(_path(path)), r"[^/]+(\.[^./]+)$", 1)
+    name = file_name(F.lower(_path(path)))
+    last = F.substring_index(name, ".", -1)
+    return F.when(
+        (last != "") & (F.length(name) > F.length(last) + 1), F.concat(F.lit("."), last)
+    ).otherwise(F.lit(""))
 
 
 def relative_path(full: Column, root: Column) -> Column:

@@ -93,10 +93,10 @@ def maven_dependencies(files: DataFrame) -> DataFrame:
     matches = files.filter(F.col("path").endswith("pom.xml")).select(
         "repo", "path",
         F.posexplode(
-            F.regexp_extract_all("content", F.lit(fv.MAVEN_DEPENDENCY), F.lit(0))
+            F.regexp_extract_all("content", F.lit(fv.MAVEN_DEPENDENCY_ONCE), F.lit(0))
         ).alias("position", "m"),
     )
-    group = [fc.strip(F.regexp_extract("m", fv.MAVEN_DEPENDENCY, g)) for g in (1, 2, 3)]
+    group = [fc.strip(F.regexp_extract("m", fv.MAVEN_DEPENDENCY_ONCE, g)) for g in (1, 2, 3)]
     return matches.select(
         "repo", "path", F.lit("maven").alias("tool"),
         F.lit("").alias("config"),

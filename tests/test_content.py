@@ -1,3 +1,5 @@
+import time
+
 from repoatlas.functions import content as fc
 from repoatlas.functions import text as ft
 from pyspark.sql import functions as F
@@ -42,15 +44,27 @@ def test_extract_reasoning(spark):
         "  no comment\n\n\n\nhere ",
         "# T\n\n\n<!-- why -->\n\n\nend\n",
         "<!--a\nb--> x <!-- c -->",
+        "<!-- é --> open <!-- never\n\n\n\nclosed",
+        "<!-- never closed",
+        "only --> closed ",
     ]
     made = evaluate(spark, texts, fc.extract_reasoning)
     assert [tuple(m) for m in made] == [
         ("  no comment\n\n\n\nhere ", ""),
         ("# T\n\nend", "why"),
         ("x", "a\nb\n\nc"),
+        ("open <!-- never\n\nclosed", "é"),
+        ("<!-- never closed", ""),
+        ("only --> closed ", ""),
     ]
 
 
+def test_many_open_comments_are_quick(spark):
+    start = time.monotonic()
+    made = evaluate(spark, ["<!-- x -->" + "<!-- " * 40000], fc.extract_reasoning)
+    assert made[0].reasoning == "x" and time.monotonic() - start < 20
+
+
 def test_fold_newlines(spark):
     assert evaluate(spark, ["a\n\n\n\nb\n\nc\nd"], fc.fold_newlines) == ["a\n\nb\n\nc\nd"]
 

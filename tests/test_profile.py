@@ -1,10 +1,13 @@
 """Small repos with results written out by hand."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from repoatlas import fixed_values as fv
 from repoatlas.operators import aggregate as agg
 from repoatlas.operators import extract
 from repoatlas.operators.classify import classify, select_analyzer, survey_files
@@ -293,3 +296,60 @@ def test_finalize(spark):
     outputs = spark.createDataFrame([("a", 4, "# T <!-- r -->"), ("a", 3, "d")], "repo string, step int, output string")
     row = prompts.finalize(outputs, "2024-01-31", "m").first()
     assert row.readme.startswith("# T\n\n######") and row.reasoning == "r"
+
+
+def _pom(rng, n: int) -> str:
+    parts = []
+    for i in range(n):
+        tags = [f"<groupId>g{i}</groupId>", f"<artifactId>a{i}</artifactId>", f"<version>{i}</version>"]
+        kept = [t for t in tags if rng.random() < 0.8]
+        rng.shuffle(kept)
+        parts.append("<dependency>\n" + "\n".join(kept) + rng.choice(["</dependency>", "", "</dependency>"]))
+    return "\n".join(parts)
+
+
+def test_maven_pattern_takes_the_first_places(spark):
+    rng = random.Random(5)
+    poms = {f"d{i}/pom.xml": _pom(rng, 6) for i in range(60)}
+    made = extract.maven_dependencies(make_files(spark, {"r": poms})).groupBy("path").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x.text).alias("t")
+    )
+    expected = {}
+    for path, text in poms.items():
+        found = [":".join(m) for m in re.findall(fv.MAVEN_DEPENDENCY, text)]
+        if found:
+            expected[path] = found
+    assert {r.path: r.t for r in made.collect()} == expected
+
+
+def test_dependencies_without_versions_are_quick(spark):
+    entry = "<dependency><groupId>g</groupId><artifactId>a</artifactId></dependency>\n"
+    files = make_files(spark, {"r": {"pom.xml": "<version>1</version>" + entry * 1200}})
+    start = time.monotonic()
+    assert extract.maven_dependencies(files).count() == 0
+    assert time.monotonic() - start < 20
+
+
+def test_quick_start_report(spark):
+    files = make_files(
+        spark,
+        {
+            "r": {
+                **{f"src/main/java/M{i}.java": MAIN for i in range(5)},
+                **{f"run{i}.sh": "" for i in range(5)},
+                "build.gradle": "dependencies {" + "".join(f" api 'g:n{i:02d}:1'\n" for i in range(12)) + "}",
+            }
+        },
+    )
+    run = job.start_run(files, "java")
+    report = profile.profile_report(run.corpus, run.profile, run.dependencies, form="quick_start")
+    entries = "".join(f"- src/main/java/M{i}.java\n" for i in range(3))
+    commands = "".join(f"- run: `./run{i}.sh`\n" for i in range(3))
+    dependencies = "".join(f"- api 'g:n{i:02d}:1'\n" for i in range(10))
+    assert report.first().text.endswith(
+        "\n\n## Quick Start\n### Entry Points\n" + entries + "- ... and 2 more entry points\n\n"
+        "### Build Commands\n" + commands + "  ... and 2 more run commands\n\n"
+        "## Dependencies\n" + dependencies + "- ... and 2 more dependencies"
+    )
+    with pytest.raises(ValueError):
+        profile.report_pieces(run.corpus, run.profile, run.dependencies, form="other")
