@@ -7,6 +7,7 @@ regexes wherever the rule allows it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -27,11 +28,26 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(or_, conditions) if conditions else F.lit(False)
 
 
+# From this many words on, one regex takes the place of a chain of string tests: the method
+# Spark generates for a scan must stay under the size the JVM still compiles (8000 bytes).
+REGEX_FROM = 5
+
+
 def contains_one(text: Column, words: Iterable[str]) -> Column:
+    """True if one of the words is in the text; words that hold another one are not tested."""
+    words = list(dict.fromkeys(words))
+    words = [w for w in words if not any(o in w for o in words if o != w)]
+    if len(words) >= REGEX_FROM:
+        return text.rlike("|".join(map(re.escape, words)))
     return any_of(text.contains(w) for w in words)
 
 
 def ends_with_one(text: Column, suffixes: Iterable[str]) -> Column:
+    """True if the text ends with one of the suffixes; the longer of two alike is not tested."""
+    suffixes = list(dict.fromkeys(suffixes))
+    suffixes = [s for s in suffixes if not any(s.endswith(o) for o in suffixes if o != s)]
+    if len(suffixes) >= REGEX_FROM:
+        return text.rlike("(?:" + "|".join(map(re.escape, suffixes)) + r")\z")
     return any_of(text.endswith(s) for s in suffixes)
 
 

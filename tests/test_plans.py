@@ -87,3 +87,14 @@ def test_results_do_not_depend_on_partitions(spark, files):
         assert result("1", 1) == result("8", 7)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_generated_methods_stay_compilable(spark, files):
+    """The JVM never compiles methods over 8000 bytes of code."""
+    debug = getattr(
+        getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$"
+    )
+    for df in (survey_files(files), survey_files(files, "java")):
+        text = debug.codegenString(df._jdf.queryExecution().executedPlan())
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+        assert sizes and max(sizes) < 8000
