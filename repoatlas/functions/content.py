@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,17 +114,27 @@ def extract_reasoning(text: Column) -> Column:
     """
     # no comment ends after the last closing mark: what follows is not searched again from
     # every opening mark in it
-    back = F.instr(F.reverse(text), ">--")
-    cut = F.when(back > 0, F.length(text) - back + 1).otherwise(F.lit(0))
-    head, tail = F.left(text, cut), F.substr(text, cut + 1)
-    found = F.regexp_extract_all(head, F.lit(fv.HTML_COMMENT), F.lit(1))
-    without = F.concat(F.regexp_replace(head, fv.HTML_COMMENT, ""), tail)
-    return F.struct(
-        F.when(F.size(found) > 0, strip(fold_newlines(without))).otherwise(text).alias("text"),
-        strip(F.array_join(found, "\n\n")).alias("reasoning"),
+    tail = F.when(text.contains("-->"), F.substring_index(text, "-->", -1)).otherwise(text)
+    head = F.left(text, F.length(text) - F.length(tail))
+
+    def split(h: Column, found: Column) -> Column:
+        without = F.concat(F.regexp_replace(h, fv.HTML_COMMENT, ""), tail)
+        return F.struct(
+            F.when(F.size(found) > 0, strip(fold_newlines(without))).otherwise(text).alias("text"),
+            strip(F.array_join(found, "\n\n")).alias("reasoning"),
+        )
+
+    comments = F.lit(fv.HTML_COMMENT)
+    return _with(
+        head, lambda h: _with(F.regexp_extract_all(h, comments, F.lit(1)), lambda f: split(h, f))
     )
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_fence(text: Column) -> Column:
     """Inner text of a fenced document, up to its last fence; others unchanged."""
     fence = "```"
