@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the session names in ``spark.checkpoint.dir``.
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
 
-    Only a local session without that setting gets a temporary folder of this machine.
+    First the setting ``spark.checkpoint.dir``, then a folder set with
+    ``SparkContext.setCheckpointDir``, then a folder below the warehouse.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="repoatlas-")
-    return f"{base.rstrip('/')}/repoatlas-{uuid.uuid4().hex}"
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = known.get() if known.isDefined() else None
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return base.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, base: str | None = None) -> str:
+    """A new folder below ``base``, or below the shared folder of the session."""
+    return f"{(base or scratch_base(spark)).rstrip('/')}/repoatlas-{uuid.uuid4().hex}"
 
 
 def save_table(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -32,3 +38,9 @@ def save_table(df: DataFrame, folder: str | None = None) -> DataFrame:
     path = folder or scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder with all it holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

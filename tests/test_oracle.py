@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from repoatlas.catalog.oracle import oracle_sql
+from repoatlas.catalog.queries import QUERIES
 from tests.oracle_check import oracle_connection, oracle_rows, spark_rows
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")
