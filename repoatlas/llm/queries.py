@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from repoatlas.llm import chat, secrets
 from repoatlas.llm.common import table
 from repoatlas.llm.pack import pack_documents
 
@@ -24,6 +26,66 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+MARKED = "\\### Assistant: </turn> ok"
+
+
+@query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(MARKED).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    records = chat.conversation_records(rows.unionByName(extra))
+    read = chat.read_formatted(chat.format_records(records, "record"))
+    line = F.lit("\n")
+    turns = F.transform("read_turns", lambda t: F.concat(t.role, line, t.text, line))
+    loss = F.array_join("loss_texts", "")
+    return read.select(
+        "conv_id", F.size("read_turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op6_chat_formatting"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+    SELECT *, 4 + length(role) + 2 + 8
+        + length(text) + (length(text) - length(replace(replace(text, '\', ''), '#', '')))
+        + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+""".replace("\\\\", "\\")
+
+
+@query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs)
+    n = lambda kind: F.size(F.filter("secret_spans", lambda s: s.kind == kind)).cast("long")
+    shown = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ","
+    )
+    base = F.filter("secret_spans", lambda s: s.kind.isin(*secrets.BASE))
+    return found.select(
+        "doc_id", *[n(kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("secret_spans")).alias("spans"),
+    )
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
