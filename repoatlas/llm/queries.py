@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoatlas.llm import chat, language, secrets, warc
+from repoatlas.llm.ann import nearest_neighbours
 from repoatlas.llm.common import table
+from repoatlas.llm.embedding_dedup import near_duplicates
 from repoatlas.llm.mix import mix_sources
 from repoatlas.llm.pack import pack_documents
 
@@ -45,6 +47,32 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b
+    ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reached AS (
+    SELECT vec_id AS node, vec_id AS root FROM v
+    UNION SELECT links.b, reached.root FROM reached JOIN links ON links.a = reached.node
+), roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, root = vec_id AS kept
+FROM v LEFT JOIN counted ON a = vec_id JOIN roots ON node = vec_id
+"""
+
+
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mix_sources(table(spark, sf_dir, "documents")).taken()
