@@ -12,6 +12,7 @@ from repoatlas.llm.ann import nearest_neighbours
 from repoatlas.llm.common import table
 from repoatlas.llm.embedding_dedup import near_duplicates
 from repoatlas.llm.mix import mix_sources
+from repoatlas.llm.ngram_join import similar_groups
 from repoatlas.llm.pack import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +80,34 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), grams AS MATERIALIZED (
+    SELECT DISTINCT doc_id, hash(array_to_string(words[i : i + 3], ' ')) AS g
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) AS i FROM w WHERE len(words) > 0)
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS MATERIALIZED (
+    SELECT p.a, p.b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams AS x JOIN grams AS y USING (g)
+        WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) AS p
+    JOIN sizes AS s ON s.doc_id = p.a JOIN sizes AS t ON t.doc_id = p.b
+    WHERE 100 * c >= 85 * (s.n + t.n - c)
+), reached AS (
+    SELECT doc_id AS node, doc_id AS root FROM documents
+    UNION SELECT links.b, reached.root FROM reached JOIN links ON links.a = reached.node
+), roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id
+FROM documents AS d LEFT JOIN sizes USING (doc_id) JOIN roots ON node = d.doc_id
+"""
+
+
 MARKED = "\\### Assistant: </turn> ok"
 
 
