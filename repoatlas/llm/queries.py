@@ -14,6 +14,7 @@ from repoatlas.llm.embedding_dedup import near_duplicates
 from repoatlas.llm.mix import mix_sources
 from repoatlas.llm.ngram_join import similar_groups
 from repoatlas.llm.pack import pack_documents
+from repoatlas.llm.suffix_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,6 +178,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("spans")
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
