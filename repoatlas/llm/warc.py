@@ -31,6 +31,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 LEAST_SHARED = 100
 #: A package is closed beyond this many records or bytes, a read joins ranges up to RANGE.
 MOST_RECORDS, MOST_BYTES, RANGE = 50_000, 1 << 30, 4 << 20
+#: Records that one task reads.
+PER_TASK = 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_OK = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -289,6 +291,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 def read_archives(packages: DataFrame, with_payload: bool = True) -> DataFrame:
     """All records of the packages; see ``read_records``."""
-    tasks = max(1, packages.sparkSession.sparkContext.defaultParallelism * 4)
+    n = packages.agg(F.sum("n_records")).first()[0] or 0
+    tasks = max(packages.sparkSession.sparkContext.defaultParallelism, -(-n // PER_TASK))
     located = locate_records(packages.repartition(tasks, "path"))
-    return read_records(located.repartitionByRange("path", "start"), with_payload)
+    return read_records(located.repartitionByRange(tasks, "path", "start"), with_payload)
