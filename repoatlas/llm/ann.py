@@ -145,12 +145,13 @@ def nearest_neighbours(
     all rows with another id. The score is the Euclidean distance in double precision, ties go
     to the smaller id. Vectors ``load_vectors`` leaves out take no part. Of equal vectors only
     the ``k + 1`` smallest ids can be results, so no more are kept. A query whose buckets hold
-    fewer than ``k`` candidates is compared with all vectors. Other columns are ignored, rows
-    of one query id are one query, and an empty table gives no rows.
+    fewer than ``k`` candidates is compared with all vectors. Of rows with the same id one
+    counts, other columns are ignored, and an empty table gives no rows.
     """
     spark = df.sparkSession
     vectors, dim = load_vectors(df, id_col, vec_col)
-    vectors = save_table(vectors)
+    once = vectors.groupBy("vec_id").agg(F.min(F.struct("same", "v")).alias("_x"))
+    vectors = save_table(once.select("vec_id", "_x.v", "_x.same"))
     copy = Window.partitionBy("same").orderBy("vec_id")
     index = save_table(vectors.withColumn("_n", F.row_number().over(copy)).filter(F.col("_n") <= k + 1).drop("_n"))
     queries = vectors.filter(is_query)
@@ -235,8 +236,7 @@ def nearest_neighbours(
     found = save_table(_ranked(met.groupBy("g").applyInArrow(search, FOUND), k))
     # Queries with too few candidates in their buckets: all vectors, block by block.
     full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
-    short = queries.select("vec_id", "v").dropDuplicates(["vec_id"])
-    short = save_table(short.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))
+    short = save_table(queries.select("vec_id", "v").join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))
     n_short = short.count()
     if not n_short:
         return found
