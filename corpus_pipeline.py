@@ -28,11 +28,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     documents with a letter are kept, and their ``lang`` stays null.
     """
     model = fit_language(docs)
-    found = identify_language(docs, model)
+    found = identify_language(docs, model, names=("_found", "_score"))
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).select(*docs.columns)
-    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    kept = found.filter((F.col("_found") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("_found")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the text by a mark; ``n_chars`` is counted anew where that happens."""
-    found = find_secrets(docs)
-    hit = F.size("secret_spans") > 0
-    marked = redact(found)
+    found = find_secrets(docs, out="_spans")
+    hit = F.size("_spans") > 0
+    marked = redact(found, spans="_spans")
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         marked = marked.withColumn("n_chars", F.when(hit, size).otherwise(F.col("n_chars")))

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from repoatlas.llm.common import small_batches, texts_of
 
 BITS, ORDERS = 16, (1, 2, 3)
-#: Bound of the sample: documents per language; every fourth calibrates, the others train.
-MOST_SAMPLED = 1000
+#: Bound of the sample: this many documents of each chunk of a language. Every fourth document
+#: calibrates, the others train.
+SAMPLE_CHUNKS, PER_CHUNK = 64, 16
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.02, 0.02
 SCALE = 50.0
 UNKNOWN = "und"
@@ -163,11 +164,17 @@ def _document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(docs: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(language, rank, slots, counts) of the first documents of each language by hashed id."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.select("doc_id", "lang").withColumn("_rank", F.row_number().over(rank))
-    chosen = chosen.filter(F.col("_rank") <= MOST_SAMPLED)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_rank")
+    """(language, number, slots, counts) of at most ``SAMPLE_CHUNKS * PER_CHUNK`` per language.
+
+    The documents of a language are dealt over chunks by their hashed id, and the first of each
+    chunk are taken, so no task orders a whole language.
+    """
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_CHUNKS)).alias("_chunk")
+    rank = Window.partitionBy("lang", "_chunk").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
+    chosen = docs.select("doc_id", "lang", chunk).withColumn("_rank", F.row_number().over(rank))
+    chosen = chosen.filter(F.col("_rank") <= PER_CHUNK)
+    place = (F.col("_rank") * SAMPLE_CHUNKS + F.col("_chunk")).cast("int").alias("_rank")
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), place)
     few = F.broadcast(chosen)  # a bounded number of rows per language
     picked = docs.join(few, docs["doc_id"].eqNullSafe(few["_id"]) & (docs["lang"] == few["_lang"]))
 
@@ -190,7 +197,12 @@ def _sample(docs: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
         run, "lang string, rank int, slots array<int>, counts array<long>"
     ).toPandas()
     rows = [(r.lang, r.rank, np.array(r.slots), np.array(r.counts)) for r in rows.itertuples()]
-    return sorted(rows, key=lambda r: (r[1], r[0], len(r[2]), r[3].sum() if len(r[3]) else 0))
+    rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3].sum() if len(r[3]) else 0))
+    numbered, at, last = [], 0, None
+    for lang, _, slots, counts in rows:
+        at, last = (at + 1 if lang == last else 0), lang
+        numbered.append((lang, at, slots, counts))
+    return sorted(numbered, key=lambda r: (r[1], r[0]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -219,10 +231,8 @@ def fit_language(docs: DataFrame) -> Model:
     def part(rows: list) -> tuple[list, np.ndarray]:
         return [(r[2], r[3]) for r in rows], np.array([number[r[0]] for r in rows], int)
 
-    trained, labels = part([r for r in rows if r[1] % 4])
-    counts, own = part([r for r in rows if r[1] % 4 == 0])
-    if not trained:
-        trained, labels = counts, own
+    trained, labels = part([r for r in rows if r[1] % 4 != 3])
+    counts, own = part([r for r in rows if r[1] % 4 == 3])
     weights, bias = train(trained, labels, len(languages), idf)
     temperature = 1.0
     if counts:
@@ -231,13 +241,15 @@ def fit_language(docs: DataFrame) -> Model:
     return Model(languages, weights.astype(np.float32), bias, temperature)
 
 
-def identify_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to all rows (columns of these names are replaced).
+def identify_language(
+    docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """Adds the language and its score to all rows, as ``names`` (such columns are replaced).
 
     A null text or one without a letter is ``und`` with score 0. Whole texts are read. Nothing
     but the text decides.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -257,5 +269,5 @@ def identify_language(docs: DataFrame, model: Model, text_col: str = "text") ->
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return docs.withColumn("_p", predict(F.col(text_col).cast("string"))).select(
-        *docs.columns, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score")
+        *docs.columns, F.col("_p.lang_pred").alias(names[0]), F.col("_p.score").alias(names[1])
     )

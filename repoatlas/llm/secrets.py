@@ -167,13 +167,13 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc.out)
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``secret_spans``: start, rank and kind of rule, end; in this order.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "secret_spans") -> DataFrame:
+    """The rows of ``docs`` with ``secret_spans`` (or ``out``): start, rank and kind of rule, end; in this order.
 
     A null text is empty. Rows with the same id, a null one too, are each searched. An empty
-    table gives an empty result. A column ``secret_spans`` of the input is replaced.
+    table gives an empty result. A column of that name is replaced.
     """
-    docs = docs.drop("secret_spans")
+    docs = docs.drop(out)
     found = candidates(trigram_index(docs, rules, id_col, text_col), rules)
     found = found.select(F.col("doc_id").alias("_found_id"), F.col("kinds").alias("_kinds"))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -187,11 +187,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         found.hint("shuffle_hash"), docs[id_col].eqNullSafe(found["_found_id"]), "left"
     )
     spans = F.sort_array(F.concat(*parts))
-    return joined.withColumn("secret_spans", spans).select(*docs.columns, "secret_spans")
+    return joined.withColumn(out, spans).select(*docs.columns, out)
 
 
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The text with ``mark`` in place of every span of ``secret_spans``; overlaps count as one."""
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", spans: str = "secret_spans") -> DataFrame:
+    """The text with ``mark`` in place of every span of ``spans``; overlaps count as one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -205,5 +205,5 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     def end(acc: Column) -> Column:
         return F.concat(F.array_join(acc.out, ""), F.substr(text, acc.at + 1, F.char_length(text)))
 
-    changed = F.aggregate("secret_spans", start, step, end)
-    return df.withColumn(text_col, F.when(F.size("secret_spans") > 0, changed).otherwise(F.col(text_col)))
+    changed = F.aggregate(spans, start, step, end)
+    return df.withColumn(text_col, F.when(F.size(spans) > 0, changed).otherwise(F.col(text_col)))

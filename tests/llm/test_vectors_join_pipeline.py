@@ -210,7 +210,7 @@ ODD = [
 
 
 def test_stages_on_odd_rows(spark):
-    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, score int")
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, score int").withColumn("secret_spans", F.lit(1))
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
     for rows in (docs, docs.limit(0)):
