@@ -36,7 +36,6 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         # no call sites of every expression: building large plans takes half the time
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

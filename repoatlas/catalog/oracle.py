@@ -10,7 +10,6 @@ from __future__ import annotations
 from repoatlas import fixed_values as fv
 from repoatlas.catalog import queries as rq
 from repoatlas.catalog import views
-from repoatlas.plans.quality import evaluation_template
 
 
 def q(text: str) -> str:
@@ -279,7 +278,7 @@ def _tables() -> dict[str, str]:
             "SELECT CAST(conv_id AS VARCHAR) AS repo, CAST(turn + 1 AS INTEGER) AS step, "
             "text AS output, role FROM conversations"
         ),
-        "completions": "SELECT repo, step, output FROM step_outputs WHERE role = 'assistant'",
+        "completions": "SELECT repo, step, output FROM step_outputs WHERE (CAST(repo AS BIGINT) + step) % 3 <> 0",
         "fenced": (
             "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '```markdown\n' || text || '\n```\nbye' "
             "WHEN 1 THEN '```\n' || text || '\n```' ELSE text END AS text FROM conversations"
@@ -694,11 +693,40 @@ def _quality_rules() -> str:
     return f"SELECT *, {total} AS n_signs FROM (SELECT repo, path, {columns} FROM files WHERE {README})"
 
 
+EXAMPLES = """    EXAMPLE 1:
+    ```
+    # untitled
+
+    Some text will follow.
+    ```
+
+    EXAMPLE 2:
+    ```
+    Moved here from the old server, see the chat for how to start it.
+    ```
+
+    EXAMPLE 3:
+    ```
+    # Weather
+
+    ## Install
+
+    tbd
+
+    ## Use
+
+    tbd
+    ```
+"""
+
+
 def _evaluation() -> str:
-    before, rest = evaluation_template(fv.LOW_QUALITY_SAMPLES).split("{readme_content}")
-    between, after = rest.split("{generated_readme}")
+    head, tail = "'{readme_content}'", "'{generated_readme}'"
+    text = f"replace({q(fv.EVALUATION_TEMPLATE)}, '{{samples}}', {q(EXAMPLES)})"
     return (
-        f"SELECT repo, {q(before)} || original_readme || {q(between)} || generated_readme || {q(after)} AS prompt "
+        f"SELECT repo, split_part({text}, {head}, 1) || original_readme || "
+        f"split_part(split_part({text}, {head}, 2), {tail}, 1) || generated_readme || "
+        f"split_part(split_part({text}, {head}, 2), {tail}, 2) AS prompt "
         f"FROM made_pairs p WHERE NOT {_minimal('p')}"
     )
 
@@ -787,8 +815,8 @@ def oracle_sql() -> dict[str, str]:
         "j5_split_key_files": sql(f"SELECT repo, path, {CATEGORY} AS category FROM survey WHERE is_gathered AND is_key"),
         "j6_readme_pair": sql("SELECT * FROM pairs"),
         "j7_attach_completions": sql(
-            "SELECT s.repo, s.step, coalesce(c.output, '') AS output, false AS failed FROM step_outputs s LEFT JOIN completions c USING (repo, step) "
-            "UNION ALL SELECT repo, step, '', true FROM step_outputs WHERE (repo, step) NOT IN (SELECT repo, step FROM completions)"
+            "SELECT s.repo, s.step, md5(s.output) AS asked, coalesce(c.output, '') AS output, false AS failed FROM step_outputs s LEFT JOIN completions c USING (repo, step) "
+            "UNION ALL SELECT repo, step, '', '', true FROM step_outputs WHERE (repo, step) NOT IN (SELECT repo, step FROM completions)"
         ),
         "j8_pending_repos": sql(
             "SELECT repo, CAST(s AS INTEGER) AS step FROM (SELECT DISTINCT repo FROM step_outputs), range(1, 5) t(s) "

@@ -338,8 +338,8 @@ def j6_readme_pair(spark, sf_dir):
 
 
 def _completions(spark, sf_dir) -> DataFrame:
-    """Outputs of the assistant turns only."""
-    turns = views.table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    """Every turn as the output of a step, but for those left open by a rule on the key."""
+    turns = views.table(spark, sf_dir, "conversations").filter("(conv_id + turn + 1) % 3 <> 0")
     return turns.select(
         F.col("conv_id").cast("string").alias("repo"),
         (F.col("turn") + 1).cast("int").alias("step"),
@@ -349,7 +349,7 @@ def _completions(spark, sf_dir) -> DataFrame:
 
 def _asked(spark, sf_dir) -> DataFrame:
     return views.step_outputs(spark, sf_dir).select(
-        "repo", "step", F.substring("output", 1, 20).alias("prompt")
+        "repo", "step", F.col("output").alias("prompt")
     )
 
 
@@ -358,8 +358,11 @@ def j7_attach_completions(spark, sf_dir):
     joined = joins.attach_completions(_asked(spark, sf_dir), _completions(spark, sf_dir))
     failed = joins.failed_steps(_asked(spark, sf_dir), _completions(spark, sf_dir))
     return joined.select(
-        "repo", "step", F.coalesce("output", F.lit("")).alias("output"), F.lit(False).alias("failed")
-    ).unionByName(failed.select("repo", "step", F.lit("").alias("output"), F.lit(True).alias("failed")))
+        "repo", "step", F.md5("prompt").alias("asked"),
+        F.coalesce("output", F.lit("")).alias("output"), F.lit(False).alias("failed"),
+    ).unionByName(failed.select(
+        "repo", "step", F.lit("").alias("asked"), F.lit("").alias("output"), F.lit(True).alias("failed")
+    ))
 
 
 @query

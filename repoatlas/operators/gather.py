@@ -14,8 +14,7 @@ def large_groups(
 ) -> DataFrame:
     """Keys of the groups whose sizes add up to more than ``max_bytes``.
 
-    There are at most (total size / ``max_bytes``) of them: under 10^6 keys, some tens of
-    megabytes, for 100 TB at the default. This is what makes broadcasting them safe.
+    There are at most (total size / ``max_bytes``) of them.
     """
     return (
         rows.groupBy(*keys)
@@ -35,7 +34,7 @@ def with_part(
     """
     large = large_groups(rows, keys, size, max_bytes).withColumn("_large", F.lit(True))
     return (
-        rows.join(F.broadcast(large), keys, "left")
+        rows.join(large, keys, "left")
         .withColumn(
             "part",
             F.when(F.col("_large"), F.concat(F.lit("."), order)).otherwise(F.lit("")),

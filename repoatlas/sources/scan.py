@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -57,6 +58,18 @@ def _unpack(max_size: int, rows_per_batch: int = 256):
     return unpack
 
 
+def root_base(spark: SparkSession, root: str) -> str:
+    """The root as Spark lists it: qualified, without doubled slashes and dots.
+
+    Of a root with a glob pattern it is the part before the first pattern.
+    """
+    parts = root.split("/")
+    plain = next((i for i, part in enumerate(parts) if re.search(r"[*?\[{]", part)), len(parts))
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(parts[:plain]) or ("/" if plain else "."))
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
+
+
 def scan_repos(
     spark: SparkSession,
     roots: str | list[str],
@@ -66,8 +79,10 @@ def scan_repos(
     """``files(repo, path, size, content)`` of many repos.
 
     ``parquet``   a table that has these columns already
-    ``directory`` folders with one sub-folder per repo; Spark's file listing leaves out
-                  names that start with ``.`` or ``_``
+    ``directory`` folders with one sub-folder per repo, also as glob patterns or relative
+                  paths; with a pattern, the repo is the first folder from the pattern on.
+                  Spark's file listing leaves out names that start with ``.`` or ``_``. A
+                  listed file below none of the roots is an error
     ``archive``   tar (also compressed) or zip files, one per repo, named after it; all
                   names are seen
 
@@ -80,12 +95,11 @@ def scan_repos(
     if fmt == "directory":
         # the scan of the bytes has the size filter pushed down; larger files are listed only
         inside = F.lit(None).cast("string")
-        for root in roots:
-            base = root.split(":", 1)[-1].rstrip("/") + "/"
-            at = F.locate(base, F.col("path"))
-            inside = F.when(
-                inside.isNull() & (at > 0), F.substr("path", at + F.lit(len(base)))
-            ).otherwise(inside)
+        for base in sorted((root_base(spark, root) + "/" for root in roots), key=len):
+            below = F.substr(F.col("path"), F.lit(len(base) + 1))
+            inside = F.when(F.col("path").startswith(base), below).otherwise(inside)
+        lost = F.raise_error(F.concat(F.lit("below none of the roots: "), F.col("path")))
+        inside = F.coalesce(inside, lost.cast("string"))
         listing = binary.load(roots)
         named = [
             F.substring_index(inside, "/", 1).alias("repo"),

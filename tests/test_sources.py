@@ -1,4 +1,5 @@
 import io
+import os
 import tarfile
 import zipfile
 
@@ -53,6 +54,22 @@ def test_directory(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("spelling", ["{0}", "{0}/", "file:{0}", "file://{0}", "{0}/*", "{1}//c", "./c", "{1}/[c]/one"])
+def test_directory_root_spellings(spark, tmp_path, spelling):
+    for path in ("one/a.txt", "one/b/c.txt", "one/c/c.txt"):
+        target = tmp_path / "c" / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("x")
+    root = spelling.format(tmp_path / "c", tmp_path)
+    if root == "./c":
+        system = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+        here = system.getWorkingDirectory().toUri().getPath()
+        root = "./" + os.path.relpath(tmp_path / "c", here)
+    files = scan.scan_repos(spark, root, "directory")
+    repo, before = ("c", "one/") if "[c]" in spelling else ("one", "")
+    assert matches(files, "repo", "path") == {(repo, before + p) for p in ("a.txt", "b/c.txt", "c/c.txt")}
+
+
 def test_parquet_table(spark, tmp_path):
     make_files(spark, {"r": {"a": "x", "b/c": "y"}}).write.parquet(str(tmp_path / "t"))
     files = scan.scan_repos(spark, str(tmp_path / "t"))
