@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from repoatlas import fixed_values as fv
 from repoatlas.functions import paths as fp
 from repoatlas.operators.classify import REPO
-from repoatlas.operators.gather import GROUP_BYTES, gather_text, with_part
+from repoatlas.operators.gather import gather_text, with_part
 
 
 # -- A1 .. A3 ---------------------------------------------------------------
@@ -132,11 +132,10 @@ def readme_contents(files: DataFrame, survey: DataFrame) -> DataFrame:
     return readmes.join(texts, ["repo", "path"]).select(*REPO, "path", "content", "ord")
 
 
-def content_maps(contents: DataFrame, max_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``path -> content`` maps per repo; a repo over the limit comes in several rows."""
-    size = F.octet_length("content") + F.octet_length("path")
+def content_maps(contents: DataFrame, pieces: bool = False) -> DataFrame:
+    """``path -> content`` maps: one per repo, or with ``pieces`` one per file."""
     return (
-        with_part(contents, REPO, "ord", size, max_bytes)
+        with_part(contents, "ord", pieces)
         .groupBy(*REPO, "part")
         .agg(
             F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("contents")
@@ -210,10 +209,10 @@ def api_lines(api_patterns: DataFrame) -> DataFrame:
     ).filter(c("line").isNotNull())
 
 
-def group_api(api_patterns: DataFrame, max_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``repo, type, part, lines``: the lines of each API type, in order."""
+def group_api(api_patterns: DataFrame, pieces: bool = False) -> DataFrame:
+    """``repo, type, part, lines``: the lines of each API type, in order, or one by one."""
     grouped = gather_text(
-        api_lines(api_patterns), ["repo", "type"], "line", sep="\n", max_bytes=max_bytes
+        api_lines(api_patterns), ["repo", "type"], "line", sep="\n", pieces=pieces
     )
     return grouped.withColumnRenamed("line", "lines")
 

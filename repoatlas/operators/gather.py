@@ -1,46 +1,19 @@
-"""Ordered collection of rows into one value per group, safe for groups of any size."""
+"""Ordered collection of rows into one value per group, or into the pieces of it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest group that is put into one value.
-GROUP_BYTES = 128 * 1024 * 1024
 
+def with_part(rows: DataFrame, order: str, pieces: bool) -> DataFrame:
+    """Add `part`: empty, or with ``pieces`` the row's order key.
 
-def large_groups(
-    rows: DataFrame, keys: list[str], size: Column, max_bytes: int = GROUP_BYTES
-) -> DataFrame:
-    """Keys of the groups whose sizes add up to more than ``max_bytes``.
-
-    There are at most (total size / ``max_bytes``) of them.
-    """
-    return (
-        rows.groupBy(*keys)
-        .agg(F.sum(size).alias("_bytes"))
-        .filter(F.col("_bytes") > max_bytes)
-        .select(*keys)
-    )
-
-
-def with_part(
-    rows: DataFrame, keys: list[str], order: str, size: Column, max_bytes: int = GROUP_BYTES
-) -> DataFrame:
-    """Add `part`: empty in ordinary groups, a dot and the row's order key in large ones.
-
-    Grouping by ``keys + part`` then makes one value of an ordinary group, while a large
-    group stays spread over as many values as it has rows.
+    Grouping by the keys and `part` makes one value of each group, or leaves every row a
+    piece of its own. The caller chooses; the size of a group changes nothing. Pieces are the
+    form for groups beyond what one value should hold.
     """
-    large = large_groups(rows, keys, size, max_bytes).withColumn("_large", F.lit(True))
-    return (
-        rows.join(large, keys, "left")
-        .withColumn(
-            "part",
-            F.when(F.col("_large"), F.concat(F.lit("."), order)).otherwise(F.lit("")),
-        )
-        .drop("_large")
-    )
+    return rows.withColumn("part", F.col(order) if pieces else F.lit(""))
 
 
 def ordered(value: str, order: str) -> Column:
@@ -50,20 +23,15 @@ def ordered(value: str, order: str) -> Column:
 
 
 def gather_array(
-    rows: DataFrame,
-    keys: list[str],
-    value: str,
-    order: str = "ord",
-    max_bytes: int = GROUP_BYTES,
+    rows: DataFrame, keys: list[str], value: str, order: str = "ord", pieces: bool = False
 ) -> DataFrame:
     """One ordered array per group, as ``keys, part, value``.
 
-    A group over ``max_bytes`` comes out whole too, but as several rows: ordered by
-    `part`, their arrays make up the group.
+    With ``pieces`` a group is as many rows as it has items: ordered by `part`, their arrays
+    make up the group.
     """
-    size = F.octet_length(F.col(value)) + F.octet_length(F.col(order))
     return (
-        with_part(rows, keys, order, size, max_bytes)
+        with_part(rows, order, pieces)
         .groupBy(*keys, "part")
         .agg(ordered(value, order).alias(value))
     )
@@ -75,9 +43,9 @@ def gather_text(
     text: str = "text",
     order: str = "ord",
     sep: str = "",
-    max_bytes: int = GROUP_BYTES,
+    pieces: bool = False,
 ) -> DataFrame:
     """Like `gather_array`, with the ordered texts of each row joined by ``sep``."""
-    return gather_array(rows, keys, text, order, max_bytes).withColumn(
+    return gather_array(rows, keys, text, order, pieces).withColumn(
         text, F.array_join(F.col(text), sep)
     )

@@ -78,9 +78,5 @@ def final_slots(
 
 
 def prompt_batch(slots: DataFrame, steps: DataFrame) -> DataFrame:
-    """Prompts of a batch of slot items.
-
-    The items are written first: they are read twice, to find prompts that are too large
-    for one value and to put the others together.
-    """
-    return prompts.build_prompts(save_table(slots), steps)
+    """Prompts of a batch of slot items, which are read once."""
+    return prompts.build_prompts(slots, steps)

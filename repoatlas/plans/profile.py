@@ -13,7 +13,7 @@ from repoatlas.functions import text as ft
 from repoatlas.operators import aggregate as agg
 from repoatlas.operators import extract
 from repoatlas.operators.classify import REPO, choose, select_analyzer, survey_files
-from repoatlas.operators.gather import GROUP_BYTES, gather_text
+from repoatlas.operators.gather import gather_text
 from repoatlas.operators.rank import cap_rows, top_n
 from repoatlas.sources.scratch import save_table
 
@@ -358,8 +358,8 @@ def _api_pieces(profile: DataFrame, api_patterns: DataFrame) -> DataFrame:
 
 def profile_report(
     corpus: Corpus, profile: DataFrame, dependencies: DataFrame,
-    api_patterns: DataFrame | None = None, form: str = "full", max_bytes: int = GROUP_BYTES,
+    api_patterns: DataFrame | None = None, form: str = "full", as_pieces: bool = False,
 ) -> DataFrame:
-    """``repo, part, text``: the report of each repo, in one part unless it is huge."""
+    """``repo, part, text``: the report of each repo as one text, or in its pieces."""
     pieces = save_table(report_pieces(corpus, profile, dependencies, api_patterns, form))
-    return gather_text(pieces, ["repo"], max_bytes=max_bytes)
+    return gather_text(pieces, ["repo"], pieces=as_pieces)

@@ -12,7 +12,6 @@ from repoatlas import fixed_values as fv
 from repoatlas.functions import content as fc
 from repoatlas.functions import text as ft
 from repoatlas.operators.aggregate import last_completed_step
-from repoatlas.operators.gather import GROUP_BYTES, with_part
 from repoatlas.plans.profile import Corpus
 
 
@@ -168,26 +167,17 @@ def _fill(template: Column, value: Callable[[str], Column]) -> Column:
     )
 
 
-def build_prompts(
-    slots: DataFrame, steps: DataFrame, max_bytes: int = GROUP_BYTES
-) -> DataFrame:
-    """``repo, step, part, prompt`` from slot items ``repo, step, slot, ord, text`` and the
-    step templates.
+def build_prompts(slots: DataFrame, steps: DataFrame) -> DataFrame:
+    """``repo, step, prompt`` from slot items ``repo, step, slot, ord, text`` and the step
+    templates.
 
-    The items of a prompt are put together once, and the template of its step is filled.
-    A prompt over ``max_bytes`` is not put into one value: it comes as its pieces, in order
-    of `part` - the text of the template before each placeholder and the items of the
-    placeholder - to be joined and folded by the reader.
+    The items of a prompt are put together once, whatever their size, and the template of its
+    step is filled. `prompt_pieces` is the form for prompts beyond what one value should hold.
     """
     keys = ["repo", "step"]
-    size = F.octet_length("text") + F.octet_length("ord")
-    sized = slots.withColumn("_key", F.concat("slot", F.lit("\x01"), "ord"))
-    marked = with_part(sized, keys, "_key", size, max_bytes)
     templates = F.broadcast(steps.select("step", "template"))  # one row per step
-
     grouped = (
-        marked.filter(F.col("part") == "")
-        .groupBy(*keys)
+        slots.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("slot", "ord", "text"))).alias("items"))
         .join(templates, "step")
     )
@@ -197,44 +187,31 @@ def build_prompts(
         return F.array_join(F.transform(of_slot, lambda x: x.text), "")
 
     text = _fill(F.col("template"), value)
-    whole = grouped.select(
-        *keys, F.lit("").alias("part"), fc.fold_newlines(text).alias("prompt")
-    )
-    return whole.unionByName(_large_prompts(marked.filter(F.col("part") != ""), templates))
+    return grouped.select(*keys, fc.fold_newlines(text).alias("prompt"))
 
 
-def _large_prompts(items: DataFrame, templates: DataFrame) -> DataFrame:
-    """Pieces of prompts that are too large for one value, ordered by `part`."""
-    holder = F.concat(F.lit("${"), "slot", F.lit("}"))
-    placed = items.join(templates, "step").select(
-        "repo", "step", F.instr("template", holder).alias("at"), "ord", "text",
-    )
-    shown = placed.filter(F.col("at") > 0).select(
-        "repo", "step",
-        F.concat(F.lpad(F.col("at").cast("string"), 9, "0"), F.lit("1"), "ord").alias("part"),
-        F.col("text").alias("prompt"),
+def prompt_pieces(slots: DataFrame, steps: DataFrame) -> DataFrame:
+    """``repo, step, part, text``: the pieces of every prompt, ordered by `part`.
+
+    Joined, and with runs of blank lines folded, they are the prompt of `build_prompts`, but
+    for placeholders inside an inserted text, which stay. A placeholder that stands twice in a
+    template gets its items twice. No prompt is held as one value.
+    """
+    holder = r"\$\{(\w+)\}"
+    templates = steps.select(
+        "step", F.posexplode(F.split("template", holder)).alias("i", "literal"),
+        F.regexp_extract_all("template", F.lit(holder), F.lit(1)).alias("slots"),
     )
-    # text of the template around its placeholders, with the position where it stands
-    literals = templates.select(
-        "step",
-        F.posexplode(F.split("template", r"\$\{\w+\}")).alias("i", "literal"),
-        F.regexp_extract_all("template", F.lit(r"\$\{\w+\}"), F.lit(0)).alias("holders"),
-        "template",
-    ).select(
-        "step", "literal",
-        F.when(F.col("i") == 0, F.lit(0)).otherwise(
-            F.instr("template", F.get("holders", F.col("i") - 1))
-        ).alias("at"),
+    place = F.lpad(F.col("i").cast("string"), 9, "0")
+    fixed = templates.select(
+        "step", F.concat(place, F.lit("1")).alias("part"), F.col("literal").alias("text")
     )
-    fixed = (
-        items.select("repo", "step").distinct().join(F.broadcast(literals), "step")
-        .select(
-            "repo", "step",
-            F.concat(F.lpad(F.col("at").cast("string"), 9, "0"), F.lit("2")).alias("part"),
-            F.col("literal").alias("prompt"),
-        )
+    holes = templates.select("step", F.get("slots", F.col("i")).alias("slot"), place.alias("at"))
+    shown = slots.join(F.broadcast(holes), ["step", "slot"]).select(  # a few rows per step
+        "repo", "step", F.concat("at", F.lit("2"), "ord").alias("part"), "text"
     )
-    return shown.unionByName(fixed)
+    whole = slots.select("repo", "step").distinct().join(F.broadcast(fixed), "step")
+    return shown.unionByName(whole.select("repo", "step", "part", "text"))
 
 
 # -- U4 ---------------------------------------------------------------------

@@ -3,8 +3,7 @@ import random
 import pytest
 
 from repoatlas.operators import aggregate as agg
-from repoatlas.operators.gather import gather_array, gather_text, large_groups
-from pyspark.sql import functions as F
+from repoatlas.operators.gather import gather_array, gather_text
 
 
 def pieces(spark):
@@ -16,22 +15,17 @@ def pieces(spark):
     return rows, spark.createDataFrame(rows, "repo string, ord string, text string").repartition(5)
 
 
-@pytest.mark.parametrize("max_bytes", [10**9, 200, 1])
-def test_parts_make_up_the_whole_text(spark, max_bytes):
+@pytest.mark.parametrize("in_pieces", [False, True])
+def test_parts_make_up_the_whole_text(spark, in_pieces):
     rows, df = pieces(spark)
-    made = gather_text(df, ["repo"], max_bytes=max_bytes).collect()
+    made = gather_text(df, ["repo"], pieces=in_pieces).collect()
     for repo in ("small", "hot", "one"):
         expected = "".join(text for r, _, text in sorted(rows) if r == repo)
         parts = sorted((m.part, m.text) for m in made if m.repo == repo)
         assert "".join(text for _, text in parts) == expected
     hot = [m for m in made if m.repo == "hot"]
-    assert len(hot) == (1 if max_bytes == 10**9 else 400)
-    assert all(m.part == "" for m in made) == (max_bytes == 10**9)
-
-
-def test_large_groups(spark):
-    _, df = pieces(spark)
-    assert [r.repo for r in large_groups(df, ["repo"], F.octet_length("text"), 200).collect()] == ["hot"]
+    assert len(hot) == (400 if in_pieces else 1)
+    assert all(m.part == "" for m in made) == (not in_pieces)
 
 
 def test_arrays(spark):
@@ -43,8 +37,8 @@ def test_arrays(spark):
 def test_content_maps_of_a_large_repo(spark):
     rows = [("r", "java", f"{i}/readme.md", f"text {i}", f"1{i}") for i in range(30)]
     df = spark.createDataFrame(rows, "repo string, analyzer string, path string, content string, ord string")
-    for limit, n in ((10**9, 1), (10, 30)):
-        made = agg.content_maps(df, limit).collect()
+    for in_pieces, n in ((False, 1), (True, 30)):
+        made = agg.content_maps(df, in_pieces).collect()
         assert len(made) == n
         merged = {k: v for m in made for k, v in m.contents.items()}
         assert merged == {row[2]: row[3] for row in rows}

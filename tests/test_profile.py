@@ -175,7 +175,7 @@ def test_report(run):
 
 def test_a_report_in_parts_is_the_same_text(run):
     whole = profile.profile_report(run.corpus, run.profile, run.dependencies).collect()
-    parts = profile.profile_report(run.corpus, run.profile, run.dependencies, max_bytes=1).collect()
+    parts = profile.profile_report(run.corpus, run.profile, run.dependencies, as_pieces=True).collect()
     assert len(parts) > len(whole)
     for row in whole:
         mine = sorted((p.part, p.text) for p in parts if p.repo == row.repo)
@@ -227,13 +227,22 @@ def test_prompts_in_parts_join_to_the_same_text(spark, slots):
     # the content with a placeholder of its own is only filled in prompts made as one value
     plain = slots.withColumn("text", F.replace("text", F.lit("${"), F.lit("$(")))
     whole = {(r.repo, r.step): r.prompt for r in prompts.build_prompts(plain, steps).collect()}
-    parts = prompts.build_prompts(plain, steps, max_bytes=1).collect()
-    assert len(parts) > len(whole) and all(p.part for p in parts)
+    parts = prompts.prompt_pieces(plain, steps).collect()
+    assert len(parts) > len(whole)
     for key, prompt in whole.items():
-        mine = sorted((p.part, p.prompt) for p in parts if (p.repo, p.step) == key)
+        mine = sorted((p.part, p.text) for p in parts if (p.repo, p.step) == key)
         assert re.sub(r"\n{3,}", "\n\n", "".join(text for _, text in mine)) == prompt
 
 
+def test_a_placeholder_may_stand_twice(spark):
+    steps = spark.createDataFrame([(1, "${name}: ${key_files_content}; ${name}!")], "step int, template string")
+    rows = [("r", 1, "name", "", "N")] + [("r", 1, "key_files_content", f"{i:03d}", f"<{i}>") for i in range(300)]
+    slots = spark.createDataFrame(rows, "repo string, step int, slot string, ord string, text string").repartition(4)
+    whole = prompts.build_prompts(slots, steps).first().prompt
+    pieces = sorted((r.part, r.text) for r in prompts.prompt_pieces(slots, steps).collect())
+    assert "".join(text for _, text in pieces) == whole == f"N: {''.join(f'<{i}>' for i in range(300))}; N!"
+
+
 def test_contexts(run):
     facts = agg.command_facts(run.corpus.survey)
     rows = contexts.usage_context(run.corpus, facts).filter("repo = 'shop'")
