@@ -918,6 +918,7 @@ def oracle_sql() -> dict[str, str]:
         "c3_purpose_context": sql(
             f"{purpose} UNION ALL SELECT repo, 1, 'formatted_analysis', '', md5(text) FROM reports"
         ),
+        "c3_purpose_context_all": sql(_kept("ranked", 1, "key_files_content")),
         "c4_usage_context": sql(
             " UNION ALL ".join(
                 [

@@ -744,6 +744,13 @@ def c3_purpose_context(spark, sf_dir):
     )
 
 
+@query
+def c3_purpose_context_all(spark, sf_dir):
+    """Every gathered file of any size, without the limits of the step."""
+    corpus = profile.survey_corpus(views.files(spark, sf_dir), max_size=None)
+    return contexts.purpose_context(corpus, n=None).select("repo", "step", "field", "path", _digest())
+
+
 @query
 def c4_usage_context(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)

@@ -33,8 +33,10 @@ def content_lookup(paths: DataFrame, files: DataFrame) -> DataFrame:
 
 # -- J3 ---------------------------------------------------------------------
 
-def key_paths(gathered: DataFrame, n: int) -> DataFrame:
-    """Entry points, key files and the best ``n`` files of each repo, each once."""
+def key_paths(gathered: DataFrame, n: int | None) -> DataFrame:
+    """Entry points, key files and the best ``n`` (None: all) files of each repo, each once."""
+    if n is None:
+        return gathered.select(*REPO, "path", "ord")
     flagged = F.col("is_entry_point") | F.col("is_key_file")
     columns = [*REPO, "path", "ord"]
     best = top_n(gathered, n).filter(~flagged)

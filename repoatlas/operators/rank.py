@@ -36,10 +36,13 @@ def top_n(files: DataFrame, n: int, by: list[str] = REPO, rank: str = "rank") ->
     return files.withColumn(rank, F.row_number().over(best)).filter(F.col(rank) <= n)
 
 
-def first_n(rows: DataFrame, n: int, by: list[str], order: str = "ord", rank: str = "rank"):
-    """First ``n`` rows of each group in the given order, with their position."""
+def first_n(
+    rows: DataFrame, n: int | None, by: list[str], order: str = "ord", rank: str = "rank"
+) -> DataFrame:
+    """First ``n`` (None: all) rows of each group in the given order, with their position."""
     first = Window.partitionBy(*by).orderBy(F.asc(order))
-    return rows.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) <= n)
+    ranked = rows.withColumn(rank, F.row_number().over(first))
+    return ranked if n is None else ranked.filter(F.col(rank) <= n)
 
 
 # -- R10 --------------------------------------------------------------------

@@ -45,14 +45,14 @@ def _filled(corpus: Corpus) -> DataFrame:
     return corpus.survey.filter("is_gathered AND is_non_blank")
 
 
-def purpose_picks(corpus: Corpus) -> DataFrame:
-    """Step 1: entry points, key files and the best 35 files."""
-    paths = key_paths(corpus.survey.filter("is_gathered"), fv.TOP_FILES_STEP_1)
+def purpose_picks(corpus: Corpus, n: int | None = fv.TOP_FILES_STEP_1) -> DataFrame:
+    """Step 1: entry points, key files and the best ``n`` (None: all) files."""
+    paths = key_paths(corpus.survey.filter("is_gathered"), n)
     return _picks(corpus, paths, 1, "key_files_content")
 
 
-def usage_picks(corpus: Corpus) -> DataFrame:
-    """Step 2: what runs, builds and serves the repo, and its configuration."""
+def usage_picks(corpus: Corpus, n_configs: int | None = fv.CONFIGS_IN_STEP_2) -> DataFrame:
+    """Step 2: what runs, builds and serves the repo, and ``n_configs`` configuration files."""
     p = F.col("path")
     shown = F.col("is_entry_point") | p.isin("build.gradle", "docker-compose.yml")
     shown = shown | F.lower(p).contains("controller")
@@ -65,7 +65,7 @@ def usage_picks(corpus: Corpus) -> DataFrame:
     configs = corpus.survey.filter(agg.is_config_listed()).select(
         *REPO, "path", "is_gathered", agg.config_order().alias("ord")
     )
-    first_configs = first_n(configs, fv.CONFIGS_IN_STEP_2, REPO).filter("is_gathered")
+    first_configs = first_n(configs, n_configs, REPO).filter("is_gathered")
     examples = _filled(corpus).filter("is_example_config").withColumn("ord", p)
     return (
         _picks(corpus, by_priority, 2, "key_files_content")
@@ -74,9 +74,9 @@ def usage_picks(corpus: Corpus) -> DataFrame:
     )
 
 
-def draft_picks(corpus: Corpus) -> DataFrame:
-    """Step 3: entry points, key files and the best 10 files."""
-    paths = key_paths(corpus.survey.filter("is_gathered"), fv.TOP_FILES_STEP_3)
+def draft_picks(corpus: Corpus, n: int | None = fv.TOP_FILES_STEP_3) -> DataFrame:
+    """Step 3: entry points, key files and the best ``n`` (None: all) files."""
+    paths = key_paths(corpus.survey.filter("is_gathered"), n)
     return _picks(corpus, paths, 3, "key_files_content")
 
 
@@ -91,7 +91,7 @@ def look_up(corpus: Corpus, picks: DataFrame) -> DataFrame:
 
     Contents of files no analyzer gathers are left out by their path, before the join.
     """
-    wanted = corpus.files.filter(fp.is_candidate() & (F.col("size") <= fv.MAX_FILE_BYTES))
+    wanted = corpus.files.filter(fp.is_candidate() & (F.col("size") <= corpus.max_size))
     return content_lookup(picks, wanted).select(
         "repo", "step", "field", "path", "ord", "content"
     )
@@ -118,9 +118,11 @@ def base_context(profile: DataFrame) -> DataFrame:
 
 # -- C3 ---------------------------------------------------------------------
 
-def purpose_context(corpus: Corpus, report: DataFrame | None = None) -> DataFrame:
+def purpose_context(
+    corpus: Corpus, report: DataFrame | None = None, n: int | None = fv.TOP_FILES_STEP_1
+) -> DataFrame:
     """Step 1: the report, and the key paths with their contents."""
-    files = look_up(corpus, purpose_picks(corpus))
+    files = look_up(corpus, purpose_picks(corpus, n))
     if report is None:
         return files
     analysis = report.select("repo", F.lit("").alias("path"), F.col("part").alias("ord"), "text")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repoatlas import fixed_values as fv
 from repoatlas.operators import extract
 from repoatlas.operators.aggregate import command_groups
 from repoatlas.operators.joins import readme_pair
@@ -31,10 +32,12 @@ class Run:
         return report_pieces(self.corpus, self.profile, self.dependencies, api_patterns)
 
 
-def start_run(files: DataFrame, language: str = "auto") -> Run:
+def start_run(
+    files: DataFrame, language: str = "auto", max_size: int | None = fv.MAX_FILE_BYTES
+) -> Run:
     """Survey the corpus, extract the dependencies and write the profile."""
-    corpus = survey_corpus(files, language)
-    dependencies = extract.find_dependencies(extract.readable_files(files))
+    corpus = survey_corpus(files, language, max_size=max_size)
+    dependencies = extract.find_dependencies(extract.readable_files(files, corpus.max_size))
     return Run(corpus, save_table(profile_repos(corpus)), save_table(dependencies))
 
 

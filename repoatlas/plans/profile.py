@@ -25,27 +25,30 @@ class Corpus:
     files: DataFrame
     survey: DataFrame
     analyzers: DataFrame
+    max_size: int = fv.MAX_FILE_BYTES
 
     def chosen(self, rows: DataFrame) -> DataFrame:
         return choose(rows, self.analyzers)
 
 
 def survey_corpus(
-    files: DataFrame, language: str = "auto", save: bool = True, readme_md: bool = True
+    files: DataFrame, language: str = "auto", save: bool = True, readme_md: bool = True,
+    max_size: int | None = fv.MAX_FILE_BYTES,
 ) -> Corpus:
     """Scan the contents once and keep what the later passes need.
 
     ``save`` writes the narrow survey and the analyzer of each repo to the shared scratch
     folder; without it every pass scans the contents again.  The analyzers need a scan of
-    `repo` and `path` only.
+    `repo` and `path` only.  Larger files than ``max_size`` (None: no limit) take no part.
     """
-    survey = survey_files(files, language, readme_md).filter(
+    limit = fv.NO_LIMIT if max_size is None else max_size
+    survey = survey_files(files, language, readme_md, limit).filter(
         F.col("is_gathered") | F.col("is_example_config") | agg.is_wrapper()
     )
     analyzers = select_analyzer(files, language)
     if save:
         survey, analyzers = save_table(survey), save_table(analyzers)
-    return Corpus(files, survey, analyzers)
+    return Corpus(files, survey, analyzers, limit)
 
 
 # -- C1 ---------------------------------------------------------------------
