@@ -89,7 +89,8 @@ def in_excluded_dir(
     """True below an excluded directory.
 
     ``match='segment'`` compares whole directory names; ``'substring'`` accepts the
-    name anywhere in the directory part.
+    name anywhere in the directory part.  The default list has `lemma` in it, a name that
+    other corpora may use for ordinary folders: pass ``dirs`` without it there.
     """
     dirs = list(dirs)
     if match == "segment":
