@@ -56,7 +56,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_embedding_near_dedup"] = """
 WITH RECURSIVE v AS (
-    SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 ), links AS MATERIALIZED (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b
     ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
