@@ -7,8 +7,8 @@ lists of these are scanned; small sets near the boundary are entered there as we
 pairs across it. The boundary is the size at which both ways cost the same in all.
 
 Only connectedness is asked for, so a list that very many documents share is first compared
-with one of its documents, and what is left then, the pairs in such lists that lie in
-different groups, is compared one by one. No pair that could be similar is left out.
+with one of its documents, and what is left then, the pairs in such lists that lie in different
+groups, is compared in blocks. No pair that could be similar is left out.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ WORDS, PERCENT = 4, 85
 SKETCH_BITS, SKETCH_ROW = 21, 1 << 15
 #: Lists up to this length give all their pairs at once.
 SHORT = 24
+#: Documents of one side of a block of a longer list.
+LOT = 512
 #: Rows of a list of a very common element that are kept together; members of one comparison.
 LIST_ROWS, MEMBERS = 2048, 256
 #: A class of equal documents is skipped early if it is above this share of all documents.
@@ -242,16 +244,12 @@ def possible(a, b, n, doc, place, percent: int) -> tuple[np.ndarray, np.ndarray]
     return a[ok], b[ok]
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
-    """The pairs ``a, b`` that are similar, by their whole sets.
-
-    One of the two sets travels to the other: the pairs of a document are dealt out in lots.
-    """
+def _sets(ends: DataFrame, docs: DataFrame, words: int, folder: str) -> DataFrame:
+    """``doc, elements`` of the documents named in ``ends``; the others are left out early."""
     spark = docs.sparkSession
-    pairs = save_table(pairs, f"{folder}/pairs")
     bits = 1 << FILTER_BITS
     slot = F.pmod(F.xxhash64("doc"), F.lit(bits)).cast("int")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    ends = save_table(ends.distinct(), f"{folder}/ends")
     marked = np.zeros(bits, bool)
     some = ends.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy()  # at most ``bits`` numbers
     marked[some] = True
@@ -267,8 +265,17 @@ def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, folde
 
     source = docs.select(F.col("doc_id").alias("doc"), "text").filter("doc IS NOT NULL")
     found = source.withColumn("s", slot).mapInArrow(sets, "doc long, elements binary")
-    found = found.join(save_table(ends.distinct(), f"{folder}/ends"), "doc", "left_semi")
-    found = save_table(found.dropDuplicates(["doc"]), f"{folder}/sets")
+    return save_table(found.join(ends, "doc", "left_semi").dropDuplicates(["doc"]), f"{folder}/sets")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """The pairs ``a, b`` that are similar, by their whole sets.
+
+    One of the two sets travels to the other: the pairs of a document are dealt out in lots.
+    """
+    spark = docs.sparkSession
+    pairs = save_table(pairs, f"{folder}/pairs")
+    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc")), docs, words, folder)
     lots = save_table(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_lots")), f"{folder}/lots")
     members = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("_lots")).cast("int"))
     members = members.join(found, members["b"] == found["doc"]).select("a", "lot", "b", "elements")
@@ -380,9 +387,11 @@ def similar_groups(
     if again.count():
         links = links.unionByName(_compared(again, docs, words, percent, f"{folder}/2"))
         roots = connected_components(links)
-    rest = save_table(_apart(_long_pairs(met.filter("b IS NULL"), roots, percent, folder), roots), f"{folder}/rest")
-    if rest.count():
-        links = links.unionByName(_compared(rest, docs, words, percent, f"{folder}/3"))
+    # the lists above SHORT that still hold two groups, each pair in one of its lists
+    long = met.filter("b IS NULL").select(F.col("a").alias("doc"), "key", "n")
+    blocks = save_table(_list_blocks(_in_two_groups(long, roots, folder), percent), f"{folder}/blocks")
+    if blocks.limit(1).count():
+        links = links.unionByName(_compared_blocks(blocks, docs, words, percent, f"{folder}/3"))
         roots = connected_components(links)
     joined = out.join(roots, out["doc_id"] == roots["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
@@ -399,16 +408,85 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter("_la <> _lb").select("a", "b")
 
 
-def _long_pairs(rows: DataFrame, roots: DataFrame, percent: int, folder: str) -> DataFrame:
-    """Possible pairs of long lists that hold more than one group."""
-    own = save_table(_labelled(rows.select(F.col("a").alias("doc"), "key", "n", "place"), "doc", roots, "label"), f"{folder}/long")
-    mixed_ = own.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high")
-    some = save_table(own.join(save_table(mixed_.select("key"), f"{folder}/mixed"), "key", "left_semi"), f"{folder}/some")
-    x, y = some.alias("x"), some.alias("y")
-    size = F.col("x.n") + F.col("y.n")
-    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    return x.join(y, F.col("x.key") == F.col("y.key")).filter(
-        (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (100 * most >= percent * (size - most))
-    ).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+def _in_two_groups(rows: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
+    """Rows, with their label, of the lists that hold more than one group."""
+    own = save_table(_labelled(rows, "doc", roots, "label"), f"{folder}/long")
+    lists = own.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high")
+    lists = save_table(lists.select("key"), f"{folder}/lists")
+    return save_table(own.join(lists, "key", "left_semi"), f"{folder}/some")
+
+
+def _list_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """``key, s, t, doc, partners``: what is to be compared in which block of which list.
+
+    Rows of a list are dealt over lots of ``LOT`` documents, and every two lots make a block.
+    A pair is left to the list with the smallest key that both documents are in. ``partners``
+    are documents of other groups whose sizes allow a similarity, each pair once.
+    """
+    every = save_table(rows.groupBy("doc").agg(F.collect_set("key").alias("keys")))
+    sizes = save_table(rows.groupBy("key").agg(F.ceil(F.count("*") / LOT).cast("int").alias("_lots")))
+    lot = F.pmod(F.xxhash64("doc"), F.col("_lots")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_lots") - 1))
+    dealt = rows.join(every, "doc").join(sizes, "key").withColumn("_u", lot).withColumn("_v", other)
+    dealt = dealt.select(
+        "key", F.least("_u", "_v").alias("s"), F.greatest("_u", "_v").alias("t"), F.col("_u").alias("lot"),
+        "doc", "n", "label", "keys")
+
+    def pick(table: pa.Table) -> pa.Table:
+        key, s, t = (table[c][0].as_py() for c in ("key", "s", "t"))
+        doc, n, label, lot = (table[c].to_numpy() for c in ("doc", "n", "label", "lot"))
+        known = table["keys"].combine_chunks()
+        owner = np.repeat(np.arange(len(doc)), np.asarray(pa.compute.list_value_length(known)))
+        flat = known.flatten().to_numpy()
+        smaller = flat < key
+        ids, column = np.unique(flat[smaller], return_inverse=True)
+        held = np.zeros((len(doc), len(ids)), np.float32)
+        held[owner[smaller], column] = 1
+        open_ = (held @ held.T == 0) & (label[:, None] != label[None]) & (doc[:, None] < doc[None])
+        if s != t:
+            open_ &= lot[:, None] != lot[None]
+        i, j = np.nonzero(open_)
+        i, j = possible(i, j, n, doc, np.zeros_like(n), percent)  # not their first common element
+        used = np.unique(np.concatenate([i, j]))
+        order = np.argsort(i, kind="stable")
+        ends = np.searchsorted(i[order], used, "right")
+        partners = [doc[j[order[a:b]]] for a, b in zip(np.searchsorted(i[order], used), ends)]
+        m = len(used)
+        return pa.table({
+            "key": pa.array([key] * m, pa.int64()), "s": pa.array([s] * m, pa.int32()), "t": pa.array([t] * m, pa.int32()),
+            "doc": pa.array(doc[used], pa.int64()), "partners": pa.array(partners, pa.list_(pa.int64())),
+        })
+
+    return dealt.groupBy("key", "s", "t").applyInArrow(pick, "key long, s int, t int, doc long, partners array<long>")
+
+
+def _compared_blocks(blocks: DataFrame, docs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """Links of the blocks, as few as connect the same documents."""
+    found = _sets(blocks.select("doc"), docs, words, folder)
+    joined = blocks.join(found.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).drop("_doc")
+
+    def check(table: pa.Table) -> pa.Table:
+        doc = table["doc"].to_pylist()
+        sets = {d: np.frombuffer(e.as_py(), np.uint64) for d, e in zip(doc, table["elements"])}
+        root = {d: d for d in doc}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        for d, partners in zip(doc, table["partners"].to_pylist()):
+            own = sets[d]
+            for p in partners:
+                a, b = find(d), find(p)
+                if a != b and p in sets:
+                    at = np.searchsorted(own, sets[p])
+                    both = int((own[np.minimum(at, len(own) - 1)] == sets[p]).sum())
+                    if similar(both, len(own), len(sets[p]), percent):
+                        root[max(a, b)] = min(a, b)
+                        links.append((d, p))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return save_table(joined.groupBy("key", "s", "t").applyInArrow(check, "a long, b long"), f"{folder}/links")
