@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,45 +23,107 @@ from repoatlas.llm.common import running_start, small_batches, texts_of
 from repoatlas.sources.scratch import save_table
 
 CAPACITY = 2048
-#: Words whose ids a worker keeps; beyond that it starts anew. Longer words are not kept.
-CACHED_WORDS, CACHED_BYTES = 300_000, 48
+#: Words whose ids a worker keeps, and as many of before; longer words are not kept.
+CACHED_WORDS, CACHED_BYTES = 200_000, 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary of a byte-level tokenizer.
+
+    Printable characters stand for themselves, the others come from U+0100 on, in order.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """Ids of the words of a text, as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins characters across white space, so the ids of a text are those
-    of its words in order, and each distinct word is tokenized once.
+    The tokenizer never joins characters across white space, nor a letter or digit with a
+    following ``.,;:!?``, and it lower-cases, so each distinct word is tokenized once, without
+    such endings, and the ids of a text are those of its words in order.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.bpe, self.letters = self.model.model, byte_letters()
+        self.old: dict[bytes, bytes] = {}
+        self.mark = "<|startoftext|>"
+        (self.mark_id,) = self.model.encode(self.mark, add_special_tokens=False).ids
+
+    def learn_letters(self, words: list[bytes]) -> list[bytes]:
+        """Learn the words of Latin letters alone and return the others.
+
+        Such a word is one unit for the tokenizer and needs no normalization but lower case,
+        so it can go to the model itself.
+        """
+        others = []
+        for word in words:
+            text = word.decode()
+            low = text.lower()
+            if text.isalpha() and low.isalpha() and max(low) < "\u0250":
+                letters = low.encode().decode("latin-1").translate(self.letters)
+                self[word] = np.array([t.id for t in self.bpe.tokenize(letters)], "<u4").tobytes()
+            else:
+                others.append(word)
+        return others
 
     def learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            found = self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, encoding in zip(part, found):
-                self[word] = np.array(encoding.ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        unknown = [w for w in set(words) if w not in self]
-        if unknown:
-            self.learn(unknown)
-        ids = b"".join(map(self.__getitem__, words))
+        """Many words go to the tokenizer as one text, with a special token between them."""
+        words = self.learn_letters(words)
+        plain = [w for w in words if b"<|" not in w]
+        for word in words:
+            if b"<|" in word:
+                ids = self.model.encode(word.decode(), add_special_tokens=False).ids
+                self[word] = np.array(ids, "<u4").tobytes()
+        for i in range(0, len(plain), 512):
+            part = plain[i : i + 512]
+            text = self.mark.join(w.decode() for w in part)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            data = ids.tobytes()
+            for word, a, b in zip(part, [-1, *cuts], [*cuts, len(ids)]):
+                self[word] = data[4 * (a + 1) : 4 * b]
+
+    def learn_words(self, words: Iterable[bytes]) -> None:
+        parts = {}
+        for word in words:
+            base = word.lower() if word.isascii() else word
+            core = base.rstrip(b".,;:!?")
+            if core == base or not core or b"<|" in base or not core.decode()[-1].isalnum():
+                core = base
+            parts[word] = core, base[len(core) :]
+        self.learn([w for w in {p for both in parts.values() for p in both if p} if w not in self])
+        for word, (core, tail) in parts.items():
+            self[word] = self[core] + self[tail] if tail else self[core]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        unknown = set(chain.from_iterable(words)).difference(self)
+        before = unknown.intersection(self.old)
+        self.update((w, self.old[w]) for w in before)
+        self.learn_words(unknown - before)
+        ids = [b"".join(map(self.__getitem__, own)) for own in words]
         if len(self) > CACHED_WORDS:
+            self.old = {w: ids for w, ids in self.items() if len(w) <= CACHED_BYTES}
             self.clear()
         else:
             for word in unknown:
                 if len(word) > CACHED_BYTES:
-                    del self[word]
+                    self.pop(word, None)
         return ids
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One table of words per worker process and tokenizer."""
+    return WordIds(path)
+
+
 def cut_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0,
     id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
@@ -75,12 +139,13 @@ def cut_pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = WordIds(tokenizer)
+        known = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
-                ids = known.encode(text) + end
+            found = known.encode(list(texts_of(batch, "text")))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), found):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     row = (doc, piece, at // 4, len(own) // 4, zlib.crc32(own))

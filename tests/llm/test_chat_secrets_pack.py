@@ -180,7 +180,7 @@ def test_packing_query_on_whole_table(spark):
 
 def test_packing_of_odd_documents(spark):
     texts = [None, "", " ", "Don't STOP we'll", "a" * 9000, "x " * 5000, "e\u0301 \u0301", "<|endoftext|>a b",
-             "\u2028x\x1cy\u00a0z", "日本語 текст ß ǅ İ", "same", "same"]
+             "\u0130I \u01c5x \u00df\u00c4 \u0149 stra\u00dfe\u00c9T\u00c9. A\u030angstr\u00f6m fi\ufb01", "\u2028x\x1cy\u00a0z", "日本語 текст ß ǅ İ", "same", "same"]
     docs = [(min(i, 10), t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, 5) for i, t in docs], "doc_id long, text string, length int")
     check_packed(pack.pack_documents(df, queries.tokenizer_path()).collect(), docs)
