@@ -417,20 +417,28 @@ def _in_two_groups(rows: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
 
 
 def _list_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """``key, s, t, doc, partners``: what is to be compared in which block of which list.
+    """``h1, l1, h2, l2, doc, partners``: what is to be compared in which block.
 
-    Rows of a list are dealt over lots of ``LOT`` documents, and every two lots make a block.
-    A pair is left to the list with the smallest key that both documents are in. ``partners``
-    are documents of other groups whose sizes allow a similarity, each pair once.
+    Rows of a list are dealt over lots of ``LOT`` documents, and every two lots are looked at
+    together. A pair is left to the list with the smallest key that both documents are in.
+    ``partners`` are documents of other groups whose sizes allow a similarity, each pair once.
+    Documents have as home the smallest document in any of their lists, which nearly alike
+    ones share. Pairs are compared in blocks by home, so that a set travels to few of them.
     """
-    every = save_table(rows.groupBy("doc").agg(F.collect_set("key").alias("keys")))
-    sizes = save_table(rows.groupBy("key").agg(F.ceil(F.count("*") / LOT).cast("int").alias("_lots")))
     lot = F.pmod(F.xxhash64("doc"), F.col("_lots")).cast("int")
+    lists = rows.groupBy("key").agg(F.ceil(F.count("*") / LOT).cast("int").alias("_lots"), F.min("doc").alias("lead"))
+    lists = save_table(lists)
+    sizes = lists.select("key", "_lots")
+    homes = rows.join(lists.select("key", "lead"), "key").groupBy("doc").agg(
+        F.collect_set("key").alias("keys"), F.min("lead").alias("home"))
+    homes = save_table(homes)
+    full = homes.groupBy("home").agg(F.ceil(F.count("*") / LOT).cast("int").alias("_lots"))
+    every = homes.join(save_table(full), "home").select("doc", "keys", "home", lot.alias("home_lot"))
     other = F.explode(F.sequence(F.lit(0), F.col("_lots") - 1))
     dealt = rows.join(every, "doc").join(sizes, "key").withColumn("_u", lot).withColumn("_v", other)
     dealt = dealt.select(
         "key", F.least("_u", "_v").alias("s"), F.greatest("_u", "_v").alias("t"), F.col("_u").alias("lot"),
-        "doc", "n", "label", "keys")
+        "doc", "n", "label", "keys", "home", "home_lot")
 
     def pick(table: pa.Table) -> pa.Table:
         key, s, t = (table[c][0].as_py() for c in ("key", "s", "t"))
@@ -447,17 +455,27 @@ def _list_blocks(rows: DataFrame, percent: int) -> DataFrame:
             open_ &= lot[:, None] != lot[None]
         i, j = np.nonzero(open_)
         i, j = possible(i, j, n, doc, np.zeros_like(n), percent)  # not their first common element
-        used = np.unique(np.concatenate([i, j]))
-        order = np.argsort(i, kind="stable")
-        ends = np.searchsorted(i[order], used, "right")
-        partners = [doc[j[order[a:b]]] for a, b in zip(np.searchsorted(i[order], used), ends)]
-        m = len(used)
-        return pa.table({
-            "key": pa.array([key] * m, pa.int64()), "s": pa.array([s] * m, pa.int32()), "t": pa.array([t] * m, pa.int32()),
-            "doc": pa.array(doc[used], pa.int64()), "partners": pa.array(partners, pa.list_(pa.int64())),
-        })
-
-    return dealt.groupBy("key", "s", "t").applyInArrow(pick, "key long, s int, t int, doc long, partners array<long>")
+        places = list(zip(table["home"].to_pylist(), table["home_lot"].to_pylist()))
+        number = {p: x for x, p in enumerate(sorted(set(places)))}
+        place = np.array([number[p] for p in places], np.int64)
+        block = np.minimum(place[i], place[j]) * len(number) + np.maximum(place[i], place[j])
+        known_places = sorted(number)
+        out: list[tuple] = []
+        for b in np.unique(block).tolist():
+            mine = block == b
+            own, other = i[mine], j[mine]
+            used = np.unique(np.concatenate([own, other]))
+            order = np.argsort(own, kind="stable")
+            starts, ends = (np.searchsorted(own[order], used, side) for side in ("left", "right"))
+            low, high = known_places[b // len(number)], known_places[b % len(number)]
+            out += [(*low, *high, int(doc[u]), doc[other[order[x:y]]]) for u, x, y in zip(used, starts, ends)]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        columns = list(zip(*out)) or [[]] * 6
+        return pa.table({c: pa.array(v, k) for c, v, k in zip(("h1", "l1", "h2", "l2", "doc", "partners"), columns, types)})
+
+    found = dealt.groupBy("key", "s", "t").applyInArrow(
+        pick, "h1 long, l1 int, h2 long, l2 int, doc long, partners array<long>")
+    return found.groupBy("h1", "l1", "h2", "l2", "doc").agg(F.flatten(F.collect_list("partners")).alias("partners"))
 
 
 def _compared_blocks(blocks: DataFrame, docs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
@@ -489,4 +507,4 @@ def _compared_blocks(blocks: DataFrame, docs: DataFrame, words: int, percent: in
                         links.append((d, p))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    return save_table(joined.groupBy("key", "s", "t").applyInArrow(check, "a long, b long"), f"{folder}/links")
+    return save_table(joined.groupBy("h1", "l1", "h2", "l2").applyInArrow(check, "a long, b long"), f"{folder}/links")
