@@ -25,6 +25,8 @@ THRESHOLD = 0.9
 MOST_CELLS, SAMPLE_PER_CELL, ROUNDS = 4096, 32, 8
 #: Vectors on a side of one compared block.
 BLOCK = 2048
+#: Rows of a block that are compared at once.
+CHUNK = 512
 SLACK = 1e-9
 
 
@@ -73,12 +75,14 @@ def lowest_labels(mask: np.ndarray, row_label: np.ndarray, col_label: np.ndarray
         rows, cols = new_rows, new_cols
 
 
-def compare_block(rows: dict, cols: dict, cell: int, threshold: float) -> dict:
+def compare_block(rows: dict, cols: dict, cell: int, threshold: float, chunk: int = CHUNK) -> dict:
     """Links counted at each vector of a block, and its smallest reachable id.
 
     ``rows`` live in the cell; ``cols`` live in it or visit it. A row counts every column it
     links with. A visiting column counts a row only if that row does not visit the column's
-    own cell, where the pair would be counted from the other side.
+    own cell, where the pair would be counted from the other side. The rows are taken by
+    ``chunk``; where a later one lowers the label of a column, the old label is linked with the
+    new one, so what the earlier chunks joined stays joined.
     """
     ids: list[np.ndarray] = []
     links: list[np.ndarray] = []
@@ -86,8 +90,8 @@ def compare_block(rows: dict, cols: dict, cell: int, threshold: float) -> dict:
     col_links = np.zeros(len(cols["id"]), np.int64)
     col_label = cols["id"].copy()
     visitor = cols["home"] != cell
-    for a in range(0, len(rows["id"]), 512):
-        part = slice(a, a + 512)
+    for a in range(0, len(rows["id"]), chunk):
+        part = slice(a, a + chunk)
         own = rows["id"][part]
         mask = rows["x"][part] @ cols["x"].T >= threshold
         mask &= own[:, None] != cols["id"][None]
@@ -99,13 +103,18 @@ def compare_block(rows: dict, cols: dict, cell: int, threshold: float) -> dict:
         links.append(small @ cols["n"][c])
         met = rows["goes"][part][np.ix_(r, cols["home"][c])]
         col_links[c] += rows["n"][part][r] @ (small & visitor[c][None] & ~met)
-        low, col_label[c] = lowest_labels(small, own[r], col_label[c])
+        before = col_label[c]
+        low, col_label[c] = lowest_labels(small, own[r], before)
         labels.append(low)
+        lowered = col_label[c] < before
+        joined = np.unique(np.stack([before[lowered], col_label[c][lowered]]), axis=1)
+        ids.append(joined[0])
+        links.append(np.zeros(joined.shape[1], np.int64))
+        labels.append(joined[1])
     some = col_links > 0
-    other = col_label != cols["id"]
-    ids += [cols["id"][some | other]]
-    links += [col_links[some | other]]
-    labels += [col_label[some | other]]
+    ids.append(cols["id"][some])
+    links.append(col_links[some])
+    labels.append(col_label[some])
     return {"vec_id": np.concatenate(ids), "links": np.concatenate(links), "label": np.concatenate(labels)}
 
 

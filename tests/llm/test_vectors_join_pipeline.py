@@ -75,6 +75,27 @@ def test_near_duplicate_vectors_equal_brute_force(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 512])
+def test_labels_of_a_block_keep_what_earlier_chunks_joined(chunk):
+    rng = np.random.default_rng(6)
+    for turn in range(20):
+        x = rng.normal(size=(24, 3))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        ids = rng.permutation(24).astype(np.int64)
+        rows, cols = slice(0, 12), slice(12, 24)  # the columns visit, none is a row
+        block = {"id": ids[rows], "x": x[rows], "n": np.ones(12, np.int64), "goes": np.zeros((12, 2), bool)}
+        visitors = {"id": ids[cols], "x": x[cols], "n": np.ones(12, np.int64), "home": np.ones(12, np.int32)}
+        got = embedding_dedup.compare_block(block, visitors, 0, 0.8, chunk)
+        linked = np.argwhere(x[rows] @ x[cols].T >= 0.8)
+        links = [(int(ids[a]), int(ids[12 + b])) for a, b in linked]
+        edges = list(zip(got["vec_id"].tolist(), got["label"].tolist()))
+        assert components(ids.tolist(), edges) == components(ids.tolist(), links), turn
+        counts = defaultdict(int)
+        for i, n in zip(got["vec_id"].tolist(), got["links"].tolist()):
+            counts[i] += n
+        assert all(counts[i] == sum(i in pair for pair in links) for i in ids.tolist())
+
+
 def brute_nearest(rows, k=10):
     ids = np.array([i for i, _ in rows])
     x = np.stack([v for _, v in rows])
