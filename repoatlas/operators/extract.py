@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repoatlas import fixed_values as fv
 from repoatlas.functions import content as fc
 from repoatlas.functions import paths as fp
+from repoatlas.functions import score as fs
 from repoatlas.operators.classify import REPO
 
 DEPENDENCY_COLUMNS = [
@@ -20,9 +21,22 @@ def readable_files(files: DataFrame, max_size: int = fv.MAX_FILE_BYTES) -> DataF
     return files.filter((F.col("size") <= max_size) & ~fp.in_excluded_dir())
 
 
+#: Above every score: falling scores as rising numbers of one width.
+_TOP_SCORE = 10**12
+
+
+def _score() -> Column:
+    """Score of a build file in a Java repo, from its path and content."""
+    is_key = fp.is_key_file("java")
+    entry = ~is_key & fs.content_features()["has_gradle_entry"]
+    base = fs.points(entry, fv.ENTRY_POINT_WEIGHT) + fs.points(is_key, fv.KEY_FILE_WEIGHT)
+    return base + fs.java_points(from_content=True)
+
+
 def _position(*columns: str):
-    """Order key of a match: discovery order of its file, then its positions."""
+    """Order key of a match: falling `score` and discovery order of its file, its positions."""
     return F.concat(
+        F.lpad((F.lit(_TOP_SCORE) - F.col("score")).cast("string"), 13, "0"),
         fp.discovery_order(fp.is_key_file("java")), F.lit("\x01"),
         *[F.lpad(F.col(c).cast("string"), 8, "0") for c in columns],
     )
@@ -36,7 +50,7 @@ def gradle_dependencies(files: DataFrame, parenthesised: bool = False) -> DataFr
     ``parenthesised`` also takes ``config("g:n:v")``.
     """
     blocks = files.filter(F.col("path").endswith(".gradle")).select(
-        "repo", "path",
+        "repo", "path", _score().alias("score"),
         F.posexplode(
             F.regexp_extract_all("content", F.lit(fv.GRADLE_DEPENDENCY_BLOCK), F.lit(1))
         ).alias("block", "body"),
@@ -60,10 +74,10 @@ def gradle_dependencies(files: DataFrame, parenthesised: bool = False) -> DataFr
 
     rows = (
         blocks.select(
-            "repo", "path", "block",
+            "repo", "path", "score", "block",
             F.explode(F.concat(*[matches(k, r) for k, r in notations.items()])).alias("found"),
         )
-        .select("repo", "path", "block", "found.*")
+        .select("repo", "path", "score", "block", "found.*")
         .withColumns(
             {
                 name: group(number)
@@ -91,7 +105,7 @@ def gradle_dependencies(files: DataFrame, parenthesised: bool = False) -> DataFr
 def maven_dependencies(files: DataFrame) -> DataFrame:
     """Dependencies with a version of ``pom.xml`` files, one row each."""
     matches = files.filter(F.col("path").endswith("pom.xml")).select(
-        "repo", "path",
+        "repo", "path", _score().alias("score"),
         F.posexplode(
             F.regexp_extract_all("content", F.lit(fv.MAVEN_DEPENDENCY_ONCE), F.lit(0))
         ).alias("position", "m"),
@@ -107,7 +121,7 @@ def maven_dependencies(files: DataFrame) -> DataFrame:
 
 
 def find_dependencies(files: DataFrame, parenthesised: bool = False) -> DataFrame:
-    """Gradle and Maven dependencies, in the order they are found."""
+    """Gradle and Maven dependencies; `ord` is by score of the file, then as they are found."""
     return gradle_dependencies(files, parenthesised).unionByName(maven_dependencies(files))
 
 
@@ -126,7 +140,7 @@ def gradle_plugins(files: DataFrame, mode: str = "all") -> DataFrame:
         raise ValueError(f"mode must be 'all' or 'last', not {mode!r}")
     return (
         files.filter(F.col("path").endswith(".gradle"))
-        .select("repo", "path", F.posexplode(ids).alias("position", "plugin"))
+        .select("repo", "path", _score().alias("score"), F.posexplode(ids).alias("position", "plugin"))
         .select("repo", "path", "plugin", _position("position").alias("ord"))
     )
 

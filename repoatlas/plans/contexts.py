@@ -176,11 +176,13 @@ def earlier_outputs(step_outputs: DataFrame) -> DataFrame:
 
 
 def draft_context(
-    corpus: Corpus, step_outputs: DataFrame, dependencies: DataFrame
+    corpus: Corpus, step_outputs: DataFrame, dependencies: DataFrame,
+    n: int | None = fv.DEPENDENCIES_SHOWN,
 ) -> DataFrame:
-    """Step 3: outputs of steps 1 and 2, dependencies, entry points, key contents."""
+    """Step 3: outputs of steps 1 and 2, the first ``n`` (None: all) dependencies, entry
+    points, key contents."""
     java = corpus.analyzers.filter(F.col("analyzer") == "java").select("repo")
-    first = first_n(dependencies.select("repo", "text", "ord"), fv.DEPENDENCIES_SHOWN, ["repo"])
+    first = first_n(dependencies.select("repo", "text", "ord"), n, ["repo"])
     listed = (
         first.filter(fc.non_blank(F.col("text")))
         .join(java, "repo", "left_semi")

@@ -362,3 +362,24 @@ def test_quick_start_report(spark):
     )
     with pytest.raises(ValueError):
         profile.report_pieces(run.corpus, run.profile, run.dependencies, form="other")
+
+
+def test_first_dependencies_are_those_of_the_files_with_the_highest_score(spark):
+    def block(name):
+        return "dependencies {" + "".join(f" api 'g:{name}{i:02d}:1'\n" for i in range(15)) + "}"
+
+    repo = {
+        "a/build.gradle": block("a"),  # score: gradle in the path
+        "b/build.gradle": "id 'org.springframework.boot'\n" + block("b"),  # more: the boot plugin
+        "src/A.java": "class A {}",
+    }
+    files = make_files(spark, {"r": repo})
+    run = job.start_run(files, "java")
+    first = [f"api 'g:b{i:02d}:1'" for i in range(15)] + [f"api 'g:a{i:02d}:1'" for i in range(15)]
+    outputs = spark.createDataFrame([], "repo string, step int, output string")
+    for n, want in ((20, first[:20]), (None, first), (3, first[:3])):
+        made = contexts.draft_context(run.corpus, outputs, run.dependencies, n)
+        found = made.filter("field = 'dependencies'").orderBy("ord").collect()
+        assert [r.content for r in found] == want
+    lines = profile.shown_dependencies(run.dependencies).orderBy("position").collect()
+    assert [r.line for r in lines] == [*first[:20], "... and 10 more"]
