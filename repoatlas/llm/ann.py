@@ -26,6 +26,8 @@ TABLES, WIDTH, SUCCESS = 4, 1.5, 0.6
 SAMPLE, SAMPLE_QUERIES = 5000, 200
 #: Vectors of a group that one task compares; queries of an exact pass over all vectors.
 GROUP, EXACT_BLOCK = 16_384, 512
+#: Queries that one task compares with a group, about; a group with more of them is read by several.
+ASKS = 2048
 #: A bucket of more than this share of the index is split; there are at most as many of those.
 HEAVY = 65_536
 _ERF = np.vectorize(erf, otypes=[float])
@@ -128,6 +130,18 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
         "query_id", "rank", "vec_id", "score")
 
 
+def _dealt(placed: DataFrame, asks: DataFrame, most: int) -> DataFrame:
+    """Index rows and queries by group ``g`` and ``lot``.
+
+    The queries of a group are dealt over lots of about ``most``; its index rows are repeated
+    for every lot. Groups without queries are left out.
+    """
+    lots = save_table(asks.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias("_n")))
+    each = placed.join(lots, "g").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    some = asks.join(lots, "g").withColumn("lot", F.pmod(F.xxhash64("vec_id"), F.col("_n")).cast("int"))
+    return each.drop("_n").unionByName(some.drop("_n"))
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -209,7 +223,8 @@ def nearest_neighbours(
                                                  names=["g", "vec_id", "v", "keys", "asks"])
 
     shape = "g long, vec_id long, v binary, keys array<long>, asks boolean"
-    met = placed.mapInArrow(deal, shape).unionByName(queries.select("vec_id", "v").mapInArrow(ask, shape))
+    asked = save_table(queries.select("vec_id", "v").mapInArrow(ask, shape))
+    met = _dealt(placed.mapInArrow(deal, shape), asked, ASKS)
 
     def search(table: pa.Table) -> pa.Table:
         asks = table["asks"].combine_chunks()
@@ -218,22 +233,25 @@ def nearest_neighbours(
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         key, number = np.unique(x["keys"].combine_chunks().flatten().to_numpy(), return_inverse=True)
         wanted = q["keys"].combine_chunks()
-        has = np.zeros((q.num_rows, len(key)), bool)
-        row = np.repeat(np.arange(q.num_rows), np.asarray(pa.compute.list_value_length(wanted)))
+        length = np.asarray(pa.compute.list_value_length(wanted))
+        ends = np.concatenate([[0], np.cumsum(length)])
         flat = wanted.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(key, flat), len(key) - 1)
-        hit = key[at] == flat
-        has[row[hit], at[hit]] = True
         q_id, x_id = q["vec_id"].to_numpy(), x["vec_id"].to_numpy()
         q_all, x_all = as_matrix(q["v"], dim), as_matrix(x["v"], dim)
         parts = []
         for a in range(0, len(q_id), 64):
             some = slice(a, a + 64)
-            open_ = has[some][:, number]
+            own = flat[ends[a] : ends[min(a + 64, len(q_id))]]
+            at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+            hit = key[at] == own
+            row = np.repeat(np.arange(len(length[some])), length[some])
+            has = np.zeros((len(length[some]), len(key)), bool)
+            has[row[hit], at[hit]] = True
+            open_ = has[:, number]
             parts.append(_result(q_id[some], x_id, *best_of(q_all[some], q_id[some], x_all, x_id, k, open_)))
         return pa.Table.from_batches(parts)
 
-    found = save_table(_ranked(met.groupBy("g").applyInArrow(search, FOUND), k))
+    found = save_table(_ranked(met.groupBy("g", "lot").applyInArrow(search, FOUND), k))
     # Queries with too few candidates in their buckets: all vectors, block by block.
     full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
     short = save_table(queries.select("vec_id", "v").join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))

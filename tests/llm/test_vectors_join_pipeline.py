@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from repoatlas.llm import embedding_dedup, ngram_join, queries
+from repoatlas.llm import ann, embedding_dedup, ngram_join, queries
 from repoatlas.llm.ann import nearest_neighbours
 from repoatlas.llm.components import connected_components
 
@@ -143,6 +143,24 @@ def test_recall_on_whole_table(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_queries_of_a_group_are_dealt_over_lots(spark, monkeypatch):
+    shape = "g long, vec_id long, asks boolean"
+    placed = spark.createDataFrame([(i % 2, i, False) for i in range(20)], shape)
+    asks = spark.createDataFrame([(0, i, True) for i in range(300)] + [(1, 5, True)], shape)
+    lots = defaultdict(lambda: ([], []))
+    for r in ann._dealt(placed, asks, 10).collect():
+        lots[r.g, r.lot][r.asks].append(r.vec_id)
+    assert len(lots) == 31 and max(len(q) for _, q in lots.values()) <= 30
+    assert sorted(x for (g, _), (_, q) in lots.items() if g == 0 for x in q) == list(range(300))
+    assert all(sorted(index) == list(range(g, 20, 2)) for (g, _), (index, _) in lots.items())
+
+    rows, _ = odd_vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    whole = sorted(map(tuple, nearest_neighbours(df, F.lit(True)).collect()))
+    monkeypatch.setattr(ann, "ASKS", 40)  # 431 queries in one group
+    assert sorted(map(tuple, nearest_neighbours(df, F.lit(True)).collect())) == whole
+
+
 # --- n-gram join -----------------------------------------------------------------------------
 
 def brute_groups(rows, percent, words):
