@@ -166,17 +166,21 @@ def _document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 def _sample(docs: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """(language, number, slots, counts) of at most ``SAMPLE_CHUNKS * PER_CHUNK`` per language.
 
-    The documents of a language are dealt over chunks by their hashed id, and the first of each
-    chunk are taken, so no task orders a whole language.
+    The documents of a language are dealt over chunks by their hashed id and text, and the first
+    of each chunk are taken, so no task orders a whole language. A document is an id and a text:
+    rows that repeat both count once, rows that share a null or other id stay apart.
     """
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_CHUNKS)).alias("_chunk")
-    rank = Window.partitionBy("lang", "_chunk").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
-    chosen = docs.select("doc_id", "lang", chunk).withColumn("_rank", F.row_number().over(rank))
-    chosen = chosen.filter(F.col("_rank") <= PER_CHUNK)
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+    chunk = F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(SAMPLE_CHUNKS)).alias("_chunk")
+    rank = Window.partitionBy("lang", "_chunk").orderBy(F.xxhash64(F.lit(1), "doc_id", "_hash"), "doc_id", "_hash")
+    chosen = docs.select("doc_id", "_hash", "lang").distinct().select("*", chunk)
+    chosen = chosen.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= PER_CHUNK)
     place = (F.col("_rank") * SAMPLE_CHUNKS + F.col("_chunk")).cast("int").alias("_rank")
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), place)
+    chosen = chosen.select(
+        F.col("doc_id").alias("_id"), F.col("_hash").alias("_own"), F.col("lang").alias("_lang"), place)
     few = F.broadcast(chosen)  # a bounded number of rows per language
-    picked = docs.join(few, docs["doc_id"].eqNullSafe(few["_id"]) & (docs["lang"] == few["_lang"]))
+    same = docs["doc_id"].eqNullSafe(few["_id"]) & (docs["_hash"] == few["_own"]) & (docs["lang"] == few["_lang"])
+    picked = docs.join(few, same).dropDuplicates(["lang", "_rank"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):

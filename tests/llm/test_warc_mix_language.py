@@ -186,3 +186,15 @@ def test_ngrams_of_a_text_do_not_depend_on_its_neighbours():
         own, _ = language.ngram_slots([t])
         part = slots[:, starts[i] : starts[i] + own.shape[1]]
         assert (part == own).all() and (own >= 0).sum() == sum(max(0, len(t) - n + 1) for n in language.ORDERS)
+
+
+def test_language_sample_is_bounded_for_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_CHUNKS", 4)
+    monkeypatch.setattr(language, "PER_CHUNK", 2)
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(1000 + i))
+    rows = [(None, f"null {word(i)}", "a") for i in range(60)] + [(7, f"seven {word(i)}", "b") for i in range(60)]
+    rows += [(9, "copies of one text", "c")] * 40
+    found = language._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    number = {lang: [n for own, n, *_ in found if own == lang] for lang in "abc"}
+    assert number == {"a": list(range(8)), "b": list(range(8)), "c": [0]}
+    assert len({(lang, slots.tobytes()) for lang, _, slots, _ in found}) == 17
