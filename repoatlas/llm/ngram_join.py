@@ -349,7 +349,7 @@ def similar_groups(
                 if skip.value.get(digest, doc) != doc:
                     continue
                 key, place, lots = order.value.keys(elements)
-                lot = (doc * 0x9E3779B1 >> 7) % lots
+                lot = ((doc * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF) >> 7) % lots
                 parts.append((key, lot, np.full(len(key), len(elements)), np.full(len(key), doc), place, lots))
             if parts:
                 yield pa.RecordBatch.from_arrays(

@@ -293,3 +293,12 @@ def test_pipeline_runs(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_join_takes_hashed_ids(spark):
+    ids = [2**62 + 5, -(2**61), 2**40, 7]
+    text = "one two three four five six seven eight nine ten"
+    rows = [(ids[0], text), (ids[1], text + " eleven"), (ids[2], "quite other words in this text"), (ids[3], "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(df, percent=80).collect()}
+    assert got == {ids[0]: ids[1], ids[1]: ids[1], ids[2]: ids[2], ids[3]: 7}
