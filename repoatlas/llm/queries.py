@@ -11,6 +11,7 @@ from repoatlas.llm import chat, language, secrets, warc
 from repoatlas.llm.ann import nearest_neighbours
 from repoatlas.llm.common import table
 from repoatlas.llm.embedding_dedup import near_duplicates
+from repoatlas.llm.filter_audit import audit_filters
 from repoatlas.llm.mix import mix_sources
 from repoatlas.llm.ngram_join import similar_groups
 from repoatlas.llm.pack import pack_documents
@@ -186,3 +187,48 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+    SELECT doc_id, part,
+        (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+        + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+    FROM d
+), cells AS (
+    SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), x(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+    SELECT p.c || q.c || r.c || s.c || t.c AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+    FROM x AS p, x AS q, x AS r, x AS s, x AS t WHERE p.b | q.b | r.b | s.b | t.b = 31
+), steps AS (
+    SELECT filter_order, step, bits[step] AS bit,
+        coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS before FROM orders, range(1, 6) AS g(step)
+), counted AS (
+    SELECT part, filter_order, step, bit,
+        coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS removed,
+        coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost
+    FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+    redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+    toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""
