@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoatlas.llm import chat, language, secrets, warc
+from repoatlas.llm import chat, language, secrets, token_files, warc
 from repoatlas.llm.ann import nearest_neighbours
 from repoatlas.llm.common import table
 from repoatlas.llm.embedding_dedup import near_duplicates
 from repoatlas.llm.filter_audit import audit_filters
+from repoatlas.llm.lexical_search import ranked_search
 from repoatlas.llm.mix import mix_sources
 from repoatlas.llm.ngram_join import similar_groups
 from repoatlas.llm.pack import pack_documents
@@ -26,10 +27,10 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -232,3 +233,39 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
     toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM counted
 """
+
+
+@query
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.read_token_files(
+        token_files.encode_corpus(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+), docs AS MATERIALIZED (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+), total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs
+), m AS MATERIALIZED (
+    SELECT doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM docs, total
+), items AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM tf, total GROUP BY term, n_docs
+), scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
