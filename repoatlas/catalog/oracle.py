@@ -313,11 +313,19 @@ def _tables() -> dict[str, str]:
             "SELECT repo, path, unnest(ms) AS m, generate_subscripts(ms, 1) AS n FROM ("
             f"SELECT repo, path, regexp_extract_all(content, {q(fv.MAVEN_DEPENDENCY)}) AS ms FROM files WHERE ends_with(path, 'pom.xml')))"
         ),
+        "build_scores": (
+            f"SELECT repo, path, size, CASE WHEN {key_file('java')} THEN {fv.KEY_FILE_WEIGHT} "
+            f"WHEN contains({LOWER}, 'gradle') AND (regexp_matches(content, {q(fv.GRADLE_APPLY_APPLICATION)}) "
+            f"OR regexp_matches(content, {q(fv.GRADLE_PLUGINS_APPLICATION)})) THEN {fv.ENTRY_POINT_WEIGHT} ELSE 0 END "
+            f"+ {code_score('content')} + {java_extra()} AS score FROM files "
+            "WHERE ends_with(path, '.gradle') OR ends_with(path, 'pom.xml')"
+        ),
         "deps": (
-            f"SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN {key_file('java')} THEN 0 ELSE 1 END, path, block, kind, n) AS rn, "
+            "SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, "
+            f"CASE WHEN {key_file('java')} THEN 0 ELSE 1 END, path, block, kind, n) AS rn, "
             "count(*) OVER (PARTITION BY repo) AS total FROM ("
-            "SELECT repo, path, block, kind, n, text, size FROM gradle_deps JOIN files USING (repo, path) UNION ALL "
-            "SELECT repo, path, 0, 0, n, text, size FROM maven_deps JOIN files USING (repo, path)) "
+            "SELECT repo, path, block, kind, n, text, size, score FROM gradle_deps JOIN build_scores USING (repo, path) UNION ALL "
+            "SELECT repo, path, 0, 0, n, text, size, score FROM maven_deps JOIN build_scores USING (repo, path)) "
             f"WHERE size <= {fv.MAX_FILE_BYTES} AND NOT {excluded()}"
         ),
         "stats": (
@@ -334,8 +342,8 @@ def _tables() -> dict[str, str]:
         "tools": (
             "SELECT repo, tool, min(seen) AS seen FROM ("
             + " UNION ALL ".join(
-                f"SELECT repo, {q(tool)} AS tool, ord || chr(1) || '{digit}' AS seen FROM survey "
-                f"WHERE is_gathered AND analyzer = 'java' AND {test}"
+                f"SELECT repo, {q(tool)} AS tool, {{'fall': -score, 'ord': ord, 'digit': {digit}}} AS seen FROM scored "
+                f"WHERE analyzer = 'java' AND {test}"
                 for tool, digit, test in [
                     ("docker", 0, has("path", fv.TOOL_NAMES["docker"])),
                     ("spring-boot", 1, has("path", fv.TOOL_NAMES["spring-boot"])),
@@ -348,12 +356,12 @@ def _tables() -> dict[str, str]:
             + ") GROUP BY repo, tool"
         ),
         "scripts": (
-            f"SELECT repo, {KIND} AS kind, './' || path AS command, ord FROM survey "
-            f"WHERE is_gathered AND analyzer = 'java' AND {KIND} IS NOT NULL"
+            f"SELECT repo, {KIND} AS kind, './' || path AS command, {{'fall': -score, 'ord': ord}} AS place FROM scored "
+            f"WHERE analyzer = 'java' AND {KIND} IS NOT NULL"
         ),
         "commands": (
-            "SELECT repo, kind, command, row_number() OVER (PARTITION BY repo ORDER BY first, ord) AS pos FROM ("
-            "SELECT *, min(ord) OVER (PARTITION BY repo, kind) AS first FROM scripts) UNION ALL "
+            "SELECT repo, kind, command, row_number() OVER (PARTITION BY repo ORDER BY first, place) AS pos FROM ("
+            "SELECT *, min(place) OVER (PARTITION BY repo, kind) AS first FROM scripts) UNION ALL "
             "SELECT repo, 'gradle', './gradlew build', 1 FROM analyzers WHERE repo NOT IN (SELECT repo FROM scripts) UNION ALL "
             "SELECT repo, 'run', './gradlew run', 2 FROM survey WHERE is_gathered AND path = 'build.gradle' "
             "AND contains(body, 'mainClass') AND repo NOT IN (SELECT repo FROM scripts)"
@@ -540,9 +548,52 @@ def java_sql(body: str) -> str:
     return sql(body, **gathered_with("(SELECT DISTINCT repo, 'java' AS analyzer FROM files)"))
 
 
+def _four_languages() -> str:
+    """``repo, analyzer`` where the language of `queries.SCRIPTS` is looked for first."""
+    return (
+        f"SELECT repo, CASE WHEN bool_or(path = 'app.py' OR starts_with(path, 'app.py/') OR path = 'ops' OR starts_with(path, 'ops/')) "
+        f"THEN 'scripts' WHEN {_markers('java')} THEN 'java' WHEN {_markers('python')} THEN 'python' "
+        f"WHEN {_markers('javascript')} THEN 'javascript' ELSE 'java' END AS analyzer FROM files GROUP BY repo"
+    )
+
+
+def plugin_sql(body: str) -> str:
+    """SQL over ``classified``: files of four languages, those of the new one by their own rules."""
+    key = within("path", [*fv.COMMON_KEY_FILES, "app.py"])
+    lang = case(SUFFIX, {".sh": "Shell", ".ts": "TypeScript", ".md": "Markdown", ".yml": "YAML"}, "Unknown")
+    columns = "repo, analyzer, path, size, lang, is_key, is_entry, is_config, ord, body, score"
+    own = (
+        f"SELECT *, CASE WHEN is_key THEN '0' ELSE '1' END || path AS ord, "
+        "CASE WHEN is_entry THEN 100 ELSE 0 END + CASE WHEN is_key THEN 80 ELSE 0 END "
+        f"+ 2 * {count('body', 'the ')} + CASE WHEN contains(path, 'scripts') THEN 40 ELSE 0 END AS score FROM ("
+        "SELECT *, NOT is_key AND ((lang = 'Shell' AND starts_with(body, '#!')) OR starts_with(path, 'scripts/')) AS is_entry, "
+        f"{CONFIG} OR (NOT is_key AND ({SHELL} OR {EXAMPLE})) OR {SPECIAL} AS is_config FROM ("
+        f"SELECT repo, analyzer, path, size, content AS body, {lang} AS lang, {key} AS is_key "
+        f"FROM files JOIN ({_four_languages()}) USING (repo) WHERE analyzer = 'scripts' AND size <= {fv.MAX_FILE_BYTES} "
+        f"AND path <> {q(fv.CI_FILE)} AND NOT {SONAR} AND NOT {excluded()} "
+        f"AND ({key} OR {SHELL} OR {EXAMPLE} OR {README} OR {ends('path', ['.sh', '.ts', '.md'])})))"
+    )
+    others = gathered_with(f"(SELECT * FROM ({_four_languages()}) WHERE analyzer <> 'scripts')")
+    return sql(
+        body, **others, classified=f"SELECT {columns} FROM ({own}) UNION ALL SELECT {columns} FROM scored"
+    )
+
+
 DIGEST = "md5(coalesce(content, ''))"
 
 
+#: The files as they are stored by source, and their places in a tar of each source.
+STORED = (
+    "SELECT doc_id, coalesce(source, 'none') AS source, repo || '/' || path AS inside, content, "
+    "CAST(strlen(content) AS BIGINT) AS size FROM files_id JOIN (SELECT doc_id, source FROM documents) USING (doc_id)"
+)
+HALVES = (
+    "SELECT *, sum(room) OVER (PARTITION BY source) // 2 AS half, "
+    "sum(room) OVER (PARTITION BY source ORDER BY inside) - room + 512 + size AS until FROM ("
+    f"SELECT *, 512 + (size + 511) // 512 * 512 AS room FROM ({STORED}))"
+)
+
+
 def block(path: str = "path", content: str = "content") -> str:
     return f"'### ' || {path} || '\n```\n' || {content} || '\n```\n\n'"
 
@@ -668,6 +719,28 @@ def _lists() -> str:
     )
 
 
+def _list_order() -> str:
+    """Places in the lists: those of a language and the READMEs by score, the others as found."""
+    found = {
+        "entry_points": ("is_entry", "ord"),
+        "config_files": ("is_config OR is_example", "CASE WHEN is_config THEN '0' || ord ELSE '1' || path END"),
+        "example_config_files": ("is_example", "path"), "key_project_files": ("is_gathered AND is_key", "ord"),
+        "shell_scripts": (f"is_gathered AND {SHELL}", "ord"), "root_shell_scripts": (f"is_gathered AND {ROOT_SHELL}", "ord"),
+    }
+    scored = {
+        "readme_files": README, "java_files": "analyzer = 'java' AND lang = 'Java'",
+        "gradle_files": "analyzer = 'java' AND (lang = 'Gradle' OR ends_with(path, '.gradle'))",
+        "python_files": "analyzer = 'python' AND lang = 'Python'",
+    }
+    rows = [f"SELECT repo, '{name}' AS list, path, 0 AS fall, {order} AS place FROM survey WHERE {test}" for name, (test, order) in found.items()]
+    rows += [f"SELECT repo, '{name}', path, -score, ord FROM scored WHERE {test}" for name, test in scored.items()]
+    union = " UNION ALL ".join(rows)
+    return (
+        "SELECT repo, list, path, CAST(row_number() OVER (PARTITION BY repo, list ORDER BY fall, place) AS INTEGER) AS rank "
+        f"FROM ({union})"
+    )
+
+
 def _content_score() -> str:
     whens = " ".join(
         f"WHEN ends_with({LOWER}, {q(ext)}) THEN " + " + ".join(f"{count('content', r)} * {w}" for r, w in rules.items())
@@ -746,7 +819,34 @@ def oracle_sql() -> dict[str, str]:
     deps_java = "SELECT d.*, a.analyzer FROM deps d JOIN analyzers a USING (repo)"
     purpose = _kept("picked_1", 1, "key_files_content")
     return {
+        "u1_language_plugin": plugin_sql(
+            "SELECT repo, analyzer, path, lang AS language, is_key AS is_key_file, is_entry AS is_entry_point, "
+            "is_config, CAST(score AS INTEGER) AS importance_score FROM classified"
+        ),
+        "u1_plugin_profile": plugin_sql(
+            "SELECT repo, analyzer, CASE WHEN bool_or(lang = 'Java') THEN 'Java' ELSE (SELECT lang FROM classified d "
+            "WHERE d.repo = c.repo GROUP BY lang ORDER BY count(*) DESC, min(ord) LIMIT 1) END AS primary_language, "
+            "count(*) AS total_files, count_if(is_entry) AS n_entry_points, arg_min(path, (-score, ord)) AS best_file, "
+            "count_if(analyzer = 'scripts' AND lang = 'Markdown' AND regexp_matches(body, '\\S')) AS n_notes, "
+            f"CASE WHEN analyzer = 'scripts' THEN CAST(sum({count('body', 'the ')}) AS VARCHAR) ELSE '' END AS articles, "
+            "CASE WHEN analyzer = 'scripts' THEN CAST(max(size) AS VARCHAR) ELSE '' END AS largest "
+            "FROM classified c GROUP BY repo, analyzer"
+        ),
         "s1_scan_repos": sql(f"SELECT repo, path, size, {DIGEST} AS digest FROM files"),
+        "s1_archive_members": sql(f"SELECT source AS repo, inside AS path, size, {DIGEST} AS digest FROM ({STORED})"),
+        "s1_hidden_names": sql(
+            "SELECT source AS repo, CASE doc_id % 3 WHEN 0 THEN inside WHEN 1 THEN inside || '/.eslintrc' "
+            f"ELSE '_lib/' || inside || '/__main__.py' END AS path, size, {DIGEST} AS digest FROM ({STORED})"
+        ),
+        "s1_truncated_archives": sql(
+            f"SELECT source AS repo, inside AS path, size, {DIGEST} AS digest, false AS failed FROM ({HALVES}) WHERE until <= half "
+            f"UNION ALL SELECT DISTINCT source, source || '.tar', half, md5(''), true FROM ({HALVES})"
+        ),
+        "s5_unreadable_files": sql(
+            f"SELECT source AS repo, inside AS path, size, 'Unknown' AS language, size <= {rq.SMALL} AS has_content, "
+            f"md5(CASE WHEN size <= {rq.SMALL} THEN content ELSE '' END) AS digest, false AS failed FROM ({HALVES}) WHERE until <= half "
+            f"UNION ALL SELECT DISTINCT source, source || '.tar', -1, '', false, md5(''), true FROM ({HALVES})"
+        ),
         "s2_read_text": sql(
             f"SELECT repo, path, size, md5(content || '\nnext\nlast\n') AS digest FROM files WHERE size <= {rq.SMALL}"
         ),
@@ -830,8 +930,12 @@ def oracle_sql() -> dict[str, str]:
         "a4_select_analyzer": sql("SELECT * FROM analyzers"),
         "a5_repo_counts": sql("SELECT * FROM counts"),
         "a6_repo_lists": sql(_lists()),
+        "a6_list_order": sql(_list_order()),
         "a7_content_maps": sql(f"SELECT repo, path, {DIGEST} AS digest FROM survey WHERE is_gathered AND {README}"),
         "a8_custom_tools": sql("SELECT repo, tool FROM tools"),
+        "a8_tool_order": sql(
+            "SELECT repo, tool, CAST(row_number() OVER (PARTITION BY repo ORDER BY seen) AS INTEGER) AS rank FROM tools"
+        ),
         "a9_build_system": sql("SELECT b.* FROM builds b JOIN analyzers USING (repo) WHERE analyzer = 'java'"),
         "a10_last_completed_step": sql("SELECT repo, max(step) AS step FROM completions WHERE output <> '' GROUP BY repo"),
         "a11_combine_outputs": sql(
@@ -845,6 +949,14 @@ def oracle_sql() -> dict[str, str]:
             stereotypes=f"CAST({count('content', fv.STEREOTYPES)} AS INTEGER)",
         ),
         "a14_command_groups": sql("SELECT repo, kind, command FROM commands"),
+        "a14_command_order": sql(
+            "SELECT repo, kind, command, CAST(pos AS INTEGER) AS rank FROM commands",
+            files=(
+                "SELECT repo, path, CAST(strlen(content) AS BIGINT) AS size, content FROM files_id UNION ALL "
+                "SELECT repo, p, strlen(content), content FROM files_id, (VALUES ('a-stop.sh'), ('main-run.sh'), ('start-config.sh')) t(p) "
+                "WHERE path = 'start-local.sh'"
+            ),
+        ),
         "r1_score_base": sql(f"SELECT repo, path, {base_score()} AS score FROM survey WHERE is_gathered"),
         "r2_score_java": java_sql("SELECT repo, path, CAST(score AS INTEGER) AS score FROM scored"),
         "r3_score_understanding": java_sql(
@@ -958,6 +1070,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "c9_readme_quality_rules": sql(_quality_rules()),
         "c10_build_prompts": sql(_prompts()),
+        "c10_streamed_prompts": sql(_prompts()),
+        "u4_streamed_completions": sql(
+            f"SELECT repo, step, repo || '/' || step || ': ' || md5(prompt) AS output FROM ({_prompts()})"
+        ),
         "c11_evaluation_prompts": sql(_evaluation()),
         "c12_plan_steps": sql(
             "SELECT repo, CAST(s AS INTEGER) AS step, 'resume' AS run FROM (SELECT DISTINCT repo FROM step_outputs) "

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoatlas.catalog import views
+from repoatlas import fixed_values as fv
+from repoatlas.catalog import stored, views
 from repoatlas.functions import content as fc
 from repoatlas.functions import paths as fp
 from repoatlas.functions import score as fs
 from repoatlas.functions import text as ft
+from repoatlas.functions.languages import BUILT_IN, LanguageRules
 from repoatlas.operators import aggregate as agg
 from repoatlas.operators import extract, joins, rank
 from repoatlas.operators.classify import (
     REPO, choose, classify, gathered, select_analyzer, survey_files,
 )
+from repoatlas.operators.gather import gather_text
 from repoatlas.plans import contexts, job, profile, prompts, quality
 from repoatlas.sources import scan, sinks
 from repoatlas.sources.scratch import scratch_folder
@@ -39,6 +43,26 @@ NAMED_PATTERNS = {
     "assigned": r"(\w+) ?= ?\w+",
     "lines": r"[.]\n.\w+",
 }
+#: A fourth language, as a caller would add it.
+SCRIPTS = LanguageRules(
+    "scripts",
+    markers=["app.py", "ops"],
+    extensions=[".sh", ".ts", ".md"],
+    key_files=["app.py"],
+    languages={".sh": "Shell", ".ts": "TypeScript", ".md": "Markdown", ".yml": "YAML"},
+    features={
+        "n_articles": lambda content: F.regexp_count(content, F.lit("the ")),
+        "has_shebang": lambda content: content.startswith("#!"),
+    },
+    entry_point=lambda language: (
+        ((language == "Shell") & F.col("has_shebang")) | F.col("path").startswith("scripts/")
+    ),
+    score=lambda: F.col("n_articles") * 2 + fs.points(F.col("path").contains("scripts"), 40),
+    lists={"notes": lambda: (F.col("language") == "Markdown") & F.col("is_non_blank")},
+    facts={"articles": lambda: F.sum("n_articles"), "largest": lambda: F.max("size")},
+    overview="Scripts and their notes.",
+)
+FOUR_LANGUAGES = (SCRIPTS, *BUILT_IN)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -78,6 +102,40 @@ def s1_scan_repos(spark, sf_dir):
     return scan.scan_repos(spark, folder).select("repo", "path", "size", _digest())
 
 
+@query
+def s1_archive_members(spark, sf_dir):
+    """An archive per source, plain or compressed; one holds a third of all files at times."""
+    files = scan.scan_repos(spark, stored.corpus_archives(spark, sf_dir), "archive", max_size=None)
+    return files.select("repo", "path", "size", _digest())
+
+
+@query
+def s1_hidden_names(spark, sf_dir):
+    files = scan.scan_repos(spark, stored.corpus_folders(spark, sf_dir), "directory", max_size=None)
+    return files.select("repo", "path", "size", _digest())
+
+
+@query
+def s1_truncated_archives(spark, sf_dir):
+    """Archives that end in the middle: their members before that, and a row of the failure."""
+    folder = stored.corpus_archives(spark, sf_dir, halves=True)
+    files = scan.scan_repos(spark, folder, "archive", max_size=None, errors="rows")
+    return files.select("repo", "path", "size", _digest(), F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def s5_unreadable_files(spark, sf_dir):
+    """Records of files in damaged archives; the size limit leaves larger files without content."""
+    folder = stored.corpus_archives(spark, sf_dir, halves=True)
+    files = scan.scan_repos(spark, folder, "archive", max_size=SMALL, errors="rows")
+    return scan.file_info(files, SMALL).select(
+        "repo", "path", F.coalesce("size", F.lit(-1)).alias("size"),
+        F.coalesce("language", F.lit("")).alias("language"),
+        F.col("content").isNotNull().alias("has_content"), _digest(),
+        F.col("error").isNotNull().alias("failed"),
+    )
+
+
 @query
 def s2_read_text(spark, sf_dir):
     raw = F.concat("content", F.lit("\r\nnext\rlast\n")).cast("binary")
@@ -410,6 +468,14 @@ def a6_repo_lists(spark, sf_dir):
     return choose(agg.repo_lists(survey), analyzers).select("repo", "list", "path")
 
 
+@query
+def a6_list_order(spark, sf_dir):
+    """Every list with the places of its paths."""
+    survey, analyzers = _chosen_survey(spark, sf_dir)
+    placed = rank.first_n(agg.repo_lists(survey), None, [*REPO, "list"])
+    return choose(placed, analyzers).select("repo", "list", "path", "rank")
+
+
 @query
 def a7_content_maps(spark, sf_dir):
     files = views.files(spark, sf_dir)
@@ -427,6 +493,13 @@ def a8_custom_tools(spark, sf_dir):
     return choose(extract.custom_tools(survey), analyzers).select("repo", "tool")
 
 
+@query
+def a8_tool_order(spark, sf_dir):
+    survey, analyzers = _chosen_survey(spark, sf_dir)
+    placed = rank.first_n(extract.custom_tools(survey), None, REPO, "first_ord")
+    return choose(placed, analyzers).select("repo", "tool", "rank")
+
+
 @query
 def a9_build_system(spark, sf_dir):
     survey, analyzers = _chosen_survey(spark, sf_dir)
@@ -462,6 +535,21 @@ def a14_command_groups(spark, sf_dir):
     return choose(groups, analyzers).select("repo", "kind", "command")
 
 
+@query
+def a14_command_order(spark, sf_dir):
+    """Commands with their places in the repo; two scripts more make ties and two kinds."""
+    files = views.files(spark, sf_dir)
+    more = files.filter("path = 'start-local.sh'").select(
+        "repo", F.explode(F.array(*[F.lit(p) for p in ("a-stop.sh", "main-run.sh", "start-config.sh")])).alias("path"),
+        "size", "content",
+    )
+    files = files.unionByName(more)
+    survey, analyzers = survey_files(files), select_analyzer(files)
+    groups = agg.command_groups(agg.command_facts(survey), extract.find_commands(survey))
+    placed = rank.first_n(groups, None, REPO)
+    return choose(placed, analyzers).select("repo", "kind", "command", "rank")
+
+
 # -- ranking ----------------------------------------------------------------
 
 @query
@@ -819,21 +907,46 @@ def _step3_prompts(spark, sf_dir) -> DataFrame:
     return job.prompt_batch(slots, prompts.default_steps(spark))
 
 
-@query
-def c10_build_prompts(spark, sf_dir):
+def _all_slots(spark, sf_dir) -> DataFrame:
     run = job.start_run(views.files(spark, sf_dir))
     outputs = views.corpus_outputs(spark, sf_dir)
     contents = job.picked_contents(run)
-    slots = (
+    return (
         job.first_slots(run, contents)
         .unionByName(job.draft_slots(run, outputs))
         .unionByName(job.final_slots(run, contents, outputs, views.verdicts(spark, sf_dir)))
     )
-    return job.prompt_batch(slots, prompts.default_steps(spark)).select(
+
+
+@query
+def c10_build_prompts(spark, sf_dir):
+    return job.prompt_batch(_all_slots(spark, sf_dir), prompts.default_steps(spark)).select(
         "repo", "step", "prompt"
     )
 
 
+@query
+def c10_streamed_prompts(spark, sf_dir):
+    """The prompts put together from pieces of 1,000 characters."""
+    pieces = prompts.streamed_prompts(_all_slots(spark, sf_dir), prompts.default_steps(spark), 1000)
+    joined = gather_text(pieces, ["repo", "step"], order="part")
+    return joined.select("repo", "step", F.col("text").alias("prompt"))
+
+
+def _digest_of_pieces(repo, step, pieces):
+    """Stands for a model: answers with a digest of the prompt it was given."""
+    digest = hashlib.md5(usedforsecurity=False)
+    for text in pieces:
+        digest.update(text.encode())
+    return f"{repo}/{step}: {digest.hexdigest()}"
+
+
+@query
+def u4_streamed_completions(spark, sf_dir):
+    pieces = prompts.streamed_prompts(_all_slots(spark, sf_dir), prompts.default_steps(spark))
+    return prompts.run_completions(pieces, _digest_of_pieces)
+
+
 @query
 def c11_evaluation_prompts(spark, sf_dir):
     return quality.evaluation_prompts(_readme_files_pair(spark, sf_dir))
@@ -857,3 +970,33 @@ def c13_finalize(spark, sf_dir):
     return prompts.finalize(_page_outputs(spark, sf_dir), DATE, MODEL).select(
         "repo", _digest("readme"), "reasoning"
     )
+
+
+# -- plug-ins ---------------------------------------------------------------
+
+@query
+def u1_language_plugin(spark, sf_dir):
+    return classify(views.files(spark, sf_dir), languages=FOUR_LANGUAGES).select(
+        "repo", "analyzer", "path", "language", "is_key_file", "is_entry_point", "is_config",
+        "importance_score",
+    )
+
+
+@query
+def u1_plugin_profile(spark, sf_dir):
+    """Profile, own list and own facts of every repo, where one of four languages is new."""
+    files = views.files(spark, sf_dir)
+    corpus = profile.survey_corpus(files, languages=FOUR_LANGUAGES)
+    repos = profile.profile_repos(corpus).select(
+        "repo", "analyzer", "primary_language", "total_files", "n_entry_points",
+        F.get("top_files", F.lit(0))["path"].alias("best_file"),
+    )
+    notes = corpus.chosen(agg.repo_lists(corpus.survey, corpus.languages))
+    notes = notes.filter("list = 'notes'").groupBy("repo").agg(F.count("path").alias("n_notes"))
+    facts = corpus.chosen(agg.language_facts(corpus.survey, corpus.languages))
+    facts = facts.groupBy("repo").agg(
+        *[F.max(F.when(F.col("fact") == f, F.col("value"))).alias(f) for f in SCRIPTS.facts]
+    )
+    return repos.join(notes, "repo", "left").join(facts, "repo", "left").fillna(
+        {"n_notes": 0} | {f: "" for f in SCRIPTS.facts}
+    )

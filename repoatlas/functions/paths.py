@@ -103,28 +103,44 @@ def in_excluded_dir(
 
 # -- P2, P3 -----------------------------------------------------------------
 
+def _rules(analyzer):
+    # a record of language rules, or the name of a built-in one; the records are made of
+    # functions of this module, so they are looked up late
+    from repoatlas.functions.languages import rules_of
+
+    return rules_of(analyzer)
+
+
 def is_analyzable(
-    analyzer: str, path: Column | str | None = None, readme_md: bool = True
+    analyzer, path: Column | str | None = None, readme_md: bool = True
 ) -> Column:
     """Shell script, example configuration, or one of the analyzer's extensions.
 
+    ``analyzer`` is a `languages.LanguageRules` or the name of a built-in one.
+
     ``readme_md`` also lets nested ``readme.md`` files in.
     """
     p = _path(path)
-    keep = is_shell(p) | is_example_config(p) | ends_with_one(p, fv.EXTENSIONS[analyzer])
+    keep = is_shell(p) | is_example_config(p) | ends_with_one(p, _rules(analyzer).extensions)
     return keep | is_readme(p) if readme_md else keep
 
 
-def is_key_file(analyzer: str, path: Column | str | None = None) -> Column:
+def is_key_file(analyzer, path: Column | str | None = None) -> Column:
     """Root file with one of the common or the analyzer's key names."""
-    return _path(path).isin(fv.COMMON_KEY_FILES + fv.KEY_FILES[analyzer])
+    return _path(path).isin([*fv.COMMON_KEY_FILES, *_rules(analyzer).key_files])
+
+
+def is_candidate(path: Column | str | None = None, languages=None) -> Column:
+    """Key or analyzable for at least one analyzer: no other file is ever gathered.
 
+    ``languages`` are the records in use, by default the built-in ones.
+    """
+    from repoatlas.functions.languages import BUILT_IN
 
-def is_candidate(path: Column | str | None = None) -> Column:
-    """Key or analyzable for at least one analyzer: no other file is ever gathered."""
     p = _path(path)
-    names = {name for names in fv.KEY_FILES.values() for name in names}
-    extensions = {ext for table in fv.EXTENSIONS.values() for ext in table}
+    languages = BUILT_IN if languages is None else languages
+    names = {name for rules in languages for name in rules.key_files}
+    extensions = {ext for rules in languages for ext in [".sh", *rules.extensions]}
     return (
         p.isin(sorted(names | set(fv.COMMON_KEY_FILES)))
         | is_example_config(p)
@@ -193,14 +209,18 @@ def is_original_readme(path: Column | str | None = None) -> Column:
 
 # -- F1 ---------------------------------------------------------------------
 
-def detect_language(analyzer: str, path: Column | str | None = None) -> Column:
+def detect_language(analyzer, path: Column | str | None = None) -> Column:
     """Language of the path by the analyzer's suffix table, else ``Unknown``."""
     return language_of_suffix(analyzer, suffix(path))
 
 
-def language_of_suffix(analyzer: str, suffix_column: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in fv.LANGUAGES[analyzer].items() for x in pair])
-    return F.coalesce(F.element_at(table, suffix_column), F.lit(fv.UNKNOWN_LANGUAGE))
+def language_of_suffix(analyzer, suffix_column: Column) -> Column:
+    pairs = [F.lit(x) for pair in _rules(analyzer).languages.items() for x in pair]
+    if not pairs:
+        return F.lit(fv.UNKNOWN_LANGUAGE)
+    return F.coalesce(
+        F.element_at(F.create_map(*pairs), suffix_column), F.lit(fv.UNKNOWN_LANGUAGE)
+    )
 
 
 # -- J5 ---------------------------------------------------------------------
@@ -232,6 +252,15 @@ def script_command(path: Column | str | None = None) -> Column:
     )
 
 
+#: Above every score: falling scores as rising numbers of one width.
+_TOP_SCORE = 10**12
+
+
+def score_order(score: Column, order: Column) -> Column:
+    """Sort key of a file within its repo: highest score first, then ``order``."""
+    return F.concat(F.lpad((F.lit(_TOP_SCORE) - score).cast("string"), 13, "0"), order)
+
+
 def discovery_order(is_key: Column, path: Column | str | None = None) -> Column:
     """Sort key of a file within its repo: key files first, then by path."""
     return F.concat(F.when(is_key, F.lit("0")).otherwise(F.lit("1")), _path(path))

@@ -7,11 +7,14 @@ of them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas import fixed_values as fv
 from repoatlas.functions import paths as fp
+from repoatlas.functions.languages import BUILT_IN, LanguageRules
 from repoatlas.operators.classify import REPO
 from repoatlas.operators.gather import gather_text, with_part
 
@@ -84,24 +87,30 @@ def config_union(survey: DataFrame) -> DataFrame:
     return survey.filter(is_config_listed()).select(*REPO, "path", config_order().alias("ord"))
 
 
-def repo_lists(survey: DataFrame) -> DataFrame:
-    """``repo, analyzer, list, path, ord``: every path list of a repo, as rows."""
-    g = F.col("is_gathered")
-    java, python = F.col("analyzer") == "java", F.col("analyzer") == "python"
-    lang, p = F.col("language"), F.col("path")
+def repo_lists(survey: DataFrame, languages: Sequence[LanguageRules] = BUILT_IN) -> DataFrame:
+    """``repo, analyzer, list, path, ord``: every path list of a repo, as rows.
+
+    READMEs and the lists of a language are in the order of the score of their files, the
+    others as the files are found.
+    """
+    g, p = F.col("is_gathered"), F.col("path")
+    by_score = fp.score_order(F.col("importance_score"), F.col("ord"))
     lists = {
         "entry_points": F.col("is_entry_point"),
         "key_project_files": g & F.col("is_key_file"),
         "shell_scripts": g & F.col("is_shell"),
         "root_shell_scripts": g & F.col("is_root_shell"),
-        "readme_files": g & F.col("is_readme"),
-        "java_files": g & java & (lang == "Java"),
-        "gradle_files": g & java & ((lang == "Gradle") | p.endswith(".gradle")),
-        "python_files": g & python & (lang == "Python"),
     }
+    scored = [("readme_files", g & F.col("is_readme"))]
+    scored += [
+        (name, g & (F.col("analyzer") == rules.name) & make())
+        for rules in languages for name, make in rules.lists.items()
+    ]
+    placed = [(name, c, F.col("ord")) for name, c in lists.items()]
+    placed += [(name, c, by_score) for name, c in scored]
     member = [
-        F.when(condition, F.struct(F.lit(name).alias("list"), F.col("ord").alias("ord")))
-        for name, condition in lists.items()
+        F.when(condition, F.struct(F.lit(name).alias("list"), order.alias("ord")))
+        for name, condition, order in placed
     ]
     member.append(
         F.when(
@@ -120,6 +129,28 @@ def repo_lists(survey: DataFrame) -> DataFrame:
     ).select(*REPO, "m.list", "path", "m.ord")
 
 
+# -- U1 ---------------------------------------------------------------------
+
+def language_facts(survey: DataFrame, languages: Sequence[LanguageRules] = BUILT_IN) -> DataFrame:
+    """``repo, analyzer, fact, value``: the facts the languages ask for, null ones left out.
+
+    One aggregate over the gathered files of all repos; a value is shown as a string.
+    """
+    made = {
+        f"{rules.name}.{name}": F.when(F.col("analyzer") == rules.name, make().cast("string"))
+        for rules in languages for name, make in rules.facts.items()
+    }
+    rows = survey.filter("is_gathered")
+    if not made:
+        return rows.select(*REPO, F.lit("").alias("fact"), F.lit("").alias("value")).limit(0)
+    facts = F.array(*[
+        F.struct(F.lit(key.split(".", 1)[1]).alias("fact"), F.col(f"`{key}`").alias("value"))
+        for key in made
+    ])
+    found = rows.groupBy(*REPO).agg(*[column.alias(key) for key, column in made.items()])
+    return found.select(*REPO, F.inline(facts)).filter("value IS NOT NULL")
+
+
 # -- A7 ---------------------------------------------------------------------
 
 def readme_contents(files: DataFrame, survey: DataFrame) -> DataFrame:
@@ -229,8 +260,8 @@ def command_aggregates() -> list[Column]:
     """To be taken over the files with `is_command_sign`, or any more of the same repos."""
     g = F.col("is_gathered")
     kind = F.when(g & (F.col("analyzer") == "java"), fp.script_command()["kind"])
-    run = F.min(F.when(kind == "run", F.col("ord")))
-    stop = F.min(F.when(kind == "stop", F.col("ord")))
+    place = fp.score_order(F.col("importance_score"), F.col("ord"))
+    run, stop = (F.min(F.when(kind == k, place)) for k in ("run", "stop"))
     main = g & (F.col("path") == "build.gradle") & F.col("has_main_class")
     return [
         F.bool_or(kind.isNotNull()).alias("has_scripts"),

@@ -21,10 +21,6 @@ def readable_files(files: DataFrame, max_size: int = fv.MAX_FILE_BYTES) -> DataF
     return files.filter((F.col("size") <= max_size) & ~fp.in_excluded_dir())
 
 
-#: Above every score: falling scores as rising numbers of one width.
-_TOP_SCORE = 10**12
-
-
 def _score() -> Column:
     """Score of a build file in a Java repo, from its path and content."""
     is_key = fp.is_key_file("java")
@@ -36,12 +32,16 @@ def _score() -> Column:
 def _position(*columns: str):
     """Order key of a match: falling `score` and discovery order of its file, its positions."""
     return F.concat(
-        F.lpad((F.lit(_TOP_SCORE) - F.col("score")).cast("string"), 13, "0"),
-        fp.discovery_order(fp.is_key_file("java")), F.lit("\x01"),
+        fp.score_order(F.col("score"), fp.discovery_order(fp.is_key_file("java"))), F.lit("\x01"),
         *[F.lpad(F.col(c).cast("string"), 8, "0") for c in columns],
     )
 
 
+def by_score() -> Column:
+    """Order key of a surveyed file: by falling score, then as it is found."""
+    return fp.score_order(F.col("importance_score"), F.col("ord"))
+
+
 # -- F9 ---------------------------------------------------------------------
 
 def gradle_dependencies(files: DataFrame, parenthesised: bool = False) -> DataFrame:
@@ -148,11 +148,14 @@ def gradle_plugins(files: DataFrame, mode: str = "all") -> DataFrame:
 # -- F12 as rows ------------------------------------------------------------
 
 def find_commands(survey: DataFrame) -> DataFrame:
-    """Commands made of the root scripts of repos with a build system, one row each."""
+    """Commands made of the root scripts of repos with a build system, one row each.
+
+    `ord` is by falling score of the script, then as it is found.
+    """
     command = fp.script_command()
     return (
         survey.filter(F.col("is_gathered") & (F.col("analyzer") == "java"))
-        .select(*REPO, "path", "ord", command.alias("c"))
+        .select(*REPO, "path", by_score().alias("ord"), command.alias("c"))
         .filter(F.col("c").isNotNull())
         .select(*REPO, "c.kind", "c.command", "path", "ord")
     )
@@ -180,7 +183,7 @@ def has_tool_sign() -> Column:
 
 
 def tool_aggregates() -> dict[str, Column]:
-    """Per tool, an aggregate with the place in the repo where it is first seen.
+    """Per tool, an aggregate with the place in the repo where it is first seen, by score.
 
     To be taken over the files with `has_tool_sign`, or any more of the same repos.
     """
@@ -188,7 +191,7 @@ def tool_aggregates() -> dict[str, Column]:
     def first_seen(signs) -> Column:
         out = F
         for condition, digit in signs:
-            out = out.when(condition, F.concat("ord", F.lit("\x01" + digit)))
+            out = out.when(condition, F.concat(by_score(), F.lit("\x01" + digit)))
         return F.min(F.when(has_tool_sign(), out))
 
     return {tool: first_seen(signs) for tool, signs in _tool_signs().items()}

@@ -91,7 +91,8 @@ def look_up(corpus: Corpus, picks: DataFrame) -> DataFrame:
 
     Contents of files no analyzer gathers are left out by their path, before the join.
     """
-    wanted = corpus.files.filter(fp.is_candidate() & (F.col("size") <= corpus.max_size))
+    named = fp.is_candidate(languages=corpus.languages)
+    wanted = corpus.files.filter(named & (F.col("size") <= corpus.max_size))
     return content_lookup(picks, wanted).select(
         "repo", "step", "field", "path", "ord", "content"
     )

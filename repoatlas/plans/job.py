@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas import fixed_values as fv
+from repoatlas.functions.languages import BUILT_IN, LanguageRules
 from repoatlas.operators import extract
 from repoatlas.operators.aggregate import command_groups
 from repoatlas.operators.joins import readme_pair
@@ -33,10 +35,11 @@ class Run:
 
 
 def start_run(
-    files: DataFrame, language: str = "auto", max_size: int | None = fv.MAX_FILE_BYTES
+    files: DataFrame, language: str = "auto", max_size: int | None = fv.MAX_FILE_BYTES,
+    languages: Sequence[LanguageRules] = BUILT_IN,
 ) -> Run:
     """Survey the corpus, extract the dependencies and write the profile."""
-    corpus = survey_corpus(files, language, max_size=max_size)
+    corpus = survey_corpus(files, language, max_size=max_size, languages=languages)
     dependencies = extract.find_dependencies(extract.readable_files(files, corpus.max_size))
     return Run(corpus, save_table(profile_repos(corpus)), save_table(dependencies))
 

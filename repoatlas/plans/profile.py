@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from repoatlas import fixed_values as fv
 from repoatlas.functions import paths as fp
 from repoatlas.functions import text as ft
+from repoatlas.functions.languages import BUILT_IN, LanguageRules
 from repoatlas.operators import aggregate as agg
 from repoatlas.operators import extract
 from repoatlas.operators.classify import REPO, choose, select_analyzer, survey_files
@@ -26,6 +28,7 @@ class Corpus:
     survey: DataFrame
     analyzers: DataFrame
     max_size: int = fv.MAX_FILE_BYTES
+    languages: Sequence[LanguageRules] = BUILT_IN
 
     def chosen(self, rows: DataFrame) -> DataFrame:
         return choose(rows, self.analyzers)
@@ -33,22 +36,23 @@ class Corpus:
 
 def survey_corpus(
     files: DataFrame, language: str = "auto", save: bool = True, readme_md: bool = True,
-    max_size: int | None = fv.MAX_FILE_BYTES,
+    max_size: int | None = fv.MAX_FILE_BYTES, languages: Sequence[LanguageRules] = BUILT_IN,
 ) -> Corpus:
     """Scan the contents once and keep what the later passes need.
 
     ``save`` writes the narrow survey and the analyzer of each repo to the shared scratch
     folder; without it every pass scans the contents again.  The analyzers need a scan of
     `repo` and `path` only.  Larger files than ``max_size`` (None: no limit) take no part.
+    ``languages`` are the analyzers to choose from.
     """
     limit = fv.NO_LIMIT if max_size is None else max_size
-    survey = survey_files(files, language, readme_md, limit).filter(
+    survey = survey_files(files, language, readme_md, limit, languages).filter(
         F.col("is_gathered") | F.col("is_example_config") | agg.is_wrapper()
     )
-    analyzers = select_analyzer(files, language)
+    analyzers = select_analyzer(files, language, languages)
     if save:
         survey, analyzers = save_table(survey), save_table(analyzers)
-    return Corpus(files, survey, analyzers, limit)
+    return Corpus(files, survey, analyzers, limit, tuple(languages))
 
 
 # -- C1 ---------------------------------------------------------------------
@@ -244,9 +248,9 @@ def report_pieces(
         F.lit("\nTotal Files: "), F.col("total_files").cast("string"),
         F.lit("\n\n## Overview\n"),
     )
-    other = F.when(F.col("analyzer") == "python", F.lit(fv.PYTHON_ANALYSIS)).otherwise(
-        F.lit(fv.JAVASCRIPT_ANALYSIS)
-    )
+    other = F.lit(fv.NO_ANALYSIS)
+    for rules in corpus.languages:
+        other = F.when(F.col("analyzer") == rules.name, F.lit(rules.overview)).otherwise(other)
     start = F.concat(
         head,
         F.lit("## Java/Gradle Repository Analysis\n\n    This Java repository uses "), system,

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoatlas import fixed_values as fv
 from repoatlas.functions import content as fc
 from repoatlas.functions import text as ft
+from repoatlas.functions.stream_text import PIECE, SlotValues, evenly, folded, replaced
 from repoatlas.operators.aggregate import last_completed_step
 from repoatlas.plans.profile import Corpus
 
@@ -154,14 +156,24 @@ def optimize_slots(context: DataFrame) -> DataFrame:
     )
 
 
+#: Slots with a text of their own where a step has none; step 4 has no such slot.
+_DEFAULTS = {"project_purpose": fv.NO_PURPOSE, "usage_instructions": fv.NO_USAGE}
+
+
+def slot_order(step: int) -> list[str]:
+    """The slots of a step in the order in which they are filled."""
+    if step == 4:
+        return list(fv.STEP_SLOTS[4])
+    shared = ["name", "language", "is_spring_boot", "build_system"]
+    return shared + [s for early in (1, 2, 3) for s in fv.STEP_SLOTS[early] if s not in shared]
+
+
 def _fill(template: Column, value: Callable[[str], Column]) -> Column:
     """The template of a step with its placeholders filled, in the fixed order."""
-    shared = ["name", "language", "is_spring_boot", "build_system"]
-    early = shared + [s for step in (1, 2, 3) for s in fv.STEP_SLOTS[step] if s not in shared]
-    values = {s: value(s) for s in early}
-    for slot, default in {"project_purpose": fv.NO_PURPOSE, "usage_instructions": fv.NO_USAGE}.items():
+    values = {s: value(s) for s in slot_order(1)}
+    for slot, default in _DEFAULTS.items():
         values[slot] = F.when(values[slot] == "", F.lit(default)).otherwise(values[slot])
-    last = {s: value(s) for s in fv.STEP_SLOTS[4]}
+    last = {s: value(s) for s in slot_order(4)}
     return F.when(F.col("step") == 4, ft.render_template(template, last)).otherwise(
         ft.render_template(template, values)
     )
@@ -191,11 +203,12 @@ def build_prompts(slots: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def prompt_pieces(slots: DataFrame, steps: DataFrame) -> DataFrame:
-    """``repo, step, part, text``: the pieces of every prompt, ordered by `part`.
+    """``repo, step, part, text``: the items of every prompt, ordered by `part`, any task's rows.
 
     Joined, and with runs of blank lines folded, they are the prompt of `build_prompts`, but
     for placeholders inside an inserted text, which stay. A placeholder that stands twice in a
-    template gets its items twice. No prompt is held as one value.
+    template gets its items twice. No prompt is held as one value, and the items of one prompt
+    may lie in many tasks. `streamed_prompts` gives the exact text.
     """
     holder = r"\$\{(\w+)\}"
     templates = steps.select(
@@ -214,21 +227,93 @@ def prompt_pieces(slots: DataFrame, steps: DataFrame) -> DataFrame:
     return shown.unionByName(whole.select("repo", "step", "part", "text"))
 
 
-# -- U4 ---------------------------------------------------------------------
+def _rows(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in columns))
 
-def run_completions(
-    prompts: DataFrame, fn: Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]
-) -> DataFrame:
-    """Apply the caller's function to the prompts, batch by batch.
 
-    ``fn`` gets an iterator of frames ``repo, step, prompt`` and yields frames
-    ``repo, step, output``.
+def _filled(template: str, step: int, values: SlotValues) -> Iterator[str]:
+    """A template with its slots filled one after the other, as `text.render_template` does."""
+    out: Iterable[str] = iter([template])
+    for slot in slot_order(step):
+        def value(slot: str = slot) -> Iterable[str]:
+            if step != 4 and slot in _DEFAULTS and values.is_empty(slot):
+                return [_DEFAULTS[slot]]
+            return values.pieces(slot)
+
+        out = replaced(out, "${" + slot + "}", value)
+    return folded(out)
+
+
+def streamed_prompts(slots: DataFrame, steps: DataFrame, size: int = PIECE) -> DataFrame:
+    """``repo, step, part, text``: the prompts of `build_prompts` in pieces of ``size`` characters.
+
+    Joined in the order of `part` they are that prompt, character by character: placeholders
+    inside inserted texts are filled in their turn, and blank lines are folded across pieces.
+    The items of a prompt are sorted by Spark and streamed; what one prompt needs beyond a few
+    megabytes lies in a file of its task, so a prompt of any size takes little memory. The step
+    templates, one row per step, are taken to the driver.
     """
-    return prompts.select("repo", "step", "prompt").mapInPandas(
-        fn, "repo string, step int, output string"
+    templates = {r.step: r.template for r in steps.select("step", "template").collect()}
+    keys = ["repo", "step"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _rows(batches, *keys, "slot", "text")
+        for (repo, step), items in groupby(rows, key=lambda r: r[:2]):
+            values = SlotValues()
+            for _, _, slot, text in items:
+                if slot is not None and text:
+                    values.add(slot, text)
+            for part, text in enumerate(evenly(_filled(templates[step], step, values), size)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([repo], pa.string()), pa.array([step], pa.int32()),
+                     pa.array([part], pa.int32()), pa.array([text], pa.string())],
+                    names=[*keys, "part", "text"],
+                )
+            values.close()
+
+    known = slots.filter(F.col("step").isin([*templates]))
+    dealt = known.select(*keys, "slot", "ord", "text").repartition(*keys)
+    ordered = dealt.sortWithinPartitions(*keys, "slot", "ord", "text")
+    return ordered.select(*keys, "slot", "text").mapInArrow(
+        run, "repo string, step int, part int, text string"
     )
 
 
+# -- U4 ---------------------------------------------------------------------
+
+def run_completions(prompts: DataFrame, fn: Callable) -> DataFrame:
+    """``repo, step, output``: the caller's function applied to every prompt.
+
+    Whole prompts (``repo, step, prompt``) go to ``fn`` batch by batch: it gets an iterator of
+    pandas frames ``repo, step, prompt`` and yields frames ``repo, step, output``.
+
+    Prompts in pieces (``repo, step, part, text``, of `streamed_prompts` or `prompt_pieces`) are
+    sorted, and ``fn(repo, step, pieces)`` is called once for each ``(repo, step)``; ``pieces``
+    is an iterator over its texts in order, which come one by one, and ``fn`` returns the
+    output or None. It need not take all pieces. No prompt is held as one value.
+    """
+    if "part" not in prompts.columns:
+        return prompts.select("repo", "step", "prompt").mapInPandas(
+            fn, "repo string, step int, output string"
+        )
+    keys = ["repo", "step"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (repo, step), rows in groupby(_rows(batches, *keys, "text"), key=lambda r: r[:2]):
+            output = fn(repo, step, (text for _, _, text in rows if text is not None))
+            for _ in rows:  # what the function left
+                pass
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([repo], pa.string()), pa.array([step], pa.int32()), pa.array([output], pa.string())],
+                names=[*keys, "output"],
+            )
+
+    dealt = prompts.select(*keys, "part", "text").repartition(*keys)
+    ordered = dealt.sortWithinPartitions(*keys, "part").select(*keys, "text")
+    return ordered.mapInArrow(run, "repo string, step int, output string")
+
+
 # -- C12 --------------------------------------------------------------------
 
 def plan_steps(

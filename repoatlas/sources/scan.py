@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import io
 import re
-import tarfile
-import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoatlas import fixed_values as fv
 from repoatlas.functions import content as fc
 from repoatlas.functions import paths as fp
+from repoatlas.sources.archives import ENDINGS, is_archive, read_archives
+from repoatlas.sources.listing import list_files, read_files
+from repoatlas.sources.scratch import save_table
 
 FILES_SCHEMA = "repo string, path string, size bigint, content string"
 RAW_SCHEMA = "repo string, path string, size bigint, raw binary"
@@ -22,42 +21,6 @@ RAW_SCHEMA = "repo string, path string, size bigint, raw binary"
 
 # -- S1 ---------------------------------------------------------------------
 
-def _members(name: str, data: bytes, max_size: int) -> Iterator[tuple[str, int, bytes | None]]:
-    """Path, size and bytes of each regular file of an archive; large files without bytes."""
-    if name.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            for info in archive.infolist():
-                if not info.is_dir():
-                    small = info.file_size <= max_size
-                    yield info.filename, info.file_size, archive.read(info) if small else None
-    else:
-        with tarfile.open(fileobj=io.BytesIO(data)) as archive:
-            for member in archive:
-                if member.isfile():
-                    small = member.size <= max_size
-                    yield (
-                        member.name.removeprefix("./"),
-                        member.size,
-                        archive.extractfile(member).read() if small else None,
-                    )
-
-
-def _unpack(max_size: int, rows_per_batch: int = 256):
-    def unpack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for repo, name, data in zip(batch["repo"], batch["name"], batch["content"]):
-                for path, size, raw in _members(name, data, max_size):
-                    rows.append((repo, path, size, raw))
-                    if len(rows) == rows_per_batch:
-                        yield pd.DataFrame(rows, columns=["repo", "path", "size", "raw"])
-                        rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=["repo", "path", "size", "raw"])
-
-    return unpack
-
-
 def root_base(spark: SparkSession, root: str) -> str:
     """The root as Spark lists it: qualified, without doubled slashes and dots.
 
@@ -70,57 +33,95 @@ def root_base(spark: SparkSession, root: str) -> str:
     return system.makeQualified(path).toString().rstrip("/")
 
 
+def _spark_listing(spark: SparkSession, roots: list[str], max_size: int) -> DataFrame:
+    """Files below folders by Spark's own listing, which leaves out hidden names."""
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    # the scan of the bytes has the size filter pushed down; larger files are listed only
+    inside = F.lit(None).cast("string")
+    for base in sorted((root_base(spark, root) + "/" for root in roots), key=len):
+        below = F.substr(F.col("path"), F.lit(len(base) + 1))
+        inside = F.when(F.col("path").startswith(base), below).otherwise(inside)
+    lost = F.raise_error(F.concat(F.lit("below none of the roots: "), F.col("path")))
+    inside = F.coalesce(inside, lost.cast("string"))
+    listing = binary.load(roots)
+    named = [inside.alias("inside"), F.col("length").alias("size")]
+    small = listing.filter(F.col("length") <= max_size).select(
+        *named, F.col("content").alias("raw"), F.lit(None).cast("string").alias("error")
+    )
+    large = listing.filter(F.col("length") > max_size).select(
+        *named, F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("string").alias("error")
+    )
+    return small.unionByName(large)
+
+
+def _checked(files: DataFrame, errors: str) -> DataFrame:
+    """The files with what could not be read: as rows, left out, or as the end of the job."""
+    if errors == "rows":
+        return files
+    if errors == "skip":
+        return files.filter("error IS NULL").drop("error")
+    told = F.concat_ws(": ", F.lit("cannot read"), "repo", "path", "error")
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(told).cast("string"))
+    return files.withColumn("content", checked.otherwise(F.col("content"))).drop("error")
+
+
 def scan_repos(
     spark: SparkSession,
     roots: str | list[str],
     fmt: str = "parquet",
-    max_size: int = fv.MAX_FILE_BYTES,
+    max_size: int | None = fv.MAX_FILE_BYTES,
+    errors: str = "raise",
+    listing: str = "own",
 ) -> DataFrame:
     """``files(repo, path, size, content)`` of many repos.
 
     ``parquet``   a table that has these columns already
     ``directory`` folders with one sub-folder per repo, also as glob patterns or relative
                   paths; with a pattern, the repo is the first folder from the pattern on.
-                  Spark's file listing leaves out names that start with ``.`` or ``_``. A
-                  listed file below none of the roots is an error
-    ``archive``   tar (also compressed) or zip files, one per repo, named after it; all
-                  names are seen
-
-    Files over ``max_size`` bytes keep their row and have no content.
+                  All names are seen, also those that start with ``.`` or ``_``.
+                  ``listing='spark'`` takes Spark's listing in place of `listing.list_files`,
+                  for stores that only Spark can open; it leaves such names out
+    ``archive``   tar (also compressed) or zip files, one per repo, named after it, found
+                  below the roots; see `archives`. All names are seen
+
+    Files over ``max_size`` bytes (None: no limit) keep their row and have no content.
+
+    ``errors`` says what becomes of files, members, folders and archives that cannot be read:
+    ``'raise'`` ends the job when their content is used, ``'skip'`` leaves them out, ``'rows'``
+    adds a column ``error``, null for all that could be read. The row of a damaged archive has
+    the archive's name as its path, beside the rows of the members before the damage.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
+    limit = fv.NO_LIMIT if max_size is None else max_size
+    if errors not in ("raise", "skip", "rows") or listing not in ("own", "spark"):
+        raise ValueError("errors must be 'raise', 'skip' or 'rows' and listing 'own' or 'spark'")
     if fmt == "parquet":
-        return spark.read.parquet(*roots).select("repo", "path", "size", "content")
-    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        table = spark.read.parquet(*roots).select("repo", "path", "size", "content")
+        return table.withColumn("error", F.lit(None).cast("string")) if errors == "rows" else table
+    content = fc.decode_text(F.col("raw")).alias("content")
     if fmt == "directory":
-        # the scan of the bytes has the size filter pushed down; larger files are listed only
-        inside = F.lit(None).cast("string")
-        for base in sorted((root_base(spark, root) + "/" for root in roots), key=len):
-            below = F.substr(F.col("path"), F.lit(len(base) + 1))
-            inside = F.when(F.col("path").startswith(base), below).otherwise(inside)
-        lost = F.raise_error(F.concat(F.lit("below none of the roots: "), F.col("path")))
-        inside = F.coalesce(inside, lost.cast("string"))
-        listing = binary.load(roots)
-        named = [
-            F.substring_index(inside, "/", 1).alias("repo"),
-            F.regexp_extract(inside, r"(?s)^[^/]*/(.*)$", 1).alias("path"),
-            F.col("length").alias("size"),
-        ]
-        small = listing.filter(F.col("length") <= max_size).select(
-            *named, fc.decode_text(F.col("content")).alias("content")
+        if listing == "spark":
+            raw = _spark_listing(spark, roots, limit)
+        else:
+            raw = read_files(save_table(list_files(spark, roots)), limit)
+        files = raw.select(
+            F.substring_index("inside", "/", 1).alias("repo"),
+            F.regexp_extract("inside", r"(?s)^[^/]*/(.*)$", 1).alias("path"),
+            "size", content, "error",
         )
-        large = listing.filter(F.col("length") > max_size).select(
-            *named, F.lit(None).cast("string").alias("content")
-        )
-        return small.unionByName(large).filter(F.col("path") != "")
+        return _checked(files.filter((F.col("path") != "") | F.col("error").isNotNull()), errors)
     if fmt == "archive":
-        archives = binary.load(roots).select(
-            F.regexp_replace(fp.file_name(), r"(\.tar(\.\w+)?|\.tgz|\.zip)$", "").alias("repo"),
-            fp.file_name().alias("name"),
-            "content",
+        listed = save_table(list_files(spark, roots))
+        found = listed.filter(is_archive(F.col("inside")) & F.col("error").isNull()).select(
+            F.concat_ws("/", F.rtrim("base", F.lit("/")), "inside").alias("uri"), "size"
+        )
+        lost = listed.filter("error IS NOT NULL").select(
+            F.col("base").alias("archive"), F.col("inside").alias("path"), "size",
+            F.lit(None).cast("binary").alias("raw"), "error",
         )
-        raw = archives.mapInPandas(_unpack(max_size), RAW_SCHEMA)
-        return raw.select("repo", "path", "size", fc.decode_text(F.col("raw")).alias("content"))
+        rows = read_archives(found, limit).unionByName(lost)
+        repo = F.regexp_replace(fp.file_name("archive"), ENDINGS, "").alias("repo")
+        return _checked(rows.select(repo, "path", "size", content, "error"), errors)
     raise ValueError(f"fmt must be 'parquet', 'directory' or 'archive', not {fmt!r}")
 
 
@@ -163,15 +164,25 @@ def find_by_pattern(
 # -- S5 ---------------------------------------------------------------------
 
 def file_info(files: DataFrame, max_size: int = fv.MAX_FILE_BYTES) -> DataFrame:
-    """Loose file records: default flags, content under the limit, `error` if unreadable."""
-    broken = F.col("size").isNull()
-    flag = F.when(~broken, F.lit(False))
+    """Loose file records: default flags, content under the limit, `error` if unreadable.
+
+    The ``error`` column of a scan with ``errors='rows'`` is carried on; a file without a size,
+    or within the limit but without a content, is unreadable too. Such a record has nothing but
+    its path and the error.
+    """
+    small = F.col("size") <= max_size
+    missing = F.when(F.col("size").isNull(), F.lit("no size")).when(
+        small & F.col("content").isNull(), F.lit("no content")
+    )
+    error = F.coalesce("error", missing) if "error" in files.columns else missing
+    read = error.isNull()
+    flag = F.when(read, F.lit(False))
     return files.select(
-        "repo", "path", "size",
+        "repo", "path", F.when(read, F.col("size")).alias("size"),
         flag.alias("is_key_file"), flag.alias("is_entry_point"), flag.alias("is_config"),
-        F.when(~broken, F.lit(fv.UNKNOWN_LANGUAGE)).alias("language"),
-        F.when(F.col("size") <= max_size, F.col("content")).alias("content"),
-        F.when(broken, F.lit("no size")).alias("error"),
+        F.when(read, F.lit(fv.UNKNOWN_LANGUAGE)).alias("language"),
+        F.when(read & small, F.col("content")).alias("content"),
+        error.alias("error"),
     )
 
 

@@ -69,10 +69,9 @@ def test_no_python_workers(files):
     assert not re.search("PythonUDF|EvalPython|MapInPandas|MapInArrow", text)
 
 
-def test_only_large_groups_are_broadcast(files):
+def test_gathering_broadcasts_nothing(files):
     text = plan(gather_text(files.selectExpr("repo", "path ord", "content text"), ["repo"]))
-    broadcast = text[text.index("BroadcastExchange"):]
-    assert "_bytes" in broadcast and "BroadcastNestedLoopJoin" not in text
+    assert "Broadcast" not in text and "NestedLoop" not in text
 
 
 def test_results_do_not_depend_on_partitions(spark, files):

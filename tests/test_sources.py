@@ -45,8 +45,8 @@ def test_directory(spark, tmp_path):
             target = tmp_path / repo / path
             target.parent.mkdir(parents=True, exist_ok=True)
             target.write_bytes(data)
-    files = scan.scan_repos(spark, str(tmp_path), "directory", max_size=100)
-    # names with a leading dot or underscore are left out by the file listing
+    files = scan.scan_repos(spark, str(tmp_path), "directory", max_size=100, listing="spark")
+    # names with a leading dot or underscore are left out by Spark's file listing
     assert matches(files, "repo", "path", "size", "content") == {
         (repo, path, len(TREE[path]), text)
         for repo in ("one", "two")
