@@ -929,7 +929,7 @@ def c10_build_prompts(spark, sf_dir):
 def c10_streamed_prompts(spark, sf_dir):
     """The prompts put together from pieces of 1,000 characters."""
     pieces = prompts.streamed_prompts(_all_slots(spark, sf_dir), prompts.default_steps(spark), 1000)
-    joined = gather_text(pieces, ["repo", "step"], order="part")
+    joined = gather_text(pieces.withColumnRenamed("part", "ord"), ["repo", "step"])
     return joined.select("repo", "step", F.col("text").alias("prompt"))
 
 
