@@ -23,12 +23,13 @@ from itertools import chain
 
 import numpy as np
 
-#: Units of one generation of the table; a worker keeps two, of units up to UNIT characters.
-CACHED_UNITS, CACHED_CHARS = 200_000, 40
+#: Units of one generation of the table, and the most characters of one; a worker keeps two
+#: generations, some 300 MB. A distinct word that is met again is then seldom tokenized again.
+CACHED_UNITS, CACHED_CHARS = 700_000, 40
 #: A longer text is taken in parts of about this many characters.
 PART = 1 << 20
 #: Units that go to the tokenizer together.
-TOGETHER = 512
+TOGETHER = 64
 ENDINGS = ".,;:!?"
 #: A place that is a cut in any text, whatever the white space around it.
 CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
@@ -71,13 +72,13 @@ class TextIds:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.model = Tokenizer.from_file(path)
-        self.specials = [t["content"] for t in spec.get("added_tokens", ())]
-        self.mark = self.specials[0] if self.specials else None
+        self.mark = next((t["content"] for t in spec.get("added_tokens", ())), None)
         self.by_units = cuts_at_spaces(spec) and self.mark is not None
-        #: " word" by "word", "\nword" by itself; None: not a unit, as white space is at its ends.
-        self.units: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        #: " word" by "word", "\nword" by itself; False: no unit, as white space is at its ends.
+        self.units: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
         self.endings: dict[str, bytes] = {}
+        self.long: list[str] = []
         if self.by_units:
             self.newline = self.whole("\n")
             self.mark_id = self.model.token_to_id(self.mark)
@@ -87,66 +88,95 @@ class TextIds:
 
     def each(self, strings: list[str]) -> list[bytes]:
         """Ids of each string; many go as one text, with a special token between them."""
-        plain = [s for s in strings if not any(t in s for t in self.specials)]
-        found: dict[str, bytes] = {}
-        for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
+        found: list[bytes] = []
+        for i in range(0, len(strings), TOGETHER):
+            part = strings[i : i + TOGETHER]
             text = self.mark.join(part)
             ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            ends = (np.flatnonzero(ids == self.mark_id) * 4).tolist()
+            if len(ends) != len(part) - 1:  # one of them has the token itself
+                found += map(self.whole, part)
+                continue
             data = ids.tobytes()
-            for s, a, b in zip(part, [-1, *ends], [*ends, len(ids)]):
-                found[s] = data[4 * (a + 1) : 4 * b]
-        return [found[s] if s in found else self.whole(s) for s in strings]
+            found += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]
+        return found
 
     def learn(self, keys: Iterable[str]) -> None:
         """Enter units that are in no table yet."""
-        cores: list[tuple[str, str, str]] = []
+        units, plain, others = self.units, [], []
         for key in keys:
-            word = key[1:] if key[:1] == "\n" else key
+            last = key[-1:]
+            if key and last not in ENDINGS and not last.isspace() and not key[0].isspace():
+                plain.append(key)
+            else:
+                others.append(key)
+        units.update(zip(plain, self.each([f" {key}" for key in plain])))
+        cores: list[tuple[str, str, str]] = []
+        for key in others:
+            head = "" if key[:1] == "\n" else " "
+            word = key if head else key[1:]
             if not word or word[0].isspace() or word[-1].isspace():
-                self.units[key] = None
+                units[key] = False
                 continue
             core = word.rstrip(ENDINGS)
             if not core or core == word or not latin_letter(core[-1]):
                 core = word
-            cores.append((key, core if key[0] == "\n" else f" {core}", word[len(core) :]))
+            cores.append((key, head + core, word[len(core) :]))
         strings = list({core for _, core, _ in cores})
         ids = dict(zip(strings, self.each(strings)))
         for ending in {e for _, _, e in cores}.difference(self.endings, [""]):
             self.endings[ending] = self.whole(ending)
         for key, core, ending in cores:
             own = ids[core] + self.endings[ending] if ending else ids[core]
-            self.units[key] = self.newline + own if key[0] == "\n" else own
+            units[key] = self.newline + own if key[0] == "\n" else own
+        self.long += [key for key in chain(plain, others) if len(key) > CACHED_CHARS]
 
     def enter(self, keys: Iterable[str]) -> None:
         unknown = set(keys).difference(self.units)
-        known = unknown.intersection(self.old)
-        self.units.update((k, self.old[k]) for k in known)
-        self.learn(unknown - known)
+        if self.old:
+            known = [k for k in unknown if k in self.old]
+            self.units.update((k, self.old[k]) for k in known)
+            unknown.difference_update(known)
+        self.learn(unknown)
 
-    def forget(self, keys: Iterable[str]) -> None:
+    def forget(self) -> None:
         """Keep the tables small: long units go at once, the others by generations."""
-        for key in {k for k in keys if len(k) > CACHED_CHARS}:
+        for key in self.long:
             self.units.pop(key, None)
+        self.long = []
         if len(self.units) > CACHED_UNITS:
             self.old, self.units = self.units, {}
         if len(self.endings) > CACHED_UNITS // 10:
             self.endings = {}
 
-    def joined(self, text: str, keys: list[str], head: bool) -> bytes:
-        """Ids of a text whose keys are entered; ``head``: its first key has a newline too many."""
+    def joined(self, text: str, found: list[bytes | bool], head: bool) -> bytes:
+        """Ids of a text from those of its units; ``head``: the first has a newline too many."""
         try:
-            ids = b"".join(map(self.units.__getitem__, keys))
+            ids = b"".join(found)
         except TypeError:  # white space other than single spaces and newlines
             first, *rest = CUT.split(text)
             self.enter(rest)
             own = (self.units[s] for s in rest)
             return self.whole(first) + b"".join(
-                self.whole(f" {s}") if ids is None else ids for s, ids in zip(rest, own)
+                self.whole(f" {s}") if ids is False else ids for s, ids in zip(rest, own)
             )
         return ids[len(self.newline) :] if head else ids
 
+    def known(self, texts: list[list[str]]) -> list[list[bytes | bool]]:
+        """The ids of all units of the texts; units that are not known yet are entered."""
+        get = self.units.get
+        found = [list(map(get, keys)) for keys in texts]
+        new = [None in ids for ids in found]
+        self.enter(
+            key for some, keys, ids in zip(new, texts, found) if some
+            for key, own in zip(keys, ids) if own is None
+        )
+        units = self.units
+        return [
+            [units[key] if own is None else own for key, own in zip(keys, ids)] if some else ids
+            for some, keys, ids in zip(new, texts, found)
+        ]
+
     def parts(self, text: str) -> Iterator[str]:
         """The text in parts that end before a cut."""
         at = 0
@@ -161,22 +191,20 @@ class TextIds:
             for text in texts:
                 yield iter([self.whole(text)])
             return
-        keys = [("\n" + t).replace("\n", " \n").split(" ")[1:] if len(t) <= PART else [] for t in texts]
-        self.enter(chain.from_iterable(keys))
+        keys = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t and len(t) <= PART else [] for t in texts]
         found = [
-            self.joined(text, own, True) if text and own else b"" for text, own in zip(texts, keys)
+            self.joined(text, ids, True) if ids else b"" for text, ids in zip(texts, self.known(keys))
         ]
-        self.forget(chain.from_iterable(keys))
+        self.forget()
         for text, ids in zip(texts, found):
             yield iter([ids]) if len(text) <= PART else self.in_parts(text)
 
     def in_parts(self, text: str) -> Iterator[bytes]:
         for at, part in enumerate(self.parts(text)):
             shown = part if at else "\n" + part
-            keys = shown.replace("\n", " \n").split(" ")[1:]
-            self.enter(keys)
-            yield self.joined(part, keys, not at)
-            self.forget(keys)
+            (found,) = self.known([shown.replace("\n", " \n").split(" ")[1:]])
+            yield self.joined(part, found, not at)
+            self.forget()
 
 
 @cache

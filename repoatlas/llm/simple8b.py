@@ -37,25 +37,27 @@ def width_classes(values: np.ndarray) -> np.ndarray:
     return np.searchsorted(LIMITS, values, "right").astype(np.uint8)
 
 
+def _windows(fits: np.ndarray, count: int) -> np.ndarray:
+    """Whether all of the next ``count`` places fit; places beyond the end do."""
+    n, out, have = len(fits), fits.copy(), 1
+    while have < count:
+        step = min(have, count - have)  # two windows of ``have`` places make one of ``have + step``
+        if step < n:
+            out[: n - step] &= out[step:].copy()
+        have += step
+    return out
+
+
 def word_starts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each word begins and its selector: at every place the most integers that fit."""
     n = len(values)
     kinds = width_classes(values)
     best = np.full(n, ESCAPE, np.uint8)
     for place in range(len(BY_WIDTH) - 2, int(kinds.min()) - 1, -1):
-        selector = BY_WIDTH[place]
-        count = LAYOUTS[selector][0]
-        if count == 1:
-            fits = kinds <= place
-        else:
-            wide = np.empty(n + count, np.int32)
-            wide[0] = 0
-            np.cumsum(kinds > place, out=wide[1 : n + 1])
-            wide[n + 1 :] = wide[n]
-            fits = wide[count:] == wide[:n]
-        if count > 8 and not fits.any():
-            break
-        best[fits] = selector
+        fits = _windows(kinds <= place, LAYOUTS[BY_WIDTH[place]][0])
+        if not fits.any():
+            break  # narrower integers and longer runs fit nowhere either
+        best[fits] = BY_WIDTH[place]
     steps = COUNTS[best].tolist()
     starts, at = [], 0
     while at < n:
