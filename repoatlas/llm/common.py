@@ -41,6 +41,61 @@ def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores before them as long as one is among those taken."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def give_back() -> None:
+    """Hand back what a task has freed: its worker process lives on and takes later tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def id_slot(name: str, bits: int) -> Column:
+    """A number of ``bits`` bits made of an id by folding it; see `id_slots`."""
+    fold = " ^ ".join([name, *(f"shiftrightunsigned({name}, {n})" for n in range(bits, 64, bits))])
+    return F.expr(f"CAST(({fold}) & {(1 << bits) - 1} AS int)")
+
+
+def id_slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The same numbers of an array of ids."""
+    ids = ids.astype(np.int64).view(np.uint64)
+    fold = ids.copy()
+    for n in range(bits, 64, bits):
+        fold ^= ids >> np.uint64(n)
+    return (fold & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def bit_field(ids: DataFrame, name: str, bits: int) -> np.ndarray:
+    """Flags (one byte for eight) of the slots of the ids in a column; ``2**bits / 64`` rows come here."""
+    slots = ids.select(id_slot(name, bits).alias("slot"))
+    words = slots.groupBy(F.expr("slot div 64").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits")
+    )
+    field = np.zeros(1 << (bits - 6), "<i8")
+    for at, own in words.collect():
+        field[at] = own
+    return field.view(np.uint8)
+
+
+def flagged(field: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (field[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def chunk_of(*order: str) -> Column:
     return F.pmod(F.xxhash64(*order), F.lit(CHUNKS)).cast("int")
 

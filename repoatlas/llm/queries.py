@@ -182,7 +182,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("spans")
+    # the text that remains follows, without characters that a cut goes through
+    kept = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumn("text", kept).drop("spans", "kept")
 
 
 @query

@@ -17,10 +17,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoatlas.llm.common import small_batches, texts_of
+from repoatlas.llm.common import bit_field, flagged, give_back, id_slots, small_batches, texts_of
 from repoatlas.sources.scratch import save_table
 
 LENGTH = 400
@@ -154,7 +155,9 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 # --- the job ---------------------------------------------------------------------------------
 
-PLACES = "doc_id long, t1 long, t2 long, anchor long, off int, lo long, hi long, c1 long, c2 long"
+PLACES = "doc_id long, t1 long, t2 long, anchor long, off int, lo long, hi long, times long, c1 long, c2 long"
+#: Rows of one batch of places.
+PLACES_BATCH = 1 << 14
 KEYS = ["anchor", "c1", "c2"]
 
 
@@ -164,16 +167,32 @@ def _digest(data: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(data), "<i8").tolist())
 
 
+def same_as_before(text: bytes, h: np.ndarray, off: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """Runs of one start each that have the anchor and the bytes of the run before.
+
+    Those are the starts inside a long run of one byte, where every start is its own anchor.
+    """
+    data = np.frombuffer(text, np.uint8)
+    ends = np.append(np.flatnonzero(data[1:] != data[:-1]), len(data) - 1)  # of runs of one byte
+    covered = ends[np.searchsorted(ends, np.maximum(lo - 1, 0))] >= lo + length - 1
+    single = lo == hi
+    out = np.zeros(len(lo), bool)
+    out[1:] = single[1:] & single[:-1] & covered[1:] & (h[1:] == h[:-1]) & (off[1:] == off[:-1])
+    return out
+
+
 def find_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """A row for each run of starts with one anchor in ``doc_id, text``.
 
     ``t1, t2`` is a hash of the text, ``lo`` to ``hi`` are the starts, ``off`` is how far the
-    anchor lies behind ``lo``, and ``c1, c2`` is a hash of the bytes that the starts cover.
+    anchor lies behind ``lo``, and ``c1, c2`` is a hash of the bytes that the starts cover. A
+    row with ``times`` above 1 stands for that many runs of a single start, one after the
+    other, whose bytes are all the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 4
-        names = ["doc_id", "t1", "t2", "anchor", "off", "lo", "hi", "c1", "c2"]
+        types = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 5
+        names = ["doc_id", "t1", "t2", "anchor", "off", "lo", "hi", "times", "c1", "c2"]
         for batch in small_batches(batches, "text"):
             columns: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
@@ -182,13 +201,21 @@ def find_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 h, place, lo, hi = anchors(text, length)
                 t1, t2 = _digest(text)
                 off = place - lo
-                context = [_digest(b"%d:" % o + text[a : b + length]) for a, b, o in zip(lo.tolist(), hi.tolist(), off.tolist())]
-                n = len(lo)
-                own = [[doc] * n, [t1] * n, [t2] * n, h.view(np.int64).tolist(), off.tolist(), lo.tolist(),
-                       hi.tolist(), [c[0] for c in context], [c[1] for c in context]]
-                for column, values in zip(columns, own):
-                    column += values
+                first = np.flatnonzero(~same_as_before(text, h, off, lo, hi, length))
+                times = np.diff(np.append(first, len(lo)))
+                h, off, lo, hi = h[first].view(np.int64), off[first], lo[first], hi[first]
+                for at in range(0, len(lo), PLACES_BATCH):
+                    own = [x[at : at + PLACES_BATCH].tolist() for x in (h, off, lo, hi, times)]
+                    context = [_digest(b"%d:" % o + text[a : b + length]) for _, o, a, b, _ in zip(*own)]
+                    n = len(context)
+                    own = [[doc] * n, [t1] * n, [t2] * n, *own, [c[0] for c in context], [c[1] for c in context]]
+                    for column, values in zip(columns, own):
+                        column += values
+                    if len(columns[0]) >= PLACES_BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                        columns = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        give_back()
 
     return docs.mapInArrow(run, PLACES)
 
@@ -198,17 +225,14 @@ def _text_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A bit field of fixed size tells which hashed ids occur; the join that follows is exact.
     """
-    bits = 1 << FILTER_BITS
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int")
-    found = wanted.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy()  # at most ``bits``
-    flags = np.zeros(bits, bool)
-    flags[found] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    # a null id is taken as -1 in the filter
+    some = wanted.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_field(some, "doc_id", FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.unpackbits(shared.value).astype(bool)
         for batch in small_batches(batches, "text"):
-            batch = batch.filter(pa.array(keep[batch.column("s").to_numpy()]))
+            ids = pa.compute.fill_null(batch.column("doc_id"), -1).to_numpy()
+            batch = batch.filter(pa.array(flagged(shared.value, id_slots(ids, FILTER_BITS))))
             if batch.num_rows:
                 texts = list(texts_of(batch, "text"))
                 hashes = [_digest(t) for t in texts]
@@ -216,8 +240,7 @@ def _text_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [batch.column("doc_id"), pa.array([h[0] for h in hashes]), pa.array([h[1] for h in hashes]),
                      pa.array(texts, pa.binary())], names=["doc_id", "t1", "t2", "data"])
 
-    source = docs.withColumn("s", slot)
-    return source.mapInArrow(run, "doc_id long, t1 long, t2 long, data binary")
+    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, data binary")
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
@@ -227,7 +250,7 @@ def _same_doc(a: DataFrame, b: DataFrame):
 def _contexts(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     """``anchor, c1, c2, m, off, data``: the bytes of each different context, once."""
     one = mixed.groupBy(*KEYS).agg(
-        F.count("*").alias("m"), F.min(F.struct("doc_id", "t1", "t2", "lo", "hi", "off")).alias("p"))
+        F.sum("times").alias("m"), F.min(F.struct("doc_id", "t1", "t2", "lo", "hi", "off")).alias("p"))
     one = save_table(one.select(*KEYS, "m", "p.*"))
     by_doc = one.groupBy(*[F.col(c).alias(a) for c, a in (("doc_id", "_doc"), ("t1", "_t1"), ("t2", "_t2"))]).agg(
         F.collect_list(F.struct(*KEYS, "m", "lo", "hi", "off")).alias("wanted"))
@@ -357,17 +380,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     places = save_table(find_places(docs, length))
     context = F.struct("c1", "c2")
     groups = places.groupBy("anchor").agg(
-        F.count("*").alias("_n"), F.min(context).alias("_low"), F.max(context).alias("_high"))
+        F.sum("times").alias("_n"), F.min(context).alias("_low"), F.max(context).alias("_high"))
     groups = groups.filter("_n > 1").select(F.col("anchor").alias("_anchor"), (F.col("_low") != F.col("_high")).alias("mixed"))
     groups = save_table(groups)
     met = save_table(places.join(groups, places["anchor"] == groups["_anchor"]).drop("_anchor"))
-    whole = met.filter("NOT mixed").select("doc_id", "t1", "t2", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    whole = met.filter("NOT mixed").select("doc_id", "t1", "t2", F.col("lo").alias("a"), (F.col("hi") + F.col("times") - 1).alias("b"))
     mixed = met.filter("mixed")
     contexts = save_table(_contexts(docs, mixed, length))
     runs = save_table(_repeated_runs(contexts, length))
     runs = runs.select(F.col("anchor").alias("_a"), F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "first", "last")
     own = mixed.join(runs, (mixed["anchor"] == runs["_a"]) & (mixed["c1"] == runs["_c1"]) & (mixed["c2"] == runs["_c2"]))
-    own = own.select("doc_id", "t1", "t2", (F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last")).alias("b"))
+    own = own.select("doc_id", "t1", "t2", (F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last") + F.col("times") - 1).alias("b"))
     return whole.unionByName(own).groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 

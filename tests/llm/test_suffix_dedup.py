@@ -102,8 +102,19 @@ def test_removal_equals_brute_force(spark, monkeypatch, block):
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_a_long_run_of_one_byte_is_one_row(spark):
+    texts = ["z" * 400_000, "ab" + " " * 5000 + "cd", " " * 400, "x" * 400, "y" * 399, "q" * 401 + "r" * 900 + "q" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    places = sd.find_places(df).collect()
+    assert len(places) < 3000 and sum(r.times for r in places if r.doc_id == 0) == 399_601
+    assert len([r for r in places if r.doc_id == 0]) == 1
+    want = brute([t.encode() for t in texts], 400)
+    assert rows_of(sd.remove_repeats(df)) == sorted((str(i), *w) for i, w in enumerate(want))
+
+
 def test_query_on_whole_table(spark):
     docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = sorted((str(i), *w) for (i, _), w in zip(docs, brute([t for _, t in docs], 400)))
     got = queries.QUERIES["op9_suffix_array_dedup"](spark, SF)
     assert rows_of(got) == want and any(w[2] for w in want)
+    assert all(len(r.text.encode()) <= r.n_bytes - r.n_removed < len(r.text.encode()) + 8 * r.n_spans + 1 for r in got.collect())
