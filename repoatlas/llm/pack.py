@@ -8,6 +8,7 @@ from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -38,18 +39,67 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def splits_words(spec: dict) -> bool:
+    """Whether a tokenizer is of the kind whose words stand for themselves.
+
+    It composes, folds white space and lower-cases, then takes runs of letters, single digits,
+    runs of other characters and the short English endings, and drops the white space.
+    """
+    def kinds(part: dict | None, inside: str) -> list[tuple]:
+        return [
+            (x["type"], (x.get("pattern") or {}).get("Regex"), x.get("content"), x.get("behavior"),
+             x.get("invert"), x.get("add_prefix_space"), x.get("use_regex"))
+            for x in (part or {}).get(inside, [])
+        ]
+
+    model = spec["model"]
+    units = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return (
+        kinds(spec.get("normalizer"), "normalizers") == [
+            ("NFC", None, None, None, None, None, None),
+            ("Replace", r"\s+", " ", None, None, None, None),
+            ("Lowercase", None, None, None, None, None, None),
+        ]
+        and kinds(spec.get("pre_tokenizer"), "pretokenizers") == [
+            ("Split", units, None, "Removed", True, None, None),
+            ("ByteLevel", None, None, None, None, False, False),
+        ]
+        and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and {"<|startoftext|>"} <= {t["content"] for t in spec["added_tokens"]}
+        and not any(
+            t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or "<|" not in t["content"]
+            for t in spec["added_tokens"]
+        )
+    )
+
+
+def ends_plainly(core: str) -> bool:
+    """Whether a word ends with a letter or digit that stays one when it is normalized.
+
+    True of Latin letters but the dotted capital I, which becomes a letter and a mark. Other
+    scripts have letters that are taken apart, and a mark and a full stop are one unit.
+    """
+    last = core[-1]
+    return last < "\u0250" and last.isalnum() and last != "\u0130"
+
+
 class WordIds(dict):
     """Ids of the words of a text, as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins characters across white space, nor a letter or digit with a
-    following ``.,;:!?``, and it lower-cases, so each distinct word is tokenized once, without
-    such endings, and the ids of a text are those of its words in order.
+    The tokenizer never joins characters across white space, nor a Latin letter or digit with
+    a following ``.,;:!?``, and it lower-cases, so each distinct word is tokenized once, without
+    such endings, and the ids of a text are those of its words in order. `splits_words` reads
+    in the file whether this holds; for any other file whole texts go to the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            self.by_words = splits_words(json.load(file))
         self.model = Tokenizer.from_file(path)
+        if not self.by_words:
+            return
         self.bpe, self.letters = self.model.model, byte_letters()
         self.old: dict[bytes, bytes] = {}
         self.mark = "<|startoftext|>"
@@ -94,7 +144,7 @@ class WordIds(dict):
         for word in words:
             base = word.lower() if word.isascii() else word
             core = base.rstrip(b".,;:!?")
-            if core == base or not core or b"<|" in base or not core.decode()[-1].isalnum():
+            if core == base or not core or b"<|" in base or not ends_plainly(core.decode()):
                 core = base
             parts[word] = core, base[len(core) :]
         self.learn([w for w in {p for both in parts.values() for p in both if p} if w not in self])
@@ -102,6 +152,9 @@ class WordIds(dict):
             self[word] = self[core] + self[tail] if tail else self[core]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            found = self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in found]
         words = [t.split() for t in texts]
         unknown = set(chain.from_iterable(words)).difference(self)
         before = unknown.intersection(self.old)

@@ -187,3 +187,36 @@ def test_packing_of_odd_documents(spark):
     assert pack.pack_documents(df.limit(0), queries.tokenizer_path()).count() == 0
     one = pack.pack_documents(df.limit(4), queries.tokenizer_path(), 8, keep_ids=True).collect()
     assert all(len(r.ids) == r.length <= 8 for r in one)
+
+
+def test_ids_of_words_equal_the_tokenizers_for_all_endings():
+    import numpy
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    whole = Tokenizer.from_file(path)
+    points = [chr(c) for c in [*range(1, 0x3100), *range(0xA000, 0xD7A4, 7), *range(0xF900, 0x10000, 3), 0x1D15E, 0x1F600] if not 0xD800 <= c < 0xE000]
+    texts = [f"{c}{e} a{c}{e}{c}" for c in points for e in ".,;:!?"] + ["<|startoftext|>. a<|endoftext|>! \u0130.", "don't. we'll, x'S; it's!"]
+    known = pack.WordIds(path)
+    assert known.by_words
+    for i in range(0, len(texts), 2000):
+        part = texts[i : i + 2000]
+        want = [e.ids for e in whole.encode_batch(part, add_special_tokens=False)]
+        assert [numpy.frombuffer(x, "<u4").tolist() for x in known.encode([t.encode() for t in part])] == want
+
+
+def test_files_of_another_kind_get_whole_texts():
+    import json
+
+    import numpy
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    other = pack.WordIds(path)
+    assert not other.by_words
+    want = Tokenizer.from_file(path).encode("Some  \u0130. text", add_special_tokens=False).ids
+    assert numpy.frombuffer(other.encode(["Some  \u0130. text".encode()])[0], "<u4").tolist() == want
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        spec = json.load(file)
+    assert pack.splits_words(spec) and not pack.splits_words(spec | {"normalizer": None})
+    assert not pack.splits_words(spec | {"pre_tokenizer": {"type": "Whitespace"}})
