@@ -13,16 +13,17 @@ groups, is compared in blocks. No pair that could be similar is left out.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoatlas.llm.common import small_batches, texts_of
+from repoatlas.llm.common import bit_field, flagged, give_back, id_slots, small_batches, texts_of
 from repoatlas.llm.components import connected_components
 from repoatlas.sources.scratch import drop_folder, save_table, scratch_folder
 
@@ -47,7 +48,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 48:
@@ -164,6 +165,9 @@ def _profile(docs: DataFrame, words: int, folder: str) -> tuple[DataFrame, np.nd
                     [pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([row], pa.int64()),
                      pa.array([lot], pa.int64()), pa.array([counts[row : row + SKETCH_ROW].tobytes()], pa.binary())],
                     names=["doc_id", "n", "f1", "f2", "counts"])
+        hashes.clear()
+        del counts
+        give_back()
 
     both = docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, counts binary")
     both = save_table(both, f"{folder}/profile")
@@ -244,61 +248,103 @@ def possible(a, b, n, doc, place, percent: int) -> tuple[np.ndarray, np.ndarray]
     return a[ok], b[ok]
 
 
-def _sets(ends: DataFrame, docs: DataFrame, words: int, folder: str) -> DataFrame:
-    """``doc, elements`` of the documents named in ``ends``; the others are left out early."""
+class Nodes:
+    """What stands for a row in the join: its id, or a number of its own where ids repeat.
+
+    ``field`` flags the slots of ids that rows with different texts share. Such a row, and any
+    other whose id has the same slot, is numbered by its id and its set, from 2**62 on.
+    """
+
+    def __init__(self, field: np.ndarray):
+        self.field, self.any = field, bool(field.any())
+
+    def own(self, ids: np.ndarray) -> np.ndarray:
+        """Which ids have numbers of their own."""
+        return flagged(self.field, id_slots(ids, FILTER_BITS)) if self.any else np.zeros(len(ids), bool)
+
+    @staticmethod
+    def number(doc: int, digest: tuple[int, int]) -> int:
+        import xxhash
+
+        return 1 << 62 | xxhash.xxh3_64_intdigest(struct.pack("<3q", doc, *digest)) >> 2
+
+
+def set_digest(elements: np.ndarray) -> tuple[int, int]:
+    import xxhash
+
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(elements.tobytes()), "<i8").tolist())
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: Broadcast, words: int) -> DataFrame:
+    """``doc, elements`` (doc a node) of the documents in ``wanted``, and of a few others."""
     spark = docs.sparkSession
-    bits = 1 << FILTER_BITS
-    slot = F.pmod(F.xxhash64("doc"), F.lit(bits)).cast("int")
-    ends = save_table(ends.distinct(), f"{folder}/ends")
-    marked = np.zeros(bits, bool)
-    some = ends.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy()  # at most ``bits`` numbers
-    marked[some] = True
-    wanted = spark.sparkContext.broadcast(np.packbits(marked))
+    field = spark.sparkContext.broadcast(bit_field(wanted, "doc", FILTER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keep = WordHashes(), np.unpackbits(wanted.value).astype(bool)
+        hashes = WordHashes()
         for batch in small_batches(batches, "text"):
-            batch = batch.filter(pa.array(keep[batch.column("s").to_numpy()]))
-            if batch.num_rows:
-                data = [ngram_set(t, hashes, words).tobytes() for t in texts_of(batch, "text")]
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(data, pa.binary())], names=["doc", "elements"])
+            ids = batch.column("doc_id").to_numpy()
+            numbered = nodes.value.own(ids)
+            keep = numbered | flagged(field.value, id_slots(ids, FILTER_BITS))
+            some = batch.filter(pa.array(keep))
+            found, data = [], []
+            for doc, own, text in zip(ids[keep].tolist(), numbered[keep].tolist(), texts_of(some, "text")):
+                elements = ngram_set(text, hashes, words)
+                if not len(elements):
+                    continue  # of a row that is in no list; its id may have another
+                if own:
+                    doc = Nodes.number(doc, set_digest(elements))
+                    if not flagged(field.value, id_slots(np.array([doc]), FILTER_BITS))[0]:
+                        continue
+                found.append(doc)
+                data.append(elements.tobytes())
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.int64()), pa.array(data, pa.binary())], names=["doc", "elements"])
+        hashes.clear()
+        give_back()
 
-    source = docs.select(F.col("doc_id").alias("doc"), "text").filter("doc IS NOT NULL")
-    found = source.withColumn("s", slot).mapInArrow(sets, "doc long, elements binary")
-    return save_table(found.join(ends, "doc", "left_semi").dropDuplicates(["doc"]), f"{folder}/sets")
+    found = docs.filter("doc_id IS NOT NULL").mapInArrow(sets, "doc long, elements binary")
+    return found.dropDuplicates(["doc"])  # equal rows; the join that follows needs no other shuffle
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: Broadcast, words: int, percent: int, folder: str) -> DataFrame:
     """The pairs ``a, b`` that are similar, by their whole sets.
 
-    One of the two sets travels to the other: the pairs of a document are dealt out in lots.
+    The pairs of a document ``a`` are dealt out in lots. ``routes`` says where a set goes: as
+    the other side ``b`` to the lot of its pair, or as ``a`` to all of its lots. A set moves
+    once to its routes and once along them, and is not written.
     """
     spark = docs.sparkSession
     pairs = save_table(pairs, f"{folder}/pairs")
-    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc")), docs, words, folder)
-    lots = save_table(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_lots")), f"{folder}/lots")
-    members = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("_lots")).cast("int"))
-    members = members.join(found, members["b"] == found["doc"]).select("a", "lot", "b", "elements")
-    leaders = lots.join(found, lots["a"] == found["doc"]).select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)).alias("lot"), F.lit(None).cast("long").alias("b"), "elements")
+    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_lots"))
+    lots = save_table(lots, f"{folder}/lots")
+    members = pairs.join(lots, "a").select(
+        F.col("b").alias("to"), "a", F.pmod(F.xxhash64("b"), F.col("_lots")).cast("int").alias("lot"),
+        F.lit(False).alias("leads"))
+    leaders = lots.select(
+        F.col("a").alias("to"), "a", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)).alias("lot"),
+        F.lit(True).alias("leads"))
+    routes = members.unionByName(leaders)
+    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc")), docs, nodes, words)
+    sent = found.join(routes, found["doc"] == routes["to"]).select("a", "lot", "leads", "doc", "elements")
 
     def check(table: pa.Table) -> pa.Table:
-        values = table["elements"]
-        b = table["b"].to_pylist()
-        own = np.frombuffer(values[b.index(None)].as_py(), np.uint64) if None in b else None
-        good = []
-        for i, other in enumerate(b):
-            if other is not None and own is not None:
+        values, leads, doc = table["elements"], table["leads"].to_pylist(), table["doc"].to_pylist()
+        own = np.frombuffer(values[leads.index(True)].as_py(), np.uint64) if True in leads else None
+        good = set()
+        for i, other in enumerate(doc):
+            if not leads[i] and own is not None:
                 theirs = np.frombuffer(values[i].as_py(), np.uint64)
                 at = np.searchsorted(own, theirs)
                 both = int((own[np.minimum(at, len(own) - 1)] == theirs).sum()) if len(own) else 0
                 if similar(both, len(own), len(theirs), percent):
-                    good.append(other)
+                    good.add(other)
+        good = sorted(good)
         return pa.table({"a": pa.array([table["a"][0].as_py()] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
-    out = members.unionByName(leaders).groupBy("a", "lot").applyInArrow(check, "a long, b long")
-    out = save_table(out, f"{folder}/links")
-    for name in ("pairs", "ends", "sets", "lots"):
+    out = save_table(sent.groupBy("a", "lot").applyInArrow(check, "a long, b long"), f"{folder}/links")
+    for name in ("pairs", "lots"):
         drop_folder(spark, f"{folder}/{name}")
     return out
 
@@ -310,8 +356,9 @@ def similar_groups(
 
     Two documents link when ``100 * intersection >= percent * union`` of their n-gram sets;
     the component is the smallest id reachable by links. Null, empty and blank texts have no
-    n-grams and link with nothing; so do rows with a null id. Equal rows are one document;
-    rows of one id with different texts count as linked. Other columns are ignored.
+    n-grams and link with nothing; so do rows with a null id. Equal rows are one document.
+    Rows of one id with different texts count as linked, and each of them links with what its
+    own text is similar to. Other columns are ignored.
     """
     spark = docs.sparkSession
     folder = scratch_folder(spark)
@@ -332,22 +379,27 @@ def similar_groups(
     typical = ordered[np.searchsorted(np.cumsum(ordered), counts.sum() / 2)]
     boundary = best_boundary(sizes, documents, max(1.0, typical - load), percent)
     order = spark.sparkContext.broadcast(Order(counts, boundary, max(LIST_ROWS, 16 * load), percent))
+    # ids that rows with different sets share
+    ends = [f(c).alias(f"{n}{c}") for c in ("f1", "f2") for n, f in (("low", F.min), ("high", F.max))]
+    shared_ids = full.groupBy("doc_id").agg(*ends).filter("lowf1 <> highf1 OR lowf2 <> highf2")
+    nodes = spark.sparkContext.broadcast(Nodes(bit_field(shared_ids, "doc_id", FILTER_BITS)))
     large = classes.filter((F.col("m") > 16) & (F.col("m") > total / CLASSES))
     skip = spark.sparkContext.broadcast({(r.f1, r.f2): r.rep for r in large.collect()})  # at most CLASSES
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hashes = WordHashes()
         for batch in small_batches(batches, "text", 1 << 20):
             parts = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
+            ids = batch.column("doc_id").to_numpy()
+            for doc, own, text in zip(ids.tolist(), nodes.value.own(ids).tolist(), texts_of(batch, "text")):
                 elements = ngram_set(text, hashes, words)
                 if not len(elements):
                     continue
-                digest = tuple(np.frombuffer(xxhash.xxh3_128_digest(elements.tobytes()), "<i8").tolist())
+                digest = set_digest(elements)
                 if skip.value.get(digest, doc) != doc:
                     continue
+                if own:
+                    doc = Nodes.number(doc, digest)
                 key, place, lots = order.value.keys(elements)
                 lot = ((doc * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF) >> 7) % lots
                 parts.append((key, lot, np.full(len(key), len(elements)), np.full(len(key), doc), place, lots))
@@ -355,6 +407,8 @@ def similar_groups(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts), ("i8", "i4", "i4", "i8", "i4", "i4"))],
                     names=["key", "lot", "n", "doc", "place", "lots"])
+        hashes.clear()
+        give_back()
 
     entries = docs.filter("doc_id IS NOT NULL").mapInArrow(enter, "key long, lot int, n int, doc long, place int, lots int")
 
@@ -376,27 +430,48 @@ def similar_groups(
     sorted_ = entries.repartition("key", "lot").sortWithinPartitions("key", "lot", "n", "doc")
     met = save_table(sorted_.mapInArrow(meet, "a long, b long, key long, n long, place long"), f"{folder}/met")
     to_rep = full.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).filter("doc_id <> rep")
-    copies = save_table(to_rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), f"{folder}/copies")
+    copies = to_rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    if nodes.value.any:
+        copies = copies.unionByName(_numbered(full, nodes).distinct())
+    copies = save_table(copies, f"{folder}/copies")
 
     # first a single partner for each document, then whatever still lies in two groups
     pairs = met.filter("b IS NOT NULL").select("a", "b")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = copies.unionByName(_compared(first, docs, words, percent, f"{folder}/1"))
+    links = copies.unionByName(_compared(first, docs, nodes, words, percent, f"{folder}/1"))
     roots = connected_components(links)
     again = save_table(_apart(pairs.distinct(), roots), f"{folder}/again")
     if again.count():
-        links = links.unionByName(_compared(again, docs, words, percent, f"{folder}/2"))
+        links = links.unionByName(_compared(again, docs, nodes, words, percent, f"{folder}/2"))
         roots = connected_components(links)
     # the lists above SHORT that still hold two groups, each pair in one of its lists
     long = met.filter("b IS NULL").select(F.col("a").alias("doc"), "key", "n")
     blocks = save_table(_list_blocks(_in_two_groups(long, roots, folder), percent), f"{folder}/blocks")
     if blocks.limit(1).count():
-        links = links.unionByName(_compared_blocks(blocks, docs, words, percent, f"{folder}/3"))
+        links = links.unionByName(_compared_blocks(blocks, docs, nodes, words, percent, f"{folder}/3"))
         roots = connected_components(links)
+    if nodes.value.any:  # the smallest id itself, where ids are above the numbers
+        known = save_table(out.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node")), f"{folder}/known")
+        least = known.groupBy("root").agg(F.min("doc_id").alias("_least"))
+        roots = known.join(least, "root").select("node", F.col("_least").alias("root"))
     joined = out.join(roots, out["doc_id"] == roots["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _numbered(full: DataFrame, nodes: Broadcast) -> DataFrame:
+    """Links ``a, b`` of ids with the numbers of their rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = nodes.value.own(batch.column("doc_id").to_numpy())
+            rows = list(zip(*(c.to_pylist() for c in batch.filter(pa.array(own)).columns)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([Nodes.number(r[0], r[1:]) for r in rows], pa.int64())],
+                names=["a", "b"])
+
+    return full.select("doc_id", "f1", "f2").mapInArrow(run, "a long, b long")
+
+
 def _labelled(df: DataFrame, doc: str, roots: DataFrame, label: str) -> DataFrame:
     own = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     return df.join(own, df[doc] == own["_node"], "left").withColumn(label, F.coalesce("_root", doc)).drop("_node", "_root")
@@ -478,9 +553,9 @@ def _list_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("h1", "l1", "h2", "l2", "doc").agg(F.flatten(F.collect_list("partners")).alias("partners"))
 
 
-def _compared_blocks(blocks: DataFrame, docs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+def _compared_blocks(blocks: DataFrame, docs: DataFrame, nodes: Broadcast, words: int, percent: int, folder: str) -> DataFrame:
     """Links of the blocks, as few as connect the same documents."""
-    found = _sets(blocks.select("doc"), docs, words, folder)
+    found = _sets(blocks.select("doc"), docs, nodes, words)
     joined = blocks.join(found.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).drop("_doc")
 
     def check(table: pa.Table) -> pa.Table:

@@ -225,6 +225,34 @@ def test_groups_of_odd_rows(spark):
     assert ngram_join.similar_groups(df.limit(0)).count() == 0
 
 
+def row_groups(rows, percent, words):
+    """Component of every id where each row is a document and rows of one id are linked."""
+    _, roots = brute_groups([(i, t) for i, (_, t) in enumerate(rows)], percent, words)
+    least = {}
+    links = [(i, roots[i]) for i in roots]
+    first = {}
+    for i, (doc, _) in enumerate(rows):
+        links.append((i, first.setdefault(doc, i)))
+    whole = components(set(range(len(rows))), links)
+    for i, (doc, _) in enumerate(rows):
+        least[whole[i]] = min(least.get(whole[i], doc), doc)
+    return [least[whole[i]] for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("shift", [0, -(2**61), 2**62 + 10**6])
+def test_rows_of_one_id_link_by_their_own_texts(spark, shift):
+    word = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(10, word("a", 40)), (10, word("b", 40)), (20, word("a", 41)), (30, word("b", 41)), (40, word("c", 40)),
+            (50, word("c", 41)), (50, word("d", 60)), (5, word("d", 61)), (7, word("e", 3)), (7, None), (7, word("e", 3)), (8, word("e", 3))]
+    rng = random.Random(4)
+    rows += [(60 + rng.randrange(30), t) for _, t in near_copies(3, groups=8, hot=60)]
+    rows = [(i + shift, t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in ngram_join.similar_groups(df).collect()}
+    assert got == {(i, root) for (i, _), root in zip(rows, row_groups(rows, 85, 4))}
+    assert (30 + shift, 10 + shift) in got and (50 + shift, 5 + shift) in got
+
+
 def test_key_pairs_and_lists_miss_no_similar_sets():
     rng = np.random.default_rng(1)
     for boundary in (0, 10, 25, 100):
@@ -264,6 +292,23 @@ def test_stages_on_odd_rows(spark):
         assert count == 0 if rows is not docs else count > 0
 
 
+def test_names_of_other_columns_may_be_any(spark):
+    names = ["_kinds", "_found_id", "_id", "_n", "_k", "_words", "_take", "_takes", "_whole", "_runs", "_gone", "_found",
+             "_score", "c0", "shard", "block", "_Spans", "_own_text"]
+    rows = [(i, "le token=abcdefgh12345678 et la suite de la phrase " + "mot " * i, "fr", "ab"[i % 2], 0) for i in range(12)]
+    rows += [(None, "the secret: abcdefgh12345678 and the other", "en", "a", 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plain = docs
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(i))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out, want = stage(spark, docs, SF), stage(spark, plain, SF)
+        assert out.columns == docs.columns and {tuple(r) for r in out.select(*names).collect()} == {tuple(range(len(names)))}
+        key = lambda df: sorted(map(str, df.select(*plain.columns).collect()))
+        assert key(out) == key(want)
+        docs, plain = (spark.createDataFrame(x.collect(), x.schema) for x in (out, want))
+
+
 def test_pipeline_stages_on_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
