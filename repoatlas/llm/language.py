@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from repoatlas.llm.common import small_batches, texts_of
+from repoatlas.llm.common import fresh, give_back, small_batches, texts_of
 
 BITS, ORDERS = 16, (1, 2, 3)
 #: Bound of the sample: this many documents of each chunk of a language. Every fourth document
@@ -27,6 +27,8 @@ SAMPLE_CHUNKS, PER_CHUNK = 64, 16
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.02, 0.02
 SCALE = 50.0
 UNKNOWN = "und"
+#: Bytes of text that are looked at together; each takes some sixty bytes meanwhile.
+LOT = 1 << 18
 
 
 def ngram_slots(texts: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +153,7 @@ def _document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                 held += seen
             n += len(texts)
         some = np.nonzero(held[:size])[0]
+        give_back()
         yield pa.RecordBatch.from_pydict({"slot": np.append(some, -1), "held": np.append(held[some], n)})
 
     counted = docs.select("text").mapInArrow(run, "slot long, held long").groupBy("slot").agg(F.sum("held"))
@@ -255,23 +258,24 @@ def identify_language(
     """
     docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
+    # the text once more at the end: the column itself may be of another type
+    source = docs.select("*", F.col(text_col).cast("string").alias(fresh(columns, "_own_text")[0]))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        names: list[str] = []
-        scores: list[float] = []
-        group: list[str | None] = []
-        size = 0
-        for i, text in enumerate(texts):
-            group.append(text)
-            size += len(text or "")
-            if size > 1 << 20 or i == len(texts) - 1:
-                a, b = shared.value.predict(group)
-                names += a
-                scores += b
-                group, size = [], 0
-        return pd.DataFrame({"lang_pred": names, "score": scores})
-
-    return docs.withColumn("_p", predict(F.col(text_col).cast("string"))).select(
-        *docs.columns, F.col("_p.lang_pred").alias(names[0]), F.col("_p.score").alias(names[1])
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            renamed = pa.RecordBatch.from_arrays(
+                batch.columns, names=[*(f"c{i}" for i in range(len(columns))), "text"]
+            )
+            for part in small_batches([renamed], "text", LOT):
+                found, scores = shared.value.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                    names=[*columns, *names],
+                )
+        give_back()
+
+    schema = StructType([
+        *docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType()),
+    ])
+    return source.mapInArrow(run, schema)

@@ -204,9 +204,14 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 
     A document that is taken whole keeps its text; of one taken in part, the runs of words
     taken, each from the first character of its first word to the end of its last, stand in
-    order with an empty line between. Documents the mix does not take go. ``n_chars``, where
-    it exists, is counted anew. Of rows with the same id each stands for its own share.
+    order with an empty line between. Documents the mix does not take go, those without words
+    among them. ``n_chars``, where it exists, is counted anew. Of rows with the same id each
+    stands for its own share. Other columns are kept, whatever their names.
     """
+    names = docs.columns
+    at = {name: f"c{i}" for i, name in enumerate(names)}
+    docs = docs.toDF(*at.values())
+    id_, text_ = at["doc_id"], at["text"]
     parts = mix.content().groupBy("_source", "_start", "doc_id", "size", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_runs"), F.sum("words").alias("_got")
     )
@@ -215,7 +220,7 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     from pyspark.sql import Window
 
     nth = Window.partitionBy("_id").orderBy("_size", "_start")
-    rank = Window.partitionBy("doc_id").orderBy("_words")
+    rank = Window.partitionBy(id_).orderBy("_words")
     plan = mix.rows.filter("size > 0").select(
         F.col("doc_id").alias("_id"), "_source", "_start", F.col("size").alias("_size")
     ).withColumn("_n", F.row_number().over(nth))
@@ -223,10 +228,10 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
         parts.select(F.col("doc_id").alias("_of"), F.col("_source").alias("_s"), F.col("_start").alias("_at"), "_takes"),
         F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_source") == F.col("_s")) & (F.col("_start") == F.col("_at")),
     ).select("_id", "_n", "_takes")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col(text_), F.lit(""))
     own = docs.withColumn("_words", F.regexp_count(text, F.lit(WORD))).filter("_words > 0")
     own = own.withColumn("_k", F.row_number().over(rank))
-    rows = own.join(plan, own["doc_id"].eqNullSafe(plan["_id"]) & ((own["_k"] - plan["_n"]) == 0))
+    rows = own.join(plan, own[id_].eqNullSafe(plan["_id"]) & ((own["_k"] - plan["_n"]) == 0))
     rows = rows.select(*docs.columns, F.explode("_takes").alias("_take"))
     rows = rows.select(*docs.columns, F.col("_take.whole").alias("_whole"), F.col("_take._runs").alias("_runs"))
 
@@ -234,11 +239,12 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t or "", [(r["first_word"], r["words"]) for r in x]) for t, x in zip(text, runs)])
 
-    rows = rows.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(
-        cut(F.when(~F.col("_whole"), F.col("text")), F.when(~F.col("_whole"), F.col("_runs")).otherwise(F.array().cast("array<struct<first_word:bigint,words:bigint>>")))))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn(text_, F.when(F.col("_whole"), F.col(text_)).otherwise(
+        cut(F.when(~F.col("_whole"), F.col(text_)), F.when(~F.col("_whole"), F.col("_runs")).otherwise(F.array().cast("array<struct<first_word:bigint,words:bigint>>")))))
+    if "n_chars" in at:
+        size = F.char_length(text_).cast(docs.schema[at["n_chars"]].dataType)
+        rows = rows.withColumn(at["n_chars"], size)
+    return rows.select(*at.values()).toDF(*names)
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:

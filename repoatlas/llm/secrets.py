@@ -20,6 +20,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repoatlas.llm.common import fresh
+
 #: Alternatives of one clause; a clause with more is left out of the query.
 MOST_STRINGS = 24
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -170,22 +172,26 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "secret_spans") -> DataFrame:
     """The rows of ``docs`` with ``secret_spans`` (or ``out``): start, rank and kind of rule, end; in this order.
 
-    A null text is empty. Rows with the same id, a null one too, are each searched. An empty
-    table gives an empty result. A column of that name is replaced.
+    A null text is empty. Rows with the same id are each searched; rows with a null id, which
+    may be many, meet no candidates and are searched for every rule. An empty table gives an
+    empty result. A column of that name is replaced, any other columns are kept.
     """
     docs = docs.drop(out)
-    found = candidates(trigram_index(docs, rules, id_col, text_col), rules)
-    found = found.select(F.col("doc_id").alias("_found_id"), F.col("kinds").alias("_kinds"))
+    own_id, own_kinds = fresh([*docs.columns, out], "_found_id", "_kinds")
+    named = docs.filter(F.col(id_col).isNotNull())
+    found = candidates(trigram_index(named, rules, id_col, text_col), rules)
+    found = found.select(F.col("doc_id").alias(own_id), F.col("kinds").alias(own_kinds))
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = []
     for rank, rule in enumerate(rules):
-        near = F.array_contains("_kinds", rule.kind) if trigram_query(rule.pattern) else F.lit(True)
+        near = F.array_contains(own_kinds, rule.kind) if trigram_query(rule.pattern) else F.lit(True)
         if rule.quick:
             near = near & text.rlike(rule.quick)
         parts.append(F.when(near, rule_spans(text, rule, rank)).otherwise(F.array().cast(SPANS)))
-    joined = docs.join(
-        found.hint("shuffle_hash"), docs[id_col].eqNullSafe(found["_found_id"]), "left"
-    )
+    joined = named.join(found.hint("shuffle_hash"), named[id_col] == found[own_id], "left")
+    every = F.array(*[F.lit(rule.kind) for rule in rules])
+    nameless = docs.filter(F.col(id_col).isNull()).withColumn(own_kinds, every)
+    joined = joined.drop(own_id).unionByName(nameless)
     spans = F.sort_array(F.concat(*parts))
     return joined.withColumn(out, spans).select(*docs.columns, out)
 
