@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoatlas.llm.common import fresh
 from repoatlas.llm.language import UNKNOWN, fit_language, identify_language
 from repoatlas.llm.mix import mix_sources, mixed_documents
 from repoatlas.llm.ngram_join import similar_groups
@@ -28,11 +29,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     documents with a letter are kept, and their ``lang`` stays null.
     """
     model = fit_language(docs)
-    found = identify_language(docs, model, names=("_found", "_score"))
+    found_name, score_name = fresh(docs.columns, "_found", "_score")
+    found = identify_language(docs, model, names=(found_name, score_name))
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).select(*docs.columns)
-    kept = found.filter((F.col("_found") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("_found")).select(*docs.columns)
+    kept = found.filter((F.col(found_name) != UNKNOWN) & (F.col(score_name) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col(found_name)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     same id and text one stays.
     """
     groups = save_table(similar_groups(docs, PERCENT, SHINGLE))
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    (gone_name,) = fresh(docs.columns, "_gone")
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_name)).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone[gone_name], "left_anti")
     again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if again.limit(1).count():
         kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(
@@ -52,10 +55,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in the text by a mark; ``n_chars`` is counted anew where that happens."""
-    found = find_secrets(docs, out="_spans")
-    hit = F.size("_spans") > 0
-    marked = redact(found, spans="_spans")
+    """Replaces every secret in the text by a mark; ``n_chars`` is counted anew where that happens.
+
+    All rows stay, in number and order of their columns; a null text stays null, and an empty
+    table stays empty.
+    """
+    (spans,) = fresh(docs.columns, "_spans")
+    found = find_secrets(docs, out=spans)
+    hit = F.size(spans) > 0
+    marked = redact(found, spans=spans)
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         marked = marked.withColumn("n_chars", F.when(hit, size).otherwise(F.col("n_chars")))
@@ -63,12 +71,20 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them: a row per document and repeat, texts cut where it cuts."""
+    """The documents as the mix takes them: a row per document and repeat, texts cut where it cuts.
+
+    Documents without words go, and so do those the mix does not reach. Rows that repeat, also
+    with a null id, are documents of their own. An empty table stays empty.
+    """
     return mixed_documents(docs, mix_sources(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows with their place in the training sequences."""
+    """The pieces of all rows with their place in the training sequences.
+
+    A null or empty text is its end token alone, repeated rows are packed each, and an empty
+    table gives no pieces.
+    """
     return pack_documents(docs, tokenizer_path())
 
 
