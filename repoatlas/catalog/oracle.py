@@ -812,13 +812,65 @@ def _step_files() -> str:
     )
 
 
+def _combined(found: dict[str, str]) -> dict[str, str]:
+    """SQL made of other queries' SQL."""
+    base = {
+        "name": "repo", "language": "primary_language", "is_spring_boot": "CAST(has_spring_boot AS VARCHAR)", "build_system": "type",
+    }
+    facts = " UNION ALL ".join(f"SELECT repo, '{f}' AS field, '' AS path, {v} AS content FROM profiles" for f, v in base.items())
+    shared = sql(
+        f"{facts} UNION ALL SELECT repo, 'custom_tools', '', tool FROM tools "
+        "UNION ALL SELECT repo, 'file_breakdown', '', lang || ': ' || n FROM stats "
+        "UNION ALL SELECT repo, 'entry_points', path, NULL FROM survey WHERE is_entry "
+        f"UNION ALL SELECT repo, 'shell_scripts', path, NULL FROM survey WHERE is_gathered AND {SHELL} "
+        f"UNION ALL SELECT repo, 'shell_scripts', path, NULL FROM survey WHERE is_gathered AND {ROOT_SHELL} "
+        f"UNION ALL SELECT repo, 'existing_readme', path, body FROM survey WHERE is_gathered AND {README} "
+        "UNION ALL SELECT repo, 'formatted_analysis', '', text FROM reports"
+    )
+    steps = ", ".join(map(str, range(5)))
+    rows = [f"SELECT repo, step, field, path, md5(coalesce(content, '')) AS digest FROM ({shared}), (SELECT unnest([{steps}]) AS step)"]
+    rows.append(f"SELECT repo, step, field, path, digest FROM ({found['c3_purpose_context']}) WHERE field <> 'formatted_analysis'")
+    rows.append(f"SELECT repo, step, field, path, digest FROM ({found['c4_usage_context']}) WHERE field NOT IN ('shell_scripts', 'root_shell_scripts')")
+    rows.append(f"SELECT repo, step, field, path, digest FROM ({found['c5_draft_context']})")
+    for field in ("original_readme", "generated_readme", "readme_evaluation", "readme_recommendation", "is_low_quality"):
+        rows.append(f"SELECT repo, 4, '{field}', '', md5(coalesce(CAST({field} AS VARCHAR), '')) FROM ({found['c6_optimize_context']})")
+    contexts = " UNION ALL ".join(rows)
+    every = "SELECT repo || '/' || path AS repo, doc_id, content FROM files_id WHERE " + ORIGINAL
+    own = {
+        "made_pairs": f"SELECT repo, CASE WHEN doc_id % 7 = 0 THEN '  # tiny\n' ELSE content END AS original_readme, '# ' || repo AS generated_readme FROM ({every})",
+        "verdicts": (
+            "SELECT repo, CASE WHEN quality = 1 THEN 'Good.\nNO' ELSE 'Poor.\nYES' END AS output "
+            f"FROM ({every}) JOIN labels USING (doc_id)"
+        ),
+    }
+    quality = (
+        f"SELECT repo, low AS is_low_quality, CASE WHEN low THEN 'OVERWRITE' ELSE 'RESPECT_ORIGINAL' END AS recommendation, reason FROM ("
+        f"SELECT p.repo, {_low('p')} AS low, CASE WHEN {_minimal('p')} THEN {q(fv.MINIMAL_README_REASON)} "
+        f"ELSE coalesce(v.output, {q(fv.EVALUATION_ERROR)}) END AS reason FROM made_pairs p LEFT JOIN verdicts v USING (repo))"
+    )
+    facts = ("analyzer", "primary_language", "total_files", "n_config_files", "type")
+    saved = " UNION ALL ".join(f"SELECT repo, '{f}' AS name, 0 AS position, CAST({f} AS VARCHAR) AS value FROM profiles" for f in facts)
+    saved = sql(
+        f"{saved} UNION ALL SELECT repo, 'top_files', CAST(rn AS INTEGER), path || ':' || lang || ':' || score FROM ranked WHERE rn <= {fv.TOP_FILES_IN_PROFILE} "
+        "UNION ALL SELECT repo, 'custom_tools', CAST(row_number() OVER (PARTITION BY repo ORDER BY seen) AS INTEGER), tool FROM tools"
+    )
+    return {
+        "c7_step_contexts": contexts,
+        "k1_write_all_contexts": f"SELECT * FROM ({contexts}) WHERE step > 0",
+        "k3_write_all_prompts": found["c10_build_prompts"],
+        "c8_every_readme_quality": sql(quality, **own),
+        "c11_every_evaluation_prompt": sql(_evaluation(), **own),
+        "k2_saved_profile": f"SELECT * FROM ({saved}) UNION ALL SELECT repo, list, rank, path FROM ({found['a6_list_order']})",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     text_4, comments_4 = reasoning("output")
     text_html, comments_html = reasoning("html")
     by_repo = "FROM ranked"
     deps_java = "SELECT d.*, a.analyzer FROM deps d JOIN analyzers a USING (repo)"
     purpose = _kept("picked_1", 1, "key_files_content")
-    return {
+    found = {
         "u1_language_plugin": plugin_sql(
             "SELECT repo, analyzer, path, lang AS language, is_key AS is_key_file, is_entry AS is_entry_point, "
             "is_config, CAST(score AS INTEGER) AS importance_score FROM classified"
@@ -1086,3 +1138,4 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT repo, md5({watermark("(" + text_4 + ")")}) AS digest, {comments_4} AS reasoning FROM page_outputs WHERE step = 4"
         ),
     }
+    return found | _combined(found)

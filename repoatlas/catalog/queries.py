@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from repoatlas.operators.classify import (
 from repoatlas.operators.gather import gather_text
 from repoatlas.plans import contexts, job, profile, prompts, quality
 from repoatlas.sources import scan, sinks
-from repoatlas.sources.scratch import scratch_folder
+from repoatlas.sources.scratch import save_table, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -194,6 +195,47 @@ def k2_write_profile(spark, sf_dir):
     )
 
 
+@query
+def k2_saved_profile(spark, sf_dir):
+    """Profile and path lists written together, read back and shown by value."""
+    folder = scratch_folder(spark)
+    corpus = _corpus(spark, sf_dir)
+    lists = corpus.chosen(agg.repo_lists(corpus.survey, corpus.languages))
+    sinks.write_saved_profile(profile.profile_repos(corpus), lists, folder)
+    saved = sinks.read_tables(spark, folder)
+
+    def item(name: str, position: Column, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), position.cast("int").alias("position"), value.cast("string").alias("value"))
+
+    facts = ("analyzer", "primary_language", "total_files", "n_config_files", "type")
+    shown = F.concat(
+        F.array(*[item(f, F.lit(0), F.col(f)) for f in facts]),
+        F.transform("top_files", lambda x, i: item("top_files", i + 1, F.concat_ws(":", x.path, x.language, x.score.cast("string")))),
+        F.transform("custom_tools", lambda x, i: item("custom_tools", i + 1, x)),
+    )
+    placed = rank.first_n(saved["lists"], None, ["repo", "list"])
+    return saved["profile"].select("repo", F.inline(shown)).unionByName(
+        placed.select("repo", F.col("list").alias("name"), F.col("rank").alias("position"), F.col("path").alias("value"))
+    )
+
+
+@query
+def k1_write_all_contexts(spark, sf_dir):
+    """What all steps are told, written and read back."""
+    folder = scratch_folder(spark)
+    rows = _step_contexts(spark, sf_dir).filter("step > 0")
+    sinks.write_contexts(rows, folder)
+    return spark.read.schema(rows.schema).json(folder).select("repo", "step", "field", "path", _digest())
+
+
+@query
+def k3_write_all_prompts(spark, sf_dir):
+    folder = scratch_folder(spark)
+    made = job.prompt_batch(_all_slots(spark, sf_dir), prompts.default_steps(spark))
+    sinks.write_prompts(made, folder)
+    return spark.read.parquet(folder).select("repo", "step", "prompt")
+
+
 @query
 def k3_write_prompts(spark, sf_dir):
     folder = scratch_folder(spark)
@@ -877,8 +919,48 @@ def c7_base_context(spark, sf_dir):
     )
 
 
+def _step_contexts(spark, sf_dir) -> DataFrame:
+    """The context rows of every step, and under 0 those without a step."""
+    run = job.start_run(views.files(spark, sf_dir))
+    report = save_table(profile.profile_report(run.corpus, run.profile, run.dependencies))
+    outputs, answers = views.corpus_outputs(spark, sf_dir), views.verdicts(spark, sf_dir)
+    steps = [
+        contexts.step_context(run.corpus, run.profile, step, report, outputs, run.dependencies, answers)
+        for step in (None, 1, 2, 3, 4)
+    ]
+    return reduce(DataFrame.unionByName, steps)
+
+
+@query
+def c7_step_contexts(spark, sf_dir):
+    return _step_contexts(spark, sf_dir).select("repo", "step", "field", "path", _digest())
+
+
+def _every_readme(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every original README, nested ones too, as a pair of its own, and the verdicts on them."""
+    files = views.files_with_id(spark, sf_dir).filter(fp.is_original_readme())
+    named = files.withColumn("repo", F.concat_ws("/", "repo", "path"))
+    original = F.when(F.col("doc_id") % 7 == 0, F.lit("  # tiny\n")).otherwise(F.col("content"))
+    pairs = named.select(
+        "repo", original.alias("original_readme"), F.concat(F.lit("# "), "repo").alias("generated_readme")
+    )
+    answer = F.when(F.col("quality") == 1, F.lit("Good.\nNO")).otherwise(F.lit("Poor.\nYES"))
+    labels = views.table(spark, sf_dir, "labels")
+    return pairs, named.join(labels, "doc_id").select("repo", answer.alias("output"))
+
+
+@query
+def c8_every_readme_quality(spark, sf_dir):
+    return quality.readme_quality(*_every_readme(spark, sf_dir))
+
+
+@query
+def c11_every_evaluation_prompt(spark, sf_dir):
+    return quality.evaluation_prompts(_every_readme(spark, sf_dir)[0])
+
+
 def _readme_files_pair(spark, sf_dir) -> DataFrame:
-    """Every README file as a pair of its own, some of them emptied."""
+    """The README at the root of every repo as a pair of its own, some of them emptied."""
     files = views.files_with_id(spark, sf_dir).filter(F.col("path") == "README.md")
     original = F.when(F.col("doc_id") % 7 == 0, F.lit("  # tiny\n")).otherwise(F.col("content"))
     return files.select(

@@ -117,6 +117,95 @@ def base_context(profile: DataFrame) -> DataFrame:
     )
 
 
+def base_rows(corpus: Corpus, profile: DataFrame, report: DataFrame | None = None) -> DataFrame:
+    """Context rows that all steps share, without a step: facts, lists, report, existing READMEs.
+
+    ``repo, field, path, ord, content``. Facts are one row each, tools and languages one per
+    item, paths one per file. Scripts at the root are listed a second time after all scripts.
+    ``report`` are the rows of `profile.profile_report`.
+    """
+
+    def item(field: str, content, order=None):
+        return F.struct(
+            F.lit(field).alias("field"), F.lit("").alias("path"),
+            (F.lit("") if order is None else F.lpad(order.cast("string"), 9, "0")).alias("ord"),
+            content.cast("string").alias("content"),
+        )
+
+    base = base_context(profile)
+    facts = [item(f, F.col(f)) for f in ("name", "language", "is_spring_boot", "build_system")]
+    shown = F.concat(
+        F.array(*facts),
+        F.transform("custom_tools", lambda tool, i: item("custom_tools", tool, i)),
+        F.transform(
+            "file_breakdown",
+            lambda x, i: item("file_breakdown", F.concat_ws(": ", x.language, x.n.cast("string")), i),
+        ),
+    )
+    rows = base.select("repo", F.inline(shown))
+    kinds = {"entry_points": ("entry_points", ""), "shell_scripts": ("shell_scripts", "0"),
+             "root_shell_scripts": ("shell_scripts", "1")}
+    field, lead = F, F
+    for name, (of, order) in kinds.items():
+        field = field.when(F.col("list") == name, F.lit(of))
+        lead = lead.when(F.col("list") == name, F.lit(order))
+    lists = corpus.chosen(agg.repo_lists(corpus.survey, corpus.languages).filter(F.col("list").isin([*kinds])))
+    rows = rows.unionByName(lists.select(
+        "repo", field.alias("field"), "path", F.concat(lead, "ord").alias("ord"),
+        F.lit(None).cast("string").alias("content"),
+    ))
+    readable = corpus.files.filter(F.col("size") <= corpus.max_size)
+    readmes = corpus.chosen(agg.readme_contents(readable, corpus.survey))
+    rows = rows.unionByName(
+        readmes.select("repo", F.lit("existing_readme").alias("field"), "path", "ord", "content")
+    )
+    if report is None:
+        return rows
+    return rows.unionByName(report.select(
+        "repo", F.lit("formatted_analysis").alias("field"), F.lit("").alias("path"),
+        F.col("part").alias("ord"), F.col("text").alias("content"),
+    ))
+
+
+def step_context(
+    corpus: Corpus, profile: DataFrame, step: int | None = None, report: DataFrame | None = None,
+    step_outputs: DataFrame | None = None, dependencies: DataFrame | None = None,
+    verdicts: DataFrame | None = None,
+) -> DataFrame:
+    """``repo, step, field, path, ord, content``: all that a step is told, in one form.
+
+    The rows of `base_rows` and those of the step itself. Step 3 needs ``step_outputs`` and
+    ``dependencies``, step 4 ``step_outputs`` and ``verdicts``; with no step there are only the
+    shared rows, under step 0. Where the shared rows and the step have the same list, as the
+    scripts of step 2 and the report of step 1, it is there once.
+    """
+    columns = ["repo", "step", "field", "path", "ord", "content"]
+    base = base_rows(corpus, profile, report)
+    if step is None:
+        return base.withColumn("step", F.lit(0)).select(*columns)
+    if step == 1:
+        own = purpose_context(corpus)
+    elif step == 2:
+        own = look_up(corpus, usage_picks(corpus)).unionByName(
+            usage_lists(corpus, profile).filter("field = 'run_commands'")
+        )
+    elif step == 3:
+        own = draft_context(corpus, step_outputs, dependencies)
+    elif step == 4:
+        final = optimize_context(corpus_readme_pair(corpus, step_outputs), verdicts)
+        fields = [name for name in final.columns if name != "repo"]
+        made = F.array(*[
+            F.struct(
+                F.lit(f).alias("field"), F.lit("").alias("path"), F.lit("").alias("ord"),
+                F.col(f).cast("string").alias("content"),
+            ) for f in fields
+        ])
+        own = final.select("repo", F.lit(4).alias("step"), F.inline(made))
+    else:
+        raise ValueError(f"step must be one of 1 to 4 or None, not {step!r}")
+    return base.withColumn("step", F.lit(step)).select(*columns).unionByName(own.select(*columns))
+
+
 # -- C3 ---------------------------------------------------------------------
 
 def purpose_context(

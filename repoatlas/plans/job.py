@@ -15,7 +15,7 @@ from repoatlas.operators.aggregate import command_groups
 from repoatlas.operators.joins import readme_pair
 from repoatlas.plans import contexts, prompts
 from repoatlas.plans.profile import Corpus, profile_repos, report_pieces, survey_corpus
-from repoatlas.sources.scratch import save_table
+from repoatlas.sources.scratch import drop_folder, save_table, scratch_folder
 
 
 @dataclass(frozen=True)
@@ -29,19 +29,31 @@ class Run:
     corpus: Corpus
     profile: DataFrame
     dependencies: DataFrame
+    folder: str
 
     def report_pieces(self, api_patterns: DataFrame | None = None) -> DataFrame:
         return report_pieces(self.corpus, self.profile, self.dependencies, api_patterns)
 
+    def close(self) -> None:
+        """Delete the tables of the run; DataFrames that read them can no longer be used."""
+        drop_folder(self.profile.sparkSession, self.folder)
+
 
 def start_run(
     files: DataFrame, language: str = "auto", max_size: int | None = fv.MAX_FILE_BYTES,
     languages: Sequence[LanguageRules] = BUILT_IN,
 ) -> Run:
-    """Survey the corpus, extract the dependencies and write the profile."""
-    corpus = survey_corpus(files, language, max_size=max_size, languages=languages)
+    """Survey the corpus, extract the dependencies and write the profile.
+
+    The tables lie in one new folder until `Run.close`.
+    """
+    folder = scratch_folder(files.sparkSession)
+    corpus = survey_corpus(
+        files, language, max_size=max_size, languages=languages, folder=folder
+    )
     dependencies = extract.find_dependencies(extract.readable_files(files, corpus.max_size))
-    return Run(corpus, save_table(profile_repos(corpus)), save_table(dependencies))
+    profile = save_table(profile_repos(corpus), f"{folder}/profile")
+    return Run(corpus, profile, save_table(dependencies, f"{folder}/dependencies"), folder)
 
 
 def picked_contents(run: Run) -> DataFrame:
@@ -51,7 +63,7 @@ def picked_contents(run: Run) -> DataFrame:
         .unionByName(contexts.usage_picks(run.corpus))
         .unionByName(contexts.original_picks(run.corpus))
     )
-    return save_table(contexts.look_up(run.corpus, picks))
+    return save_table(contexts.look_up(run.corpus, picks), scratch_folder(run.profile.sparkSession, run.folder))
 
 
 def first_slots(run: Run, contents: DataFrame) -> DataFrame:

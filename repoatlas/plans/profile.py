@@ -37,13 +37,14 @@ class Corpus:
 def survey_corpus(
     files: DataFrame, language: str = "auto", save: bool = True, readme_md: bool = True,
     max_size: int | None = fv.MAX_FILE_BYTES, languages: Sequence[LanguageRules] = BUILT_IN,
+    folder: str | None = None,
 ) -> Corpus:
     """Scan the contents once and keep what the later passes need.
 
     ``save`` writes the narrow survey and the analyzer of each repo to the shared scratch
     folder; without it every pass scans the contents again.  The analyzers need a scan of
     `repo` and `path` only.  Larger files than ``max_size`` (None: no limit) take no part.
-    ``languages`` are the analyzers to choose from.
+    ``languages`` are the analyzers to choose from. ``folder`` is where the tables are written.
     """
     limit = fv.NO_LIMIT if max_size is None else max_size
     survey = survey_files(files, language, readme_md, limit, languages).filter(
@@ -51,7 +52,8 @@ def survey_corpus(
     )
     analyzers = select_analyzer(files, language, languages)
     if save:
-        survey, analyzers = save_table(survey), save_table(analyzers)
+        survey = save_table(survey, folder and f"{folder}/survey")
+        analyzers = save_table(analyzers, folder and f"{folder}/analyzers")
     return Corpus(files, survey, analyzers, limit, tuple(languages))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,16 @@ def scratch_base(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     First the setting ``spark.checkpoint.dir``, then a folder set with
-    ``SparkContext.setCheckpointDir``, then a folder below the warehouse.
+    ``SparkContext.setCheckpointDir``. On a local master a folder below the warehouse will do;
+    on a cluster that may be a folder of one machine, so there it is an error.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return base.rstrip("/")
 

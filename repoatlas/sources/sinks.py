@@ -6,8 +6,12 @@ steps or repos that are too large for one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from repoatlas.functions import content as fc
 from repoatlas.functions import text as ft
@@ -55,6 +59,60 @@ def write_profile(profile: DataFrame, path: str, mode: str = "overwrite") -> Non
     without_content(profile).write.mode(mode).json(path)
 
 
+MANIFEST = "current.json"
+
+
+def _file(spark: SparkSession, path: str):
+    full = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return full, full.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> str:
+    """Several tables that become visible together; returns the version's folder.
+
+    All tables are written below a new folder of ``path``; last comes one small file that
+    names it. A reader sees the tables of the version before until that file is there, also if
+    the job ends in between. Folders of earlier versions stay for those who still read them.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{version}/{name}")
+    told = {"version": version, "tables": {n: t.schema.jsonValue() for n, t in tables.items()}}
+    full, system = _file(spark, f"{path}/{MANIFEST}")
+    out = system.create(full, True)
+    out.write(bytearray(json.dumps(told).encode()))
+    out.close()
+    return f"{path}/{version}"
+
+
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the version that ``path`` names; an error if none was ever completed."""
+    full, system = _file(spark, f"{path}/{MANIFEST}")
+    if not system.exists(full):
+        raise FileNotFoundError(f"no complete version in {path}")
+    stream = system.open(full)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    told = json.loads(text)
+    return {
+        name: spark.read.schema(StructType.fromJson(schema)).parquet(f"{path}/{told['version']}/{name}")
+        for name, schema in told["tables"].items()
+    }
+
+
+def write_saved_profile(
+    profile: DataFrame, lists: DataFrame, path: str, **more: DataFrame
+) -> str:
+    """The profile of all repos with their path lists, and ``more`` tables, visible together.
+
+    ``lists`` are rows ``repo, list, path, ord`` of the chosen analyzers. No table has file
+    contents.
+    """
+    tables = {"profile": without_content(profile), "lists": lists.select("repo", "list", "path", "ord")}
+    return write_tables(tables | more, path)
+
+
 # -- K3 ---------------------------------------------------------------------
 
 def write_prompts(prompts: DataFrame, path: str, mode: str = "overwrite") -> None:

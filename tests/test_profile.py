@@ -383,3 +383,22 @@ def test_first_dependencies_are_those_of_the_files_with_the_highest_score(spark)
         assert [r.content for r in found] == want
     lines = profile.shown_dependencies(run.dependencies).orderBy("position").collect()
     assert [r.line for r in lines] == [*first[:20], "... and 10 more"]
+
+
+def test_lists_tools_and_commands_are_in_the_order_of_the_score(spark):
+    boot = "@SpringBootApplication class Z {}"
+    files = make_files(spark, {"r": {
+        "build.gradle": "", "src/Aaa.java": "", "src/ZController.java": "", "src/ZMain.java": boot,
+        "a/readme.md": "x", "b/main-readme.md": "y", "a-stop.sh": "", "b-start.sh": "", "main-run.sh": "",
+        "lombok.config": "", "docker-compose.yml": "",
+    }})
+    corpus = profile.survey_corpus(files, "java")
+    rows = corpus.chosen(agg.repo_lists(corpus.survey)).collect()
+    listed = lambda name: [r.path for r in sorted(rows, key=lambda r: r.ord) if r.list == name]
+    assert listed("java_files") == ["src/ZMain.java", "src/ZController.java", "src/Aaa.java"]
+    assert listed("readme_files") == ["b/main-readme.md", "a/readme.md"]
+    assert listed("shell_scripts") == ["a-stop.sh", "b-start.sh", "main-run.sh"]
+    commands = agg.command_groups(agg.command_facts(corpus.survey), extract.find_commands(corpus.survey)).orderBy("ord")
+    assert [r.command for r in commands.collect()] == ["./main-run.sh", "./b-start.sh", "./a-stop.sh"]
+    tools = extract.custom_tools(corpus.survey).orderBy("first_ord").collect()
+    assert [r.tool for r in tools] == ["spring-boot", "docker"]

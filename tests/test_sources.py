@@ -142,3 +142,41 @@ def test_readmes_and_contexts(spark, tmp_path):
 def test_decode_keeps_text(spark):
     df = spark.createDataFrame([(b"caf\xc3\xa9 \xe2\x82",)], "raw binary")
     assert df.select(fc.decode_text(F.col("raw"))).first()[0] == "café "
+
+
+def test_tables_become_visible_together(spark, tmp_path):
+    path = str(tmp_path / "saved")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_tables(spark, path)
+    first = {"a": spark.range(3), "b": spark.createDataFrame([("x", [1])], "s string, n array<int>")}
+    sinks.write_tables(first, path)
+    before = sinks.read_tables(spark, path)
+    broken = spark.range(1).select(F.raise_error(F.lit("stop")).alias("x"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_tables({"a": spark.range(9), "b": broken}, path)
+    again = sinks.read_tables(spark, path)
+    assert again["a"].count() == 3 and again["b"].schema == first["b"].schema
+    sinks.write_tables({"a": spark.range(5)}, path)
+    assert list(sinks.read_tables(spark, path)) == ["a"] and sinks.read_tables(spark, path)["a"].count() == 5
+    assert before["a"].count() == 3
+
+
+def test_profile_is_saved_with_its_lists(spark, tmp_path):
+    profile = spark.createDataFrame([("r", {"README.md": "secret"})], "repo string, readme_contents map<string, string>")
+    lists = spark.createDataFrame([("r", "java", "java_files", "A.java", "1")], "repo string, analyzer string, list string, path string, ord string")
+    sinks.write_saved_profile(profile, lists, str(tmp_path / "p"), facts=spark.range(1))
+    saved = sinks.read_tables(spark, str(tmp_path / "p"))
+    assert saved["profile"].columns == ["repo"] and matches(saved["lists"], "repo", "list", "path") == {("r", "java_files", "A.java")}
+    assert saved["facts"].count() == 1
+
+
+def test_a_run_deletes_its_tables(spark):
+    from repoatlas.plans import job
+    from repoatlas.sources.stores import open_store
+
+    run = job.start_run(make_files(spark, {"r": {"build.gradle": "", "README.md": "# hello there, reader"}}))
+    assert job.picked_contents(run).count() > 0
+    store, path = open_store(run.folder)
+    assert store.get_file_info(path).is_file is False and store.get_file_info(path).type.name == "Directory"
+    run.close()
+    assert store.get_file_info(path).type.name == "NotFound"
