@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import erf
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoatlas.llm.vectors import as_matrix, load_vectors, sample_matrix
+from repoatlas.llm.vectors import as_matrix, dimensions, load_vectors, safe_scale, sample_matrix
 from repoatlas.sources.scratch import save_table
 
 #: Tables, slot width in usual neighbour distances, and the probability to visit per table.
@@ -156,16 +157,35 @@ def nearest_neighbours(
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for each query, nearest first.
 
     Queries are the rows where ``is_query`` (a condition on ``vec_id``) holds; candidates are
-    all rows with another id. The score is the Euclidean distance in double precision, ties go
-    to the smaller id. Vectors ``load_vectors`` leaves out take no part. Of equal vectors only
+    all rows with another id and a vector of the same length. The score is the Euclidean
+    distance in double precision, ties go to the smaller id; very large or small components
+    are scaled by a power of two meanwhile, so that no square overflows (beside components
+    2**500 times as large, small ones then count as zero). Vectors
+    ``load_vectors`` leaves out take no part. Of equal vectors only
     the ``k + 1`` smallest ids can be results, so no more are kept. A query whose buckets hold
     fewer than ``k`` candidates is compared with all vectors. Of rows with the same id one
     counts, other columns are ignored, and an empty table gives no rows.
     """
     spark = df.sparkSession
-    vectors, dim = load_vectors(df, id_col, vec_col)
-    once = vectors.groupBy("vec_id").agg(F.min(F.struct("same", "v")).alias("_x"))
+    scales = {dim: safe_scale(most) for dim, most in dimensions(df, vec_col).items()}
+    loaded = [load_vectors(df, id_col, vec_col, dim, scale=scale) for dim, scale in scales.items()]
+    if not loaded:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    once = reduce(DataFrame.unionByName, loaded).groupBy("vec_id").agg(F.min(F.struct("same", "v")).alias("_x"))
     vectors = save_table(once.select("vec_id", "_x.v", "_x.same"))
+    parts = []
+    for dim, scale in scales.items():
+        own = vectors.filter(F.octet_length("v") == 8 * dim)
+        found = _nearest(own, dim, is_query, k, tables, width, success, seed)
+        parts.append(found if scale == 1.0 else found.withColumn("score", F.col("score") / F.lit(scale)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(
+    vectors: DataFrame, dim: int, is_query, k: int, tables: int, width: float, success: float, seed: int,
+) -> DataFrame:
+    """The nearest among vectors of one length."""
+    spark = vectors.sparkSession
     copy = Window.partitionBy("same").orderBy("vec_id")
     index = save_table(vectors.withColumn("_n", F.row_number().over(copy)).filter(F.col("_n") <= k + 1).drop("_n"))
     queries = vectors.filter(is_query)

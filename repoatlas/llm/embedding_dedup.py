@@ -10,6 +10,7 @@ every link; a smaller ``margin`` trades links for fewer visits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas.llm.components import connected_components
-from repoatlas.llm.vectors import as_binary, as_matrix, load_vectors, sample_matrix
+from repoatlas.llm.vectors import as_binary, as_matrix, dimensions, load_vectors, sample_matrix
 from repoatlas.sources.scratch import save_table
 
 THRESHOLD = 0.9
@@ -124,26 +125,50 @@ def near_duplicates(
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``df``.
 
-    Two vectors link when their cosine, in double precision, is at least ``threshold``.
-    Vectors ``load_vectors`` leaves out link with nothing. Equal vectors are compared once and
+    Two vectors of one length link when their cosine, in double precision, is at least
+    ``threshold``. Vectors ``load_vectors`` leaves out link with nothing. Equal vectors are compared once and
     counted as often as they occur; rows of one id with different vectors share their links.
     Other columns are ignored, an empty table gives no rows. ``kept`` marks the smallest id of
     a component. With ``margin`` None no link is lost.
     """
-    spark = df.sparkSession
-    vectors, dim = load_vectors(df, id_col, vec_col, unit=True)
-    vectors = save_table(vectors)
-    copies = save_table(vectors.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    distinct = save_table(
-        vectors.join(copies, "same").filter("vec_id = rep").select("vec_id", "v", "same", "n").distinct()
-    )
-    total = distinct.count()
     everyone = df.select(F.col(id_col).cast("long").alias("vec_id"))
-    if not total:
+    parts = []
+    for dim in dimensions(df, vec_col):
+        vectors = save_table(load_vectors(df, id_col, vec_col, dim, unit=True))
+        copies = save_table(vectors.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+        distinct = save_table(
+            vectors.join(copies, "same").filter("vec_id = rep").select("vec_id", "v", "same", "n").distinct()
+        )
+        total = distinct.count()
+        if total:
+            found = _compared(distinct, total, dim, threshold, margin, seed)
+            parts.append((vectors.select("vec_id", "same"), copies, found))
+    if not parts:
         return everyone.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
             F.lit(True).alias("kept"),
         )
+    vectors, copies, found = (reduce(DataFrame.unionByName, same_kind) for same_kind in zip(*parts))
+    links = found.groupBy("vec_id").agg(F.sum("links").alias("_links")).withColumnRenamed("vec_id", "_rep")
+    roots = connected_components(found.filter("label <> vec_id").select(F.col("vec_id").alias("a"), F.col("label").alias("b")))
+    by_rep = copies.join(links, F.col("rep") == F.col("_rep"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+    by_rep = save_table(by_rep.select(
+        "same", (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        F.coalesce("root", "rep").alias("component_id"),
+    ))
+    linked = vectors.select("vec_id", "same").join(by_rep, "same").groupBy(F.col("vec_id").alias("_id")).agg(
+        F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    out = everyone.join(linked, F.col("vec_id") == F.col("_id"), "left")
+    return out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def _compared(distinct: DataFrame, total: int, dim: int, threshold: float, margin: float | None, seed: int) -> DataFrame:
+    """``vec_id, links, label``: links counted and labels reached among different vectors of one length."""
+    spark = distinct.sparkSession
     cells = int(min(MOST_CELLS, max(1, round(total**0.5 / 3))))
     centroids = fit_centroids(sample_matrix(distinct, dim, SAMPLE_PER_CELL * cells), cells, seed=seed)
     cells = len(centroids)
@@ -195,19 +220,4 @@ def near_duplicates(
         rows["goes"] = np.unpackbits(bits, axis=1)[:, :cells].astype(bool)
         return pa.table(compare_block(rows, cols, table["cell"][0].as_py(), threshold))
 
-    found = save_table(blocks.groupBy("cell", "s", "t").applyInArrow(compare, "vec_id long, links long, label long"))
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("_links")).withColumnRenamed("vec_id", "_rep")
-    roots = connected_components(found.filter("label <> vec_id").select(F.col("vec_id").alias("a"), F.col("label").alias("b")))
-    by_rep = copies.join(links, F.col("rep") == F.col("_rep"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    by_rep = save_table(by_rep.select(
-        "same", (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("root", "rep").alias("component_id"),
-    ))
-    linked = vectors.select("vec_id", "same").join(by_rep, "same").groupBy(F.col("vec_id").alias("_id")).agg(
-        F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = everyone.join(linked, F.col("vec_id") == F.col("_id"), "left")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
-    )
+    return save_table(blocks.groupBy("cell", "s", "t").applyInArrow(compare, "vec_id long, links long, label long"))

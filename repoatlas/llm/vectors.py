@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VECTORS = "vec_id long, v binary, same binary"
+MOST_LENGTHS = 1000
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -24,36 +25,60 @@ def as_binary(matrix: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in np.ascontiguousarray(matrix, "<f8")], pa.binary())
 
 
-def load_vectors(df: DataFrame, id_col: str, vec_col: str, unit: bool = False) -> tuple[DataFrame, int]:
-    """``vec_id``, ``v`` (doubles as bytes) and ``same`` (hash of the vector), and the dimension.
+def dimensions(df: DataFrame, vec_col: str) -> dict[int, float]:
+    """The lengths of the vectors, and the largest component of each length's vectors.
 
-    Left out are rows with a null id and vectors that are null, zero, of another length than
-    most, or hold null or non-finite components. With ``unit`` the vectors get length 1; the
-    hash is of the vector as it came.
+    Vectors are compared with those of their own length only. One row per length comes to the
+    driver, and each length is a job of its own; more than ``MOST_LENGTHS`` are refused.
+    """
+    e = F.col("e")
+    whole = F.forall("e", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    largest = F.when(whole, F.array_max(F.transform(e, F.abs)))
+    rows = df.select(F.col(vec_col).cast("array<double>").alias("e")).filter(F.size("e") > 0)
+    found = rows.groupBy(F.size("e").alias("dim")).agg(F.max(largest).alias("most"))
+    found = found.filter("most > 0").limit(MOST_LENGTHS + 1).collect()
+    if len(found) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    return {r.dim: r.most for r in sorted(found)}
+
+
+def safe_scale(most: float) -> float:
+    """A power of two that keeps squares of such components within a double; 1 for most tables."""
+    exponent = int(np.frexp(most)[1])
+    return 1.0 if abs(exponent) < 300 else float(np.ldexp(1.0, -exponent))
+
+
+def load_vectors(
+    df: DataFrame, id_col: str, vec_col: str, dim: int, unit: bool = False, scale: float = 1.0,
+) -> DataFrame:
+    """``vec_id``, ``v`` (doubles as bytes) and ``same`` (hash of the vector), of length ``dim``.
+
+    Left out are rows with a null id and vectors that are null, zero, or hold null or
+    non-finite components. With ``unit`` the vectors get length 1, whatever the size of their
+    components, else they are multiplied by ``scale``; the hash is of the vector as it came.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"))
-    most = rows.filter("e IS NOT NULL").groupBy(F.size("e").alias("dim")).count()
-    best = most.orderBy(F.desc("count"), "dim").first()
-    dim = best.dim if best else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            batch = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column("e")), dim))
-            if not batch.num_rows or not dim:
+            if not batch.num_rows:
                 continue
             x = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            norm = np.sqrt((x * x).sum(axis=1))
-            good = np.isfinite(x).all(axis=1) & (norm > 0) & np.isfinite(norm)
-            ids, x, norm = batch.column("vec_id").filter(pa.array(good)), x[good] + 0.0, norm[good]
+            most = np.abs(x).max(axis=1)
+            good = np.isfinite(x).all(axis=1) & (most > 0)
+            ids, x = batch.column("vec_id").filter(pa.array(good)), x[good] + 0.0
             same = [xxhash.xxh3_128_digest(row.tobytes()) for row in x]
-            yield pa.RecordBatch.from_arrays(
-                [ids, as_binary(x / norm[:, None] if unit else x), pa.array(same, pa.binary())],
-                names=["vec_id", "v", "same"],
-            )
-
-    return rows.filter("vec_id IS NOT NULL AND e IS NOT NULL").mapInArrow(run, VECTORS), dim
+            if unit:
+                # by a power of two first, which is exact, so that no square is lost
+                x = np.ldexp(x, -np.frexp(most[good])[1][:, None])
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            elif scale != 1.0:
+                x = x * scale
+            yield pa.RecordBatch.from_arrays([ids, as_binary(x), pa.array(same, pa.binary())], names=["vec_id", "v", "same"])
+
+    return rows.filter((F.col("vec_id").isNotNull()) & (F.size("e") == dim)).mapInArrow(run, VECTORS)
 
 
 def sample_matrix(vectors: DataFrame, dim: int, most: int) -> np.ndarray:

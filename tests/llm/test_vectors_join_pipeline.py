@@ -129,6 +129,23 @@ def test_neighbours_of_odd_vectors(spark):
     assert nearest_neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_every_length_and_size_of_vectors_takes_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [1e-200, 1e-210]), (4, [5e-324, 0.0]), (5, [0.0, 1.7e308]),
+            (6, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0]), (8, [2.0, 4.0, 6.1]), (9, [0.0, 0.0, 1e-300]), (10, [1.0]), (11, [-1.0]), (12, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {5: (0, 5)} | {i: (2, 6) for i in (6, 7, 8)} | {9: (0, 9), 10: (0, 10), 11: (0, 11), 12: (0, 12)}
+    near = nearest_neighbours(df, F.col("vec_id") % 6 == 0, k=3).collect()
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in near}
+    assert found[6, 1] == (7, 0.0) and found[6, 2][0] == 9 and found[6, 3][0] == 8 and (6, 4) not in found and (12, 1) not in found
+    assert found[0, 1][0] in (3, 4) and found[0, 3][0] == 1 and found[0, 3][1] == pytest.approx(1e200)
+    big = spark.createDataFrame([(0, [3e200, 0.0]), (1, [0.0, 4e200]), (2, [3e200, 1e190])], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r.score for r in nearest_neighbours(big, F.col("vec_id") == 0).collect()}
+    assert rows == {2: pytest.approx(1e190), 1: pytest.approx(5e200)}
+    small = spark.createDataFrame([(0, [3e-250, 0.0]), (1, [0.0, 4e-250])], "vec_id long, embedding array<double>")
+    assert [r.score for r in nearest_neighbours(small, F.col("vec_id") == 0).collect()] == [pytest.approx(5e-250)]
+
+
 def test_recall_on_whole_table(spark):
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     want = brute_nearest(rows)
