@@ -25,7 +25,7 @@ from repoatlas.sources.scratch import save_table
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps, and as many of before; longer words are not kept.
-CACHED_WORDS, CACHED_BYTES = 200_000, 48
+CACHED_WORDS, CACHED_BYTES = 600_000, 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -130,8 +130,8 @@ class WordIds(dict):
             if b"<|" in word:
                 ids = self.model.encode(word.decode(), add_special_tokens=False).ids
                 self[word] = np.array(ids, "<u4").tobytes()
-        for i in range(0, len(plain), 512):
-            part = plain[i : i + 512]
+        for i in range(0, len(plain), 64):
+            part = plain[i : i + 64]
             text = self.mark.join(w.decode() for w in part)
             ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_id).tolist()
