@@ -115,7 +115,7 @@ class WordIds(dict):
         for word in words:
             text = word.decode()
             low = text.lower()
-            if text.isalpha() and low.isalpha() and max(low) < "\u0250":
+            if text.isalpha() and low.isalpha() and (low.isascii() or max(low) < "\u0250"):
                 letters = low.encode().decode("latin-1").translate(self.letters)
                 self[word] = np.array([t.id for t in self.bpe.tokenize(letters)], "<u4").tobytes()
             else:
