@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoatlas.catalog import views
+from repoatlas.functions.batches import give_back, rows_of
 from repoatlas.sources.scratch import scratch_folder
 from repoatlas.sources.stores import open_store
 
 WRITTEN = "name string, size bigint"
-BLOCK = 512
+#: Bytes of a tar are in blocks; bytes that are copied at a time.
+BLOCK, COPY = 512, 1 << 20
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,7 @@ def _add(archive, path: str, data: bytes) -> None:
         member = tarfile.TarInfo(path)
         member.size = len(data)
         archive.addfile(member, BytesIO(data))
+        archive.members = []  # it would keep them all
 
 
 def _open(name: str, file: pa.NativeFile):
@@ -44,6 +47,13 @@ def _open(name: str, file: pa.NativeFile):
     return tarfile.open(fileobj=file, mode="w|gz" if name.endswith("gz") else "w|")
 
 
+def _copy(whole: pa.NativeFile, part: pa.NativeFile, size: int) -> None:
+    """The first ``size`` bytes of a file, or all that it has."""
+    while size and (data := whole.read(min(COPY, size))):
+        part.write(data)
+        size -= len(data)
+
+
 def write_archives(files: DataFrame, folder: str, halves: bool = False) -> None:
     """One archive ``name`` per group of ``name, inside, content``; of a tar, its first half if asked."""
 
@@ -57,9 +67,8 @@ def write_archives(files: DataFrame, folder: str, halves: bool = False) -> None:
             file.close()
             if halves:
                 with store.open_input_file(f"{root}/{last}.whole") as whole:
-                    data = whole.read(total // 2)
-                with store.open_output_stream(f"{root}/{last}") as half:
-                    half.write(data)
+                    with store.open_output_stream(f"{root}/{last}", compression=None) as half:
+                        _copy(whole, half, total // 2)
                 store.delete_file(f"{root}/{last}.whole")
             return last, total
 
@@ -77,10 +86,9 @@ def write_archives(files: DataFrame, folder: str, halves: bool = False) -> None:
             yield close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("name", "inside", "content")
-        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in columns)))
-        for name, size in write(rows):
+        for name, size in write(rows_of(batches, "name", "inside", "content")):
             yield pa.RecordBatch.from_pydict({"name": [name], "size": [size]})
+        give_back()
 
     dealt = files.select("name", "inside", "content").repartition("name")
     dealt.sortWithinPartitions("name", "inside").mapInArrow(run, WRITTEN).write.parquet(f"{folder}-done")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repoatlas.functions.batches import give_back
 from repoatlas.sources.scratch import save_table
 from repoatlas.sources.stores import open_store, read_range
 
@@ -242,8 +243,8 @@ def read_members(index: DataFrame, max_size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in _batches(rows_of(batch.to_pylist())):
-                yield out
+            yield from _batches(rows_of(batch.to_pylist()))
+        give_back()
 
     dealt = index.repartitionByRange(tasks, "archive", "start").sortWithinPartitions("archive", "start")
     return dealt.mapInArrow(run, MEMBER)
@@ -284,6 +285,7 @@ def stream_archives(archives: DataFrame, max_size: int) -> DataFrame:
         for batch in batches:
             for uri, size in zip(*(batch.column(c).to_pylist() for c in ("uri", "size"))):
                 yield from _batches({"archive": uri} | row for row in rows_of(uri, size))
+        give_back()
 
     tasks = 4 * archives.sparkSession.sparkContext.defaultParallelism
     return archives.select("uri", "size").repartition(tasks).mapInArrow(run, MEMBER)

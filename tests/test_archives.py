@@ -195,3 +195,33 @@ def test_patterns_of_segments():
     assert listing.split_root("s3a://x/y") == ("s3a://x/y", [])
     with pytest.raises(ValueError):
         listing.segment_pattern("{a")
+
+
+def test_writing_an_archive_keeps_no_members():
+    from repoatlas.catalog import stored
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w|") as archive:
+        for path, data in TREE.items():
+            stored._add(archive, path, data)
+            assert archive.members == []
+    with tarfile.open(fileobj=io.BytesIO(out.getvalue())) as archive:
+        assert {m.name: archive.extractfile(m).read() for m in archive} == TREE
+
+
+def test_halves_are_copied_in_parts():
+    from repoatlas.catalog import stored
+
+    class Whole(io.BytesIO):
+        sizes = []
+
+        def read(self, size=-1):
+            self.sizes.append(size)
+            return super().read(size)
+
+    data = bytes(range(256)) * 20_000
+    for size in (0, 1, 3 * stored.COPY, len(data), len(data) + 9):
+        part = io.BytesIO()
+        stored._copy(Whole(data), part, size)
+        assert part.getvalue() == data[:size]
+    assert 0 <= min(Whole.sizes) and max(Whole.sizes) <= stored.COPY
