@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from repoatlas import fixed_values as fv
 from repoatlas.functions import content as fc
 from repoatlas.functions import text as ft
+from repoatlas.functions.batches import batches_of, give_back, rows_of
 from repoatlas.functions.stream_text import PIECE, SlotValues, evenly, folded, replaced
 from repoatlas.operators.aggregate import last_completed_step
 from repoatlas.plans.profile import Corpus
@@ -227,9 +228,9 @@ def prompt_pieces(slots: DataFrame, steps: DataFrame) -> DataFrame:
     return shown.unionByName(whole.select("repo", "step", "part", "text"))
 
 
-def _rows(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in columns))
+_KEYS = [("repo", pa.string()), ("step", pa.int32())]
+_PIECES = pa.schema([*_KEYS, ("part", pa.int32()), ("text", pa.string())])
+_OUTPUTS = pa.schema([*_KEYS, ("output", pa.string())])
 
 
 def _filled(template: str, step: int, values: SlotValues) -> Iterator[str]:
@@ -258,18 +259,17 @@ def streamed_prompts(slots: DataFrame, steps: DataFrame, size: int = PIECE) -> D
     keys = ["repo", "step"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _rows(batches, *keys, "slot", "text")
+        yield from batches_of(pieces(rows_of(batches, *keys, "slot", "text")), _PIECES, 3)
+        give_back()
+
+    def pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (repo, step), items in groupby(rows, key=lambda r: r[:2]):
             values = SlotValues()
             for _, _, slot, text in items:
                 if slot is not None and text:
                     values.add(slot, text)
             for part, text in enumerate(evenly(_filled(templates[step], step, values), size)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([repo], pa.string()), pa.array([step], pa.int32()),
-                     pa.array([part], pa.int32()), pa.array([text], pa.string())],
-                    names=[*keys, "part", "text"],
-                )
+                yield repo, step, part, text
             values.close()
 
     known = slots.filter(F.col("step").isin([*templates]))
@@ -300,14 +300,15 @@ def run_completions(prompts: DataFrame, fn: Callable) -> DataFrame:
     keys = ["repo", "step"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (repo, step), rows in groupby(_rows(batches, *keys, "text"), key=lambda r: r[:2]):
+        yield from batches_of(outputs(rows_of(batches, *keys, "text")), _OUTPUTS, 2)
+        give_back()
+
+    def outputs(every: Iterator[tuple]) -> Iterator[tuple]:
+        for (repo, step), rows in groupby(every, key=lambda r: r[:2]):
             output = fn(repo, step, (text for _, _, text in rows if text is not None))
             for _ in rows:  # what the function left
                 pass
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([repo], pa.string()), pa.array([step], pa.int32()), pa.array([output], pa.string())],
-                names=[*keys, "output"],
-            )
+            yield repo, step, output
 
     dealt = prompts.select(*keys, "part", "text").repartition(*keys)
     ordered = dealt.sortWithinPartitions(*keys, "part").select(*keys, "text")
