@@ -61,14 +61,15 @@ def replaced(pieces: Iterable[str], token: str, value: Callable[[], Iterable[str
             yield text[at:hit]
             yield from value()
             at = hit + len(token)
-        cut = len(text)
-        for n in range(min(len(token) - 1, len(text) - at), 0, -1):
-            if token.startswith(text[len(text) - n :]):
-                cut = len(text) - n
-                break
-        yield text[at:cut]
+        cut = text.find(token[0], max(at, len(text) - len(token) + 1))
+        while cut >= 0 and not token.startswith(text[cut:]):
+            cut = text.find(token[0], cut + 1)
+        cut = len(text) if cut < 0 else cut
+        if cut > at:
+            yield text[at:cut]
         held = text[cut:]
-    yield held
+    if held:
+        yield held
 
 
 def folded(pieces: Iterable[str]) -> Iterator[str]:

@@ -181,3 +181,42 @@ def test_completions_over_pieces(spark):
         prompts.streamed_prompts(slots, steps, 10), lambda repo, step, pieces: str(sum(map(len, pieces))))
     built = prompts.build_prompts(slots, steps).selectExpr("repo", "step", "CAST(length(prompt) AS string) output")
     assert matches(whole, "repo", "step", "output") == matches(built, "repo", "step", "output")
+
+
+def test_small_pieces_go_in_few_batches():
+    import pyarrow as pa
+
+    from repoatlas.functions.batches import CHARS, ROWS, batches_of, rows_of
+
+    rows = [("r", i, i, "x" * 1000) for i in range(9000)] + [("r", 1, 1, "y" * 2 * CHARS), ("s", 1, 1, None)]
+    made = list(batches_of(iter(rows), prompts._PIECES, 3))
+    assert len(made) < 9 and max(b.num_rows * 1000 for b in made) <= CHARS + 1000
+    assert [b.schema for b in made] == [prompts._PIECES] * len(made)
+    assert list(rows_of(made, "repo", "step", "part", "text")) == rows
+
+    class Once:  # a batch that tells which parts of it are asked for
+        parts: list[int] = []
+
+        def select(self, columns):
+            return self
+
+        num_rows = 150
+
+        def slice(self, at, n):
+            self.parts.append(n)
+            return pa.RecordBatch.from_pydict({"a": [*range(at, min(at + n, 150))]})
+
+    batch = Once()
+    assert list(rows_of([batch], "a")) == [(i,) for i in range(150)] and set(batch.parts) == {ROWS}
+
+
+def test_a_token_across_pieces_is_found():
+    from repoatlas.functions.stream_text import replaced
+
+    for text in ("a${b}c", "$${b}", "${${b}${b", "", "$", "x$${", "${b}${b}", "aa"):
+        for n in range(1, 6):
+            pieces = [text[i : i + n] for i in range(0, len(text), n)]
+            assert "".join(replaced(pieces, "${b}", lambda: ["<", "${b}"])) == text.replace("${b}", "<${b}")
+            twice = text.replace("$", "a").replace("{", "a")
+            own = [twice[i : i + n] for i in range(0, len(twice), n)]
+            assert "".join(replaced(own, "aab", lambda: ["-"])) == twice.replace("aab", "-")
