@@ -164,18 +164,9 @@ class TextIds:
 
     def known(self, texts: list[list[str]]) -> list[list[bytes | bool]]:
         """The ids of all units of the texts; units that are not known yet are entered."""
-        get = self.units.get
-        found = [list(map(get, keys)) for keys in texts]
-        new = [None in ids for ids in found]
-        self.enter(
-            key for some, keys, ids in zip(new, texts, found) if some
-            for key, own in zip(keys, ids) if own is None
-        )
-        units = self.units
-        return [
-            [units[key] if own is None else own for key, own in zip(keys, ids)] if some else ids
-            for some, keys, ids in zip(new, texts, found)
-        ]
+        self.enter(set(chain.from_iterable(texts)).difference(self.units))
+        get = self.units.__getitem__
+        return [list(map(get, keys)) for keys in texts]
 
     def parts(self, text: str) -> Iterator[str]:
         """The text in parts that end before a cut."""

@@ -187,3 +187,20 @@ def test_any_range_of_a_file(tmp_path, monkeypatch):
     (tmp_path / "y").write_bytes(data)
     with store.open_input_file(f"{tmp_path}/y") as file, pytest.raises(ValueError, match="damaged"):
         token_files.TokenReader(file)
+
+
+def test_a_repeated_unit_is_looked_for_once_before_it_is_learned():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    known = byte_bpe.TextIds(BPE)
+    known.units = Counted()
+    texts = ["the cat, the cat\nthe dog " * 200, "a  b the", "", "the"]
+    for _ in range(2):
+        found = [b"".join(pieces) for pieces in known.encode(texts)]
+        assert found == [known.whole(t) if t else b"" for t in texts]
+    assert Counted.asked < 100
