@@ -9,6 +9,7 @@ from its rank among the pieces of its length.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -20,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoatlas.llm.common import running_start, small_batches, texts_of
+from repoatlas.llm.common import give_back, running_start, small_batches, texts_of
 from repoatlas.sources.scratch import save_table
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps, and as many of before; longer words are not kept.
-CACHED_WORDS, CACHED_BYTES = 600_000, 48
+CACHED_WORDS, CACHED_BYTES = 300_000, 48
+BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
+#: Words that go to the model together.
+TOGETHER = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -83,7 +87,7 @@ def ends_plainly(core: str) -> bool:
     return last < "\u0250" and last.isalnum() and last != "\u0130"
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of the words of a text, as little-endian unsigned 32-bit integers.
 
     The tokenizer never joins characters across white space, nor a Latin letter or digit with
@@ -93,33 +97,56 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
-            self.by_words = splits_words(json.load(file))
+            spec = json.load(file)
+        self.by_words = splits_words(spec)
         self.model = Tokenizer.from_file(path)
         if not self.by_words:
             return
-        self.bpe, self.letters = self.model.model, byte_letters()
+        self.letters = byte_letters()
+        # plain dicts: a set loses their keys without going through all of them
+        self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.mark = "<|startoftext|>"
         (self.mark_id,) = self.model.encode(self.mark, add_special_tokens=False).ids
+        # the model alone, for units that need neither normalization nor cutting
+        self.units = Tokenizer(self.model.model)
+        self.units.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn_letters(self, words: list[bytes]) -> list[bytes]:
         """Learn the words of Latin letters alone and return the others.
 
         Such a word is one unit for the tokenizer and needs no normalization but lower case,
-        so it can go to the model itself.
+        so it can go to the model itself. The last token of a unit, and no other, ends it.
         """
-        others = []
+        plain, letters, others = [], [], []
         for word in words:
+            if word.isalpha():  # of bytes: ASCII letters, which stand for themselves
+                plain.append(word)
+                letters.append(word.lower().decode("ascii"))
+                continue
             text = word.decode()
             low = text.lower()
-            if text.isalpha() and low.isalpha() and (low.isascii() or max(low) < "\u0250"):
-                letters = low.encode().decode("latin-1").translate(self.letters)
-                self[word] = np.array([t.id for t in self.bpe.tokenize(letters)], "<u4").tobytes()
+            if text.isalpha() and low.isalpha() and not BEYOND_LATIN.search(low):
+                plain.append(word)
+                letters.append(low.encode().decode("latin-1").translate(self.letters))
             else:
                 others.append(word)
+        for i in range(0, len(plain), TOGETHER):
+            part = plain[i : i + TOGETHER]
+            ids = self.units.encode_batch_fast([" ".join(letters[i : i + TOGETHER])], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) != len(part) or ends[-1] != 4 * len(ids):  # a model that leaves something out
+                others += part
+                continue
+            data = ids.tobytes()
+            self.known.update(zip(part, (data[a:b] for a, b in zip([0, *ends], ends))))
         return others
 
     def learn(self, words: list[bytes]) -> None:
@@ -129,7 +156,7 @@ class WordIds(dict):
         for word in words:
             if b"<|" in word:
                 ids = self.model.encode(word.decode(), add_special_tokens=False).ids
-                self[word] = np.array(ids, "<u4").tobytes()
+                self.known[word] = np.array(ids, "<u4").tobytes()
         for i in range(0, len(plain), 64):
             part = plain[i : i + 64]
             text = self.mark.join(w.decode() for w in part)
@@ -137,37 +164,50 @@ class WordIds(dict):
             cuts = np.flatnonzero(ids == self.mark_id).tolist()
             data = ids.tobytes()
             for word, a, b in zip(part, [-1, *cuts], [*cuts, len(ids)]):
-                self[word] = data[4 * (a + 1) : 4 * b]
+                self.known[word] = data[4 * (a + 1) : 4 * b]
 
     def learn_words(self, words: Iterable[bytes]) -> None:
-        parts = {}
+        known = self.known
+        parts, wanted = [], set()
         for word in words:
+            if word.isalpha():  # ASCII letters: no ending
+                base = word.lower()
+                wanted.add(base)
+                if base != word:
+                    parts.append((word, base, b""))
+                continue
             base = word.lower() if word.isascii() else word
             core = base.rstrip(b".,;:!?")
-            if core == base or not core or b"<|" in base or not ends_plainly(core.decode()):
-                core = base
-            parts[word] = core, base[len(core) :]
-        self.learn([w for w in {p for both in parts.values() for p in both if p} if w not in self])
-        for word, (core, tail) in parts.items():
-            self[word] = self[core] + self[tail] if tail else self[core]
+            if len(core) == len(base) or not core or b"<|" in base or not ends_plainly(core.decode()):
+                core, tail = base, b""
+            else:
+                tail = base[len(core) :]
+                wanted.add(tail)
+            wanted.add(core)
+            if core != word:
+                parts.append((word, core, tail))
+        self.learn([w for w in wanted if w not in known])
+        for word, core, tail in parts:
+            known[word] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
             found = self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in found]
+        known = self.known
         words = [t.split() for t in texts]
-        unknown = set(chain.from_iterable(words)).difference(self)
-        before = unknown.intersection(self.old)
-        self.update((w, self.old[w]) for w in before)
-        self.learn_words(unknown - before)
-        ids = [b"".join(map(self.__getitem__, own)) for own in words]
-        if len(self) > CACHED_WORDS:
-            self.old = {w: ids for w, ids in self.items() if len(w) <= CACHED_BYTES}
-            self.clear()
+        unknown = set(chain.from_iterable(words)).difference(known)
+        before = [w for w in unknown if w in self.old]
+        known.update((w, self.old[w]) for w in before)
+        self.learn_words(unknown.difference(before))
+        ids = [b"".join(map(known.__getitem__, own)) for own in words]
+        if len(known) > CACHED_WORDS:
+            self.old = {w: ids for w, ids in known.items() if len(w) <= CACHED_BYTES}
+            self.known = {}
         else:
             for word in unknown:
                 if len(word) > CACHED_BYTES:
-                    self.pop(word, None)
+                    known.pop(word, None)
         return ids
 
 
@@ -210,6 +250,7 @@ def cut_pieces(
                 [pa.array(c, t) for c, t in zip(columns, types)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(types)],
             )
+        give_back()
 
     schema = PIECES + (", ids array<long>" if keep_ids else "")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -220,3 +220,21 @@ def test_files_of_another_kind_get_whole_texts():
         spec = json.load(file)
     assert pack.splits_words(spec) and not pack.splits_words(spec | {"normalizer": None})
     assert not pack.splits_words(spec | {"pre_tokenizer": {"type": "Whitespace"}})
+
+
+def test_words_are_lost_by_generations_and_ids_stay(monkeypatch):
+    """A full table is not gone through for every lot of texts: a set can lose the keys of a plain dict."""
+    path = queries.tokenizer_path()
+    known = pack.WordIds(path)
+    assert type(known.known) is dict and type(known.old) is dict
+    monkeypatch.setattr(pack, "CACHED_WORDS", 20)
+    texts = [
+        " ".join(f"{w}{i % 3}" if i % 5 == 0 else w for i in range(n))
+        for n, w in ((40, "Über"), (9, "plain,"), (30, "ÉTÉ."), (7, "e\u0301a"), (5, "İx"), (3, "ǅa"), (4, "x" * 60), (2, "日本"))
+    ]
+    texts += [" ".join(chr(97 + i % 26) * (1 + i % 4) + "ab" * (i % 7) for i in range(200)), "", " ", "<|endoftext|>a b<|endoftext|>"]
+    for _ in range(3):
+        for text in texts:
+            (own,) = known.encode([text.encode()])
+            assert np.frombuffer(own, "<u4").tolist() == known.model.encode(text, add_special_tokens=False).ids
+    assert len(known.known) <= 20 + 400 and known.old
