@@ -58,6 +58,28 @@ def test_prefix_values_are_exact():
         assert got[i] == min(same, 40)
 
 
+def test_only_suffixes_that_are_still_alike_are_sorted_again(monkeypatch):
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    texts = [b" ".join(rng.choice(words) for _ in range(400)) for _ in range(20)]
+    texts.append(texts[0][50:900])
+    n = sum(len(t) + 1 for t in texts)
+    moved, sort = [], np.argsort
+
+    def counted(values, *args, **kwargs):
+        moved.append(len(values) * (values.itemsize > 2))
+        return sort(values, *args, **kwargs)
+
+    def refused(keys):
+        raise AssertionError("a sort by three keys")
+
+    monkeypatch.setattr(sd.np, "argsort", counted)
+    monkeypatch.setattr(sd.np, "lexsort", refused)
+    found = sd.repeated_starts(texts, 400)
+    assert [int(f.sum()) for f in found] == [451, *[0] * 19, 451]
+    assert sum(moved) < 5 * n
+
+
 def test_anchors_depend_on_the_string_alone():
     rng = random.Random(3)
     text = bytes(rng.randrange(97, 100) for _ in range(3000)) + b"z" * 900
