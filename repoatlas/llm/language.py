@@ -142,6 +142,7 @@ def _document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     size = 1 << BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held, seen = np.zeros(size + 1, np.int64), np.zeros(size + 1, bool)
         n = 0
         for batch in small_batches(batches, "text"):

@@ -13,7 +13,6 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoatlas.llm.common import give_back, running_start, small_batches, texts_of
+from repoatlas.llm.common import give_back, kept, running_start, small_batches, texts_of
 from repoatlas.sources.scratch import save_table
 
 CAPACITY = 2048
@@ -211,10 +210,9 @@ class WordIds:
         return ids
 
 
-@cache
 def word_ids(path: str) -> WordIds:
-    """One table of words per worker process and tokenizer."""
-    return WordIds(path)
+    """One table of words per worker process, until it takes tasks of another kind."""
+    return kept(("word_ids", path), lambda: WordIds(path))
 
 
 def cut_pieces(
@@ -250,7 +248,7 @@ def cut_pieces(
                 [pa.array(c, t) for c, t in zip(columns, types)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(types)],
             )
-        give_back()
+        give_back(("word_ids", tokenizer))
 
     schema = PIECES + (", ids array<long>" if keep_ids else "")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
