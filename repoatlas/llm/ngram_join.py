@@ -142,6 +142,7 @@ def _profile(docs: DataFrame, words: int, folder: str) -> tuple[DataFrame, np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        give_back()
         hashes, counts = WordHashes(), np.zeros(slots, np.uint32)
         used = False
         for batch in small_batches(batches, "text"):
@@ -275,12 +276,12 @@ def set_digest(elements: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(elements.tobytes()), "<i8").tolist())
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, nodes: Broadcast, words: int) -> DataFrame:
-    """``doc, elements`` (doc a node) of the documents in ``wanted``, and of a few others."""
+def _texts(wanted: DataFrame, docs: DataFrame, nodes: Broadcast, words: int) -> DataFrame:
+    """``doc, data`` (doc a node, data its text) of the documents in ``wanted``, and of a few others."""
     spark = docs.sparkSession
     field = spark.sparkContext.broadcast(bit_field(wanted, "doc", FILTER_BITS))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in small_batches(batches, "text"):
             ids = batch.column("doc_id").to_numpy()
@@ -289,31 +290,45 @@ def _sets(wanted: DataFrame, docs: DataFrame, nodes: Broadcast, words: int) -> D
             some = batch.filter(pa.array(keep))
             found, data = [], []
             for doc, own, text in zip(ids[keep].tolist(), numbered[keep].tolist(), texts_of(some, "text")):
-                elements = ngram_set(text, hashes, words)
-                if not len(elements):
+                if not text.strip():
                     continue  # of a row that is in no list; its id may have another
                 if own:
-                    doc = Nodes.number(doc, set_digest(elements))
+                    doc = Nodes.number(doc, set_digest(ngram_set(text, hashes, words)))
                     if not flagged(field.value, id_slots(np.array([doc]), FILTER_BITS))[0]:
                         continue
                 found.append(doc)
-                data.append(elements.tobytes())
+                data.append(text)
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.int64()), pa.array(data, pa.binary())], names=["doc", "elements"])
+                    [pa.array(found, pa.int64()), pa.array(data, pa.binary())], names=["doc", "data"])
         hashes.clear()
         give_back()
 
-    found = docs.filter("doc_id IS NOT NULL").mapInArrow(sets, "doc long, elements binary")
+    found = docs.filter("doc_id IS NOT NULL").mapInArrow(pick, "doc long, data binary")
     return found.dropDuplicates(["doc"])  # equal rows; the join that follows needs no other shuffle
 
 
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """``doc, elements`` of ``doc, data``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in small_batches(batches, "data"):
+            data = [ngram_set(t, hashes, words).tobytes() for t in texts_of(batch, "data")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(data, pa.binary())], names=["doc", "elements"])
+        hashes.clear()
+        give_back()
+
+    return texts.mapInArrow(sets, "doc long, elements binary")
+
+
 def _compared(pairs: DataFrame, docs: DataFrame, nodes: Broadcast, words: int, percent: int, folder: str) -> DataFrame:
     """The pairs ``a, b`` that are similar, by their whole sets.
 
-    The pairs of a document ``a`` are dealt out in lots. ``routes`` says where a set goes: as
-    the other side ``b`` to the lot of its pair, or as ``a`` to all of its lots. A set moves
-    once to its routes and once along them, and is not written.
+    The pairs of a document ``a`` are dealt out in lots. ``routes`` says where a text goes: as
+    the other side ``b`` to the lot of its pair, or as ``a`` to all of its lots. A text moves
+    once to its routes and once along them, and is not written. Its set, which is larger and
+    cannot be compressed, is made where it is compared.
     """
     spark = docs.sparkSession
     pairs = save_table(pairs, f"{folder}/pairs")
@@ -326,24 +341,33 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: Broadcast, words: int, p
         F.col("a").alias("to"), "a", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)).alias("lot"),
         F.lit(True).alias("leads"))
     routes = members.unionByName(leaders)
-    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc")), docs, nodes, words)
-    sent = found.join(routes, found["doc"] == routes["to"]).select("a", "lot", "leads", "doc", "elements")
+    found = _texts(pairs.select(F.explode(F.array("a", "b")).alias("doc")), docs, nodes, words)
+    sent = found.join(routes, found["doc"] == routes["to"]).select("a", "lot", "leads", "doc", "data")
 
-    def check(table: pa.Table) -> pa.Table:
-        values, leads, doc = table["elements"], table["leads"].to_pylist(), table["doc"].to_pylist()
-        own = np.frombuffer(values[leads.index(True)].as_py(), np.uint64) if True in leads else None
-        good = set()
-        for i, other in enumerate(doc):
-            if not leads[i] and own is not None:
-                theirs = np.frombuffer(values[i].as_py(), np.uint64)
-                at = np.searchsorted(own, theirs)
-                both = int((own[np.minimum(at, len(own) - 1)] == theirs).sum()) if len(own) else 0
-                if similar(both, len(own), len(theirs), percent):
-                    good.add(other)
-        good = sorted(good)
-        return pa.table({"a": pa.array([table["a"][0].as_py()] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
-
-    out = save_table(sent.groupBy("a", "lot").applyInArrow(check, "a long, b long"), f"{folder}/links")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        led, own = None, None
+        for batch in small_batches(batches, "data"):
+            links = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "lot", "leads", "doc")))
+            for (a, lot, leads, doc), text in zip(rows, texts_of(batch, "data")):
+                if not leads and led != (a, lot):
+                    continue
+                elements = ngram_set(text, hashes, words)
+                if leads:  # the first of its lot
+                    led, own = (a, lot), elements
+                    continue
+                at = np.searchsorted(own, elements)
+                both = int((own[np.minimum(at, len(own) - 1)] == elements).sum()) if len(own) else 0
+                if similar(both, len(own), len(elements), percent):
+                    links.append((a, doc))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        hashes.clear()
+        give_back()
+
+    sorted_ = sent.repartition("a", "lot").sortWithinPartitions("a", "lot", F.desc("leads"))
+    out = save_table(sorted_.mapInArrow(check, "a long, b long"), f"{folder}/links")
     for name in ("pairs", "lots"):
         drop_folder(spark, f"{folder}/{name}")
     return out
@@ -555,7 +579,7 @@ def _list_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 def _compared_blocks(blocks: DataFrame, docs: DataFrame, nodes: Broadcast, words: int, percent: int, folder: str) -> DataFrame:
     """Links of the blocks, as few as connect the same documents."""
-    found = _sets(blocks.select("doc"), docs, nodes, words)
+    found = _sets(_texts(blocks.select("doc"), docs, nodes, words), words)
     joined = blocks.join(found.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).drop("_doc")
 
     def check(table: pa.Table) -> pa.Table:

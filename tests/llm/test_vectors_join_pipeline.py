@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from repoatlas.functions import batches
 from repoatlas.llm import ann, embedding_dedup, ngram_join, queries
 from repoatlas.llm.ann import nearest_neighbours
 from repoatlas.llm.components import connected_components
@@ -270,6 +271,23 @@ def test_rows_of_one_id_link_by_their_own_texts(spark, shift):
     assert (30 + shift, 10 + shift) in got and (50 + shift, 5 + shift) in got
 
 
+def test_texts_are_shuffled_and_not_their_sets(spark, monkeypatch):
+    compared, save = [], ngram_join.save_table
+
+    def saved(df, folder=None):
+        if folder and folder.endswith("/links") and not folder.endswith("/3/links"):
+            compared.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return save(df, folder)
+
+    monkeypatch.setattr(ngram_join, "save_table", saved)
+    rows = [(i, t) for i, t in near_copies(7, groups=3, hot=30) if len(t or "") < 700]
+    _, roots = brute_groups(rows, 85, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(df).collect()}
+    assert got == {i: roots[i] for i, _ in rows}
+    assert compared and not any("elements" in plan for plan in compared)
+
+
 def test_key_pairs_and_lists_miss_no_similar_sets():
     rng = np.random.default_rng(1)
     for boundary in (0, 10, 25, 100):
@@ -284,6 +302,18 @@ def test_key_pairs_and_lists_miss_no_similar_sets():
                 assert set(order.keys(a)[0].tolist()) & set(order.keys(b)[0].tolist())
 
 
+def test_a_worker_keeps_a_table_until_another_kind_of_task(monkeypatch):
+    monkeypatch.setattr(batches, "_kept", {})
+    words = batches.kept(("words", 1), dict)
+    batches.give_back(("words", 1))
+    assert batches.kept(("words", 1), dict) is words
+    batches.give_back()
+    assert not batches._kept
+    other = batches.kept(("words", 2), dict)
+    batches.kept(("words", 1), dict)
+    assert batches.kept(("words", 2), dict) is not other and len(batches._kept) == 1
+
+
 # --- pipeline --------------------------------------------------------------------------------
 
 ODD = [
