@@ -9,14 +9,13 @@ from its rank among the pieces of its length.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +25,8 @@ from repoatlas.sources.scratch import save_table
 CAPACITY = 2048
 #: Words whose ids a worker keeps, and as many of before; longer words are not kept.
 CACHED_WORDS, CACHED_BYTES = 300_000, 48
-BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
+#: By code point, whether it is a Latin letter that lower case leaves one such letter.
+LATIN = np.array([all(x.isalpha() and x < "\u0250" for x in (chr(c), *chr(c).lower())) for c in range(0x250)])
 #: Words that go to the model together.
 TOGETHER = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -86,6 +86,11 @@ def ends_plainly(core: str) -> bool:
     return last < "\u0250" and last.isalnum() and last != "\u0130"
 
 
+def listed(words: pa.Array) -> list[bytes]:
+    """Strings as a list of their bytes; `to_pylist` takes several times as long."""
+    return words.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class WordIds:
     """Ids of the words of a text, as little-endian unsigned 32-bit integers.
 
@@ -104,7 +109,8 @@ class WordIds:
         self.model = Tokenizer.from_file(path)
         if not self.by_words:
             return
-        self.letters = byte_letters()
+        self.letters = np.array([ord(c) for _, c in sorted(byte_letters().items())], "<u2")
+        self.letters[32] = 32  # between words
         # plain dicts: a set loses their keys without going through all of them
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -123,23 +129,23 @@ class WordIds:
         Such a word is one unit for the tokenizer and needs no normalization but lower case,
         so it can go to the model itself. The last token of a unit, and no other, ends it.
         """
-        plain, letters, others = [], [], []
-        for word in words:
-            if word.isalpha():  # of bytes: ASCII letters, which stand for themselves
-                plain.append(word)
-                letters.append(word.lower().decode("ascii"))
+        others = []
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            text = b" ".join(part).decode()
+            points = np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), len(LATIN))
+            gaps = points == 32
+            odd = ~(np.append(LATIN, False)[points] | gaps)
+            if odd.any():
+                other = np.zeros(len(part), bool)
+                other[np.cumsum(gaps)[odd]] = True
+                others += [w for w, o in zip(part, other) if o]
+                part = [w for w, o in zip(part, other) if not o]
+                text = b" ".join(part).decode()
+            if not part:
                 continue
-            text = word.decode()
-            low = text.lower()
-            if text.isalpha() and low.isalpha() and not BEYOND_LATIN.search(low):
-                plain.append(word)
-                letters.append(low.encode().decode("latin-1").translate(self.letters))
-            else:
-                others.append(word)
-        for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
-            ids = self.units.encode_batch_fast([" ".join(letters[i : i + TOGETHER])], add_special_tokens=False)[0].ids
-            ids = np.array(ids, "<u4")
+            letters = self.letters[np.frombuffer(text.lower().encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.units.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(ends) != len(part) or ends[-1] != 4 * len(ids):  # a model that leaves something out
                 others += part
@@ -165,49 +171,56 @@ class WordIds:
             for word, a, b in zip(part, [-1, *cuts], [*cuts, len(ids)]):
                 self.known[word] = data[4 * (a + 1) : 4 * b]
 
-    def learn_words(self, words: Iterable[bytes]) -> None:
-        known = self.known
-        parts, wanted = [], set()
-        for word in words:
-            if word.isalpha():  # ASCII letters: no ending
-                base = word.lower()
-                wanted.add(base)
-                if base != word:
-                    parts.append((word, base, b""))
-                continue
-            base = word.lower() if word.isascii() else word
-            core = base.rstrip(b".,;:!?")
-            if len(core) == len(base) or not core or b"<|" in base or not ends_plainly(core.decode()):
-                core, tail = base, b""
-            else:
-                tail = base[len(core) :]
-                wanted.add(tail)
-            wanted.add(core)
-            if core != word:
-                parts.append((word, core, tail))
-        self.learn([w for w in wanted if w not in known])
-        for word, core, tail in parts:
-            known[word] = known[core] + known[tail] if tail else known[core]
+    def look_up(self, words: list[bytes]) -> pa.Array:
+        """The ids of different words, learned where no task of this worker has met them."""
+        known, old = self.known, self.old
+        found = list(map(known.get, words))
+        unknown = [w for w, ids in zip(words, found) if ids is None]
+        known.update((w, old[w]) for w in unknown if w in old)
+        self.learn([w for w in unknown if w not in known])
+        if unknown:
+            found = [known[w] if ids is None else ids for w, ids in zip(words, found)]
+        for word in unknown:
+            if len(word) > CACHED_BYTES:
+                del known[word]
+        return pa.array(found, pa.large_binary())
+
+    def ids_of(self, words: pa.Array) -> pa.Array:
+        """The ids of different words: those of a word without its ending, then of the ending."""
+        special = pc.match_substring(words, "<|")
+        fold = pc.and_not(pc.string_is_ascii(words), special)
+        words = pc.if_else(fold, pc.ascii_lower(words), words)
+        cores = pc.ascii_rtrim(words, ".,;:!?")
+        last = pc.utf8_slice_codeunits(cores, -1).dictionary_encode()
+        plainly = pa.array([bool(c) and ends_plainly(c) for c in last.dictionary.to_pylist()], pa.bool_())
+        ended = pc.and_not(pc.and_(pc.not_equal(cores, words), plainly.take(last.indices)), special)
+        cores = pc.if_else(ended, cores, words)
+        # endings are few, and numbered; no ending has number 0
+        number: dict[bytes, int] = {b"": 0}
+        ending = np.zeros(len(words), np.int32)
+        sizes = pc.binary_length(cores.filter(ended)).to_numpy().tolist()
+        ending[ended.to_numpy(zero_copy_only=False)] = [
+            number.setdefault(w[n:], len(number))
+            for w, n in zip(listed(words.filter(ended)), sizes)
+        ]
+        cores = cores.dictionary_encode()
+        own = self.look_up(listed(cores.dictionary)).take(cores.indices)
+        after = self.look_up(list(number)).take(pa.array(ending))
+        return pc.binary_join_element_wise(own, after, pa.scalar(b"", pa.large_binary()))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
             found = self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in found]
-        known = self.known
-        words = [t.split() for t in texts]
-        unknown = set(chain.from_iterable(words)).difference(known)
-        before = [w for w in unknown if w in self.old]
-        known.update((w, self.old[w]) for w in before)
-        self.learn_words(unknown.difference(before))
-        ids = [b"".join(map(known.__getitem__, own)) for own in words]
-        if len(known) > CACHED_WORDS:
-            self.old = {w: ids for w, ids in known.items() if len(w) <= CACHED_BYTES}
-            self.known = {}
-        else:
-            for word in unknown:
-                if len(word) > CACHED_BYTES:
-                    known.pop(word, None)
-        return ids
+        self.known[b""] = b""
+        own = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        words = own.flatten().dictionary_encode()
+        ids = self.ids_of(words.dictionary).take(words.indices)
+        ends = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy()))[own.offsets.to_numpy()].tolist()
+        data = ids.buffers()[2]
+        if len(self.known) > CACHED_WORDS:
+            self.old, self.known = self.known, {}
+        return [data[a:b].to_pybytes() if b > a else b"" for a, b in zip(ends, ends[1:])]
 
 
 def word_ids(path: str) -> WordIds:

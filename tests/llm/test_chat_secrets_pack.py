@@ -238,3 +238,22 @@ def test_words_are_lost_by_generations_and_ids_stay(monkeypatch):
             (own,) = known.encode([text.encode()])
             assert np.frombuffer(own, "<u4").tolist() == known.model.encode(text, add_special_tokens=False).ids
     assert len(known.known) <= 20 + 400 and known.old
+
+
+def test_a_word_is_kept_once_for_all_its_endings_and_cases():
+    known = pack.WordIds(queries.tokenizer_path())
+    text = b"Plain plain, PLAIN. plain;! plain \xc3\x89t\xc3\xa9. \xc3\x89t\xc3\xa9"
+    (own,) = known.encode([text])
+    assert np.frombuffer(own, "<u4").tolist() == known.model.encode(text.decode(), add_special_tokens=False).ids
+    assert set(known.known) == {b"", b"plain", b",", b".", b";!", "Été".encode()}
+
+
+def test_marks_in_capitals_are_words():
+    known = pack.WordIds(queries.tokenizer_path())
+    texts = [
+        "<|STARTOFTEXT|>", "a<|EndOfText|>, <|endoftext|>. <|ENDOFTEXT|>!", "", " \x0b\x0c ", ".,;:!? ..", "\x1cA\x1f.", "K. ẞ, İ! Ⱥ;",
+        "H̱, T̈. ẖ", "a.b. 1.2, 3;", "é É. x", "",
+    ]
+    for lot in (texts, texts[:1], texts[2:4], [], texts[::-1]):
+        want = [known.model.encode(t, add_special_tokens=False).ids for t in lot]
+        assert [np.frombuffer(x, "<u4").tolist() for x in known.encode([t.encode() for t in lot])] == want
