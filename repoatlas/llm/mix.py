@@ -69,7 +69,10 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 class Mix:
     """``rows``: id, source, size, source_size, target and ``_start`` (words of the source before
     it) of every document. ``slots``: shard, source number, epoch and block of every slot.
-    ``pieces``: the part of a document that lies in a block."""
+    ``pieces``: the part of a document that lies in a block.
+
+    Slots and pieces are made of far smaller tables, by whose size Spark would take them, and
+    what is summed from them, for small and broadcast it; all joins with them are by sorting."""
 
     rows: DataFrame
     slots: DataFrame
@@ -78,12 +81,12 @@ class Mix:
     def taken(self) -> DataFrame:
         """Each document with ``taken``: its words in the mix, repeats counted."""
         times = self.slots.groupBy("_source", "block").agg(F.count("*").alias("_times"))
-        got = self.pieces.join(times, ["_source", "block"]).groupBy("_source", "_start", "doc_id").agg(
+        got = self.pieces.join(times.hint("merge"), ["_source", "block"]).groupBy("_source", "_start", "doc_id").agg(
             F.sum(F.col("words") * F.col("_times")).alias("taken")
         ).withColumnRenamed("doc_id", "_id")
         same = [self.rows[c] == got[c] for c in ("_source", "_start")]
         same += [self.rows["doc_id"].eqNullSafe(got["_id"]), self.rows["size"] > 0]
-        return self.rows.join(got, same, "left").select(
+        return self.rows.join(got.hint("merge"), same, "left").select(
             "doc_id", "source", "size", "source_size", "target",
             F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
         )

@@ -1,4 +1,5 @@
 import io
+import re
 import struct
 import zipfile
 from collections import Counter
@@ -145,6 +146,18 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert mix.cut_words("a  b\nc d e", [(0, 2), (2, 1), (4, 1)]) == "a  b\nc\n\ne"
 
 
+def test_slots_and_pieces_are_never_broadcast(spark):
+    """Spark takes both for as small as the tables they are made of, whatever their number."""
+    df = spark.createDataFrame([(i, "a b c d e " * 40, f"s{i % 3}", 400) for i in range(50)],
+                               "doc_id long, text string, source string, n_chars int")
+    m = mix.mix_sources(df, block_words=8, shard_slots=16)
+    for out in (m.taken(),):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"(\w+Join) \[[^]]*(?:block|_start|_id)#", plan)
+        assert joins and set(joins) == {"SortMergeJoin"}, joins
+
+
+
 # --- language --------------------------------------------------------------------------------
 
 def test_held_out_accuracy(spark):
