@@ -93,7 +93,7 @@ class Mix:
 
     def content(self) -> DataFrame:
         """What each slot holds: shard, epoch, block, doc_id, first word and number of words."""
-        return self.slots.join(self.pieces, ["_source", "block"])
+        return self.slots.hint("merge").join(self.pieces, ["_source", "block"])
 
 
 def mix_sources(
@@ -228,13 +228,13 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
         F.col("doc_id").alias("_id"), "_source", "_start", F.col("size").alias("_size")
     ).withColumn("_n", F.row_number().over(nth))
     plan = plan.join(
-        parts.select(F.col("doc_id").alias("_of"), F.col("_source").alias("_s"), F.col("_start").alias("_at"), "_takes"),
+        parts.select(F.col("doc_id").alias("_of"), F.col("_source").alias("_s"), F.col("_start").alias("_at"), "_takes").hint("merge"),
         F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_source") == F.col("_s")) & (F.col("_start") == F.col("_at")),
     ).select("_id", "_n", "_takes")
     text = F.coalesce(F.col(text_), F.lit(""))
     own = docs.withColumn("_words", F.regexp_count(text, F.lit(WORD))).filter("_words > 0")
     own = own.withColumn("_k", F.row_number().over(rank))
-    rows = own.join(plan, own[id_].eqNullSafe(plan["_id"]) & ((own["_k"] - plan["_n"]) == 0))
+    rows = own.join(plan.hint("merge"), own[id_].eqNullSafe(plan["_id"]) & ((own["_k"] - plan["_n"]) == 0))
     rows = rows.select(*docs.columns, F.explode("_takes").alias("_take"))
     rows = rows.select(*docs.columns, F.col("_take.whole").alias("_whole"), F.col("_take._runs").alias("_runs"))
 

@@ -151,7 +151,7 @@ def test_slots_and_pieces_are_never_broadcast(spark):
     df = spark.createDataFrame([(i, "a b c d e " * 40, f"s{i % 3}", 400) for i in range(50)],
                                "doc_id long, text string, source string, n_chars int")
     m = mix.mix_sources(df, block_words=8, shard_slots=16)
-    for out in (m.taken(),):
+    for out in (m.taken(), m.content(), mix.mixed_documents(df, m)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         joins = re.findall(r"(\w+Join) \[[^]]*(?:block|_start|_id)#", plan)
         assert joins and set(joins) == {"SortMergeJoin"}, joins
