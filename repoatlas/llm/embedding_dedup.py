@@ -1,33 +1,48 @@
-"""Near-duplicate vectors by cosine, compared within the cells of a spherical k-means.
+"""Near-duplicate vectors by cosine, compared between the cells of a spherical k-means.
 
-A vector belongs to the cell of its nearest centroid and *visits* every other cell that may
-hold a partner. For linked unit vectors ``x`` (of cell ``c``) and ``y`` (of cell ``d``) with
-``|x - y| <= s`` it follows from ``x.c >= x.d`` and ``y.d >= y.c`` that ``y.(d - c)`` or
-``x.(c - d)`` is at most ``s |c - d| / 2``. So visiting the cells within that margin finds
-every link; a smaller ``margin`` trades links for fewer visits.
+For linked unit vectors ``x`` of cell ``c`` and ``y`` of cell ``d``, with ``|x - y| <= s``, the
+margins ``x.(c - d)`` and ``y.(d - c)`` add up to at most ``s |c - d|``. So of two cells, ordered
+by their margins, each vector is compared with the first ones of the other only, which finds every
+link once; with ``margin``, one of the two margins must be at most that, which loses links.
+
+Different vectors are written once, as they came, in the order of their cells. A task reads two
+groups of them from the files, so what is written does not grow with the number of comparisons.
+Vectors are compared by their first principal components and the length of the rest, which is an
+upper bound of the cosine; what passes is compared in double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
+from repoatlas.functions.batches import give_back, kept
 from repoatlas.llm.components import connected_components
-from repoatlas.llm.vectors import as_binary, as_matrix, dimensions, load_vectors, sample_matrix
-from repoatlas.sources.scratch import save_table
+from repoatlas.llm.vectors import dimensions, unit_rows
+from repoatlas.sources.scratch import save_table, scratch_folder
+from repoatlas.sources.stores import open_store
 
 THRESHOLD = 0.9
-#: The centroids go to every task: at most this many. The sample they are fitted on, per cell.
-MOST_CELLS, SAMPLE_PER_CELL, ROUNDS = 4096, 32, 8
-#: Vectors on a side of one compared block.
-BLOCK = 2048
-#: Rows of a block that are compared at once.
+#: The centroids go to every task: at most this many. The sample they are fitted on: vectors per
+#: cell, and bytes at most.
+MOST_CELLS, SAMPLE_PER_CELL, SAMPLE_BYTES, ROUNDS = 4096, 32, 1 << 26, 8
+#: Vectors of a group: so many blocks of this many at most, and no more than have so many bytes.
+BLOCK, GROUP_BLOCKS, GROUP_BYTES = 2048, 16, 1 << 25
+#: Rows of a cell that are compared at once.
 CHUNK = 512
+#: Rows of a task whose equal vectors are collapsed together before any are sent.
+LOT = 1 << 15
+#: Tasks that compare, at most; each takes pairs of groups.
+MOST_TASKS = 4096
 SLACK = 1e-9
 
 
@@ -36,13 +51,15 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: in
     rng = np.random.default_rng(seed)
     centroids = sample[rng.permutation(len(sample))[:cells]].copy()
     for _ in range(rounds):
-        sims = sample @ centroids.T
-        home = sims.argmax(axis=1)
+        home, nearest = np.empty(len(sample), np.int64), np.empty(len(sample))
+        for a in range(0, len(sample), 1024):
+            sims = sample[a : a + 1024] @ centroids.T
+            home[a : a + 1024], nearest[a : a + 1024] = sims.argmax(axis=1), sims.max(axis=1)
         total = np.zeros_like(centroids)
         np.add.at(total, home, sample)
         norm = np.sqrt((total * total).sum(axis=1))
         empty = norm < 1e-12
-        worst = np.argsort(sims.max(axis=1), kind="stable")[: int(empty.sum())]
+        worst = np.argsort(nearest, kind="stable")[: int(empty.sum())]
         norm[empty] = 1
         total /= norm[:, None]
         total[np.nonzero(empty)[0][: len(worst)]] = sample[worst]
@@ -50,18 +67,58 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: in
     return centroids
 
 
-def visited(x: np.ndarray, centroids: np.ndarray, threshold: float, margin: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Home cell of each row, and which cells it visits or lives in."""
-    sims = x @ centroids.T
-    home = sims.argmax(axis=1)
-    if margin is None:
-        apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
-        least = sims[np.arange(len(x)), home][:, None] - np.sqrt(2 - 2 * threshold) / 2 * apart[home]
-    else:
-        least = sims[np.arange(len(x)), home][:, None] - margin
-    goes = sims >= least - SLACK
-    goes[np.arange(len(x)), home] = True
-    return home, goes
+def homes(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The cell of each row, the same for equal rows in whatever company.
+
+    A product of matrices may round differently from batch to batch; what it leaves in doubt is
+    decided by exactly rounded sums.
+    """
+    home = np.empty(len(x), np.int64)
+    for a in range(0, len(x), 1024):
+        sims = x[a : a + 1024] @ centroids.T
+        home[a : a + 1024] = sims.argmax(axis=1)
+        close = sims >= sims.max(axis=1, initial=-np.inf)[:, None] - SLACK
+        for i in np.nonzero(close.sum(axis=1) > 1)[0]:
+            home[a + i] = max(np.nonzero(close[i])[0].tolist(), key=lambda c: (math.fsum(x[a + i] * centroids[c]), -c))
+    return home
+
+
+@dataclass(frozen=True)
+class Screen:
+    """``axes``: directions, the most telling first, of which ``first`` are multiplied out."""
+
+    axes: np.ndarray
+    first: int
+
+    def short(self, x: np.ndarray) -> np.ndarray:
+        """Rows whose products are upper bounds of those of the rows of ``x``, but for `least`."""
+        y = x @ self.axes[:, : self.first]
+        if self.first == self.axes.shape[1]:
+            return y.astype("f4")
+        rest = np.sqrt(np.maximum(0, (x * x).sum(axis=1) - (y * y).sum(axis=1)))
+        return np.concatenate([y, rest[:, None]], axis=1).astype("f4")
+
+    def least(self, threshold: float) -> np.float32:
+        """What single precision makes of a product of ``threshold`` at the least."""
+        return np.float32(threshold - 1e-6 - 1.5e-7 * (self.first + 2))
+
+
+def fit_screen(sample: np.ndarray, threshold: float) -> Screen:
+    """The number of directions that takes the least time; what passes costs some 200 as much."""
+    axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1].copy()
+    dim = axes.shape[1]
+    a, b = np.array_split(sample[:4096], 2)
+    linked = (a @ b.T >= threshold - 1e-6).mean() if len(b) else 0.0
+    best, least = dim, np.inf
+    for first in sorted({*range(8, dim, 4), dim}):
+        if first > 8 and first + 1 >= least:
+            break
+        screen = Screen(axes, first)
+        passed = (screen.short(a) @ screen.short(b).T >= screen.least(threshold)).mean() if len(b) else 0.0
+        cost = first + 1 + 200 * dim * max(0.0, passed - linked) * 4
+        if cost < least:
+            best, least = first, cost
+    return Screen(axes, best)
 
 
 def lowest_labels(mask: np.ndarray, row_label: np.ndarray, col_label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +191,17 @@ def near_duplicates(
     everyone = df.select(F.col(id_col).cast("long").alias("vec_id"))
     parts = []
     for dim in dimensions(df, vec_col):
-        vectors = save_table(load_vectors(df, id_col, vec_col, dim, unit=True))
-        copies = save_table(vectors.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-        distinct = save_table(
-            vectors.join(copies, "same").filter("vec_id = rep").select("vec_id", "v", "same", "n").distinct()
-        )
-        total = distinct.count()
+        rows = _Rows(df, id_col, vec_col, dim)
+        total = rows.keys().select("same").distinct().count()
         if total:
-            found = _compared(distinct, total, dim, threshold, margin, seed)
-            parts.append((vectors.select("vec_id", "same"), copies, found))
+            cells = int(min(MOST_CELLS, max(1, round(total**0.5 / 3))))
+            sample = rows.sample(total, min(SAMPLE_PER_CELL * cells, max(1, SAMPLE_BYTES // (8 * dim))))
+            centroids, screen = fit_centroids(sample, cells, seed=seed), fit_screen(sample, threshold)
+            folder = scratch_folder(df.sparkSession)
+            distinct = _placed(rows, total, centroids, folder)
+            found = _compared(distinct, folder, rows, total, centroids, screen, threshold, margin)
+            copies = distinct.select("same", F.col("vec_id").alias("rep"), "n")
+            parts.append((rows.keys(), copies, found))
     if not parts:
         return everyone.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
@@ -153,9 +212,9 @@ def near_duplicates(
     roots = connected_components(found.filter("label <> vec_id").select(F.col("vec_id").alias("a"), F.col("label").alias("b")))
     by_rep = copies.join(links, F.col("rep") == F.col("_rep"), "left").join(roots, F.col("rep") == F.col("node"), "left")
     by_rep = save_table(by_rep.select(
-        "same", (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        "same", "rep", (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("root", "rep").alias("component_id"),
-    ))
+    ).filter("n_links > 0 OR component_id <> rep").drop("rep"))  # the others have what a row without links has
     linked = vectors.select("vec_id", "same").join(by_rep, "same").groupBy(F.col("vec_id").alias("_id")).agg(
         F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = everyone.join(linked, F.col("vec_id") == F.col("_id"), "left")
@@ -166,58 +225,240 @@ def near_duplicates(
     )
 
 
-def _compared(distinct: DataFrame, total: int, dim: int, threshold: float, margin: float | None, seed: int) -> DataFrame:
-    """``vec_id, links, label``: links counted and labels reached among different vectors of one length."""
-    spark = distinct.sparkSession
-    cells = int(min(MOST_CELLS, max(1, round(total**0.5 / 3))))
-    centroids = fit_centroids(sample_matrix(distinct, dim, SAMPLE_PER_CELL * cells), cells, seed=seed)
-    cells = len(centroids)
-    shared = spark.sparkContext.broadcast(centroids)
+class _Rows:
+    """The vectors of one length that take part, read from ``df`` anew each time."""
+
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dim: int):
+        single = isinstance(df.schema[vec_col].dataType.elementType, FloatType)
+        self.dim, self.kind = dim, "<f4" if single else "<f8"
+        e = F.col(vec_col).cast("array<float>" if single else "array<double>")
+        rows = df.select(F.col(id_col).cast("long").alias("vec_id"), e.alias("e"))
+        self.rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("e") == dim))
+
+    def map(self, run, schema: str) -> DataFrame:
+        """What ``run`` makes of ids, vectors as doubles, and their hashes of two numbers each."""
+        dim = self.dim
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            for batch in batches:
+                for a in range(0, batch.num_rows, LOT):
+                    part = batch.slice(a, LOT)
+                    x = part.column("e").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("<f8")
+                    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                    x = x[good] + 0.0
+                    ids = np.asarray(part.column("vec_id"))[good]
+                    same = b"".join([xxhash.xxh3_128_digest(row) for row in x])
+                    yield from run(ids, x, np.frombuffer(same, ">u8").reshape(-1, 2))
+
+        return self.rows.mapInArrow(of, schema)
+
+    def keys(self) -> DataFrame:
+        """``vec_id`` and ``same``, the hash of the vector."""
+        return self.map(lambda ids, x, same: [pa.RecordBatch.from_arrays([pa.array(ids), _digests(same)], names=["vec_id", "same"])],
+                        "vec_id long, same binary")
+
+    def sample(self, total: int, most: int) -> np.ndarray:
+        """About ``most`` of ``total`` different vectors, those of the smallest hashes, as unit vectors."""
+        bound = np.uint64(min(2**64 - 1, int(2**64 * (1.1 * most + 100) / total)))
+
+        def few(ids: np.ndarray, x: np.ndarray, same: np.ndarray) -> list[pa.RecordBatch]:
+            at = np.unique(same, axis=0, return_index=True)[1]
+            at = at[same[at, 0] <= bound]
+            return [pa.RecordBatch.from_arrays([_digests(same[at]), _as_bytes(x[at])], names=["same", "v"])]
+
+        found = self.map(few, "same binary, v binary").groupBy("same").agg(F.first("v").alias("v")).orderBy("same").limit(most)
+        return unit_rows(np.frombuffer(b"".join(r.v for r in found.select("v").collect()), "<f8").reshape(-1, self.dim))
+
+
+def _digests(same: np.ndarray) -> pa.Array:
+    return _as_bytes(same.astype(">u8"))
+
+
+def _as_bytes(matrix: np.ndarray) -> pa.Array:
+    """Each row as its bytes."""
+    matrix = np.ascontiguousarray(matrix)
+    width = matrix.dtype.itemsize * matrix.shape[1]
+    return pa.Array.from_buffers(pa.binary(width), len(matrix), [None, pa.py_buffer(matrix.tobytes())]).cast(pa.binary())
+
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _from_bytes(column: pa.Array | pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
+    """The rows of ``width`` numbers that `_as_bytes` made bytes of."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.empty((0, width), kind)
+    first = np.frombuffer(column.buffers()[1], "<i4", 1, 4 * column.offset)[0]
+    return np.frombuffer(column.buffers()[2], kind, len(column) * width, first).reshape(-1, width)
+
+
+def _group_rows(total: int, dim: int) -> int:
+    """Vectors of a group: so few that a worker holds two, and some pairs of groups at least."""
+    most = min(GROUP_BLOCKS * BLOCK, max(1, GROUP_BYTES // (8 * dim)))
+    return max(min(most, BLOCK), min(most, -(-total // 8)))
+
+
+def _placed(rows: _Rows, total: int, centroids: np.ndarray, folder: str) -> DataFrame:
+    """``home, same, vec_id, n, e`` of every different vector, in the order of the cells.
+
+    ``vec_id`` is the smallest id, ``n`` counts the rows. Equal vectors are collapsed before they
+    are sent, so that one of which there are very many does not fill a task.
+    """
+    dim, kind = rows.dim, rows.kind
+    shared = rows.rows.sparkSession.sparkContext.broadcast(centroids)
+    names = ["home", "same", "vec_id", "n", "e"]
+
+    def place(ids: np.ndarray, x: np.ndarray, same: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(ids):
+            return
+        order = np.lexsort((ids, same[:, 1], same[:, 0]))
+        same = same[order]
+        at = np.nonzero(np.append(True, (same[1:] != same[:-1]).any(axis=1)))[0]
+        n, one = np.diff(np.append(at, len(ids))), order[at]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(homes(unit_rows(x[one]), shared.value), pa.int32()), _digests(same[at]),
+             pa.array(ids[one]), pa.array(n, pa.int64()), _as_bytes(x[one].astype(kind))], names=names)
+
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # of the rows so far; the next may be equal
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                x = as_matrix(part.column("v"), dim)
-                home, goes = visited(x, shared.value, threshold, margin)
-                bits = np.packbits(goes, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id"), part.column("v"), part.column("n"), pa.array(home, pa.int32()),
-                     pa.array([b.tobytes() for b in bits], pa.binary()),
-                     pa.array([np.nonzero(g)[0].astype("int32") for g in goes], pa.list_(pa.int32()))],
-                    names=["vec_id", "v", "n", "home", "bits", "cells"],
-                )
-
-    placed = save_table(distinct.select("vec_id", "v", "n").mapInArrow(
-        assign, "vec_id long, v binary, n long, home int, bits binary, cells array<int>"))
-    in_cell = placed.select("home", F.explode("cells").alias("cell"))
-    sizes = in_cell.groupBy("cell").agg(F.count("*").alias("all"), F.sum((F.col("home") == F.col("cell")).cast("int")).alias("own"))
-    grid = {r.cell: (-(-r.own // BLOCK), -(-r["all"] // BLOCK)) for r in sizes.collect()}  # a row per cell
-    plan = spark.createDataFrame([(c, s, t) for c, (s, t) in grid.items() if s], "cell int, _s int, _t int")
-    spread = placed.select("*", F.explode("cells").alias("cell")).join(F.broadcast(plan), "cell")
-    lot = F.xxhash64("vec_id")
-    row_side = spread.filter("home = cell").withColumn("s", F.pmod(lot, F.col("_s")).cast("int")).withColumn(
-        "t", F.explode(F.sequence(F.lit(0), F.col("_t") - 1))).withColumn("is_row", F.lit(True))
-    col_side = spread.withColumn("t", F.pmod(lot, F.col("_t")).cast("int")).withColumn(
-        "s", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).withColumn("is_row", F.lit(False))
-    kept = ["cell", "s", "t", "is_row", "vec_id", "v", "n", "home"]
-    blocks = row_side.select(*kept, "bits").unionByName(col_side.select(*kept, F.lit(None).cast("binary").alias("bits")))
-
-    def compare(table: pa.Table) -> pa.Table:
-        def side(part: pa.Table) -> dict:
-            return {
-                "id": part["vec_id"].to_numpy(), "x": as_matrix(part["v"], dim), "n": part["n"].to_numpy(),
-                "home": part["home"].to_numpy(),
-            }
-
-        is_row = table["is_row"].combine_chunks()
-        mine, theirs = table.filter(is_row), table.filter(pa.compute.invert(is_row))
-        empty = {"vec_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "label": pa.array([], pa.int64())}
-        if not mine.num_rows or not theirs.num_rows:
-            return pa.table(empty)
-        rows, cols = side(mine), side(theirs)
-        bits = np.frombuffer(b"".join(x.as_py() for x in mine["bits"]), np.uint8).reshape(mine.num_rows, -1)
-        rows["goes"] = np.unpackbits(bits, axis=1)[:, :cells].astype(bool)
-        return pa.table(compare_block(rows, cols, table["cell"][0].as_py(), threshold))
-
-    return save_table(blocks.groupBy("cell", "s", "t").applyInArrow(compare, "vec_id long, links long, label long"))
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            same = _from_bytes(table["same"], ">u8", 2)
+            at = np.nonzero(np.append(True, (same[1:] != same[:-1]).any(axis=1)))[0]
+            ids = np.minimum.reduceat(np.asarray(table["vec_id"]), at)
+            n = np.add.reduceat(np.asarray(table["n"]), at)
+            table = table.take(pa.array(at))
+            table = table.set_column(2, "vec_id", pa.array(ids)).set_column(3, "n", pa.array(n))
+            *full, last = table.slice(0, len(at) - 1).to_batches() + table.slice(len(at) - 1).combine_chunks().to_batches()
+            yield from full
+        if last is not None:
+            yield last
+
+    schema = "home int, same binary, vec_id long, n long, e binary"
+    groups = -(-total // _group_rows(total, dim))
+    dealt = rows.map(place, schema).repartitionByRange(groups, "home", "same").sortWithinPartitions("home", "same")
+    return save_table(dealt.mapInArrow(collapse, schema), folder)
+
+
+def _group(names: list[str], folder: str, dim: int, kind: str, centroids: np.ndarray, screen: Screen) -> dict:
+    """The vectors of some files, and where those of a cell stand."""
+    store, at = open_store(folder)
+    tables = []
+    for name in names:
+        with store.open_input_file(f"{at}/{name}") as file:
+            tables.append(pq.ParquetFile(file).read(["home", "vec_id", "n", "e"]))
+    table = pa.concat_tables(tables)
+    home = np.asarray(table["home"]).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    home = home[order]
+    x = unit_rows(_from_bytes(table["e"], kind, dim)[order].astype("<f8"))
+    starts = np.nonzero(np.append(True, home[1:] != home[:-1]))[0]
+    return {
+        "id": np.asarray(table["vec_id"])[order], "n": np.asarray(table["n"])[order], "x": x, "short": screen.short(x),
+        "own": np.einsum("ij,ij->i", x, centroids[home]), "cells": home[starts],
+        "spans": [*zip(starts.tolist(), [*starts[1:].tolist(), len(home)])],
+    }
+
+
+def _candidates(ma: np.ndarray, mb: np.ndarray, apart: float, threshold: float, margin: float | None, chunk: int) -> Iterator[tuple]:
+    """Rows of one cell and those of another they are compared with, by the margins of both."""
+    if margin is not None:
+        near, others, close = ma <= margin + SLACK, ma > margin + SLACK, np.nonzero(mb <= margin + SLACK)[0]
+        for rows, cols in ((np.nonzero(near)[0], np.arange(len(mb))), (np.nonzero(others)[0], close)):
+            for a in range(0, len(rows) if len(cols) else 0, chunk):
+                yield rows[a : a + chunk], cols
+        return
+    most = np.sqrt(2 - 2 * threshold) * apart + SLACK
+    rows = np.nonzero(ma <= most - mb.min())[0]
+    rows, cols = rows[np.argsort(ma[rows])], np.argsort(mb)
+    sorted_mb = mb[cols]
+    for a in range(0, len(rows), chunk):
+        n = np.searchsorted(sorted_mb, most - ma[rows[a]], "right")
+        if not n:
+            return
+        yield rows[a : a + chunk], cols[:n]
+
+
+def compare_groups(
+    left: dict, right: dict, centroids: np.ndarray, screen: Screen, threshold: float, margin: float | None,
+) -> Iterator[dict]:
+    """Links and labels, as of `compare_block`, of all pairs of vectors of two groups, or within one."""
+    least = screen.least(threshold)
+    from_left = left["x"] @ centroids[right["cells"]].T
+    from_right = right["x"] @ centroids[left["cells"]].T
+    for i, (c, (a, b)) in enumerate(zip(left["cells"], left["spans"])):
+        for j, (d, (f, g)) in enumerate(zip(right["cells"], right["spans"])):
+            if left is right and j < i:
+                continue
+            inside = left is right and j == i
+            if c == d:
+                every = np.arange(g - f)
+                pairs = ((np.arange(k, min(k + CHUNK, b - a)), every) for k in range(0, b - a, CHUNK))
+            else:
+                ma, mb = left["own"][a:b] - from_left[a:b, j], right["own"][f:g] - from_right[f:g, i]
+                apart = np.sqrt(((centroids[c] - centroids[d]) ** 2).sum())
+                pairs = _candidates(ma, mb, apart, threshold, margin, CHUNK)
+            last, short = None, None
+            for rows, cols in pairs:
+                if last is None or len(cols) > len(last) or margin is not None:
+                    last, short = cols, right["short"][f:g][cols]
+                passed = np.flatnonzero(left["short"][a:b][rows] @ short[: len(cols)].T >= least)
+                if not len(passed):
+                    continue
+                r, t = np.unique(passed // len(cols)), np.unique(passed % len(cols))
+                r, t = rows[r] + a, cols[t] + f
+                some = {k: left[k][r] for k in ("id", "n", "x")} | {"goes": np.zeros((len(r), 1), bool)}
+                # a column of the same block is counted as a row; any other as a visitor
+                others = {k: right[k][t] for k in ("id", "n", "x")} | {"home": np.full(len(t), 0 if inside else -1)}
+                yield compare_block(some, others, 0, threshold)
+
+
+def _compared(
+    distinct: DataFrame, folder: str, rows: _Rows, total: int, centroids: np.ndarray, screen: Screen,
+    threshold: float, margin: float | None,
+) -> DataFrame:
+    """``vec_id, links, label``: links counted and labels reached among different vectors of one length.
+
+    Files are put together to groups; a task takes some pairs of groups, a row for each.
+    """
+    spark = distinct.sparkSession
+    files = distinct.groupBy(F.col("_metadata.file_name").alias("name")).count().collect()  # a row per group, nearly
+    groups: list[list[str]] = []
+    held, most = 0, _group_rows(total, rows.dim)
+    for name, n in sorted(map(tuple, files)):
+        if not groups or held + n > most * 1.25:
+            groups.append([])
+            held = 0
+        groups[-1].append(name)
+        held += n
+    pairs = len(groups) * (len(groups) + 1) // 2
+    dim, kind, folder = rows.dim, rows.kind, _qualified(spark, folder)
+    shared = spark.sparkContext.broadcast((centroids, screen, groups))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, screen, groups = shared.value
+        numbers = [k for batch in batches for k in batch.column("id").to_pylist()]
+        get = lambda k: _group(groups[k], folder, dim, kind, centroids, screen)
+        at = None
+        for number in numbers:
+            i = (math.isqrt(8 * number + 1) - 1) // 2
+            j = number - i * (i + 1) // 2
+            if at != i:
+                at, left = i, kept((folder, i), lambda: get(i))
+            found = [*compare_groups(left, left if i == j else get(j), centroids, screen, threshold, margin)]
+            if found:
+                table = pa.table({k: np.concatenate([x[k] for x in found]) for k in ("vec_id", "links", "label")})
+                table = table.group_by(["vec_id", "label"]).aggregate([("links", "sum")])
+                yield from table.select(["vec_id", "links_sum", "label"]).rename_columns(["vec_id", "links", "label"]).to_batches(max_chunksize=1 << 16)
+        give_back((folder, at))
+
+    tasks = spark.range(0, pairs, 1, min(pairs, MOST_TASKS))
+    return save_table(tasks.mapInArrow(run, "vec_id long, links long, label long"))
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()

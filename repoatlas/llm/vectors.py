@@ -48,14 +48,20 @@ def safe_scale(most: float) -> float:
     return 1.0 if abs(exponent) < 300 else float(np.ldexp(1.0, -exponent))
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """The rows, finite and not zero, with length 1, whatever the size of their components."""
+    # by a power of two first, which is exact, so that no square is lost
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def load_vectors(
-    df: DataFrame, id_col: str, vec_col: str, dim: int, unit: bool = False, scale: float = 1.0,
+    df: DataFrame, id_col: str, vec_col: str, dim: int, scale: float = 1.0,
 ) -> DataFrame:
     """``vec_id``, ``v`` (doubles as bytes) and ``same`` (hash of the vector), of length ``dim``.
 
     Left out are rows with a null id and vectors that are null, zero, or hold null or
-    non-finite components. With ``unit`` the vectors get length 1, whatever the size of their
-    components, else they are multiplied by ``scale``; the hash is of the vector as it came.
+    non-finite components. They are multiplied by ``scale``; the hash is of the vector as it came.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"))
 
@@ -70,11 +76,7 @@ def load_vectors(
             good = np.isfinite(x).all(axis=1) & (most > 0)
             ids, x = batch.column("vec_id").filter(pa.array(good)), x[good] + 0.0
             same = [xxhash.xxh3_128_digest(row.tobytes()) for row in x]
-            if unit:
-                # by a power of two first, which is exact, so that no square is lost
-                x = np.ldexp(x, -np.frexp(most[good])[1][:, None])
-                x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            elif scale != 1.0:
+            if scale != 1.0:
                 x = x * scale
             yield pa.RecordBatch.from_arrays([ids, as_binary(x), pa.array(same, pa.binary())], names=["vec_id", "v", "same"])
 

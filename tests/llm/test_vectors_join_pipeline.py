@@ -1,3 +1,4 @@
+import os
 import random
 from collections import defaultdict
 
@@ -76,6 +77,43 @@ def test_near_duplicate_vectors_equal_brute_force(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_are_written_once_whatever_cells_they_are_compared_with(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64)).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    written, save = [], embedding_dedup.save_table
+
+    def saved(part, *folder):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        out = save(part, *folder)
+        written.append((plan, sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "save_table", saved)
+    assert embedding_dedup.near_duplicates(df).filter("n_links = 0 AND kept").count() == len(x)
+    assert not any("explode" in plan for plan, _ in written)
+    assert sum(size for _, size in written) < 2 * x.nbytes
+
+
+def test_a_vector_has_one_home_in_whatever_batch():
+    rng = np.random.default_rng(9)
+    centroids = rng.normal(size=(40, 8))
+    centroids /= np.linalg.norm(centroids, axis=1)[:, None]
+    centroids[[7, 31]] = centroids[3]
+    x = np.concatenate([rng.normal(size=(300, 8)), centroids[3] * 2 + rng.normal(size=(100, 8)) * 1e-3])
+    want = embedding_dedup.homes(x, centroids)
+    assert (want[300:] == 3).all() and not np.isin(want, [7, 31]).any()
+    assert all((embedding_dedup.homes(x[i : i + n], centroids) == want[i : i + n]).all() for n in (1, 7) for i in range(0, 400, n))
+
+
+def test_margin_of_cells_loses_links_but_makes_none(spark):
+    rows, _ = odd_vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, links int")
+    links = lambda margin: {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, margin=margin).distinct().collect()}
+    every, few = links(None), links(0.0)
+    assert links(2.0) == every and few.keys() == every.keys() and all(few[i] <= every[i] for i in few)
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 512])
 def test_labels_of_a_block_keep_what_earlier_chunks_joined(chunk):
     rng = np.random.default_rng(6)
